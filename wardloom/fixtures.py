@@ -1,0 +1,304 @@
+"""The driver's tables as tables of ours. Every mapping here is repeated in SQL in ``checks/oracles.py``."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardloom.functions.text import first_line, string_array
+from wardloom.operators.chunking import document_key
+from wardloom.reference_data import DRUG_LABEL_HEADERS, LAB_PANELS, TRIAL_HEADERS
+from wardloom.schemas import CASE, METADATA
+
+CONTENT_TYPES = ["abstract", "full_text", "drug_label", "trial_protocol"]
+CREDIBILITIES = ["guideline", "fda_label", "peer_reviewed", "curated", "preprint"]
+LEVELS = ["medical_student", "resident", "attending"]
+QUALITIES = ["optimal", "acceptable", "suboptimal", "harmful", "catastrophic", "other"]
+MODALITIES = ["CT", "MRI", "XR", "US", "CTA", "PET"]
+REGIONS = ["head", "chest", "abdomen", "brain", "cardiac", "spine"]
+OBSERVATIONS = ["hyperdense mass", "Hyperintense lesion", "focal opacity", "free fluid", "filling defect", "normal"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(items: list[str], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(i) for i in items]), index.cast("int"))
+
+
+def _sectioned(text: Column, headers: list[str]) -> Column:
+    """Text with a header line put before every fifth line from the third on."""
+
+    def line(value: Column, i: Column) -> Column:
+        header = pick(headers, (i / 5).cast("int") % len(headers))
+        return F.when(i % 5 == 2, F.concat(header, F.lit("\n"), value)).otherwise(value)
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, text = F.col("doc_id"), F.col("text")
+    kind = doc % 4
+    content = (
+        F.when(kind == 2, _sectioned(text, DRUG_LABEL_HEADERS))
+        .when(kind == 3, _sectioned(text, TRIAL_HEADERS))
+        .otherwise(F.replace(text, F.lit("\n"), F.lit("\n\n")))
+    )
+    metadata = F.struct(
+        string_array(F.col("lang")).alias("authors"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (doc % 365).cast("int")).alias("publication_date"),
+        F.when(doc % 7 == 0, string_array(F.lit("triage_desk"), F.lit("general")))
+        .otherwise(string_array()).alias("specialty"),
+        pick(CREDIBILITIES, doc % 5).alias("credibility"),
+        F.concat(F.lit("https://example.org/doc/"), doc.cast("string")).alias("url"),
+        F.when(doc % 3 != 0, F.concat(F.lit("10.1/"), doc.cast("string"))).alias("doi"),
+    ).cast(METADATA)
+    return table(spark, sf_dir, "documents").select(
+        "source",
+        doc.cast("string").alias("source_id"),
+        first_line(text).alias("title"),
+        content.alias("content"),
+        pick(CONTENT_TYPES, kind).alias("content_type"),
+        metadata.alias("metadata"),
+    )
+
+
+def web_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as landed answers of a scraper: title from the title element, text with tags cut out."""
+    html = F.col("html")
+    title = F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
+    body = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
+    page = F.struct(
+        F.col("url"),
+        F.when(title != "", title).alias("title"),
+        F.trim(F.regexp_replace(body, r"[ \n\t\r]+", " ")).alias("markdown"),
+    )
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.to_json(F.struct(F.array(page).alias("data"))).alias("payload")
+    )
+
+
+def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as the flat view of stored chunks."""
+    vec, label = F.col("vec_id"), F.col("label")
+    source = F.concat(F.lit("src"), (label % 3).cast("string"))
+    return table(spark, sf_dir, "embeddings").select(
+        vec.cast("string").alias("chunk_id"),
+        F.concat(F.lit("chunk text "), vec.cast("string")).alias("text"),
+        "embedding",
+        document_key(source, vec.cast("string")).alias("source_document_id"),
+        source.alias("source"),
+        pick([*CREDIBILITIES, "blog"], vec % 7).alias("credibility"),
+        F.concat(F.lit("s"), label.cast("string")).alias("specialty"),
+        F.lit(None).cast("string").alias("doi"),
+        F.lit("").alias("url"),
+    )
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of id 0, used as the one query of single-query searches."""
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").head()["embedding"]
+
+
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
+              "l_returnflag", "l_linestatus")
+
+
+def _phase(line: Column, i: Column) -> Column:
+    part, supp, qty = line["l_partkey"], line["l_suppkey"], line["l_quantity"].cast("int")
+    phase_number = (i + 1).cast("int")
+    offset = F.concat(F.lit("T+"), qty.cast("string"), F.lit("min"))
+    vitals = F.when(
+        line["l_linenumber"] % 4 != 0,
+        F.struct(
+            (qty + 60).alias("hr"),
+            (supp % 60 + 100).cast("int").alias("bp_systolic"),
+            (supp % 30 + 60).cast("int").alias("bp_diastolic"),
+            (line["l_linenumber"] + 12).cast("int").alias("rr"),
+            (part % 10 + 90.5).alias("spo2"),
+            ((part % 4) * 0.5 + 36.5).alias("temp_c"),
+            F.when(part % 2 == 0, F.lit(15)).alias("gcs"),
+        ),
+    )
+    known = LAB_PANELS["BMP"]
+
+    def value(name: str, number: Column, unit: Column) -> Column:
+        low, high = next(((c[2], c[3]) for c in known if c[0] == name), (0.5, 2.0))
+        return F.struct(
+            F.lit(name).alias("name"), number.alias("value"), unit.alias("unit"),
+            F.lit(low).alias("reference_low"), F.lit(high).alias("reference_high"),
+            F.lit(None).cast("string").alias("flag"),
+        )
+
+    lab_results = F.concat(
+        F.array(
+            F.struct(
+                F.lit("BMP").alias("panel"),
+                F.array(
+                    value("K", (part % 60 + 20) / 10.0, F.lit("mEq/L")),
+                    value("Na", (supp % 50 + 115) + F.when(part % 9 == 0, 0.5).otherwise(0.0), F.lit("mEq/L")),
+                ).alias("values"),
+                offset.alias("timestamp"),
+            )
+        ),
+        F.when(
+            supp % 3 == 0,
+            F.array(
+                F.struct(
+                    F.when(supp % 11 == 0, F.lit("XYZ")).otherwise(F.lit("ABG")).alias("panel"),
+                    F.array(
+                        value("Lactate", (part % 55) / 10.0, F.when(part % 13 == 0, F.lit("mg/dL")).otherwise(F.lit("mmol/L")))
+                    ).alias("values"),
+                    offset.alias("timestamp"),
+                )
+            ),
+        ).otherwise(F.array().cast(CASE["phases"].dataType.elementType["lab_results"].dataType)),
+    )
+    imaging_results = F.when(
+        part % 3 == 0,
+        F.array(
+            F.struct(
+                pick(MODALITIES, supp % 6).alias("modality"),
+                pick(REGIONS, (part + supp) % 6).alias("body_region"),
+                F.concat(F.lit("check "), line["l_returnflag"]).alias("indication"),
+                F.array(
+                    F.struct(
+                        F.lit("organ").alias("structure"),
+                        pick(OBSERVATIONS, (part / 3).cast("long") % 6).alias("observation"),
+                        F.lit(None).cast("string").alias("severity"),
+                        F.lit(None).cast("string").alias("laterality"),
+                    ),
+                    F.struct(
+                        F.lit("field").alias("structure"),
+                        F.lit("clear").alias("observation"),
+                        F.lit(None).cast("string").alias("severity"),
+                        F.lit(None).cast("string").alias("laterality"),
+                    ),
+                ).alias("findings"),
+                F.lit("see findings").alias("impression"),
+                offset.alias("timestamp"),
+            )
+        ),
+    ).otherwise(F.array().cast(CASE["phases"].dataType.elementType["imaging_results"].dataType))
+    decisions = F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(5)), lambda j: j <= part % 6),
+        lambda j: F.struct(
+            F.concat(F.lit("action "), ((supp + j) % 12).cast("string")).alias("action"),
+            ((j == part % 3) | (j == supp % 7)).alias("is_optimal"),
+            pick(QUALITIES, (part + j) % 6).alias("quality"),
+            F.concat(F.lit("reason "), j.cast("string")).alias("reasoning"),
+            F.concat(F.lit("outcome "), line["l_returnflag"]).alias("clinical_outcome"),
+            F.lit(None).cast("string").alias("time_cost"),
+            F.lit(None).cast("int").alias("leads_to_phase"),
+        ),
+    )
+    return F.struct(
+        phase_number.alias("phase_number"),
+        offset.alias("time_offset"),
+        F.concat(F.lit("Line "), part.cast("string"), F.lit(" "), line["l_returnflag"]).alias("narrative"),
+        vitals.alias("vitals"),
+        lab_results.alias("lab_results"),
+        imaging_results.alias("imaging_results"),
+        F.when(
+            line["l_linestatus"] == "F", F.concat(F.lit("shipped "), F.date_format(line["l_shipdate"], "yyyy-MM-dd"))
+        ).alias("clinical_update"),
+        decisions.alias("decisions"),
+        F.struct(
+            (phase_number + 1).alias("optimal_next_phase"),
+            line["l_linestatus"].alias("patient_status"),
+            F.lit("next").alias("narrative_transition"),
+        ).alias("phase_outcome"),
+    ).cast(CASE["phases"].dataType.elementType)
+
+
+def _choice(order: Column, j: int) -> Column:
+    correct = order % 4 == j
+    error = F.when((order + j) % 2 == 0, F.lit("catastrophic")).otherwise(F.lit("common_mistake"))
+    return F.struct(
+        F.lit(f"choice {j}").alias("choice"),
+        correct.alias("is_correct"),
+        F.when(~correct, error).alias("error_type"),
+        F.lit(f"why {j}").alias("reasoning"),
+        F.concat(F.lit("outcome "), order.cast("string")).alias("outcome"),
+        F.when(~correct, F.lit(f"harm {j}")).alias("consequence"),
+        F.lit(None).cast("string").alias("next_decision"),
+    )
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases, with their lines as phases."""
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"))
+    )
+    order, price = F.col("o_orderkey"), F.col("o_totalprice")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    rows = (
+        table(spark, sf_dir, "orders")
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(lines, order == F.col("l_orderkey"), "left")
+    )
+    accuracy = F.floor(price) % 100 / 100.0
+    review = F.struct(
+        accuracy.alias("accuracy_score"),
+        (F.col("o_custkey") % 100 / 100.0).alias("pedagogy_score"),
+        (order % 100 / 100.0).alias("bias_score"),
+        (accuracy >= 0.7).alias("approved"),
+        F.array(F.concat(F.lit("note "), order.cast("string"))).alias("notes"),
+    )
+    empty_phases = F.array().cast(CASE["phases"].dataType)
+    columns = {
+        "case_id": order.cast("string"),
+        "topic": F.col("c_mktsegment"),
+        "difficulty": pick(LEVELS, order % 3),
+        "specialty": F.array(F.lower("c_mktsegment"), F.col("o_orderpriority")),
+        "patient": F.struct(
+            (F.col("o_custkey") % 60 + 20).alias("age"), F.lit("female").alias("sex"), F.col("c_name").alias("demographics")
+        ),
+        "vignette": F.concat(F.lit("Case of "), F.col("c_name")),
+        "decision_prompt": F.lit("What would you do next?"),
+        "ground_truth": F.struct(
+            F.concat(F.lit("dx "), order.cast("string")).alias("diagnosis"),
+            F.lit("treat").alias("optimal_next_step"),
+            F.lit("because").alias("rationale"),
+            F.array(F.col("o_orderpriority")).alias("key_findings"),
+        ),
+        "decision_tree": F.array(*[_choice(order, j) for j in range(3)]),
+        "complications": F.array(),
+        "blueprint": F.lit(None),
+        "phases": F.coalesce(F.transform("lines", _phase), empty_phases),
+        "review": F.when(order % 10 != 0, review),
+        "sources": F.array(),
+        "metadata": F.struct(
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
+            F.concat(F.lit("model-"), F.col("o_orderstatus")).alias("model"),
+            F.lit(0).alias("retry_count"),
+            (order * 3).alias("total_input_tokens"),
+            (order * 2).alias("total_output_tokens"),
+            F.lit(True).alias("multi_step"),
+        ),
+    }
+    return rows.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in CASE.fields])
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as learner answers: user picks the case, the event the choice."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("answer_id"),
+        F.col("user_id").cast("string").alias("case_id"),
+        (F.col("event_id") % 4).cast("int").alias("chosen"),
+    )
+
+
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark texts as a keyword table, grouped by their first letter."""
+    return (
+        table(spark, sf_dir, "benchmark")
+        .select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword"))
+        .where(F.length("keyword") >= 4)
+        .distinct()
+        .select(F.concat(F.lit("group_"), F.substring("keyword", 1, 1)).alias("specialty"), "keyword")
+    )
+
