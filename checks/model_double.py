@@ -1,0 +1,107 @@
+"""A stand-in for a language model: the same answer for the same slot, stage and round.
+
+The slot number decides what goes wrong: unreadable answers, rejected plans, empty plans, inconsistent
+phases and rejected reviews. ``checks/oracles.py`` states the outcome of each in SQL.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+
+PATIENT = {"age": 50, "sex": "female", "demographics": "teacher"}
+
+
+def _writer(n: int, round_: int, prompt: str) -> dict:
+    return {
+        "patient": {**PATIENT, "age": 20 + n % 60},
+        "vignette": f"vignette {n} round {round_}",
+        "decision_prompt": "Next?",
+        "ground_truth": {
+            "diagnosis": f"dx {n}", "optimal_next_step": "treat", "rationale": "because", "key_findings": ["a", "b"],
+        },
+        "specialty": ["s1", "s2"],
+    }
+
+
+def _tree(n: int, round_: int, prompt: str) -> dict:
+    right = {"choice": f"right {n}", "is_correct": True, "reasoning": "r", "outcome": "good"}
+    wrong = {"choice": "wrong", "is_correct": False, "error_type": "common_mistake", "reasoning": "r", "outcome": "bad", "consequence": "harm"}
+    return {
+        "decision_tree": [right, wrong],
+        "complications": [{"trigger": "delay", "detail": "d", "event": "e", "outcome": "o"}],
+    }
+
+
+def _review(n: int, round_: int, prompt: str) -> dict:
+    multi = '"multi_step":true' in prompt
+    ok = n % 17 != 16 and (round_ >= 1 or n % 7 != 6) if multi else round_ >= n % 4
+    return {
+        "accuracy_score": 0.9, "pedagogy_score": 0.8, "bias_score": 1.0, "approved": ok,
+        "notes": [] if ok else [f"fix {n} after {round_}"],
+    }
+
+
+def _plan(n: int, round_: int, prompt: str) -> dict:
+    count = 0 if n % 11 == 10 and round_ == 0 else 2 + n % 3
+    revised = "The previous attempt was rejected" in prompt
+    phases = [
+        {
+            "phase_number": i + 1, "time_offset": f"T+{i * 10}min", "clinical_context": "c", "available_diagnostics": ["CBC"],
+            "pending_diagnostics": [], "decision_type": "workup", "correct_action": f"action {n}.{i + 1}", "key_reasoning": "k",
+        }
+        for i in range(count)
+    ]
+    blueprint = {
+        "diagnosis": f"dx {n}" + (" revised" if revised else ""), "clinical_arc": "arc", "phase_count": count, "phases": phases,
+        "branching_points": [], "expected_complications": [],
+    }
+    return {"blueprint": blueprint, "patient": PATIENT, "specialty": ["s1"]}
+
+
+def _plan_review(n: int, round_: int, prompt: str) -> dict:
+    ok = n % 2 == 0 or " revised" in prompt
+    return {"approved": ok, "notes": [] if ok else ["revise the plan"]}
+
+
+def _phase(n: int, round_: int, prompt: str) -> dict:
+    number = int(re.search(r'\nPhase:\n\{"phase_number":(\d+)', prompt).group(1))
+    return {
+        "phase": {
+            "phase_number": number, "time_offset": f"T+{(number - 1) * 10}min", "narrative": f"phase {number} of {n}",
+            "decisions": [
+                {"action": "go", "is_optimal": True, "quality": "optimal", "reasoning": "r", "clinical_outcome": "o"},
+                {"action": "stop", "is_optimal": False, "quality": "harmful", "reasoning": "r", "clinical_outcome": "o"},
+            ],
+            "phase_outcome": {"optimal_next_phase": None, "patient_status": "stable", "narrative_transition": "t"},
+        }
+    }
+
+
+def _consistency(n: int, round_: int, prompt: str) -> dict:
+    issue = {"phase_number": 1, "field": "vitals.hr", "issue": "jumps", "suggested_fix": "smooth"}
+    return {"issues": [issue] if n % 5 == 3 and round_ == 0 else []}
+
+
+_STAGES = {
+    "case_writer": _writer, "decision_tree": _tree, "review": _review, "planner": _plan,
+    "blueprint_review": _plan_review, "phase_renderer": _phase, "consistency": _consistency,
+}
+
+
+def answer(requests: pd.DataFrame) -> pd.DataFrame:
+    payloads, tokens_in, tokens_out = [], [], []
+    for r in requests.itertuples():
+        n = int(r.slot_id)
+        garbled = r.stage == "case_writer" and n % 13 == 12 and r.round == 0
+        payloads.append("not json {" if garbled else json.dumps(_STAGES[r.stage](n, r.round, r.prompt)))
+        tokens_in.append(10 + n % 7)
+        tokens_out.append(5 + n % 3)
+    return pd.DataFrame(
+        {
+            "request_id": requests["request_id"], "payload": payloads, "input_tokens": tokens_in,
+            "output_tokens": tokens_out, "model": "double",
+        }
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from wardloom.fixtures import (
     CONTENT_TYPES,
     CREDIBILITIES,
@@ -12,6 +14,7 @@ from wardloom.fixtures import (
     REGIONS,
 )
 from wardloom.functions.text import WHITESPACE
+from wardloom.plans import prompts
 from wardloom.reference_data import (
     CREDIBILITY_RANK,
     DIFFICULTY_RULES,
@@ -487,3 +490,124 @@ LEFT JOIN choices g ON g.case_id = c.case_id AND g.is_correct"""
 ORACLES["decision_classes"] = f"""WITH {CASES}, {CHOICES}
 SELECT case_id, position, choice, CASE WHEN is_correct THEN 'correct' WHEN error_type = 'catastrophic' THEN 'catastrophic'
   ELSE 'other' END AS class, outcome FROM choices"""
+
+# --- generation ----------------------------------------------------------------------------
+
+SLOTS = f"""
+slots AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS slot_id, c_custkey AS n, c_mktsegment AS topic, {pick(LEVELS, 'c_custkey % 3')} AS difficulty
+  FROM customer)"""
+# outcome of the model double for single-step slots
+SINGLE = f"""{SLOTS},
+outcomes AS (
+  SELECT *, greatest(n % 4, CASE WHEN n % 13 = 12 THEN 1 ELSE 0 END) AS needed FROM slots),
+spent AS (
+  SELECT *, 3 * (least(needed, 2) + 1) - CASE WHEN n % 13 = 12 THEN 2 ELSE 0 END AS calls FROM outcomes),
+totals AS (
+  SELECT *, CAST(sum(calls * (10 + n % 7)) OVER (ORDER BY n) AS BIGINT) AS total_input_tokens,
+    CAST(sum(calls * (5 + n % 3)) OVER (ORDER BY n) AS BIGINT) AS total_output_tokens FROM spent)"""
+ORACLES["generate_single_step"] = f"""WITH {SINGLE}
+SELECT slot_id, sha256('case|' || slot_id) AS case_id, topic, difficulty, 'vignette ' || slot_id || ' round ' || needed AS vignette,
+  'dx ' || slot_id AS diagnosis, CAST(needed AS INTEGER) AS retry_count, 5 AS sources, total_input_tokens, total_output_tokens,
+  2 AS choices, true AS approved FROM totals WHERE needed < 3"""
+ORACLES["generate_single_step_summary"] = f"""WITH {SINGLE}
+SELECT count(*) FILTER (needed < 3) AS generated, count(*) FILTER (needed >= 3) AS failed,
+  CAST(sum(calls * (10 + n % 7)) AS BIGINT) AS total_input_tokens, CAST(sum(calls * (5 + n % 3)) AS BIGINT) AS total_output_tokens
+FROM totals"""
+ORACLES["generate_multi_step"] = f"""WITH {SLOTS},
+outcomes AS (
+  SELECT *, 2 + n % 3 AS p, n % 17 = 16 AS hopeless, (n % 11 = 10 OR n % 5 = 3 OR n % 7 = 6) AS stumbles FROM slots),
+spent AS (
+  SELECT *, CASE WHEN hopeless THEN 3 WHEN stumbles THEN 2 ELSE 1 END AS rounds,
+    2 * (1 + n % 2) + CASE WHEN n % 11 = 10 THEN 0 ELSE p + 1 + CASE WHEN n % 5 = 3 THEN 4 ELSE 1 END END AS first_calls
+  FROM outcomes),
+totals AS (
+  SELECT *, CAST(sum((first_calls + (rounds - 1) * (p + 4)) * (10 + n % 7)) OVER (ORDER BY n) AS BIGINT) AS total_input_tokens,
+    CAST(sum((first_calls + (rounds - 1) * (p + 4)) * (5 + n % 3)) OVER (ORDER BY n) AS BIGINT) AS total_output_tokens FROM spent)
+SELECT slot_id, topic, array_to_string(list_transform(range(1, p + 1), lambda i: 'phase ' || i || ' of ' || slot_id), {NL} || {NL}) AS vignette,
+  'action ' || slot_id || '.1' AS optimal_next_step, CAST(p AS INTEGER) AS phases, CAST(rounds - 1 AS INTEGER) AS retry_count,
+  total_input_tokens, total_output_tokens FROM totals WHERE NOT hopeless"""
+_CONTEXTS = f"""WITH {SLOTS}, {KB},
+topic_vectors AS (SELECT DISTINCT topic, v FROM slots JOIN kb ON kb.chunk_id = CAST(length(topic) AS VARCHAR)),
+pairs AS (
+  SELECT t.topic, kb.* EXCLUDE (v, credibility), coalesce(kb.credibility, 'preprint') AS credibility,
+    list_cosine_similarity(kb.v, t.v) AS raw FROM kb, topic_vectors t),
+hits AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY topic ORDER BY raw DESC, chunk_id) <= 5),
+placed AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_RANK}, raw DESC, chunk_id) AS place FROM hits),
+contexts AS (
+  SELECT topic, string_agg('[Source ' || place || '] (' || credibility || ', ' || source || ')' || {NL} || text,
+    {NL} || {NL} || '---' || {NL} || {NL} ORDER BY place) AS context FROM placed GROUP BY topic)"""
+
+
+def _rule_of(name: str) -> str:
+    whens = " ".join(f"WHEN {text(level)} THEN {text(str(r[name]))}" for level, r in DIFFICULTY_RULES.items())
+    return f"CASE difficulty {whens} ELSE {text(str(DIFFICULTY_RULES['resident'][name]))} END"
+
+
+def _prompt(template: str) -> str:
+    """A prompt template as a SQL concatenation."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 == 0:
+            parts.append(text(piece))
+        else:
+            parts.append(_rule_of(piece[:-5]) if piece.endswith("_rule") else piece)
+    return " || ".join(parts)
+
+
+ORACLES["prompt_requests"] = f"""{_CONTEXTS}
+SELECT sha256('case_writer|' || slot_id || '|0') AS request_id, slot_id, 'case_writer' AS stage, 0 AS round,
+  {_prompt(prompts.CASE_WRITER.prompt)} AS prompt, 'case_writer' AS schema_name
+FROM slots JOIN contexts USING (topic)"""
+ORACLES["plan_requests"] = f"""{_CONTEXTS}
+SELECT slot_id, 'planner' AS stage, CAST(length({_prompt(prompts.PLANNER.prompt)}) AS INTEGER) AS characters, 'planner' AS schema_name
+FROM slots JOIN contexts USING (topic)"""
+_RETRY = prompts.RETRY.replace("{prompt}", "{old}").replace("{notes}", "{listed}")
+ORACLES["retry_prompts"] = f"""WITH {CASES}
+SELECT case_id, CASE WHEN accuracy_score IS NULL THEN old ELSE {_prompt(_RETRY)} END AS prompt
+FROM (SELECT *, 'prompt ' || case_id AS old, '- note ' || case_id AS listed FROM cases)"""
+_RULE_NAMES = list(DIFFICULTY_RULES["resident"])
+ORACLES["difficulty_rules"] = f"""WITH {CASES},
+asked AS (SELECT case_id, CASE WHEN topic = 'BUILDING' THEN 'expert' ELSE difficulty END AS difficulty FROM cases)
+SELECT case_id, difficulty, difficulty <> 'expert' AS valid_difficulty,
+  {', '.join((f'CAST({_rule_of(n)} AS INTEGER)' if n.startswith('phase_count') else _rule_of(n)) + f' AS {n}' for n in _RULE_NAMES)}
+FROM asked"""
+_REVIEWS = """
+answers AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS request_id, CAST(o_custkey AS VARCHAR) AS slot_id, o_orderkey, o_custkey,
+    CAST(year(o_orderdate) % 3 AS INTEGER) AS round, (CAST(floor(o_totalprice) AS BIGINT) % 100 / 100.0)::DOUBLE AS accuracy_score,
+    o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AS readable, o_orderkey % 50 + 10 AS input_tokens, o_custkey % 20 + 5 AS output_tokens
+  FROM orders)"""
+ORACLES["parse_responses"] = f"""WITH {_REVIEWS}
+SELECT request_id, slot_id, round, accuracy_score, accuracy_score >= 0.7 AS approved, 'note ' || request_id AS note
+FROM answers WHERE readable"""
+ORACLES["rejected_responses"] = f"""WITH {_REVIEWS}
+SELECT request_id, CASE WHEN o_orderkey % 13 = 0 THEN '{{broken'
+  ELSE '{{"accuracy_score":' || accuracy_score || ',"pedagogy_score":0.8,"approved":' || (accuracy_score >= 0.7)
+    || ',"notes":["note ' || request_id || '"]}}' END AS payload
+FROM answers WHERE NOT readable"""
+_GATED = f"""WITH {SLOTS}, {_REVIEWS},
+latest AS (SELECT * FROM answers WHERE readable QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY o_orderkey DESC) = 1),
+gated AS (
+  SELECT s.slot_id, s.topic, l.accuracy_score, coalesce(l.accuracy_score >= 0.7, false) AS approved,
+    coalesce('note ' || l.request_id, 'old note') AS notes FROM slots s LEFT JOIN latest l USING (slot_id))"""
+ORACLES["review_gate"] = f"{_GATED} SELECT slot_id, topic, accuracy_score FROM gated WHERE approved"
+ORACLES["retry_round"] = f"{_GATED} SELECT slot_id, notes FROM gated WHERE NOT approved"
+ORACLES["rerender_phases"] = f"""{WITH_CASES}
+SELECT case_id AS slot_id, phase_number - 1 AS pos,
+  CASE WHEN l_partkey % 6 = 0 THEN 'new ' || narrative ELSE narrative END AS narrative FROM phases"""
+ORACLES["collect_phases"] = f"""{WITH_CASES}
+SELECT case_id AS slot_id, string_agg(narrative, {NL} || {NL} ORDER BY phase_number) AS vignette,
+  CAST(count(*) AS INTEGER) AS phases, 'm' AS phase_model FROM phases GROUP BY case_id"""
+ORACLES["batch_summary"] = f"""{_GATED}
+SELECT count(*) FILTER (approved) AS generated, count(*) FILTER (NOT approved) AS failed,
+  (SELECT CAST(sum(input_tokens) AS BIGINT) FROM answers) AS total_input_tokens,
+  (SELECT CAST(sum(output_tokens) AS BIGINT) FROM answers) AS total_output_tokens FROM gated"""
+ORACLES["running_tokens"] = f"""WITH {_REVIEWS}
+SELECT request_id, CAST(sum(input_tokens) OVER (ORDER BY o_orderkey) AS BIGINT) AS running_input_tokens,
+  CAST(sum(output_tokens) OVER (ORDER BY o_orderkey) AS BIGINT) AS running_output_tokens FROM answers"""
+ORACLES["lab_context"] = f"""{WITH_CASES}, {LABS},
+lines AS (
+  SELECT panel_pos, panel || ': ' || string_agg(name || ' ' || CAST(low AS DOUBLE) || '-' || CAST(high AS DOUBLE) || ' ' || unit, ', '
+    ORDER BY component_pos) AS line FROM panels GROUP BY panel, panel_pos)
+SELECT (SELECT string_agg(line, {NL} ORDER BY panel_pos) FROM lines) AS lab_context, count(*) AS "values" FROM labs"""

@@ -8,14 +8,17 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import model_double
 from wardloom import fixtures
 from wardloom.functions.text import preview
 from wardloom.operators import cases as case_ops
 from wardloom.operators import exports, grading, knowledge, search, tagging, validation
 from wardloom.operators.chunking import chunk, chunk_id
 from wardloom.operators.embedding import embed
+from wardloom.plans import prompts, requests, rounds
 from wardloom.session import work_path
 from wardloom.sources import registry
+from wardloom.tables import latest_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,3 +495,172 @@ def grade_answers(spark, sf_dir):
 @query
 def decision_classes(spark, sf_dir):
     return grading.decision_classes(fixtures.cases(spark, sf_dir))
+
+
+# --- generation ----------------------------------------------------------------------------
+
+
+def _contexts(spark, sf_dir) -> DataFrame:
+    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), fixtures.topic_vectors(spark, sf_dir), 5)
+    return search.format_context(hits, by=("topic",)).join(search.source_refs(hits, by=("topic",)), "topic")
+
+
+def _lab_context(spark) -> str:
+    # the fixed panel table, one short text
+    return validation.lab_context(validation.lab_panels(spark)).head()["lab_context"]
+
+
+@query
+def generate_single_step(spark, sf_dir):
+    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00")
+    made = rounds.generate_single(job, fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir))
+    c = F.col("case")
+    return made.cases.select(
+        "slot_id", c["case_id"].alias("case_id"), c["topic"].alias("topic"), c["difficulty"].alias("difficulty"),
+        c["vignette"].alias("vignette"), c["ground_truth"]["diagnosis"].alias("diagnosis"),
+        c["metadata"]["retry_count"].alias("retry_count"), F.size(c["sources"]).alias("sources"),
+        c["metadata"]["total_input_tokens"].alias("total_input_tokens"),
+        c["metadata"]["total_output_tokens"].alias("total_output_tokens"),
+        F.size(c["decision_tree"]).alias("choices"), c["review"]["approved"].alias("approved"),
+    )
+
+
+@query
+def generate_single_step_summary(spark, sf_dir):
+    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00")
+    return rounds.generate_single(job, fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir)).summary
+
+
+@query
+def generate_multi_step(spark, sf_dir):
+    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00")
+    made = rounds.generate_multi(
+        job, fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir), _lab_context(spark)
+    )
+    c = F.col("case")
+    return made.cases.select(
+        "slot_id", c["topic"].alias("topic"), c["vignette"].alias("vignette"),
+        c["ground_truth"]["optimal_next_step"].alias("optimal_next_step"), F.size(c["phases"]).alias("phases"),
+        c["metadata"]["retry_count"].alias("retry_count"),
+        c["metadata"]["total_input_tokens"].alias("total_input_tokens"),
+        c["metadata"]["total_output_tokens"].alias("total_output_tokens"),
+    )
+
+
+@query
+def prompt_requests(spark, sf_dir):
+    opened, _ = rounds.open_slots(fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir))
+    asked = requests.case_requests(opened.withColumn("round", F.lit(0)))
+    return asked.select("request_id", "slot_id", "stage", "round", "prompt", "schema_name")
+
+
+@query
+def plan_requests(spark, sf_dir):
+    opened, _ = rounds.open_slots(fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir))
+    asked = requests.plan_requests(opened.withColumn("round", F.lit(0)).withColumn("plan_round", F.lit(0)))
+    return asked.select("slot_id", "stage", F.length("prompt").alias("characters"), "schema_name")
+
+
+@query
+def retry_prompts(spark, sf_dir):
+    prompt = F.concat(F.lit("prompt "), "case_id")
+    return fixtures.cases(spark, sf_dir).select(
+        "case_id", prompts.retry_prompt(prompt, F.col("review.notes")).alias("prompt")
+    )
+
+
+@query
+def difficulty_rules(spark, sf_dir):
+    topics = fixtures.cases(spark, sf_dir).select(
+        "case_id", F.when(F.col("topic") == "BUILDING", F.lit("expert")).otherwise(F.col("difficulty")).alias("difficulty")
+    )
+    return requests.difficulty_rules(topics, requests.difficulty_table(spark))
+
+
+def _reviews(spark, sf_dir):
+    return requests.parse_responses(fixtures.responses(spark, sf_dir), "review")
+
+
+@query
+def parse_responses(spark, sf_dir):
+    valid, _ = _reviews(spark, sf_dir)
+    return valid.select(
+        "request_id", "slot_id", "round", F.col("data.accuracy_score").alias("accuracy_score"),
+        F.col("data.approved").alias("approved"), F.col("data.notes")[0].alias("note"),
+    )
+
+
+@query
+def rejected_responses(spark, sf_dir):
+    _, bad = _reviews(spark, sf_dir)
+    return bad.select("request_id", "payload")
+
+
+def _latest_reviews(spark, sf_dir) -> DataFrame:
+    valid, _ = _reviews(spark, sf_dir)
+    return latest_per_key(valid, "slot_id", [F.col("slot_seq")])
+
+
+def _gated(spark, sf_dir):
+    slots = fixtures.slots(spark, sf_dir).select(
+        "slot_id", F.array(F.lit("old note")).alias("notes"), F.struct("topic", F.lit(None).alias("review")).alias("case")
+    )
+    return rounds.review_gate(slots, _latest_reviews(spark, sf_dir))
+
+
+@query
+def review_gate(spark, sf_dir):
+    approved, _ = _gated(spark, sf_dir)
+    return approved.select(
+        "slot_id", F.col("case.topic").alias("topic"), F.col("case.review.accuracy_score").alias("accuracy_score")
+    )
+
+
+@query
+def retry_round(spark, sf_dir):
+    _, pending = _gated(spark, sf_dir)
+    return pending.select("slot_id", F.array_join("notes", "; ").alias("notes"))
+
+
+def _phase_rows(spark, sf_dir) -> DataFrame:
+    rows = fixtures.cases(spark, sf_dir).select("case_id", F.posexplode("phases").alias("pos", "phase"))
+    return rows.select(F.col("case_id").alias("slot_id"), "pos", "phase", F.lit("m").alias("model"))
+
+
+@query
+def rerender_phases(spark, sf_dir):
+    """Phases without decisions written anew."""
+    phases = _phase_rows(spark, sf_dir)
+    new = phases.where(F.size("phase.decisions") == 0).withColumn(
+        "phase", F.col("phase").withField("narrative", F.concat(F.lit("new "), "phase.narrative"))
+    )
+    return rounds.rerender(phases, new).select("slot_id", "pos", F.col("phase.narrative").alias("narrative"))
+
+
+@query
+def collect_phases(spark, sf_dir):
+    gathered = rounds.collect_phases(_phase_rows(spark, sf_dir))
+    vignette = F.array_join(F.transform("phases", lambda p: p["narrative"]), "\n\n")
+    return gathered.select("slot_id", vignette.alias("vignette"), F.size("phases").alias("phases"), "phase_model")
+
+
+@query
+def batch_summary(spark, sf_dir):
+    approved, pending = _gated(spark, sf_dir)
+    calls = fixtures.responses(spark, sf_dir).select("slot_id", "input_tokens", "output_tokens")
+    return rounds.batch_summary(approved, pending, calls)
+
+
+@query
+def running_tokens(spark, sf_dir):
+    calls = fixtures.responses(spark, sf_dir)
+    return rounds.running_tokens(calls, width=1_000).select(
+        "request_id", "running_input_tokens", "running_output_tokens"
+    )
+
+
+@query
+def lab_context(spark, sf_dir):
+    """The lab text with the number of measured values it has to explain."""
+    values = validation.lab_values(fixtures.cases(spark, sf_dir)).agg(F.count("*").alias("values"))
+    return values.select(F.lit(_lab_context(spark)).alias("lab_context"), "values")

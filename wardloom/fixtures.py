@@ -302,3 +302,44 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat(F.lit("group_"), F.substring("keyword", 1, 1)).alias("specialty"), "keyword")
     )
 
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as case slots of one batch."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.cast("string").alias("slot_id"),
+        key.alias("slot_seq"),
+        F.col("c_mktsegment").alias("topic"),
+        pick(LEVELS, key % 3).alias("difficulty"),
+    )
+
+
+def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query vector for every market segment: the embedding whose id is the length of its name."""
+    topics = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("topic")).distinct()
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topics.join(vectors, F.length("topic") == F.col("vec_id")).select("topic", "embedding")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored review answers: customer is the slot, year the round, with some broken ones."""
+    order = F.col("o_orderkey")
+    score = F.floor("o_totalprice") % 100 / 100.0
+    body = F.struct(
+        score.alias("accuracy_score"), F.lit(0.8).alias("pedagogy_score"),
+        F.when(order % 11 != 0, F.lit(0.9)).alias("bias_score"), (score >= 0.7).alias("approved"),
+        F.array(F.concat(F.lit("note "), order.cast("string"))).alias("notes"),
+    )
+    payload = F.when(order % 13 == 0, F.lit("{broken")).otherwise(F.to_json(body))
+    return table(spark, sf_dir, "orders").select(
+        order.cast("string").alias("request_id"),
+        F.col("o_custkey").cast("string").alias("slot_id"),
+        order.alias("slot_seq"),
+        (F.year("o_orderdate") % 3).alias("round"),
+        F.lit(0).alias("call"),
+        payload.alias("payload"),
+        (order % 50 + 10).alias("input_tokens"),
+        (F.col("o_custkey") % 20 + 5).alias("output_tokens"),
+        F.concat(F.lit("model-"), F.col("o_orderstatus")).alias("model"),
+    )

@@ -16,7 +16,8 @@ def date_of(year: Column, month: Column, day: Column) -> Column:
 
 
 def whole_number(text: Column) -> Column:
-    return F.trim(text).try_cast("int")
+    digits = F.trim(text)
+    return F.when(digits.rlike(r"^[+-]?[0-9]{1,9}$"), digits.cast("int"))
 
 
 def pubmed_date(year: Column, month: Column, day: Column) -> Column:
@@ -49,7 +50,8 @@ def offset_minutes(text: Column) -> Column:
     shape = r"(?i)^\s*T\s*\+\s*(?:(\d+)\s*d[a-z]*)?\s*(?:(\d+)\s*h[a-z]*)?\s*(?:(\d+)\s*m?[a-z]*)?\s*$"
 
     def part(group: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, shape, group).try_cast("int"), F.lit(0))
+        digits = F.regexp_extract(text, shape, group)
+        return F.when(digits != "", digits.cast("int")).otherwise(F.lit(0))
 
     readable = text.rlike(shape) & text.rlike(r"\d")
     return F.when(readable, part(1) * 1440 + part(2) * 60 + part(3))

@@ -49,6 +49,17 @@ def preview(text: Column, width: int = 200) -> Column:
     return F.when(F.length(text) > width, cut).otherwise(text)
 
 
+def filled(template: str, *values: Column) -> Column:
+    """A text with ``{}`` places filled by columns, as one concatenation; null if any value is."""
+    pieces = template.split("{}")
+    if len(pieces) != len(values) + 1:
+        raise ValueError(f"{len(values)} values for {template!r}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def float_text(value: Column) -> Column:
     """Shortest decimal text of a double with plain digits from 1e-4 up to 1e16.
 
@@ -58,7 +69,7 @@ def float_text(value: Column) -> Column:
     sign = F.when(plain.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     unsigned = F.regexp_replace(plain, "^-", "")
     mantissa = F.substring_index(unsigned, "E", 1)
-    exponent = F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")
+    exponent = F.regexp_extract(plain, r"E(-?\d+)$", 1).cast("int")
     digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), r"(?<=\d)0+$", "")
     big_whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
     big_rest = F.substring(digits, exponent + 2, F.length(digits))
@@ -75,10 +86,11 @@ def float_text(value: Column) -> Column:
         .when((exponent < 0) & (exponent >= -4), small)
         .otherwise(far)
     )
-    finite = F.when(exponent.isNull(), plain).otherwise(F.concat(sign, moved))
+    # the digits are only touched where there is an exponent
     return (
-        F.when(F.isnan(value.cast("double")), F.lit("nan"))
+        F.when(F.contains(plain, F.lit("E")), F.concat(sign, moved))
+        .when(plain == "NaN", F.lit("nan"))
         .when(plain == "Infinity", F.lit("inf"))
         .when(plain == "-Infinity", F.lit("-inf"))
-        .otherwise(finite)
+        .otherwise(plain)
     )

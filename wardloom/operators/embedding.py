@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, IDFModel
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +16,6 @@ from wardloom.reference_data import EMBEDDING_WIDTH
 EmbedFn = Callable[[list[str]], np.ndarray]
 
 
-def unit(vector: Column) -> Column:
-    """A vector scaled to length one; a zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: (x / F.when(norm > 0, norm).otherwise(F.lit(1.0))).cast("float"))
-
-
 def terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -53,9 +47,9 @@ def embed(
     """
     if fn is None:
         counted = _counts(df, text, width)
-        weighted = idf.transform(counted) if idf is not None else counted.withColumn("_weights", F.col("_counts"))
-        scaled = weighted.withColumn("embedding", unit(vector_to_array("_weights", "float32")))
-        return scaled.drop("_counts", "_weights")
+        weighted = idf.transform(counted) if idf is not None else counted.withColumnRenamed("_counts", "_weights")
+        scaled = Normalizer(inputCol="_weights", outputCol="_unit").transform(weighted)
+        return scaled.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_counts", "_weights", "_unit")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

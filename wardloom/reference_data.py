@@ -383,10 +383,10 @@ SFT_SYSTEM_PROMPT = (
     "and must decide on the next action. Explain your clinical reasoning before stating your decision."
 )
 SFT_ANSWER_FORMAT = (
-    "Based on the clinical presentation, I would %s. Reasoning: %s. Expected outcome: %s."
+    "Based on the clinical presentation, I would {}. Reasoning: {}. Expected outcome: {}."
 )
 SFT_NO_DECISIONS = "No clinical decision options available for this phase."
-SFT_VITALS_FORMAT = "\nVitals: HR %d, BP %d/%d, RR %d, SpO2 %s%%, Temp %s°C"
+SFT_VITALS_FORMAT = "\nVitals: HR {}, BP {}/{}, RR {}, SpO2 {}%, Temp {}°C"
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 MULTI_STEP_DECISION_PROMPT = "What would you do next?"
 NO_PHASES_NOTE = "Blueprint has no phases"
