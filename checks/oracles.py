@@ -611,3 +611,10 @@ lines AS (
   SELECT panel_pos, panel || ': ' || string_agg(name || ' ' || CAST(low AS DOUBLE) || '-' || CAST(high AS DOUBLE) || ' ' || unit, ', '
     ORDER BY component_pos) AS line FROM panels GROUP BY panel, panel_pos)
 SELECT (SELECT string_agg(line, {NL} ORDER BY panel_pos) FROM lines) AS lab_context, count(*) AS "values" FROM labs"""
+
+# --- streaming -------------------------------------------------------------------------------
+
+ORACLES["stream_ingest"] = f"""WITH {WEB}
+SELECT sha256('firecrawl:' || source_id || ':0') AS chunk_id, 'firecrawl:' || source_id AS source_document_id,
+  'firecrawl' AS source, 0 AS position, {strip('content')} AS text FROM web WHERE {strip('content')} <> ''"""
+ORACLES["stream_progress"] = _SUMMARY.replace("SELECT source, grouping", "SELECT CAST(0 AS BIGINT) AS batch_id, source, grouping")

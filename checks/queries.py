@@ -17,6 +17,7 @@ from wardloom.operators.chunking import chunk, chunk_id
 from wardloom.operators.embedding import embed
 from wardloom.plans import prompts, requests, rounds
 from wardloom.session import work_path
+from wardloom.streaming import ingest
 from wardloom.sources import registry
 from wardloom.tables import latest_per_key
 
@@ -182,7 +183,7 @@ def kb_flat_metadata(spark, sf_dir):
 @query
 def kb_upsert(spark, sf_dir):
     """All documents, then all of them again with other specialties and one section more."""
-    kb = knowledge.knowledge_table(spark, work_path(spark, "kb"))
+    kb = knowledge.knowledge_table(spark, work_path(spark, "kb"), buckets=2)
     documents = fixtures.documents(spark, sf_dir)
     kb.upsert(knowledge.knowledge_rows(documents))
     changed = documents.where("content_type = 'abstract'").withColumn(
@@ -303,7 +304,7 @@ def case_count(spark, sf_dir):
 @query
 def case_upsert(spark, sf_dir):
     """All cases saved, then those of one difficulty replaced."""
-    store = case_ops.case_table(spark, work_path(spark, "cases"))
+    store = case_ops.case_table(spark, work_path(spark, "cases"), buckets=8)
     cases = fixtures.cases(spark, sf_dir)
     case_ops.upsert_cases(store, cases)
     replaced = cases.where("difficulty = 'attending'").withColumn("topic", F.lit("REPLACED"))
@@ -664,3 +665,31 @@ def lab_context(spark, sf_dir):
     """The lab text with the number of measured values it has to explain."""
     values = validation.lab_values(fixtures.cases(spark, sf_dir)).agg(F.count("*").alias("values"))
     return values.select(F.lit(_lab_context(spark)).alias("lab_context"), "values")
+
+
+# --- streaming -------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, name, to_documents) -> tuple[DataFrame, str]:
+    folder = work_path(spark, "stream")
+    kb = knowledge.knowledge_table(spark, f"{folder}/kb", buckets=2)
+    run = ingest.ingest_documents(
+        fixtures.stream(spark, sf_dir, name), to_documents, kb, f"{folder}/state", f"{folder}/progress"
+    )
+    run.awaitTermination()
+    return kb.read(), f"{folder}/progress"
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    def to_documents(batch):
+        return registry.normalize(fixtures.as_web_payloads(batch), "firecrawl")
+
+    stored, _ = _streamed(spark, sf_dir, "pages", to_documents)
+    return stored.select("chunk_id", "source_document_id", "source", "position", "text")
+
+
+@query
+def stream_progress(spark, sf_dir):
+    _, path = _streamed(spark, sf_dir, "documents", fixtures.as_documents)
+    return ingest.read_progress(spark, path)

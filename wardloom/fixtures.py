@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a stream of its file."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
 def pick(items: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(i) for i in items]), index.cast("int"))
 
@@ -38,6 +44,10 @@ def _sectioned(text: Column, headers: list[str]) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(table(spark, sf_dir, "documents"))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
     doc, text = F.col("doc_id"), F.col("text")
     kind = doc % 4
     content = (
@@ -54,7 +64,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://example.org/doc/"), doc.cast("string")).alias("url"),
         F.when(doc % 3 != 0, F.concat(F.lit("10.1/"), doc.cast("string"))).alias("doi"),
     ).cast(METADATA)
-    return table(spark, sf_dir, "documents").select(
+    return rows.select(
         "source",
         doc.cast("string").alias("source_id"),
         first_line(text).alias("title"),
@@ -65,6 +75,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_web_payloads(table(spark, sf_dir, "pages"))
+
+
+def as_web_payloads(rows: DataFrame) -> DataFrame:
     """Pages as landed answers of a scraper: title from the title element, text with tags cut out."""
     html = F.col("html")
     title = F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
@@ -74,7 +88,7 @@ def web_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(title != "", title).alias("title"),
         F.trim(F.regexp_replace(body, r"[ \n\t\r]+", " ")).alias("markdown"),
     )
-    return table(spark, sf_dir, "pages").select(
+    return rows.select(
         "page_id", F.to_json(F.struct(F.array(page).alias("data"))).alias("payload")
     )
 
