@@ -25,7 +25,7 @@ def parsed_json(payload: Column, ddl: str) -> Column:
 
 
 def parsed_xml(payload: Column, ddl: str) -> Column:
-    return F.from_xml(payload, f"{ddl}, {BAD} string", _OPTIONS)
+    return F.from_xml(payload, f"{ddl}, {BAD} string", {**_OPTIONS, "ignoreSurroundingSpaces": "false"})
 
 
 def readable(parsed: Column) -> Column:
