@@ -119,9 +119,10 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_returnflag", "l_linestatus")
 
 
-def _phase(line: Column, i: Column) -> Column:
+def _phase() -> Column:
+    """The phase of an order line; its number is set once the lines of an order are sorted."""
+    line = {c: F.col(c) for c in LINE_ORDER}
     part, supp, qty = line["l_partkey"], line["l_suppkey"], line["l_quantity"].cast("int")
-    phase_number = (i + 1).cast("int")
     offset = F.concat(F.lit("T+"), qty.cast("string"), F.lit("min"))
     vitals = F.when(
         line["l_linenumber"] % 4 != 0,
@@ -195,20 +196,20 @@ def _phase(line: Column, i: Column) -> Column:
             )
         ),
     ).otherwise(F.array().cast(CASE["phases"].dataType.elementType["imaging_results"].dataType))
-    decisions = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(5)), lambda j: j <= part % 6),
-        lambda j: F.struct(
+    def decision(j: int) -> Column:
+        return F.struct(
             F.concat(F.lit("action "), ((supp + j) % 12).cast("string")).alias("action"),
-            ((j == part % 3) | (j == supp % 7)).alias("is_optimal"),
+            ((part % 3 == j) | (supp % 7 == j)).alias("is_optimal"),
             pick(QUALITIES, (part + j) % 6).alias("quality"),
-            F.concat(F.lit("reason "), j.cast("string")).alias("reasoning"),
+            F.lit(f"reason {j}").alias("reasoning"),
             F.concat(F.lit("outcome "), line["l_returnflag"]).alias("clinical_outcome"),
             F.lit(None).cast("string").alias("time_cost"),
             F.lit(None).cast("int").alias("leads_to_phase"),
-        ),
-    )
+        )
+
+    decisions = F.array_compact(F.array(*[F.when(part % 6 >= j, decision(j)) for j in range(1, 6)]))
     return F.struct(
-        phase_number.alias("phase_number"),
+        F.lit(0).alias("phase_number"),
         offset.alias("time_offset"),
         F.concat(F.lit("Line "), part.cast("string"), F.lit(" "), line["l_returnflag"]).alias("narrative"),
         vitals.alias("vitals"),
@@ -219,7 +220,7 @@ def _phase(line: Column, i: Column) -> Column:
         ).alias("clinical_update"),
         decisions.alias("decisions"),
         F.struct(
-            (phase_number + 1).alias("optimal_next_phase"),
+            F.lit(None).cast("int").alias("optimal_next_phase"),
             line["l_linestatus"].alias("patient_status"),
             F.lit("next").alias("narrative_transition"),
         ).alias("phase_outcome"),
@@ -244,9 +245,14 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases, with their lines as phases."""
     lines = (
         table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", F.struct(*LINE_ORDER, _phase().alias("phase")).alias("line"))
         .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"))
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
     )
+
+    def numbered(line: Column, i: Column) -> Column:
+        return line["phase"].withField("phase_number", (i + 1).cast("int"))
+
     order, price = F.col("o_orderkey"), F.col("o_totalprice")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     rows = (
@@ -282,7 +288,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "decision_tree": F.array(*[_choice(order, j) for j in range(3)]),
         "complications": F.array(),
         "blueprint": F.lit(None),
-        "phases": F.coalesce(F.transform("lines", _phase), empty_phases),
+        "phases": F.coalesce(F.transform("lines", numbered), empty_phases),
         "review": F.when(order % 10 != 0, review),
         "sources": F.array(),
         "metadata": F.struct(
