@@ -9,6 +9,7 @@ from wardloom.functions.text import first_line, string_array
 from wardloom.operators.chunking import document_key
 from wardloom.reference_data import DRUG_LABEL_HEADERS, LAB_PANELS, TRIAL_HEADERS
 from wardloom.schemas import CASE, METADATA
+from wardloom.session import spread
 
 CONTENT_TYPES = ["abstract", "full_text", "drug_label", "trial_protocol"]
 CREDIBILITIES = ["guideline", "fda_label", "peer_reviewed", "curated", "preprint"]
@@ -44,7 +45,7 @@ def _sectioned(text: Column, headers: list[str]) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_documents(table(spark, sf_dir, "documents"))
+    return as_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def as_documents(rows: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def as_documents(rows: DataFrame) -> DataFrame:
 
 
 def web_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_web_payloads(table(spark, sf_dir, "pages"))
+    return as_web_payloads(spread(table(spark, sf_dir, "pages")))
 
 
 def as_web_payloads(rows: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def _choice(order: Column, j: int) -> Column:
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases, with their lines as phases."""
     lines = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .select("l_orderkey", F.struct(*LINE_ORDER, _phase().alias("phase")).alias("line"))
         .groupBy("l_orderkey")
         .agg(F.sort_array(F.collect_list("line")).alias("lines"))

@@ -21,6 +21,8 @@ from wardloom.reference_data import (
 
 # queries scored together in one pass over the chunks
 QUERY_BLOCK = 4_096
+# scores held at once by a task
+SCORE_CELLS = 4_000_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -57,7 +59,7 @@ def search(
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of bounded size: ids and unit vectors."""
+    """Queries in blocks of bounded size: ids and unit vectors. One block at a time is on the driver."""
     ids: list = []
     vectors: list = []
 
@@ -80,28 +82,32 @@ def _local_best(query_ids, matrix, probes, k: int, carried: list[str]):
     """A task's own best ``k`` chunks for every query of a block."""
     columns = ["chunk_id", *carried]
 
+    # scores of one slice of rows against all queries stay within a fixed number of cells
+    step = max(1, SCORE_CELLS // max(1, len(query_ids)))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         best = [np.empty(0, dtype=np.int64) for _ in query_ids]
         best_scores = [np.empty(0) for _ in query_ids]
-        schema = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column("embedding")
-            vectors = np.asarray(flat.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+        least = np.full(len(query_ids), -np.inf)
+        for rows in slices(batches):
+            vectors = np.asarray(rows.column("embedding").flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
             norms = np.linalg.norm(vectors, axis=1)
             scores = (matrix @ vectors.T) / np.where(norms > 0, norms, 1.0)
-            if probes is not None:
-                codes = np.asarray(batch.column("lsh_code"))
-            rows = pa.Table.from_batches([batch.select(columns)])
-            schema = rows.schema
-            table = rows if held is None else pa.concat_tables([held, rows])
+            codes = None if probes is None else np.asarray(rows.column("lsh_code"))
+            table = pa.Table.from_batches([rows.select(columns)])
             offset = 0 if held is None else held.num_rows
+            table = table if held is None else pa.concat_tables([held, table])
             keys = np.asarray(table.column("chunk_id").to_pylist(), dtype=object)
-            for q in range(len(query_ids)):
-                places = np.arange(batch.num_rows)
-                if probes is not None:
+            # a query whose k-th score is above all of the slice keeps what it has
+            for q in np.flatnonzero(scores.max(axis=1) >= least):
+                places = np.arange(rows.num_rows)
+                if codes is not None:
                     places = places[np.isin(codes, probes[q])]
                 if len(places) > k:
                     # everything at or above the k-th score, so ties are still decided by id
@@ -111,11 +117,13 @@ def _local_best(query_ids, matrix, probes, k: int, carried: list[str]):
                 score = np.concatenate([best_scores[q], scores[q][places]])
                 order = sorted(range(len(index)), key=lambda i: (-score[i], keys[index[i]]))[:k]
                 best[q], best_scores[q] = index[order], score[order]
+                if len(order) == k:
+                    least[q] = best_scores[q][-1]
             # keep only rows that some query still holds
-            used = np.unique(np.concatenate(best)) if best else np.empty(0, dtype=np.int64)
+            used = np.unique(np.concatenate(best))
             held = table.take(pa.array(used, type=pa.int64()))
             best = [np.searchsorted(used, b) for b in best]
-        if held is None or schema is None:
+        if held is None:
             return
         for q, query_id in enumerate(query_ids):
             if len(best[q]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date, timedelta
 from functools import reduce
@@ -87,12 +88,9 @@ def match_any_term(
 ) -> DataFrame:
     """Documents whose title or content holds any word of the query, the first ``limit`` in feed order."""
     terms = query.lower().split()
-    title, content = F.lower(text_or_empty(F.col("title"))), F.lower(text_or_empty(F.col("content")))
-    hit = reduce(
-        lambda a, b: a | b,
-        [F.contains(title, F.lit(t)) | F.contains(content, F.lit(t)) for t in terms],
-        F.lit(False),
-    )
+    # terms hold no white space, so none can match across the line break
+    text = F.lower(F.concat(text_or_empty(F.col("title")), F.lit("\n"), text_or_empty(F.col("content"))))
+    hit = text.rlike("|".join(re.escape(t) for t in terms)) if terms else F.lit(False)
     order = feed_order if feed_order is not None else F.col("source_id")
     return documents.where(hit).orderBy(order).limit(limit)
 
