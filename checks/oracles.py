@@ -14,6 +14,7 @@ from wardloom.fixtures import (
     REGIONS,
 )
 from wardloom.functions.text import WHITESPACE
+from wardloom.operators.search import lsh_planes
 from wardloom.plans import prompts
 from wardloom.reference_data import (
     CREDIBILITY_RANK,
@@ -618,3 +619,21 @@ ORACLES["stream_ingest"] = f"""WITH {WEB}
 SELECT sha256('firecrawl:' || source_id || ':0') AS chunk_id, 'firecrawl:' || source_id AS source_document_id,
   'firecrawl' AS source, 0 AS position, {strip('content')} AS text FROM web WHERE {strip('content')} <> ''"""
 ORACLES["stream_progress"] = _SUMMARY.replace("SELECT source, grouping", "SELECT CAST(0 AS BIGINT) AS batch_id, source, grouping")
+
+# --- approximate search ----------------------------------------------------------------------
+
+_PLANES = ", ".join(
+    f"({b}, [{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[])" for b, plane in enumerate(lsh_planes(64))
+)
+ORACLES["search_approx"] = f"""WITH {KB}, planes(b, p) AS (VALUES {_PLANES}),
+margins AS (SELECT chunk_id, b, list_dot_product(v, p) AS m FROM kb, planes),
+codes AS (SELECT chunk_id, sum(CASE WHEN m > 0 THEN 1 << b ELSE 0 END) AS code FROM margins GROUP BY chunk_id),
+costs AS (
+  SELECT chunk_id AS query_id, c, sum(CASE WHEN ((c >> b) & 1 = 1) <> (m > 0) THEN abs(m) ELSE 0 END) AS cost
+  FROM margins, range(64) r(c) GROUP BY ALL),
+probes AS (SELECT query_id, c FROM costs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, c) <= 16),
+pairs AS (
+  SELECT p.query_id, kb.chunk_id, kb.source, list_cosine_similarity(kb.v, a.v) AS raw
+  FROM probes p JOIN codes ON code = c JOIN kb ON kb.chunk_id = codes.chunk_id JOIN kb a ON a.chunk_id = p.query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM pairs)
+SELECT query_id, chunk_id, source, CAST(rank AS INTEGER) AS rank, round(raw, 6) AS score FROM ranked WHERE rank <= 10"""

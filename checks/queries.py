@@ -195,7 +195,7 @@ def kb_upsert(spark, sf_dir):
 
 @query
 def kb_count(spark, sf_dir):
-    return _chunks(spark, sf_dir).agg(F.count("*").alias("chunks"))
+    return knowledge.count_chunks(_chunks(spark, sf_dir))
 
 
 @query

@@ -169,6 +169,9 @@ def test_limits_and_filters(spark):
     limited = registry.limit_per_source(docs, 20, F.col("source_id").cast("int"), salts=4)
     kept = sorted(int(r["source_id"]) for r in limited.collect() if r["source"] == "hot")
     assert kept == list(range(20)) and limited.count() == 21
+    many = docs.withColumn("source", F.when(F.col("source") == "hot", F.lit("openfda")).otherwise(F.col("source")))
+    assert registry.limit_per_source(many, 300).count() == 101
+    assert registry.limit_per_source(many, 300, caps={}).count() == 301
     assert registry.filter_sources(docs, ["cold", "none"]).count() == 1
     assert registry.filter_sources(docs, None).count() == 501
     assert registry.match_any_term(docs, "xyz stroke").count() == 1

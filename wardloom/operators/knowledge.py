@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.functions.text import strings, text_or_empty
+from wardloom.functions.text import strings, strip, text_or_empty
 from wardloom.operators.chunking import chunk, chunk_texts
 from wardloom.operators.embedding import EmbedFn, embed
 from wardloom.operators.tagging import tag_specialty
 from wardloom.reference_data import CHUNK_OVERLAP, CHUNK_SIZE
-from wardloom.functions.text import strip
 from wardloom.schemas import KB_CHUNK
 from wardloom.tables import KeyedTable
 
@@ -43,6 +42,10 @@ def upsert_chunks(table: KeyedTable, rows: DataFrame) -> None:
     table.upsert(rows)
 
 
+def count_chunks(kb: DataFrame) -> DataFrame:
+    return kb.agg(F.count("*").alias("chunks"))
+
+
 def flat_metadata(chunks: DataFrame) -> DataFrame:
     """Chunks with their metadata as plain scalar columns."""
     key, m = F.col("source_document_id"), F.col("metadata")

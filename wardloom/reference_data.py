@@ -23,6 +23,7 @@ DEFAULT_CREDIBILITY = "preprint"
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
 LIMIT_PER_SOURCE = 20
+SOURCE_CAPS = {"openfda": 100, "dailymed": 100, "clinicaltrials": 100}
 RETRIEVE_LIMIT = 25
 SEARCH_LIMIT = 10
 LIST_LIMIT = 100
