@@ -503,7 +503,7 @@ def decision_classes(spark, sf_dir):
 
 def _contexts(spark, sf_dir) -> DataFrame:
     hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), fixtures.topic_vectors(spark, sf_dir), 5)
-    return search.format_context(hits, by=("topic",)).join(search.source_refs(hits, by=("topic",)), "topic")
+    return search.contexts(hits, by=("topic",))
 
 
 def _lab_context(spark) -> str:

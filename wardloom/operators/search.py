@@ -269,29 +269,40 @@ def retrieve_many(kb: DataFrame, topics: DataFrame, limit: int = RETRIEVE_LIMIT)
     )
 
 
-def _in_order(hits: DataFrame, by: tuple[str, ...], item: Column) -> DataFrame:
-    """Items of each group in retrieval order; a group holds at most the search limit."""
-    groups = hits.groupBy(*by)
-    listed = F.array_sort(F.collect_list(F.struct("place", item.alias("item"))))
-    return groups.agg(F.transform(listed, lambda x: x["item"]).alias("items"))
-
-
-def format_context(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One context text per group of re-ranked hits."""
-    section = F.concat(
+def _section() -> Column:
+    return F.concat(
         F.lit("[Source "), F.col("place").cast("string"), F.lit("] ("), F.col("credibility"), F.lit(", "),
         F.col("source"), F.lit(")\n"), F.col("text"),
     )
-    return _in_order(hits, by, section).select(
-        *by, F.array_join("items", CONTEXT_SEPARATOR).alias("context")
-    )
 
 
-def source_refs(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One list of source references per group of re-ranked hits."""
-    reference = F.struct(
+def _reference() -> Column:
+    return F.struct(
         F.col("source").alias("type"),
         F.col("source_document_id").alias("reference"),
         string_array(F.col("chunk_id")).alias("chunk_ids"),
     )
-    return _in_order(hits, by, reference).select(*by, F.col("items").alias("sources"))
+
+
+def contexts(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Context text and source references of each group of re-ranked hits, in retrieval order.
+
+    A group holds at most the search limit.
+    """
+    item = F.struct("place", _section().alias("section"), _reference().alias("reference"))
+    listed = hits.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return listed.select(
+        *by,
+        F.array_join(F.transform("_items", lambda x: x["section"]), CONTEXT_SEPARATOR).alias("context"),
+        F.transform("_items", lambda x: x["reference"]).alias("sources"),
+    )
+
+
+def format_context(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One context text per group of re-ranked hits."""
+    return contexts(hits, by).select(*by, "context")
+
+
+def source_refs(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One list of source references per group of re-ranked hits."""
+    return contexts(hits, by).select(*by, "sources")
