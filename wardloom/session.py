@@ -29,10 +29,13 @@ def build_session(app_name: str = "wardloom", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is taken, once per session.
+    Only where that is unset and the master is one machine, a temporary folder is taken, once per session.
+    On a cluster without the setting an error is raised: a local folder would be another one on each executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         configured = tempfile.mkdtemp(prefix="wardloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
