@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.llm import shingle_join
+from wardloom.llm import near_vectors, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op2_shingle_join(spark, sf_dir):
     return shingle_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_near_vectors(spark, sf_dir):
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -253,7 +253,7 @@ def _crossed(buckets: DataFrame, percent: int) -> DataFrame:
             sig, ids, n, bits, root, side = (np.concatenate(x) for x in zip(*held))
             left = np.flatnonzero(side == 0)
             right = np.flatnonzero(side == 1)
-            within = not len(right)
+            within = key[1] == key[2]
             right = left if within else right
             for i in left.tolist():
                 others = right[right > i] if within else right
