@@ -23,6 +23,8 @@ all pairs in a group is made. Buckets are read as sorted rows; a task holds at m
 
 from __future__ import annotations
 
+import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,30 +37,37 @@ from wardloom.llm.work import components, saved, take
 
 WORDS = 5
 PERCENT = 80
-SKETCH_PARTS = 256
+SKETCH_BITS = 8  # the sketch has as many parts as this power of two
 SLICE = 1024  # members of a bucket compared at once
 ROWS_OUT = 1 << 16
+FILTER_BITS = 24  # size of the filter of wanted documents, fixed: 2 MB
 
 _INT = np.int64
+_ODD, _SKETCH_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_set(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     """Distinct shingles, sorted; with fewer words than ``size`` the whole sequence is one; without words none."""
-    if len(words) >= size:
-        return np.unique(shingle_hashes(words, size))
-    return np.array([sequence_hash(words)], np.uint64) if len(words) else np.zeros(0, np.uint64)
+    if len(words) < size:
+        return np.array([sequence_hash(words)], np.uint64) if len(words) else np.zeros(0, np.uint64)
+    found = shingle_hashes(words, size)
+    found.sort()
+    fresh = np.empty(len(found), bool)
+    fresh[0] = True
+    np.not_equal(found[1:], found[:-1], out=fresh[1:])
+    return found[fresh]
 
 
 def set_id(elements: np.ndarray) -> int:
     """A 64-bit name of a set, as a signed number; sets of equal elements share it."""
-    total = mix(elements + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    total = (elements * (elements >> np.uint64(32) | _ODD)).sum(dtype=np.uint64)
     return int(mix(np.array([total ^ (np.uint64(len(elements)) << np.uint64(40))], np.uint64)).view(_INT)[0])
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of 256 parts."""
-    parts = (mix(elements ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(_INT)
-    return np.packbits(np.bincount(parts, minlength=SKETCH_PARTS) & 1).tobytes()
+    """Parity of the number of elements in each part."""
+    parts = (elements * _SKETCH_ODD >> np.uint64(64 - SKETCH_BITS)).astype(_INT)
+    return np.packbits(np.bincount(parts, minlength=1 << SKETCH_BITS) & 1).tobytes()
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -70,32 +79,48 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array(edges, _INT)
 
 
+@functools.lru_cache(4096)
+def _odd(band: int, attempt: int) -> tuple[np.uint64, np.uint64]:
+    """A multiplier that deals elements to partitions, and a salt for what the partitions hold."""
+    a, b = mix(np.array([(band << 8) + attempt, (band << 8) + attempt + (1 << 50)], np.uint64) + np.uint64(77))
+    return a | np.uint64(1), b
+
+
+@functools.lru_cache(4)
+def _edges(percent: int) -> list[int]:
+    return bands(percent, 1 << 40).tolist()
+
+
 def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All signatures of a set; see the module's text."""
     n = len(elements)
     if not n:
         return np.zeros(0, np.uint64)
-    edges = bands(percent, n)
-    own = int(np.searchsorted(edges, n, "right")) - 1
+    edges = _edges(percent)
+    own = bisect.bisect_right(edges, n) - 1
+    content = elements * (elements >> np.uint64(29) | _ODD)
     out = []
     for band in (own, own + 1):
-        high = int(edges[band + 1]) - 1
+        high = edges[band + 1] - 1
         k = 2 * high * (100 - percent) // (100 + percent)
         spare = k // 8
         count = k + 1 + spare
         for attempt in range(64):
-            salt = np.uint64((band << 40) + (attempt << 8) + 1)
-            mixed = mix(elements ^ mix(np.array([salt], np.uint64))[0])
-            part = ((mixed >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(_INT)
-            order = np.argsort(part, kind="stable")
+            odd, salt = _odd(band, attempt)
+            part = (elements * odd >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+            part = part.astype(np.uint16 if count < 1 << 16 else np.uint32)  # short numbers are sorted by radix
+            order = part.argsort(kind="stable")
             part = part[order]
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            sums = np.add.reduceat(mix(mixed[order] + salt), first)
-            out.append(mix(sums + mix(part[first].astype(np.uint64) + (salt << np.uint64(1)))))
+            fresh = np.empty(n, bool)
+            fresh[0] = True
+            np.not_equal(part[1:], part[:-1], out=fresh[1:])
+            first = np.flatnonzero(fresh)
+            sums = np.add.reduceat(content[order], first)
+            out.append(mix(mix(sums + salt) + part[first].astype(np.uint64)))
             if count - len(first) <= spare:
                 break
         else:  # so small a set that every partitioning leaves it sparse: it also meets its like by size alone
-            out.append(mix(np.array([salt ^ np.uint64(0xA5A5)], np.uint64)))
+            out.append(mix(np.array([salt ^ _ODD], np.uint64)))
     return np.concatenate(out)
 
 
@@ -138,7 +163,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(name)
-                own = np.unique(signatures(elements, percent))
+                own = signatures(elements, percent)
                 sig.append(own)
                 ids.append(np.full(len(own), name))
                 held += len(own)
@@ -191,7 +216,7 @@ def _near(sizes_a, sizes_b, bits_a, bits_b, percent) -> np.ndarray:
 
 
 def _columns(batch: pa.RecordBatch):
-    sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_PARTS // 64)
+    sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, (1 << SKETCH_BITS) // 64)
     return (*[batch.column(c).to_numpy() for c in ("signature", "set_id", "n_shingles")], sketches)
 
 
@@ -239,7 +264,7 @@ def _chained(buckets: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossed(buckets: DataFrame, percent: int) -> DataFrame:
+def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs inside a slice pair of a bucket that lie in different components.
 
     A bucket is cut into slices, and each two slices meet in a group of their own, so that no task holds more
@@ -247,68 +272,88 @@ def _crossed(buckets: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        held = []
-
-        def compare():
-            sig, ids, n, bits, root, side = (np.concatenate(x) for x in zip(*held))
-            left = np.flatnonzero(side == 0)
-            right = np.flatnonzero(side == 1)
-            within = key[1] == key[2]
-            right = left if within else right
-            for i in left.tolist():
-                others = right[right > i] if within else right
-                others = others[root[others] != root[i]]
-                if len(others):
-                    good = others[_near(n[i], n[others], bits[i], bits[others], percent)]
-                    if len(good):
-                        yield _pairs_batch(np.full(len(good), ids[i]), ids[good])
-
-        key = None
-        for batch in batches:
-            sig, ids, n, bits = _columns(batch)
-            root, side = batch.column("root").to_numpy(), batch.column("side").to_numpy()
-            one, two = batch.column("low").to_numpy(), batch.column("high").to_numpy()
-            cuts = np.flatnonzero((np.diff(sig) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)]):
-                if s == e:
-                    continue
-                if key != (sig[s], one[s], two[s]):
-                    if held:
-                        yield from compare()
-                    held, key = [], (sig[s], one[s], two[s])
-                held.append((sig[s:e], ids[s:e], n[s:e], bits[s:e], root[s:e], side[s:e]))
-        if held:
-            yield from compare()
+        rest = None  # the last meeting of the batches so far may go on in the next
+
+        def columns(batch):
+            return (*_columns(batch), *[batch.column(c).to_numpy() for c in ("root", "low", "high", "side")])
+
+        def compare(sig, ids, n, bits, root, low, high, side):
+            new = (np.diff(sig) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+            meeting = np.concatenate([[0], np.cumsum(new)])
+            # each row with the one d places after it, as long as any two are of one meeting
+            left, d = np.arange(len(sig)), 0
+            while len(left):
+                d += 1
+                left = left[: np.searchsorted(left, len(sig) - d)]
+                right = left + d
+                together = meeting[left] == meeting[right]
+                left, right = left[together], right[together]
+                good = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
+                i, j = left[good], right[good]
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                sized = 100 * small >= percent * large
+                i, j = i[sized], j[sized]
+                if len(i):
+                    near = _near(n[i], n[j], bits[i], bits[j], percent)
+                    if near.any():
+                        yield _pairs_batch(ids[i[near]], ids[j[near]])
 
-    # members of a bucket's largest component meet only the others, so slices are cut from counts
-    sizes = buckets.groupBy("signature").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = buckets.join(sizes.where("r0 <> r1").drop("r0", "r1"), "signature")
+        for batch in batches:
+            now = columns(batch)
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now)]
+            sig, low, high = now[0], now[5], now[6]
+            if not len(sig):
+                continue
+            last = (sig == sig[-1]) & (low == low[-1]) & (high == high[-1])
+            done = len(sig) - int(last.sum())
+            rest = [x[done:] for x in now]
+            yield from compare(*[x[:done] for x in now])
+        if rest is not None:
+            yield from compare(*rest)
+
+    ends = buckets.groupBy("signature").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    mixed = buckets.join(ends.where("r0 <> r1").drop("r0", "r1"), "signature")
     slices = F.ceil(F.col("members") / SLICE).cast("int")
     cut = mixed.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("set_id"), F.col("slices")).cast("int"))
     # a slice meets itself and every other: (low, high) names the meeting, side tells which of the two a row is
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    met = spread.select(
-        "signature", "set_id", "n_shingles", "sketch", "root",
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        "signature", "set_id", "root",
         F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"),
         (F.col("slice") > F.col("other")).cast("int").alias("side"),
     )
-    ordered = met.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high", "set_id")
+    ordered = met.join(sketches, "set_id").repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bit for each possible hash of the ids: 2 MB whatever their number."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")
+    )
+    found = words.toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are links, by the sets themselves. Only documents that stand for a set in a pair are read in full."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     ids = wanted.join(reps.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("doc_id").distinct()
-    texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    marked = _marked(ids)  # a filter lets few others through; what it lets through in excess falls out of the join
 
     def run(batches):
         for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((marked[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
             for _, elements in _sets(batch, words):
                 yield pa.record_batch(
                     [pa.array([set_id(elements)], pa.int64()), pa.array([elements.tobytes()], pa.binary())], ["set_id", "elements"]
                 )
 
+    texts = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
     sets = texts.mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
     sets = saved(sets.join(wanted, "set_id", "left_semi"), "sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("left"))
@@ -349,12 +394,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
     reps = saved(reps, "set-reps")
-    buckets = saved(_shared(_signed(known, words, percent)).join(reps.drop("rep"), "set_id"), "buckets")
-    first = saved(_chained(buckets, percent), "pairs")
+    sketches = reps.drop("rep")
+    buckets = saved(_shared(_signed(known, words, percent)), "buckets")
+    first = saved(_chained(buckets.join(sketches, "set_id"), percent), "pairs")
     links = saved(_verified(known, reps, first, words, percent), "links")
     roots = components(links)
     rooted = buckets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    second = saved(_crossed(rooted, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = saved(_crossed(rooted, sketches, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     more = saved(_verified(known, reps, second, words, percent), "links")
     roots = components(links.union(more))
     classes = reps.select("set_id", "rep").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")

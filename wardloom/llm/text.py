@@ -16,6 +16,10 @@ BLOCK = 1 << 15  # bytes hashed at once; bounds the memory for a text of any len
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?")] = True
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -85,17 +89,26 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _endings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last two bytes of each word before a closing mark, as one number."""
+    last = ends - 1
+    last = last - (_CLOSING[raw[last]] & (last > starts))
+    before = np.maximum(last - 1, starts)
+    return _LOWER[raw[last]].astype(np.int32) * 256 + _LOWER[raw[before]]
+
+
+def word_hashes(column: pa.Array, endings: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words of all rows in order, and where each row's words begin (one more entry than rows).
 
-    Null and empty rows have no words.
+    With ``endings`` also a number below 65536 for how each word ends. Null and empty rows have no words.
     """
     raw, rows = _bytes_of(column)
-    hashes, starts_at = [], []
+    hashes, starts_at, ends_in = [], [], []
     for low, high in _blocks(raw, rows):
         if high - low > BLOCK:  # one word longer than a block
             hashes.append(np.array([_hash_long(raw[low:high])], np.uint64))
             starts_at.append(np.array([low], np.int64))
+            ends_in.append(_endings(raw, np.array([low]), np.array([high])))
             continue
         part = raw[low:high]
         space = np.ones(len(part) + 2, bool)
@@ -114,9 +127,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(ends_here) + 1
         hashes.append(_hash_block(part, starts, ends))
         starts_at.append(starts + low)
+        if endings:
+            ends_in.append(_endings(part, starts, ends))
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), rows, "left")
+        found = np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
+        return (*found, np.zeros(0, np.int32)) if endings else found
+    found = np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), rows, "left")
+    return (*found, np.concatenate(ends_in)) if endings else found
 
 
 def _blocks(raw: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
