@@ -11,9 +11,9 @@ A set gives signatures for its own band and the next, so that it meets all sets
 Here the enumerated subsets are single partitions: it keeps signatures few, and what they let through is cut
 by sizes and by a parity sketch before any set is fetched.
 
-The sketch has one parity bit of the elements in each of 256 further parts. Each element in which two sets
-differ turns at most one bit, so the count of unlike bits bounds the difference from below: the sketch never
-drops a link.
+A sketch has one parity bit of the elements in each of 256 further parts, a wide sketch in about as many parts as
+there are elements. Each element in which two sets differ turns at most one bit, so the count of unlike bits
+bounds the difference from below: sketches never drop a link.
 
 Equal sets are one class from the start. Then links are looked for in two rounds: first each member of a bucket
 beside the bucket's first member and the one before it, which ties large groups of near copies together with
@@ -64,10 +64,26 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix(np.array([total ^ (np.uint64(len(elements)) << np.uint64(40))], np.uint64)).view(_INT)[0])
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Parity of the number of elements in each part."""
-    parts = (elements * _SKETCH_ODD >> np.uint64(64 - SKETCH_BITS)).astype(_INT)
-    return np.packbits(np.bincount(parts, minlength=1 << SKETCH_BITS) & 1).tobytes()
+def sketch(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parity of the number of elements in each of ``2 ** bits`` parts."""
+    parts = (elements * _SKETCH_ODD >> np.uint64(64 - bits)).astype(_INT)
+    return np.packbits(np.bincount(parts, minlength=1 << bits) & 1).tobytes()
+
+
+def wide_sketch(elements: np.ndarray) -> bytes:
+    """As many parts as elements, or up to twice as many."""
+    return sketch(elements, max(SKETCH_BITS, (len(elements) - 1).bit_length()))
+
+
+def unlike(one: bytes, other: bytes) -> int:
+    """Parts of unlike parity, after two parts at a time are joined in the wider sketch until both are equally wide."""
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        folded = np.unpackbits(a).reshape(-1, 2)
+        a = np.packbits(folded[:, 0] ^ folded[:, 1])
+    return int(np.bitwise_count(a ^ b).sum(dtype=_INT))
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -131,18 +147,18 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, set_id`` and the sketch of every document."""
+    """``doc_id, n_shingles, set_id`` and the sketches of every document."""
 
     def run(batches):
         for batch in batches:
-            rows = [(len(s), set_id(s), sketch(s)) for _, s in _sets(batch, words)]
-            n, ids, parity = zip(*rows) if rows else ((), (), ())
+            rows = [(len(s), set_id(s), sketch(s), wide_sketch(s)) for _, s in _sets(batch, words)]
+            n, ids, parity, wide = zip(*rows) if rows else ((), (), (), ())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parity, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "sketch"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parity, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "sketch", "wide"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary, wide binary")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -177,11 +193,22 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """Rows of signatures that two different sets or more have; one row for each set. Reads sorted rows in one pass."""
+    """Rows of signatures that two different sets or more have, one row for each set: ``signature, set_id, head, before``.
+
+    ``head`` is the first set of the bucket and ``before`` the one ahead of this row, both null in a bucket's first
+    row. Reads sorted rows in one pass and holds no bucket.
+    """
+
+    def batch_of(sig, ids, head, before, first):
+        nulls = np.asarray(first, bool)
+        return pa.record_batch(
+            [pa.array(sig), pa.array(ids), pa.array(head, pa.int64(), mask=nulls), pa.array(before, pa.int64(), mask=nulls)],
+            ["signature", "set_id", "head", "before"],
+        )
 
     def run(batches):
-        last_sig = last_id = None  # the row before
-        pending = False  # it has not been given yet
+        last_sig = last_id = last_head = None
+        pending = False  # the row before has not been given yet
 
         for batch in batches:
             sig, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -193,19 +220,23 @@ def _shared(signed: DataFrame) -> DataFrame:
             sig, ids = sig[keep], ids[keep]
             if not len(sig):
                 continue
-            same = sig[1:] == sig[:-1]
-            member = np.zeros(len(sig), bool)
-            member[1:] |= same
-            member[:-1] |= same
-            if last_sig == sig[0]:
-                member[0] = True
-                if pending:
-                    yield pa.record_batch([pa.array([last_sig], pa.int64()), pa.array([last_id], pa.int64())], ["signature", "set_id"])
-            yield pa.record_batch([pa.array(sig[member]), pa.array(ids[member])], ["signature", "set_id"])
-            last_sig, last_id, pending = int(sig[-1]), int(ids[-1]), not bool(member[-1])
+            goes_on = last_sig == sig[0]
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            new[0] = not goes_on
+            member = ~new
+            member[:-1] |= ~new[1:]
+            lead = np.where(new, np.arange(len(sig)), -1)
+            lead = np.maximum.accumulate(lead)
+            head = np.where(lead >= 0, ids[lead], last_head if goes_on else 0)
+            before = np.concatenate([[last_id if goes_on else 0], ids[:-1]])
+            if goes_on and pending:
+                yield batch_of(np.array([last_sig]), np.array([last_id]), np.array([0]), np.array([0]), [True])
+            yield batch_of(sig[member], ids[member], head[member], before[member], new[member])
+            last_sig, last_id, last_head, pending = int(sig[-1]), int(ids[-1]), int(head[-1]), not bool(member[-1])
 
     ordered = signed.repartition("signature").sortWithinPartitions("signature", "set_id")
-    return ordered.mapInArrow(run, "signature long, set_id long")
+    return ordered.mapInArrow(run, "signature long, set_id long, head long, before long")
 
 
 def _near(sizes_a, sizes_b, bits_a, bits_b, percent) -> np.ndarray:
@@ -224,44 +255,27 @@ def _pairs_batch(a, b) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _chained(buckets: DataFrame, percent: int) -> DataFrame:
+def _chained(buckets: DataFrame) -> DataFrame:
     """Of each bucket, every member with the first and with the one before it."""
+    rows = buckets.where("head IS NOT NULL")
+    both = rows.select("set_id", F.col("head").alias("other")).union(rows.select("set_id", "before"))
+    return both.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and wide sketches leave possible: every link is among them."""
+    one = reps.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("wide").alias("wide_a"))
+    two = reps.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("wide").alias("wide_b"))
 
     def run(batches):
-        head = last = None  # (signature, id, size, sketch) of the bucket's first row and of the row before
         for batch in batches:
-            sig, ids, n, bits = _columns(batch)
-            if not len(sig):
-                continue
-            starts = np.flatnonzero(np.diff(sig, prepend=sig[0])).tolist()
-            if head is None or head[0] != sig[0]:
-                starts = [0, *starts]
-                lead = np.zeros(len(sig), _INT)
-            else:  # the bucket goes on from the batch before: rows -1 stand for its first row and the row before
-                lead = np.full(len(sig), -1, _INT)
-            for s in starts:
-                lead[s] = s
-            lead = np.maximum.accumulate(lead)
-            before = np.arange(-1, len(sig) - 1)
-            for index, edge in ((lead, head), (before, last)):
-                outside = index < 0
-                if edge is None and outside.any():
-                    index = np.where(outside, 0, index)
-                    outside[:] = False
-                x_sig, x_id, x_n, x_bits = sig[index], ids[index], n[index], bits[index]
-                if outside.any():
-                    x_sig[outside], x_id[outside], x_n[outside], x_bits[outside] = edge
-                take_ = (x_sig == sig) & (x_id != ids)
-                take_ &= _near(x_n, n, x_bits, bits, percent)
-                if take_.any():
-                    yield _pairs_batch(x_id[take_], ids[take_])
-            at = int(lead[-1])
-            if at >= 0:
-                head = (sig[at], ids[at], n[at], bits[at].copy())
-            last = (sig[-1], ids[-1], n[-1], bits[-1].copy())
-
-    ordered = buckets.repartition("signature").sortWithinPartitions("signature", "set_id")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            far = [unlike(x.as_py(), y.as_py()) for x, y in zip(batch.column("wide_a"), batch.column("wide_b"))]
+            good = np.array(far, _INT) * (100 + percent) <= (100 - percent) * n
+            yield _pairs_batch(batch.column("a").to_numpy()[good], batch.column("b").to_numpy()[good])
+
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.join(one, "a").join(two, "b").where(sized).mapInArrow(run, "a long, b long")
 
 
 def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -391,16 +405,17 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     reps = (
         about.where("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     )
     reps = saved(reps, "set-reps")
-    sketches = reps.drop("rep")
+    sketches = reps.select("set_id", "n_shingles", "sketch")
     buckets = saved(_shared(_signed(known, words, percent)), "buckets")
-    first = saved(_chained(buckets.join(sketches, "set_id"), percent), "pairs")
+    first = saved(_likely(_chained(buckets), reps, percent), "pairs")
     links = saved(_verified(known, reps, first, words, percent), "links")
     roots = components(links)
-    rooted = buckets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    second = saved(_crossed(rooted, sketches, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    rooted = buckets.select("signature", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    second = _crossed(rooted, sketches, percent).join(first, ["a", "b"], "left_anti")
+    second = saved(_likely(second, reps, percent), "pairs")
     more = saved(_verified(known, reps, second, words, percent), "links")
     roots = components(links.union(more))
     classes = reps.select("set_id", "rep").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
