@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.llm import near_vectors, shingle_join
+from wardloom.llm import decontaminate, near_vectors, packing, recurrent_lm, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def encoder_args() -> tuple:
+    """Where the public byte-level tokenizer lies, and the same vocabulary as ranks."""
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query
+def op1_recurrent_lm(spark, sf_dir):
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_shingle_join(spark, sf_dir):
     return shingle_join.similar_groups(table(spark, sf_dir, "documents"))
@@ -29,3 +42,13 @@ def op2_shingle_join(spark, sf_dir):
 @query
 def op7_near_vectors(spark, sf_dir):
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), encoder_args(), keep_ids=False)
+
+
+@query
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
