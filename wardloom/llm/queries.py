@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.llm import decontaminate, near_vectors, packing, recurrent_lm, shingle_join
+from wardloom.llm import decontaminate, near_vectors, ordinal, packing, recurrent_lm, sharding, shingle_join, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,17 @@ def op2_shingle_join(spark, sf_dir):
     return shingle_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_ordinal_quality(spark, sf_dir):
+    ratings = ordinal.grades_of(table(spark, sf_dir, "labels"))
+    return ordinal.graded(table(spark, sf_dir, "documents"), ratings, top=2, wanted=2)
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_near_vectors(spark, sf_dir):
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -52,3 +63,91 @@ def op8_packing(spark, sf_dir):
 @query
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op10_sharding(spark, sf_dir):
+    return sharding.sharded(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+ORACLES["op6_url_filter"] = r"""
+WITH RECURSIVE
+parts AS (
+    SELECT page_id, url, html,
+           CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+),
+addresses AS (
+    SELECT url, rest FROM parts WHERE rest <> ''
+    UNION SELECT dst, substr(dst, strpos(dst, '://') + 3) FROM (
+        SELECT unnest([
+            regexp_extract(html, '(?i)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"''>]*)', 1),
+            regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']refresh["''][^>]*url=([^"''>]*)', 1)]) AS dst
+        FROM parts WHERE rest <> '') WHERE dst LIKE '%://%'
+),
+split AS (
+    SELECT url, rest,
+           translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+           regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS whole,
+           regexp_replace(regexp_replace(regexp_extract(rest, '(?s)^[^?#]*\?([^#]*)', 1),
+               '(^|&)(utm_[^&=]*|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&', '') AS kept
+    FROM addresses
+),
+forms AS (
+    SELECT *, 'https://' || host || whole AS f1,
+           'https://' || host || path || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS f2,
+           'https://' || CASE WHEN regexp_matches(host, '^(www|m|amp)\.[^.]+\.') THEN regexp_replace(host, '^(www|m|amp)\.', '') ELSE host END
+               || regexp_replace(regexp_replace(path, '(index)?\.html?$', ''), '/+$', '')
+               || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS f3
+    FROM split
+),
+hops AS (
+    SELECT url AS a, f1 AS b FROM forms UNION SELECT f1, f2 FROM forms UNION SELECT f2, f3 FROM forms
+    UNION SELECT url, unnest([
+        regexp_extract(html, '(?i)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"''>]*)', 1),
+        regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']refresh["''][^>]*url=([^"''>]*)', 1)]) FROM parts WHERE rest <> ''
+),
+edges AS (SELECT a, b FROM hops WHERE b LIKE '%://%' UNION SELECT b, a FROM hops WHERE b LIKE '%://%'),
+reach AS (
+    SELECT url AS start, url AS node FROM forms
+    UNION SELECT reach.start, edges.b FROM reach JOIN edges ON edges.a = reach.node
+),
+rules(verdict, rhost, rpath) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+),
+ruled AS (
+    SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+    FROM split JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
+    GROUP BY url
+),
+method AS (
+    SELECT start, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+    FROM reach JOIN ruled ON ruled.url = reach.node GROUP BY start
+)
+SELECT page_id, coalesce(split.host, '') AS host, coalesce(split.path, '') AS path, ruled.rule AS rule,
+       coalesce(ruled.verdict, method.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN split ON split.url = parts.url LEFT JOIN ruled ON ruled.url = parts.url LEFT JOIN method ON method.start = parts.url
+"""
+
+ORACLES["op10_sharding"] = f"""
+WITH rows AS (
+    SELECT doc_id, row_number() OVER () AS n, coalesce(strlen(text), 0)::BIGINT AS bytes,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 14))::BIGINT AS hash
+    FROM documents
+),
+depths AS (SELECT unnest(range(0, 57)) AS depth),
+levels AS (
+    SELECT doc_id, n, bytes, hash, depth, sum(bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_rows
+    FROM rows, depths WINDOW w AS (PARTITION BY depth, hash >> (56 - depth)::INT)
+),
+fitting AS (
+    SELECT *, row_number() OVER (PARTITION BY n ORDER BY depth) AS first FROM levels WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
+)
+SELECT doc_id, bytes, depth::INT AS depth, shard_bytes::BIGINT AS shard_bytes, shard_rows::BIGINT AS shard_rows,
+       CASE WHEN depth = 0 THEN '' ELSE right(bin(hash | (1::BIGINT << 56)), 56)[1:depth] END AS shard
+FROM fitting WHERE first = 1
+"""
