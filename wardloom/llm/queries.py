@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardloom.llm import chat, decontaminate, near_vectors, ordinal, packing, recurrent_lm, sharding, shingle_join, url_filter
+from wardloom.llm import chat, decontaminate, near_vectors, ordinal, packing, recurrent_lm, sharding, shingle_join, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +179,10 @@ SELECT conv_id, count(*) AS n_turns,
        sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
 FROM turns JOIN loss USING (conv_id) GROUP BY conv_id
 """
+
+
+@query
+def op3_warc_index(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, records = warc.archived(pages.withColumn("captured", warc.epoch_plus(F.col("page_id"))))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "stamp")
