@@ -219,16 +219,20 @@ def walked_part(symbols, starts, stop, repetition, steps):
     return walked(padded, where[starts], np.minimum(small_stop, len(padded) - 1), repetition, steps)
 
 
-def _passages(items: list[tuple[int, np.ndarray]]):
-    """A function over Arrow batches that gives the passages of these items."""
+def _finder(items: list[tuple[int | None, np.ndarray]]):
+    """A function that makes, in a task, one that gives the passages of these items in an Arrow batch.
+
+    Each is ``row, item_id, n_words, distance, first word, word beyond the last``.
+    """
     ids = [i for i, _ in items]
     words = [w for _, w in items]
     bands = banded(words)
 
-    def run(batches):
+    def made():
         keyed = [(band, band.keys()) for band in bands]
         table = HashTable(np.unique(np.concatenate(words)))
-        for batch in batches:
+
+        def find(batch: pa.RecordBatch) -> list[tuple]:
             hashes, at = word_hashes(batch.column("text"))
             symbols = np.append(hashes, np.zeros(1, np.uint64))
             foreign = table.find(hashes) < 0
@@ -236,20 +240,18 @@ def _passages(items: list[tuple[int, np.ndarray]]):
             for band, keys in keyed:
                 for starts, hit in _candidates(band, keys, symbols, at, foreign):
                     docs = np.searchsorted(at, starts, "right") - 1
-                    pairs = np.unique(np.stack([docs, hit, starts]), axis=1)
-                    for d, i, s in pairs.T.tolist():
+                    for d, i, s in zip(docs.tolist(), hit.tolist(), starts.tolist()):
                         found.setdefault((d, i), []).append(s)
             out = []
             for (d, i), starts in found.items():
                 best = _best(hashes[at[d] : at[d + 1]], words[i], np.unique(starts) - at[d])
                 if best is not None:
                     out.append((d, ids[i], len(words[i]), *best))
-            row, *rest = (pa.array([o[k] for o in out], pa.int64()) for k in range(6))
-            yield pa.record_batch(
-                [batch.column("doc_id").take(row), *rest], ["doc_id", "item_id", "n_words", "distance", "start_word", "end_word"]
-            )
+            return out
 
-    return run
+        return find
+
+    return made
 
 
 def _best(text: np.ndarray, item: np.ndarray, starts: np.ndarray) -> tuple[int, int, int] | None:
@@ -294,15 +296,50 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of any length are taken whole.
     """
     docs = take(docs, doc_id="long", text="string")
-    items = take(benchmark, item_id="long", text="string").distinct()
-    sizes = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
-    slices = max(1, -(-int(sizes[1]) // (2 * ITEM_WORDS)))  # a word and the space after it have two characters at least
     found = docs.sparkSession.createDataFrame([], SCHEMA)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def runner(made):
+        def run(batches):
+            find = made()
+            for batch in batches:
+                out = find(batch)
+                row, *rest = (pa.array([o[k] for o in out], pa.int64()) for k in range(6))
+                yield pa.record_batch([batch.column("doc_id").take(row), *rest], names)
+
+        return run
+
+    for listed in _slices(benchmark):
+        found = found.union(docs.mapInArrow(runner(_finder(listed)), SCHEMA))
+    return found
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item of ``benchmark``; see ``passages``."""
+
+    def runner(made):
+        def run(batches):
+            find = made()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[o[0] for o in find(batch)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for listed in _slices(benchmark):
+        docs = docs.mapInArrow(runner(_finder(listed)), docs.schema)
+    return docs
+
+
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """The items with words, in slices of about ``ITEM_WORDS`` words."""
+    items = take(benchmark, item_id="long", text="string").distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+    slices = max(1, -(-int(size) // (2 * ITEM_WORDS)))  # a word and the space after it have two characters at least
     for k in range(slices):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toArrow()
         hashes, at = word_hashes(own.column("text"))
         listed = [(i, hashes[s:e]) for i, s, e in zip(own.column("item_id").to_pylist(), at[:-1], at[1:]) if e > s]
-        listed.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes()))
         if listed:
-            found = found.union(docs.mapInArrow(_passages(listed), SCHEMA))
-    return found
+            yield sorted(listed, key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes()))

@@ -147,8 +147,7 @@ def graded(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least: fl
 
     def run(batches):
         for batch in batches:
-            rows, keys, values = features(batch.column("text"))
-            tails = _sigmoid(np.bincount(rows, values * w[keys], batch.num_rows)[:, None] - t)
+            tails = tail_probabilities(batch.column("text"), w, t)
             tail = tails[:, wanted - 1]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)],
@@ -158,6 +157,23 @@ def graded(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least: fl
     return docs.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 
+def selected(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``graded`` selects."""
+    w, t = fit_on(take(docs, doc_id="long", text="string"), ratings, top)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(tail_probabilities(batch.column("text"), w, t)[:, wanted - 1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def tail_probabilities(column: pa.Array, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``P(grade >= j)`` for j from 1 on, a row per text."""
+    rows, keys, values = features(column)
+    return _sigmoid(np.bincount(rows, values * w[keys], len(column))[:, None] - t)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """``doc_id, grade`` of 0/1 labels: 0 poor, 1 good but toxic, 2 good."""
     good, toxic = F.coalesce(F.col("quality"), F.lit(0)), F.coalesce(F.col("toxic"), F.lit(0))
