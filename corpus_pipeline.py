@@ -1,28 +1,62 @@
-"""A corpus pipeline of operators in ``wardloom.llm``: each stage works on all that the one before it kept."""
+"""A corpus pipeline of operators in ``wardloom.llm``: each stage works on all that the one before it kept.
+
+The first three stages return the columns of documents; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import shingle_join
+from wardloom.llm import decontaminate, ordinal, packing, shingle_join
+from wardloom.llm.queries import encoder_args, table
 from wardloom.llm.work import saved
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are good and not toxic with a probability of one half or more."""
+    return ordinal.selected(docs, ordinal.grades_of(table(spark, sf_dir, "labels")), top=2, wanted=2)
+
+
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingles, the one of smallest id stays."""
-    groups = shingle_join.similar_groups(docs)
-    stays = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of documents linked by shingles, the one of smallest id stays.
+
+    Documents without an id stay. Of rows that repeat an id and text one stays.
+    """
+    groups = saved(shingle_join.similar_groups(docs), "groups")
+    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+
+    repeated = ids.where("rows > 1")
+    if not repeated.isEmpty():
+        return of(ids.where("rows = 1")).union(of(repeated).dropDuplicates(["doc_id", "text"])).union(docs.where("doc_id IS NULL"))
+    return of(ids).union(docs.where("doc_id IS NULL"))
+
+
+def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_passages(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, encoder_args(), keep_ids=False)
 
 
-STAGES = [("ngram_jaccard_join", one_per_group)]
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("ngram_jaccard_join", one_per_group),
+    ("benchmark_decontamination", no_benchmark_items),
+    ("best_fit_packing", packed),
+]
 
 ORACLE_SQL = None  # no stage can be said in SQL; tests/llm/test_pipeline.py holds it against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
