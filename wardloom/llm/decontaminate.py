@@ -71,9 +71,12 @@ class Band:
         lengths = np.array([len(words[i]) for i in items])
         self.low, self.longest = low, int(lengths.max())
         edits = allowed(lengths)
-        # a window that is near an item has a stretch of `shortest` words with at most `foreign` words of no item
-        self.shortest = max(1, int((lengths - edits).min()))
-        self.foreign = int((edits // np.maximum(1, (lengths - edits) // self.shortest)).max())
+        # from where a passage begins, as many words as it has at least hold at most as many foreign ones as it has edits:
+        # for each number of edits the fewest words
+        fewest: dict[int, int] = {}
+        for n, k in zip((lengths - edits).tolist(), edits.tolist()):
+            fewest[k] = min(fewest.get(k, n), max(1, n))
+        self.gates = sorted(fewest.items())
         self.symbols = np.concatenate([*(words[i] for i in items), np.zeros(1, np.uint64)])
         ends = np.cumsum(lengths)
         self.size = int(lengths.min())  # a window is as long as the shortest item of its band
@@ -165,36 +168,37 @@ def within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _stretches(band: Band, foreign: np.ndarray) -> np.ndarray:
-    """Words at which a walk starts: those from which a stretch with few foreign words can be reached.
+def _openings(band: Band, foreign: np.ndarray) -> np.ndarray:
+    """Words at which a passage of the band can begin, by the number of foreign words that follow.
 
-    A stretch may run over the end of its text; that only lets a few more windows through.
+    A count may run over the end of its text; words beyond the last text count as none.
     """
     n = len(foreign)
-    total = np.concatenate([[0], np.cumsum(foreign)])
-    if n < band.shortest:
-        return np.zeros(0, np.int64)
-    dense = np.flatnonzero(total[band.shortest :] - total[: n - band.shortest + 1] <= band.foreign)
-    if not len(dense):
-        return dense
-    mark = np.zeros(n + 1, np.int32)
-    low = np.maximum(dense - band.longest, 0)
-    np.add.at(mark, low, 1)
-    np.add.at(mark, dense + 1, -1)
-    starts = np.cumsum(mark[:n]) > 0
-    return np.flatnonzero(starts)
+    total = np.concatenate([[0], np.cumsum(foreign, dtype=np.int32)])
+    can = np.zeros(n, bool)
+    for most, span in band.gates:
+        span = min(span, n)
+        inside = n - span + 1
+        can[:inside] |= total[span:] - total[:inside] <= most
+        can[inside:] |= total[n] - total[inside:n] <= most
+    return np.flatnonzero(can)
 
 
 def _candidates(band: Band, keys, symbols, at, foreign) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(start, item) of windows that meet an item in any repetition."""
-    starts = _stretches(band, foreign)
+    starts = _openings(band, foreign)
     if not len(starts):
         return
     stop = np.minimum(at[np.searchsorted(at, starts, "right")], starts + band.size)
+    # walks read only the words after their starts: the others are left out
+    opened = np.zeros(len(symbols) + band.size + 1, np.int32)
+    opened[starts] += 1
+    opened[starts + band.size + 1] -= 1
+    near = np.flatnonzero(np.cumsum(opened)[: len(symbols)])
+    place = np.searchsorted(near, starts)
+    part, part_stop = np.append(symbols[near], np.zeros(1, np.uint64)), place + (stop - starts)
     for r, steps, table, first, items in keys:
-        # bits are made only for the words that can be read
-        key = walked_part(symbols, starts, stop, r, steps)
-        row = table.find(key)
+        row = table.find(walked(part, place, part_stop, r, steps))
         hit = np.flatnonzero(row >= 0)
         if not len(hit):
             continue
@@ -204,21 +208,6 @@ def _candidates(band: Band, keys, symbols, at, foreign) -> Iterator[tuple[np.nda
         yield np.repeat(starts[hit], count), items[begin + step]
 
 
-def walked_part(symbols, starts, stop, repetition, steps):
-    """``walked`` over the words near the starts alone."""
-    reach = int(steps[-1]) + 1
-    if len(starts) * 4 >= len(symbols):
-        return walked(symbols, starts, stop, repetition, steps)
-    mark = np.zeros(len(symbols) + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + reach + 1, len(symbols)), -1)
-    near = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    where = np.cumsum(np.cumsum(mark[:-1]) > 0) - 1
-    small_stop = where[starts] + (stop - starts)  # beyond the words kept no walk gets
-    padded = np.append(symbols[near], np.zeros(1, np.uint64))
-    return walked(padded, where[starts], np.minimum(small_stop, len(padded) - 1), repetition, steps)
-
-
 def _finder(items: list[tuple[int | None, np.ndarray]]):
     """A function that makes, in a task, one that gives the passages of these items in an Arrow batch.
 

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from wardloom.llm.text import HashTable, mix, word_hashes
 from wardloom.llm.work import saved, take
 
-HEAD, HEAD_CLASSES = 2048, 32  # words with weights of their own, and their classes
-TAIL_CLASSES = 64
+HEAD, HEAD_CLASSES = 1024, 16  # words with weights of their own, and their classes
+TAIL_CLASSES = 32
 LEXICON = 1 << 18  # words whose counts travel to all tasks; others are joined
-HIDDEN = 32
+HIDDEN = 16
 LANES, STEPS = 256, 16
 TOKENS_AT_ONCE = 1 << 20
 ROUNDS = ((0, 1), (1, 4), (4, 16))  # sixteenths of the training documents
@@ -51,7 +51,7 @@ def held_out(ids: list[int | None]) -> np.ndarray:
 
 
 def tail_class(endings: np.ndarray) -> np.ndarray:
-    return (mix(endings.astype(np.uint64) + np.uint64(1)) >> np.uint64(58)).astype(np.int32)
+    return (mix(endings.astype(np.uint64) + np.uint64(1)) >> np.uint64(59)).astype(np.int32)
 
 
 # --- counts ------------------------------------------------------------------------------------------------
@@ -158,20 +158,11 @@ def first_weights(known: dict) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x):
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
-def _log_softmax(x):
-    x -= x.max(1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(1, keepdims=True)
-    e /= total
-    return x - np.log(total), e
+def _exp(logits):
+    """Exponentials, in place, and their sums per row. Logits are small: states lie between -1 and 1."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits.sum(1)
 
 
 def _unroll(w, inputs, keep, state):
@@ -179,82 +170,100 @@ def _unroll(w, inputs, keep, state):
     steps, lanes = inputs.shape
     h = HIDDEN
     given = (w["embed"][inputs.ravel()] @ w["wx"] + w["b"]).reshape(steps, lanes, 3 * h)
-    states = np.empty((steps, lanes, h), np.float32)
-    trail = []
+    states, before, inner, new = (np.empty((steps, lanes, h), np.float32) for _ in range(4))
+    gates = np.empty((steps, lanes, 2 * h), np.float32)
+    wh, bn = w["wh"], w["bn"]
     for t in range(steps):
-        before = state * keep[t][:, None]
-        carried = before @ w["wh"]
-        gates = _sigmoid(given[t][:, : 2 * h] + carried[:, : 2 * h])
-        r, z = gates[:, :h], gates[:, h:]
-        inner = carried[:, 2 * h :] + w["bn"]
-        new = np.tanh(given[t][:, 2 * h :] + r * inner)
-        state = new + z * (before - new)
-        states[t] = state
-        trail.append((before, gates, inner, new))
-    return states, state, trail
+        np.multiply(state, keep[t][:, None], out=before[t])
+        carried = before[t] @ wh
+        g = np.add(given[t, :, : 2 * h], carried[:, : 2 * h], out=gates[t])
+        g *= 0.5  # the sigmoid is a tanh of half the argument
+        np.tanh(g, out=g)
+        g += 1
+        g *= 0.5
+        np.add(carried[:, 2 * h :], bn, out=inner[t])
+        n = np.multiply(g[:, :h], inner[t], out=new[t])
+        n += given[t, :, 2 * h :]
+        np.tanh(n, out=n)
+        state = np.subtract(before[t], n, out=states[t])
+        state *= g[:, h:]
+        state += n
+    return states, state, (before, gates, inner, new)
 
 
 def _output(w, states, targets, valid, grads=None):
-    """log10-free log probability of each target given the states; with ``grads`` also what flows back."""
+    """Natural log probability of each target given the states; with ``grads`` also what flows back."""
     flat = states.reshape(-1, HIDDEN)
-    targets = targets.ravel()
+    shape, targets, rows = targets.shape, targets.ravel(), np.arange(targets.size)
     head = targets < HEAD
     classes = np.where(head, targets // PER_CLASS, targets - HEAD + HEAD_CLASSES)
-    logp, p = _log_softmax(flat @ w["wc"] + w["bc"])
-    rows = np.arange(len(flat))
-    out = logp[rows, classes]
+    p, total = _exp(flat @ w["wc"] + w["bc"])
+    out = np.log(p[rows, classes] / total)
     back = None
     if grads is not None:
+        p /= total[:, None]
         p[rows, classes] -= 1
-        p *= valid.ravel()[:, None]
-        grads["wc"] = flat.T @ p
-        grads["bc"] = p.sum(0)
+        if not valid.all():
+            p *= valid.ravel()[:, None]
+        grads["wc"], grads["bc"] = flat.T @ p, p.sum(0)
         back = p @ w["wc"].T
         grads["wo"], grads["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
     mine = np.flatnonzero(head & valid.ravel())
-    mine = mine[np.argsort(classes[mine], kind="stable")]
-    cuts = np.searchsorted(classes[mine], np.arange(HEAD_CLASSES + 1))
+    mine = mine[np.argsort(classes[mine].astype(np.uint8), kind="stable")]
+    cuts = np.searchsorted(classes[mine], np.arange(HEAD_CLASSES + 1)).tolist()
+    own, words, place = flat[mine], targets[mine] % PER_CLASS, np.arange(len(mine))
+    p = np.empty((len(mine), PER_CLASS), np.float32)
     for k in range(HEAD_CLASSES):
-        at = mine[cuts[k] : cuts[k + 1]]
-        if not len(at):
-            continue
-        own = flat[at]
-        logp, p = _log_softmax(own @ w["wo"][k] + w["bo"][k])
-        word, rows = targets[at] % PER_CLASS, np.arange(len(at))
-        out[at] += logp[rows, word]
-        if grads is not None:
-            p[rows, word] -= 1
-            grads["wo"][k], grads["bo"][k] = own.T @ p, p.sum(0)
-            back[at] += p @ w["wo"][k].T
-    return out.reshape(targets.shape), back
+        at = slice(cuts[k], cuts[k + 1])
+        np.matmul(own[at], w["wo"][k], out=p[at])
+        p[at] += w["bo"][k]
+    p, total = _exp(p)
+    out[mine] += np.log(p[place, words] / total)
+    if grads is not None:
+        p /= total[:, None]
+        p[place, words] -= 1
+        inner = np.empty_like(own)
+        for k in range(HEAD_CLASSES):
+            at = slice(cuts[k], cuts[k + 1])
+            grads["wo"][k], grads["bo"][k] = own[at].T @ p[at], p[at].sum(0)
+            np.matmul(p[at], w["wo"][k].T, out=inner[at])
+        back[mine] += inner
+    return out.reshape(shape), back
 
 
 def _descend(w, inputs, keep, trail, back, grads):
+    """Gradients of the recurrent part; nothing flows back beyond the window."""
     steps, lanes = inputs.shape
     h = HIDDEN
+    before, gates, inner, new = trail
+    r, z = gates[..., :h], gates[..., h:]
     back = back.reshape(steps, lanes, h)
-    given = np.empty((steps, lanes, 3 * h), np.float32)
-    grads["wh"], grads["bn"] = np.zeros_like(w["wh"]), np.zeros_like(w["bn"])
+    to_new = (1 - z) * (1 - new * new)
+    to_z = (before - new) * z * (1 - z)
+    to_r = inner * r * (1 - r)
+    flow = np.empty((steps, lanes, 3 * h), np.float32)
+    fresh = np.empty((steps, lanes, h), np.float32)
+    wh_t = np.ascontiguousarray(w["wh"].T)
     down = np.zeros((lanes, h), np.float32)
     for t in range(steps - 1, -1, -1):
-        before, gates, inner, new = trail[t]
-        r, z = gates[:, :h], gates[:, h:]
-        d = back[t] + down
-        d_new = d * (1 - z) * (1 - new * new)
-        flow = np.empty((lanes, 3 * h), np.float32)
-        flow[:, h : 2 * h] = d * (before - new) * z * (1 - z)
-        flow[:, :h] = d_new * inner * r * (1 - r)
-        given[t, :, : 2 * h] = flow[:, : 2 * h]
-        given[t, :, 2 * h :] = d_new
-        flow[:, 2 * h :] = d_new * r
-        grads["wh"] += before.T @ flow
-        grads["bn"] += flow[:, 2 * h :].sum(0)
-        down = (d * z + flow @ w["wh"].T) * keep[t][:, None]
-    flat, ids = given.reshape(-1, 3 * h), inputs.ravel()
+        down += back[t]
+        d_new = np.multiply(down, to_new[t], out=fresh[t])
+        f = flow[t]
+        np.multiply(d_new, to_r[t], out=f[:, :h])
+        np.multiply(down, to_z[t], out=f[:, h : 2 * h])
+        np.multiply(d_new, r[t], out=f[:, 2 * h :])
+        down *= z[t]
+        down += f @ wh_t
+        down *= keep[t][:, None]
+    flat = flow.reshape(-1, 3 * h)
+    grads["wh"] = before.reshape(-1, h).T @ flat
+    grads["bn"] = flat[:, 2 * h :].sum(0)
+    flat[:, 2 * h :] = fresh.reshape(-1, h)
+    ids = inputs.ravel()
     grads["wx"] = w["embed"][ids].T @ flat
     grads["b"] = flat.sum(0)
     d_in = flat @ w["wx"].T
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
     grads["embed"] = (ids[order][first], np.add.reduceat(d_in[order], first))
 
@@ -288,7 +297,7 @@ def laid_out(symbols: np.ndarray, at: np.ndarray, end: int):
     the fullest lane first.
     """
     lengths = np.diff(at) + 1
-    lanes = min(LANES, len(lengths))
+    lanes = min(LANES, len(lengths), max(16, int(lengths.sum()) // 1024))  # little text: fewer lanes, more steps
     filled = np.zeros(lanes, np.int64)
     place = np.empty((len(lengths), 2), np.int64)
     for doc in np.argsort(-lengths, kind="stable").tolist():

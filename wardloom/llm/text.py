@@ -197,6 +197,8 @@ class HashTable:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is not held."""
+        if len(keys) > BLOCK:  # parts that stay in the processor's cache
+            return np.concatenate([self.find(keys[at : at + BLOCK]) for at in range(0, len(keys), BLOCK)])
         slots = (keys >> self.shift).astype(np.int64)
         out = self.rows[slots]
         left = np.flatnonzero((out >= 0) & (self.keys[slots] != keys))
