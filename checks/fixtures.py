@@ -9,7 +9,6 @@ from wardloom.functions.text import first_line, string_array
 from wardloom.operators.chunking import document_key
 from wardloom.reference_data import DRUG_LABEL_HEADERS, LAB_PANELS, TRIAL_HEADERS
 from wardloom.schemas import CASE, METADATA
-from wardloom.session import spread
 
 CONTENT_TYPES = ["abstract", "full_text", "drug_label", "trial_protocol"]
 CREDIBILITIES = ["guideline", "fda_label", "peer_reviewed", "curated", "preprint"]
@@ -20,6 +19,11 @@ REGIONS = ["head", "chest", "abdomen", "brain", "cardiac", "spine"]
 OBSERVATIONS = ["hyperdense mass", "Hyperintense lesion", "focal opacity", "free fluid", "filling defect", "normal"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The driver's files have one split each; their rows are dealt to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +38,10 @@ def pick(items: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(i) for i in items]), index.cast("int"))
 
 
+def pick_column(columns: list[Column], index: Column) -> Column:
+    return F.get(F.array(*columns), index.cast("int"))
+
+
 def _sectioned(text: Column, headers: list[str]) -> Column:
     """Text with a header line put before every fifth line from the third on."""
 
@@ -124,7 +132,15 @@ def _phase() -> Column:
     """The phase of an order line; its number is set once the lines of an order are sorted."""
     line = {c: F.col(c) for c in LINE_ORDER}
     part, supp, qty = line["l_partkey"], line["l_suppkey"], line["l_quantity"].cast("int")
-    offset = F.concat(F.lit("T+"), qty.cast("string"), F.lit("min"))
+    amount = qty.cast("string")
+    offset = pick_column(
+        [
+            F.concat(F.lit("T+"), amount, F.lit("min")), F.concat(F.lit("T+"), amount, F.lit("h")),
+            F.concat(F.lit("T+"), amount, F.lit("sec")), F.concat(F.lit("T+"), amount, F.lit(" days")),
+            F.concat(F.lit("T+1h"), amount, F.lit("min")), F.concat(F.lit("T+"), amount, F.lit("w")),
+        ],
+        part % 6,
+    )
     vitals = F.when(
         line["l_linenumber"] % 4 != 0,
         F.struct(
@@ -164,7 +180,7 @@ def _phase() -> Column:
                 F.struct(
                     F.when(supp % 11 == 0, F.lit("XYZ")).otherwise(F.lit("ABG")).alias("panel"),
                     F.array(
-                        value("Lactate", (part % 55) / 10.0, F.when(part % 13 == 0, F.lit("mg/dL")).otherwise(F.lit("mmol/L")))
+                        value("Lactate", (part % 55) / 10.0, F.when(part % 13 == 0, F.lit("mg/dL")).when(part % 13 != 1, F.lit("mmol/L")))
                     ).alias("values"),
                     offset.alias("timestamp"),
                 )
@@ -264,7 +280,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     accuracy = F.floor(price) % 100 / 100.0
     review = F.struct(
         accuracy.alias("accuracy_score"),
-        (F.col("o_custkey") % 100 / 100.0).alias("pedagogy_score"),
+        F.when(F.col("o_custkey") % 17 != 0, F.col("o_custkey") % 100 / 100.0).alias("pedagogy_score"),
         (order % 100 / 100.0).alias("bias_score"),
         (accuracy >= 0.7).alias("approved"),
         F.array(F.concat(F.lit("note "), order.cast("string"))).alias("notes"),

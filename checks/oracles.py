@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from wardloom.fixtures import (
+from checks.fixtures import (
     CONTENT_TYPES,
     CREDIBILITIES,
     LEVELS,
@@ -271,7 +271,7 @@ cases AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_orderkey, o_custkey, c_mktsegment AS topic,
     {pick(LEVELS, 'o_orderkey % 3')} AS difficulty, lower(c_mktsegment) || ',' || o_orderpriority AS specialty, c_name,
     CASE WHEN o_orderkey % 10 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 100 / 100.0 END::DOUBLE AS accuracy_score,
-    CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey % 100 / 100.0 END::DOUBLE AS pedagogy_score,
+    CASE WHEN o_orderkey % 10 <> 0 AND o_custkey % 17 <> 0 THEN o_custkey % 100 / 100.0 END::DOUBLE AS pedagogy_score,
     CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 100 / 100.0 END::DOUBLE AS bias_score,
     'model-' || o_orderstatus AS model, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS generated_at
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -280,7 +280,10 @@ phases AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l.*,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
       l_extendedprice, l_shipdate, l_returnflag, l_linestatus) AS INTEGER) AS phase_number,
-    CAST(l_quantity AS INTEGER) AS qty, 'T+' || CAST(l_quantity AS INTEGER) || 'min' AS time_offset,
+    CAST(l_quantity AS INTEGER) AS qty,
+    CASE l_partkey % 6 WHEN 0 THEN 'T+' || CAST(l_quantity AS INTEGER) || 'min' WHEN 1 THEN 'T+' || CAST(l_quantity AS INTEGER) || 'h'
+      WHEN 2 THEN 'T+' || CAST(l_quantity AS INTEGER) || 'sec' WHEN 3 THEN 'T+' || CAST(l_quantity AS INTEGER) || ' days'
+      WHEN 4 THEN 'T+1h' || CAST(l_quantity AS INTEGER) || 'min' ELSE 'T+' || CAST(l_quantity AS INTEGER) || 'w' END AS time_offset,
     'Line ' || l_partkey || ' ' || l_returnflag AS narrative
   FROM lineitem l JOIN orders ON l_orderkey = o_orderkey),
 decisions AS (
@@ -307,7 +310,7 @@ SELECT case_id, CAST(count(*) AS INTEGER) AS phases FROM phases GROUP BY case_id
 ORACLES["export_jsonl"] = f"""{WITH_CASES}
 SELECT c.case_id, topic, difficulty, CAST(o_custkey % 60 + 20 AS BIGINT) AS age, 'dx ' || c.case_id AS diagnosis,
   'choice 1' AS second_choice, model, p.narrative AS first_narrative
-FROM (SELECT * FROM cases WHERE difficulty = 'attending' ORDER BY generated_at DESC, case_id LIMIT 10000) c
+FROM (SELECT * FROM cases WHERE difficulty = 'attending') c
 LEFT JOIN (SELECT case_id, narrative FROM phases WHERE phase_number = 1) p ON p.case_id = c.case_id"""
 ORACLES["case_summary"] = f"""WITH {CASES}
 SELECT case_id, format('[{{}}] {{}} ({{}}) — accuracy: {{:.2f}}', substr(case_id, 1, 8), topic, difficulty,
@@ -339,7 +342,7 @@ ORACLES["rl_rewards_custom"] = _rewards({"optimal": 10.0, "harmful": -3.0})
 _MODALITY = pick(MODALITIES, "l_suppkey % 6")
 _REGION = pick(REGIONS, "(l_partkey + l_suppkey) % 6")
 _OBSERVED = pick(OBSERVATIONS, "(l_partkey // 3) % 6")
-_LACTATE_UNIT = "CASE WHEN l_partkey % 13 = 0 THEN 'mg/dL' ELSE 'mmol/L' END"
+_LACTATE_UNIT = "CASE WHEN l_partkey % 13 = 0 THEN 'mg/dL' WHEN l_partkey % 13 <> 1 THEN 'mmol/L' END"
 _NA = "(l_suppkey % 50 + 115) + CASE WHEN l_partkey % 9 = 0 THEN 0.5 ELSE 0.0 END"
 _SYSTEM = f"""narrative
   || CASE WHEN l_linenumber % 4 <> 0 THEN {NL} || 'Vitals: HR ' || (qty + 60) || ', BP ' || (l_suppkey % 60 + 100) || '/'
@@ -349,7 +352,7 @@ _SYSTEM = f"""narrative
   || {NL} || 'BMP (' || time_offset || '): K ' || CAST((l_partkey % 60 + 20) / 10.0 AS DOUBLE) || ' mEq/L, Na '
   || CAST({_NA} AS DOUBLE) || ' mEq/L'
   || CASE WHEN l_suppkey % 3 = 0 THEN {NL} || CASE WHEN l_suppkey % 11 = 0 THEN 'XYZ' ELSE 'ABG' END || ' (' || time_offset
-    || '): Lactate ' || CAST((l_partkey % 55) / 10.0 AS DOUBLE) || ' ' || {_LACTATE_UNIT} ELSE '' END
+    || '): Lactate ' || CAST((l_partkey % 55) / 10.0 AS DOUBLE) || ' ' || coalesce({_LACTATE_UNIT}, '') ELSE '' END
   || CASE WHEN l_partkey % 3 = 0 THEN {NL} || {_MODALITY} || ' ' || {_REGION} || ' (' || time_offset || '): organ: '
     || {_OBSERVED} || '; field: clear. Impression: see findings' ELSE '' END
   || CASE WHEN l_linestatus = 'F' THEN {NL} || 'Update: shipped ' || strftime(l_shipdate, '%Y-%m-%d') ELSE '' END"""
@@ -372,13 +375,22 @@ ORACLES["sft_turns"] = f"""{WITH_CASES}, {_answers(False)}
 SELECT case_id, (phase_number - 1) * 2 AS turn, 'system' AS role, {_SYSTEM} AS content FROM phases
 UNION ALL SELECT case_id, (phase_number - 1) * 2 + 1, 'assistant', content FROM answers"""
 ORACLES["sft_wrong_path"] = f"""{WITH_CASES}, {_answers(True)}
-SELECT case_id, (phase_number - 1) * 2 + 1 AS turn, 'assistant' AS role, content FROM answers"""
+SELECT case_id, (phase_number - 1) * 2 AS turn, 'system' AS role, {_SYSTEM} AS content FROM phases
+UNION ALL SELECT case_id, (phase_number - 1) * 2 + 1 AS turn, 'assistant' AS role, content FROM answers"""
+# every record of the export by its steps and turns
 ORACLES["export_training"] = f"""{WITH_CASES},
-newest AS (SELECT case_id FROM cases WHERE accuracy_score >= 0.2 ORDER BY generated_at DESC, case_id LIMIT 10000),
-picked AS (SELECT n.case_id FROM newest n JOIN phases p USING (case_id) GROUP BY n.case_id HAVING count(*) > 1)
-SELECT t AS type, count(*) AS records, count(DISTINCT case_id) AS cases,
-  count(*) FILTER (t = 'rl_episode') AS with_second_step, count(*) FILTER (t <> 'rl_episode') AS with_fourth_turn
-FROM picked, (VALUES ('rl_episode'), ('sft_conversation'), ('sft_wrong_path')) v(t) GROUP BY t"""
+picked AS (
+  SELECT c.case_id FROM cases c JOIN phases p USING (case_id) WHERE accuracy_score >= 0.2 GROUP BY c.case_id HAVING count(*) > 1),
+wrong AS (WITH {_answers(True)} SELECT * FROM answers),
+good AS (WITH {_answers(False)} SELECT * FROM answers)
+SELECT 'rl_episode' AS type, p.case_id, phase_number - 1 AS pos, narrative AS said, time_offset AS answered FROM phases p JOIN picked USING (case_id)
+UNION ALL SELECT 'sft_conversation', p.case_id, p.phase_number - 1, {_SYSTEM}, g.content
+FROM phases p JOIN picked USING (case_id) JOIN good g ON g.case_id = p.case_id AND g.phase_number = p.phase_number
+UNION ALL SELECT 'sft_wrong_path', p.case_id, p.phase_number - 1, {_SYSTEM}, w.content
+FROM phases p JOIN picked USING (case_id) JOIN wrong w ON w.case_id = p.case_id AND w.phase_number = p.phase_number"""
+ORACLES["case_decode"] = f"""{WITH_CASES}
+SELECT c.case_id, o_orderkey % 10 = 3 AS unreadable, CASE WHEN o_orderkey % 10 <> 3 THEN topic END AS topic,
+  CASE WHEN o_orderkey % 10 <> 3 THEN CAST((SELECT count(*) FROM phases p WHERE p.case_id = c.case_id) AS INTEGER) END AS phases FROM cases c"""
 
 # --- validation -------------------------------------------------------------------------
 
@@ -405,10 +417,11 @@ SELECT case_id, phase_number, l.panel, l.name, value,
 FROM labs l LEFT JOIN panels p ON p.panel = l.panel AND p.name = l.name"""
 ORACLES["lab_conformance"] = f"""{WITH_CASES}, {LABS}
 SELECT * FROM (
-  SELECT case_id, phase_number, l.panel, l.name, value, l.unit,
-    CASE WHEN p.name IS NULL THEN 'unknown component' WHEN p.unit <> l.unit THEN 'wrong unit'
-      WHEN abs(value - round(value, prec)) > 1e-9 THEN 'wrong precision' END AS issue
-  FROM labs l LEFT JOIN panels p ON p.panel = l.panel AND p.name = l.name) WHERE issue IS NOT NULL"""
+  SELECT case_id, phase_number, l.panel, l.name, value, l.unit, concat_ws('; ',
+    CASE WHEN p.name IS NULL THEN 'unknown component' END,
+    CASE WHEN p.name IS NOT NULL AND p.unit IS DISTINCT FROM l.unit THEN 'wrong unit' END,
+    CASE WHEN abs(value - round(value, prec)) > 1e-9 THEN 'wrong precision' END) AS issues
+  FROM labs l LEFT JOIN panels p ON p.panel = l.panel AND p.name = l.name) WHERE issues <> ''"""
 ORACLES["lab_panels_used"] = f"""{WITH_CASES}, {LABS}
 SELECT p.panel, panel_pos, p.name AS component, component_pos, p.unit, prec AS precision, count(l.value) AS n
 FROM panels p LEFT JOIN labs l ON p.panel = l.panel AND p.name = l.name GROUP BY ALL"""
@@ -449,12 +462,14 @@ FROM cases c JOIN rules USING (difficulty) LEFT JOIN per_phase x ON x.case_id =
 GROUP BY c.case_id, c.difficulty, lo, hi"""
 ORACLES["score_gate"] = f"""WITH {CASES}
 SELECT case_id, least(accuracy_score, pedagogy_score, bias_score) AS lowest_score,
-  least(accuracy_score, pedagogy_score, bias_score) >= 0.7 AS passes, accuracy_score >= 0.7 AS approved
+  least(accuracy_score, pedagogy_score, bias_score) >= 0.7 AND pedagogy_score IS NOT NULL AS passes, accuracy_score >= 0.7 AS approved
 FROM cases WHERE accuracy_score IS NOT NULL"""
 ORACLES["offset_order"] = f"""{WITH_CASES}
 SELECT * FROM (
-  SELECT case_id, phase_number, qty AS minutes, lag(qty) OVER (PARTITION BY case_id ORDER BY phase_number) AS previous_minutes
-  FROM phases) WHERE minutes < previous_minutes"""
+  SELECT case_id, phase_number, minutes, last_value(minutes IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY phase_number
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_minutes
+  FROM (SELECT *, CAST(CASE l_partkey % 6 WHEN 0 THEN qty WHEN 1 THEN qty * 60 WHEN 2 THEN qty * (1.0::DOUBLE / 60) WHEN 3 THEN qty * 1440
+      WHEN 4 THEN 60 + qty END AS DOUBLE) AS minutes FROM phases)) WHERE minutes IS NULL OR minutes < previous_minutes"""
 _VITALS = {
     "hr": "qty + 60", "bp_systolic": "l_suppkey % 60 + 100", "bp_diastolic": "l_suppkey % 30 + 60",
     "rr": "l_linenumber + 12", "spo2": "l_partkey % 10 + 90.5", "temp_c": "(l_partkey % 4) * 0.5 + 36.5",
@@ -483,10 +498,11 @@ choices AS (
     'why ' || j AS reasoning, 'outcome ' || o_orderkey AS outcome, CASE WHEN o_orderkey % 4 <> j THEN 'harm ' || j END AS consequence
   FROM cases, range(3) r(j))"""
 ORACLES["grade_answers"] = f"""WITH {CASES}, {CHOICES}
-SELECT CAST(event_id AS VARCHAR) AS answer_id, c.case_id, c.position AS chosen, c.choice, c.is_correct, c.error_type,
-  CASE WHEN c.is_correct THEN 'Correct!' WHEN c.error_type = 'catastrophic' THEN 'Catastrophic Error' ELSE 'Incorrect' END AS verdict,
+SELECT CAST(event_id AS VARCHAR) AS answer_id, CAST(user_id AS VARCHAR) AS case_id, CAST(event_id % 4 AS INTEGER) AS chosen, c.choice, c.is_correct, c.error_type,
+  CASE WHEN k.case_id IS NULL THEN 'unknown case' WHEN c.case_id IS NULL THEN 'unknown choice' WHEN c.is_correct THEN 'Correct!'
+    WHEN c.error_type = 'catastrophic' THEN 'Catastrophic Error' ELSE 'Incorrect' END AS verdict,
   c.outcome, c.reasoning, c.consequence, CASE WHEN NOT c.is_correct THEN g.choice END AS correct_choice
-FROM events JOIN choices c ON c.case_id = CAST(user_id AS VARCHAR) AND c.position = event_id % 4
+FROM events LEFT JOIN cases k ON k.case_id = CAST(user_id AS VARCHAR) LEFT JOIN choices c ON c.case_id = CAST(user_id AS VARCHAR) AND c.position = event_id % 4
 LEFT JOIN choices g ON g.case_id = c.case_id AND g.is_correct"""
 ORACLES["decision_classes"] = f"""WITH {CASES}, {CHOICES}
 SELECT case_id, position, choice, CASE WHEN is_correct THEN 'correct' WHEN error_type = 'catastrophic' THEN 'catastrophic'

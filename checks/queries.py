@@ -8,8 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import model_double
-from wardloom import fixtures
+from checks import fixtures, model_double
 from wardloom.functions.text import preview
 from wardloom.operators import cases as case_ops
 from wardloom.operators import exports, grading, knowledge, search, tagging, validation
@@ -149,7 +148,8 @@ def tag_with_table(spark, sf_dir):
 
 @query
 def tag_by_join(spark, sf_dir):
-    return _tags(tagging.tag_by_join(_chunks(spark, sf_dir), fixtures.search_terms(spark, sf_dir)))
+    """The same keyword table in several slices, one pass over the texts for each."""
+    return _tags(tagging.tag_with_table(_chunks(spark, sf_dir), fixtures.search_terms(spark, sf_dir), at_once=400))
 
 
 @query
@@ -395,18 +395,35 @@ def sft_turns(spark, sf_dir):
 
 @query
 def sft_wrong_path(spark, sf_dir):
-    return _turns(exports.sft_conversations(fixtures.cases(spark, sf_dir), wrong_path=True)).where("role = 'assistant'")
+    return _turns(exports.sft_conversations(fixtures.cases(spark, sf_dir), wrong_path=True))
 
 
 @query
 def export_training(spark, sf_dir):
+    """All records, read back from their lines: what is told and what is answered in each phase."""
     lines = exports.export_training(_store(spark, sf_dir), min_accuracy=0.2, include_wrong_paths=True)
-    kind = F.get_json_object("line", "$.type")
-    return lines.groupBy(kind.alias("type")).agg(
-        F.count("*").alias("records"), F.count_distinct("case_id").alias("cases"),
-        F.count(F.get_json_object("line", "$.steps[1].optimal_action")).alias("with_second_step"),
-        F.count(F.get_json_object("line", "$.turns[3].content")).alias("with_fourth_turn"),
+    shape = (
+        "case_id string, steps array<struct<observation:struct<narrative:string,time_elapsed:string>>>, "
+        "turns array<struct<role:string,content:string>>"
     )
+    record = lines.select("type", F.from_json("line", shape).alias("r")).select("type", "r.*")
+    steps = record.where("type = 'rl_episode'").select("type", "case_id", F.posexplode("steps").alias("pos", "s"))
+    turns = record.where("type <> 'rl_episode'").select("type", "case_id", "turns", F.posexplode("turns").alias("at", "t"))
+    told = turns.where("at % 2 = 0").select(
+        "type", "case_id", (F.col("at") / 2).cast("int").alias("pos"), F.col("t.content").alias("said"),
+        F.get("turns", F.col("at") + 1)["content"].alias("answered"),
+    )
+    return steps.select("type", "case_id", "pos", F.col("s.observation.narrative").alias("said"), F.col("s.observation.time_elapsed").alias("answered")).union(told)
+
+
+@query
+def case_decode(spark, sf_dir):
+    """Stored cases, a tenth of them with broken JSON."""
+    broken = F.when(F.col("case_id").cast("long") % 10 == 3, F.lit('{"case_id": ')).otherwise(F.col("case_json"))
+    rows = _store(spark, sf_dir).withColumn("case_json", broken)
+    good = case_ops.decode_cases(rows).select("case_id", F.lit(False).alias("unreadable"), "topic", F.size("phases").alias("phases"))
+    bad = case_ops.unreadable_cases(rows)
+    return good.unionByName(bad.select("case_id", F.lit(True).alias("unreadable")), allowMissingColumns=True)
 
 
 # --- validation ------------------------------------------------------------------------
@@ -424,7 +441,7 @@ def lab_flags(spark, sf_dir):
 def lab_conformance(spark, sf_dir):
     values = validation.lab_values(fixtures.cases(spark, sf_dir))
     return validation.check_lab_template(values, validation.lab_panels(spark)).select(
-        "case_id", "phase_number", "panel", "name", "value", "unit", "issue"
+        "case_id", "phase_number", "panel", "name", "value", "unit", F.array_join("issues", "; ").alias("issues")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.functions.dates import offset_minutes, pubmed_date
 from wardloom.functions.text import WHITESPACE, float_text, preview, strip
 from wardloom.operators.chunking import chunk, split_by_size, split_sections
-from wardloom.operators.tagging import tag_by_join, tag_specialty, tag_with_table
+from wardloom.operators.tagging import tag_specialty, tag_with_table
 from wardloom.reference_data import DRUG_LABEL_HEADERS, SPECIALTY_KEYWORDS
 
 META = "struct<authors:array<string>,publication_date:date,specialty:array<string>,credibility:string,url:string,doi:string>"
@@ -120,7 +120,7 @@ def test_whole_words(spark):
     assert got["s:3"] == ["zeta", "alpha"]
 
 
-def test_keyword_table_both_ways(spark):
+def test_keyword_table_whole_and_in_slices(spark):
     rng = random.Random(5)
     table = {f"g{g}": ["".join(rng.choices("abcé. ", k=rng.randint(1, 6))) for _ in range(15)] for g in range(5)}
     table["hot"] = ["a"]
@@ -128,14 +128,22 @@ def test_keyword_table_both_ways(spark):
     chunks = chunks_of(spark, texts)
     rows = [(s, w) for s, words in table.items() for w in words] + [("none", "")]
     keywords = spark.createDataFrame(rows, "specialty string, keyword string")
-    literal, joined = tags_of(tag_with_table(chunks, keywords)), tags_of(tag_with_table(chunks, keywords, literal_limit=3))
-    assert literal == joined == tags_of(tag_by_join(chunks, keywords.where("keyword <> ''")))
+    literal, sliced = tags_of(tag_with_table(chunks, keywords)), tags_of(tag_with_table(chunks, keywords, at_once=20))
+    assert literal == sliced
     for row in chunks.collect():
         found = by_keyword(row["text"], table)
         wanted = sorted(found | {"zeta", "alpha"}) if found else ["zeta", "alpha"]
         assert literal[row["chunk_id"]] == wanted
 
 
+def test_rows_of_one_id_keep_their_own_tags(spark):
+    chunks = chunks_of(spark, ["a stroke", "a kidney"]).withColumn("chunk_id", F.lit("same"))
+    keywords = spark.createDataFrame([("neuro", "stroke"), ("nephro", "kidney"), (None, "a"), ("x", None)], "specialty string, keyword string")
+    tags = sorted(sorted(set(r["metadata"]["specialty"]) & {"neuro", "nephro"}) for r in tag_with_table(chunks, keywords).collect())
+    assert tags == [["nephro"], ["neuro"]]
+    assert tag_with_table(chunks, keywords.where("false")).count() == 2
+
+
 def test_float_text(spark):
     values = [0.0, -0.0, 98.0, 36.6, 1e-3, 1e-4, 1.5e-4, 1e-5, -2.5e-5, 1.25e-7, 9999999.0, 1e7, 12345678.9, 1e15, 1e16, 1.5e16, 1e100, float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
@@ -144,7 +152,8 @@ def test_float_text(spark):
 
 
 def test_small_expressions(spark):
-    df = spark.createDataFrame([("T+0", 0), ("T+1h30min", 90), ("T+2d", 2880), ("later", None)], "t string, m int")
+    df = spark.createDataFrame([("T+0", 0.0), ("T+1h30min", 90.0), ("T+2d", 2880.0), ("later", None), ("T+30sec", 0.5), ("T+1w", None),
+                                ("T+1.5h", 90.0), ("t + 90 minutes", 90.0), ("T+", None), ("T+2 days 1 hr", 2940.0), ("T+1h30", None), (None, None)], "t string, m double")
     assert all(r["m"] == r["got"] for r in df.select("m", offset_minutes(F.col("t")).alias("got")).collect())
     one = spark.createDataFrame([(WHITESPACE + "a b" + WHITESPACE, "x" * 201, "2024", "FEB", "x")], "s string, l string, y string, m string, d string")
     row = one.select(strip(F.col("s")).alias("s"), preview(F.col("l")).alias("l"), pubmed_date(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("d")).head()

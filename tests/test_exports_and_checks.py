@@ -76,13 +76,13 @@ def test_lab_checks(spark):
         {"name": "K", "value": 4.25, "unit": "mEq/L", "reference_low": 3.5, "reference_high": 5.0},
         {"name": "Zz", "value": 1.0, "unit": "u", "reference_low": 0.0, "reference_high": 2.0},
         {"name": "Cr", "value": 1.0, "unit": "g", "reference_low": 0.7, "reference_high": 1.3},
-        {"name": "Ca", "value": 10.5, "unit": "mg/dL", "reference_low": 8.5, "reference_high": 10.5}]}
+        {"name": "Ca", "value": 10.5, "unit": None, "reference_low": 8.5, "reference_high": 10.5}]}
     values = validation.lab_values(frame(spark, case("a", [phase(1, lab_results=[LAB, odd])])))
     panels = validation.lab_panels(spark)
     flags = {r["name"]: r["flag"] for r in validation.flag_labs(values, panels).where("value <> 4.25").collect()}
     assert flags == {"K": "critical", "Na": "L", "Zz": None, "Cr": None, "Ca": None}
-    issues = {r["name"]: r["issue"] for r in validation.check_lab_template(values, panels).collect()}
-    assert issues == {"K": "wrong precision", "Zz": "unknown component", "Cr": "wrong unit"}
+    issues = {r["name"]: r["issues"] for r in validation.check_lab_template(values, panels).collect()}
+    assert issues == {"K": ["wrong precision"], "Zz": ["unknown component"], "Cr": ["wrong unit"], "Ca": ["wrong unit"]}
 
 
 def test_imaging_checks(spark):
@@ -123,9 +123,10 @@ def test_grading(spark):
         {"choice": "w2", "is_correct": False, "error_type": "common_mistake", "reasoning": "r", "outcome": "o3"},
     ]
     cases = frame(spark, case("a", decision_tree=tree))
-    answers = [(f"h{i}", "a", 1) for i in range(300)] + [("x", "a", 0), ("y", "a", 2), ("z", "a", 7), ("q", "no", 0)]
+    answers = [(f"h{i}", "a", 1) for i in range(300)] + [("x", "a", 0), ("y", "a", 2), ("z", "a", 7), ("q", "no", 0), ("u", "a", None), ("n", None, 1)]
     graded = {r["answer_id"]: r for r in grading.grade_choices(cases, spark.createDataFrame(answers, "answer_id string, case_id string, chosen int")).collect()}
-    assert len(graded) == 302
+    assert len(graded) == 306
+    assert [graded[k]["verdict"] for k in "zqun"] == ["unknown choice", "unknown case", "unknown choice", "unknown case"]
     assert (graded["x"]["verdict"], graded["x"]["correct_choice"], graded["x"]["consequence"]) == ("Catastrophic Error", "ok", "dies")
     assert graded["y"]["verdict"] == "Incorrect" and graded["h0"]["verdict"] == "Correct!" and graded["h0"]["correct_choice"] is None
     kinds = [r["class"] for r in grading.decision_classes(cases).orderBy("position").collect()]

@@ -45,13 +45,17 @@ def compact_date(text: Column) -> Column:
     return F.when(F.length(text) >= 8, date_of(*piece))
 
 
-def offset_minutes(text: Column) -> Column:
-    """Minutes of a relative time such as ``T+45min``, ``T+2h30min`` or ``T+1d``; null if unreadable."""
-    shape = r"(?i)^\s*T\s*\+\s*(?:(\d+)\s*d[a-z]*)?\s*(?:(\d+)\s*h[a-z]*)?\s*(?:(\d+)\s*m?[a-z]*)?\s*$"
+# words of a relative time and how many minutes each stands for; a number without a word is minutes
+_UNITS = (("d|days?", 1440), ("h|hrs?|hours?", 60), ("m|mins?|minutes?", 1), ("s|secs?|seconds?", 1 / 60))
 
-    def part(group: int) -> Column:
-        digits = F.regexp_extract(text, shape, group)
-        return F.when(digits != "", digits.cast("int")).otherwise(F.lit(0))
 
-    readable = text.rlike(shape) & text.rlike(r"\d")
-    return F.when(readable, part(1) * 1440 + part(2) * 60 + part(3))
+def offset_minutes(text: Column) -> Column:
+    """Minutes of a relative time such as ``T+45min``, ``T+1.5h``, ``T+2h30min`` or ``T+30sec``; null if unreadable."""
+    number = r"(\d+(?:\.\d+)?)"
+    parts = [rf"(?:{number}\s*(?:{words})\s*)?" for words, _ in _UNITS]
+    shape = rf"(?i)^\s*T\s*\+\s*(?:{number}|{''.join(parts)})\s*$"
+    minutes = F.lit(0.0)
+    for group, factor in enumerate((1, *(factor for _, factor in _UNITS)), 1):
+        digits = F.regexp_extract(text, shape, group)
+        minutes = minutes + F.when(digits != "", digits.cast("double") * factor).otherwise(0.0)
+    return F.when(text.rlike(shape) & text.rlike(r"\d"), minutes)

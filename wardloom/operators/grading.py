@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def grade_choices(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """Grade ``answers`` (answer_id, case_id, chosen).
+    """Grade ``answers`` (answer_id, case_id, chosen), every one of them.
 
+    An answer to a case that is not there has the verdict ``unknown case``, one outside the case's tree ``unknown choice``.
     Answers to a case are first cut to its distinct choices, so each case's tree is met once per choice
     however many learners answered; the graded choices then go back to the answers. Of that last join
     adaptive execution splits the part of a case that many learners answered.
@@ -19,15 +20,16 @@ def grade_choices(cases: DataFrame, answers: DataFrame) -> DataFrame:
     graded = (
         answers.select("case_id", "chosen")
         .distinct()
-        .join(cases.select("case_id", "decision_tree"), "case_id")
-        .where(chosen.isNotNull())
+        .join(cases.select("case_id", "decision_tree", F.lit(True).alias("known")), "case_id", "left")
         .select(
             "case_id",
             "chosen",
             chosen["choice"].alias("choice"),
             chosen["is_correct"].alias("is_correct"),
             chosen["error_type"].alias("error_type"),
-            F.when(chosen["is_correct"], F.lit("Correct!"))
+            F.when(F.col("known").isNull(), F.lit("unknown case"))
+            .when(chosen.isNull(), F.lit("unknown choice"))
+            .when(chosen["is_correct"], F.lit("Correct!"))
             .when(chosen["error_type"] == "catastrophic", F.lit("Catastrophic Error"))
             .otherwise(F.lit("Incorrect"))
             .alias("verdict"),
@@ -37,7 +39,10 @@ def grade_choices(cases: DataFrame, answers: DataFrame) -> DataFrame:
             F.when(~chosen["is_correct"], correct["choice"]).alias("correct_choice"),
         )
     )
-    return answers.join(graded, ["case_id", "chosen"])
+    verdicts = answers.join(graded, ["case_id", "chosen"], "left")
+    # answers without a case or a choice meet nothing
+    lost = F.when(F.col("case_id").isNull(), "unknown case").otherwise("unknown choice")
+    return verdicts.withColumn("verdict", F.coalesce("verdict", lost))
 
 
 def decision_classes(cases: DataFrame) -> DataFrame:

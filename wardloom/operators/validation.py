@@ -85,7 +85,7 @@ def _with_template(values: DataFrame, panels: DataFrame) -> DataFrame:
             "unit", "reference_low", "reference_high", "critical_low", "critical_high", "precision"
         ).alias("template"),
     )
-    return values.join(F.broadcast(template), ["panel", "name"], "left")
+    return values.join(template, ["panel", "name"], "left")
 
 
 def flag_labs(values: DataFrame, panels: DataFrame) -> DataFrame:
@@ -104,16 +104,18 @@ def _flagged(values: DataFrame) -> list[str]:
 
 
 def check_lab_template(values: DataFrame, panels: DataFrame) -> DataFrame:
-    """Values that differ from their template: unknown component, other unit, or too many decimals."""
+    """Values that differ from their template, with all that is wrong: unknown component, other or no unit, too many decimals."""
     t = F.col("template")
     scaled = F.col("value") * F.pow(F.lit(10.0), t["precision"])
     too_fine = F.abs(scaled - F.round(scaled)) > 1e-6
-    issue = (
-        F.when(t.isNull(), F.lit("unknown component"))
-        .when(F.col("unit") != t["unit"], F.lit("wrong unit"))
-        .when(too_fine, F.lit("wrong precision"))
+    found = F.array_compact(
+        F.array(
+            F.when(t.isNull(), F.lit("unknown component")),
+            F.when(t.isNotNull() & ~F.col("unit").eqNullSafe(t["unit"]), F.lit("wrong unit")),
+            F.when(too_fine, F.lit("wrong precision")),
+        )
     )
-    return _with_template(values, panels).withColumn("issue", issue).where("issue is not null").drop("template").select(*values.columns, "issue")
+    return _with_template(values, panels).withColumn("issues", found).where("size(issues) > 0").select(*values.columns, "issues")
 
 
 # --- imaging -----------------------------------------------------------------------
@@ -208,13 +210,15 @@ def check_difficulty_shape(cases: DataFrame, rules: Mapping[str, Mapping] = DIFF
 
 
 def score_gate(cases: DataFrame, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
-    """Whether all three review scores reach the threshold, beside the reviewer's own decision."""
+    """Whether all three review scores are there and reach the threshold, beside the reviewer's own decision."""
     r = F.col("review")
-    lowest = F.least(r["accuracy_score"], r["pedagogy_score"], r["bias_score"])
+    scores = [r["accuracy_score"], r["pedagogy_score"], r["bias_score"]]
+    lowest = F.least(*scores)
+    whole = scores[0].isNotNull() & scores[1].isNotNull() & scores[2].isNotNull()
     return cases.where(r.isNotNull()).select(
         "case_id",
         lowest.alias("lowest_score"),
-        (lowest >= threshold).alias("passes"),
+        (F.coalesce(lowest >= threshold, F.lit(False)) & whole).alias("passes"),
         r["approved"].alias("approved"),
     )
 
@@ -227,16 +231,19 @@ def _with_previous(cases: DataFrame, build) -> DataFrame:
 
 
 def check_offset_order(cases: DataFrame) -> DataFrame:
-    """Phases whose time is before that of the phase before, or cannot be read."""
+    """Phases whose time cannot be read, or is before the last one that can."""
+    rows = cases.withColumn("_minutes", F.transform("phases", lambda p: offset_minutes(p["time_offset"])))
 
-    def row(phase: Column, previous: Column) -> Column:
+    def row(phase: Column, i: Column) -> Column:
+        read = F.array_compact(F.slice("_minutes", F.lit(1), i))
         return F.struct(
             phase["phase_number"].alias("phase_number"),
-            offset_minutes(phase["time_offset"]).alias("minutes"),
-            offset_minutes(previous["time_offset"]).alias("previous_minutes"),
+            F.get("_minutes", i).alias("minutes"),
+            F.try_element_at(read, F.lit(-1)).alias("previous_minutes"),
         )
 
-    return _with_previous(cases, row).where("minutes is null or minutes < previous_minutes")
+    pairs = rows.select("case_id", F.explode(F.transform("phases", row)).alias("x")).select("case_id", "x.*")
+    return pairs.where("minutes is null or minutes < previous_minutes")
 
 
 VITALS = ("hr", "bp_systolic", "bp_diastolic", "rr", "spo2", "temp_c", "gcs")

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType
 
 from wardloom.functions.dates import compact_date
 from wardloom.functions.text import has_text, string_array, text_or_empty
-from wardloom.reference_data import LIMIT_PER_SOURCE, LOINC_SECTIONS, OPENFDA_SECTIONS
+from wardloom.reference_data import LOINC_SECTIONS, OPENFDA_SECTIONS
 from wardloom.schemas import TEXT, fields
 from wardloom.sources.base import Source, document, parsed_json
 
@@ -155,12 +155,13 @@ def _drug(rows: DataFrame, rxcui: Column, name: Column, tty: Column) -> DataFram
     )
 
 
-def rxnorm(limit: int = LIMIT_PER_SOURCE) -> Source:
-    """Concepts of each answer in group order, at most ``limit`` per answer."""
+def rxnorm(limit: int | None = None) -> Source:
+    """Concepts of each answer in group order: all, or the first ``limit``."""
 
     def documents(parsed: DataFrame) -> DataFrame:
         groups = F.transform("parsed.drugGroup.conceptGroup", lambda g: g["conceptProperties"])
-        concepts = F.slice(F.flatten(F.array_compact(groups)), 1, limit)
+        concepts = F.flatten(F.array_compact(groups))
+        concepts = concepts if limit is None else F.slice(concepts, 1, limit)
         rows = parsed.select(F.explode(concepts).alias("concept"))
         return _drug(rows, F.col("concept.rxcui"), F.col("concept.name"), F.col("concept.tty"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.text import text_or_empty
-from wardloom.reference_data import LIMIT_PER_SOURCE, RECENT_DAYS, SOURCE_CAPS
+from wardloom.reference_data import LIMIT_PER_SOURCE, RECENT_DAYS
 from wardloom.sources.articles import CURATED, FULLTEXT, MEDRXIV, PUBMED, WEB
 from wardloom.sources.base import Source
 from wardloom.sources.drugs import DAILYMED, OPENFDA, RXNORM
@@ -63,17 +63,17 @@ def limit_per_source(
     documents: DataFrame,
     n: int = LIMIT_PER_SOURCE,
     order: Column | list[Column] | None = None,
-    caps: Mapping[str, int] = SOURCE_CAPS,
+    caps: Mapping[str, int] | None = None,
     salts: int = 32,
 ) -> DataFrame:
-    """The first ``n`` rows of every source, fewer for a source with a lower cap of its own.
+    """The first ``n`` rows of every source, fewer for a source that ``caps`` gives a lower cap.
 
     Two rank limits: first inside each salt of a source, which spreads one large source over many
     tasks, then over the at most ``salts * n`` rows left of it. Both are also cut before their shuffle.
     """
     keys = [F.col("source_id")] if order is None else order if isinstance(order, list) else [order]
     salted = documents.withColumn("_salt", F.pmod(F.xxhash64("source", "source_id"), F.lit(salts)))
-    capped = {name: cap for name, cap in caps.items() if cap < n}
+    capped = {name: cap for name, cap in (caps or {}).items() if cap < n}
     own_cap = F.lit(True)
     for name, cap in capped.items():
         own_cap = own_cap & ((F.col("source") != name) | (F.col("_rank") <= cap))
