@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.text import HashTable, mix, word_hashes
+from wardloom.llm.text import HashTable, mix, pieces, word_hashes
 from wardloom.llm.work import take
 
 PERCENT_EDITS = 20  # an item of n words matches within floor(n * 20 / 100) word edits
@@ -291,10 +291,10 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def runner(made):
         def run(batches):
             find = made()
-            for batch in batches:
-                out = find(batch)
+            for piece in (p for batch in batches for p in pieces(batch)):
+                out = find(piece)
                 row, *rest = (pa.array([o[k] for o in out], pa.int64()) for k in range(6))
-                yield pa.record_batch([batch.column("doc_id").take(row), *rest], names)
+                yield pa.record_batch([piece.column("doc_id").take(row), *rest], names)
 
         return run
 
@@ -309,10 +309,10 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def runner(made):
         def run(batches):
             find = made()
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[o[0] for o in find(batch)]] = False
-                yield batch.filter(pa.array(clean))
+            for piece in (p for batch in batches for p in pieces(batch)):
+                clean = np.ones(piece.num_rows, bool)
+                clean[[o[0] for o in find(piece)]] = False
+                yield piece.filter(pa.array(clean))
 
         return run
 

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.text import mix, word_hashes
+from wardloom.llm.text import mix, pieces, word_hashes
 from wardloom.llm.work import saved, take
 
 BITS = 16
-SAMPLE = 16_384  # rated documents that the fit uses, at most about
+SAMPLE = 12_288  # rated documents that the fit uses, at most about
 STEPS, RATE, PENALTY = 200, 0.05, 2e-4
 
 
@@ -63,14 +64,18 @@ def thresholds(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
-def fit(rows: np.ndarray, keys: np.ndarray, values: np.ndarray, grades: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds for grades 0 to ``top``, by the likelihood of the grades with a penalty on the weights."""
+def fit(sizes: np.ndarray, keys: np.ndarray, values: np.ndarray, grades: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds for grades 0 to ``top``, by the likelihood of the grades with a penalty on the weights.
+
+    Features come document after document, ``sizes`` (one at least) of each.
+    """
     n = len(grades)
+    starts = np.cumsum(sizes) - sizes
     w, raw = np.zeros(1 << BITS), np.concatenate([[-1.0], np.zeros(top - 1)])
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(raw), np.zeros_like(raw)]
     for step in range(1, STEPS + 1):
         t = thresholds(raw)
-        score = np.bincount(rows, values * w[keys], n)
+        score = np.add.reduceat(values * w[keys], starts)
         # cumulative probabilities from 1 (grade >= 0) to 0 (grade > top); a grade has the difference of two
         tails = np.column_stack([np.ones(n), _sigmoid(score[:, None] - t), np.zeros(n)])
         slopes = tails * (1 - tails)
@@ -82,7 +87,7 @@ def fit(rows: np.ndarray, keys: np.ndarray, values: np.ndarray, grades: np.ndarr
         np.add.at(d_t, grades + 1, -slopes[at, grades + 1] / p / n)
         d_t = d_t[1 : top + 1]
         d_raw = np.concatenate([[d_t.sum()], np.exp(raw[1:]) * np.cumsum(d_t[::-1])[::-1][1:]])
-        d_w = np.bincount(keys, values * d_score[rows], len(w)) + PENALTY * w
+        d_w = np.bincount(keys, values * np.repeat(d_score, sizes), len(w)) + PENALTY * w
         for k, (x, d) in enumerate(((w, d_w), (raw, d_raw))):
             m, s = moments[2 * k], moments[2 * k + 1]
             m += 0.1 * (d - m)
@@ -105,31 +110,31 @@ def fit_on(docs: DataFrame, ratings: DataFrame, top: int) -> tuple[np.ndarray, n
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             own = batch.column("doc_id").to_numpy()
             place = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
             found = ids[place] == own if len(ids) else np.zeros(len(own), bool)
             if not found.any():
                 continue
-            chosen = batch.filter(pa.array(found))
-            rows, keys, values = features(chosen.column("text"))
-            order = np.argsort(rows, kind="stable")
-            cuts = np.searchsorted(rows[order], np.arange(chosen.num_rows + 1))
-            keys, values = keys[order].astype(np.int32), values[order].astype(np.float32)
-            yield pa.record_batch(
-                [chosen.column("doc_id"), pa.array(grades[place[found]].astype(np.int32)),
-                 *[pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (keys, values)]],
-                ["doc_id", "grade", "keys", "values"],
-            )
+            rated_rows = batch.append_column("grade", pa.array(grades[place].astype(np.int32))).filter(pa.array(found))
+            for chosen in pieces(rated_rows):
+                rows, keys, values = features(chosen.column("text"))
+                order = np.argsort(rows, kind="stable")
+                cuts = np.searchsorted(rows[order], np.arange(chosen.num_rows + 1))
+                keys, values = keys[order].astype(np.int32), values[order].astype(np.float32)
+                yield pa.record_batch(
+                    [chosen.column("doc_id"), chosen.column("grade"),
+                     *[pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (keys, values)]],
+                    ["doc_id", "grade", "keys", "values"],
+                )
 
     sample = docs.mapInArrow(run, "doc_id long, grade int, keys binary, values binary")
     table = saved(sample.dropDuplicates(["doc_id"]), "rated-features").sort("doc_id").toArrow()
-    keys = [np.frombuffer(x, np.int32) for x in table.column("keys").to_pylist()]
-    values = [np.frombuffer(x, np.float32) for x in table.column("values").to_pylist()]
-    if not keys:
+    if not table.num_rows:
         return np.zeros(1 << BITS), np.arange(top) - (top - 1) / 2
-    rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    return fit(rows, np.concatenate(keys).astype(np.int64), np.concatenate(values).astype(float), table.column("grade").to_numpy().astype(np.int64), top)
+    keys, values = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.int32), ("values", np.float32)))
+    sizes = pc.binary_length(table.column("keys")).to_numpy().astype(np.int64) // 4
+    return fit(sizes, keys.astype(np.int64), values, table.column("grade").to_numpy().astype(np.int64), top)
 
 
 def graded(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least: float = 0.5) -> DataFrame:
@@ -146,11 +151,11 @@ def graded(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least: fl
     w, t = fit_on(docs, ratings, top)
 
     def run(batches):
-        for batch in batches:
-            tails = tail_probabilities(batch.column("text"), w, t)
+        for piece in (p for batch in batches for p in pieces(batch)):
+            tails = tail_probabilities(piece.column("text"), w, t)
             tail = tails[:, wanted - 1]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)],
+                [piece.column("doc_id"), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)],
                 ["doc_id", "expected_grade", "tail_probability", "selected"],
             )
 
@@ -162,8 +167,8 @@ def selected(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least:
     w, t = fit_on(take(docs, doc_id="long", text="string"), ratings, top)
 
     def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(tail_probabilities(batch.column("text"), w, t)[:, wanted - 1] >= least))
+        for piece in (p for batch in batches for p in pieces(batch)):
+            yield piece.filter(pa.array(tail_probabilities(piece.column("text"), w, t)[:, wanted - 1] >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

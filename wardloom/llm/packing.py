@@ -12,7 +12,10 @@ Only lengths and bin numbers travel; token ids stay where they were made.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import functools
+import json
 import zlib
 
 import numpy as np
@@ -42,16 +45,19 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as source:
+            self.special = [t["content"] for t in json.load(source).get("added_tokens", [])]
         self.fast = None
         if ranks_path and pattern:
-            import base64
-
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids

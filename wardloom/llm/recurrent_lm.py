@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.text import HashTable, mix, word_hashes
+from wardloom.llm.text import HashTable, mix, pieces, word_hashes
 from wardloom.llm.work import saved, take
 
 HEAD, HEAD_CLASSES = 1024, 16  # words with weights of their own, and their classes
@@ -34,7 +34,7 @@ TAIL_CLASSES = 32
 LEXICON = 1 << 18  # words whose counts travel to all tasks; others are joined
 HIDDEN = 16
 LANES, STEPS = 256, 16
-TOKENS_AT_ONCE = 1 << 20
+COUNTED_AT_ONCE = 1 << 22  # words
 ROUNDS = ((0, 1), (1, 4), (4, 16))  # sixteenths of the training documents
 RATE = 0.006
 
@@ -81,7 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 words, _, endings = word_hashes(piece.column("text"), endings=True)
                 held.append((words, tail_class(endings)))
                 size += len(words)
-                if size >= 4 * TOKENS_AT_ONCE:
+                if size >= COUNTED_AT_ONCE:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -93,19 +93,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def pieces(batch: pa.RecordBatch):
-    """Runs of rows of a bounded number of bytes, or one row."""
-    if not batch.num_rows:
-        return
-    lengths = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column("text")).to_pylist()], np.int64)
-    total, low = np.cumsum(lengths), 0
-    while low < batch.num_rows:
-        reached = (total[low - 1] if low else 0) + 8 * TOKENS_AT_ONCE
-        high = max(low + 1, int(np.searchsorted(total, reached, "right")))
-        yield batch.slice(low, high - low)
-        low = high
-
-
 class Lexicon:
     """What all tasks know of the counts: totals, and the most frequent words with their ranks."""
 

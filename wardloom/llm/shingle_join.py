@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.text import mix, sequence_hash, shingle_hashes, word_hashes
+from wardloom.llm.text import mix, pieces, sequence_hash, shingle_hashes, word_hashes
 from wardloom.llm.work import components, saved, take
 
 WORDS = 5
@@ -140,10 +140,12 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    hashes, at = word_hashes(batch.column("text"))
-    for i in range(batch.num_rows):
-        yield i, shingle_set(hashes[at[i] : at[i + 1]], words)
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    """The set of each row in turn."""
+    for piece in pieces(batch):
+        hashes, at = word_hashes(piece.column("text"))
+        for i in range(piece.num_rows):
+            yield shingle_set(hashes[at[i] : at[i + 1]], words)
 
 
 def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -151,7 +153,7 @@ def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(len(s), set_id(s), sketch(s), wide_sketch(s)) for _, s in _sets(batch, words)]
+            rows = [(len(s), set_id(s), sketch(s), wide_sketch(s)) for s in _sets(batch, words)]
             n, ids, parity, wide = zip(*rows) if rows else ((), (), (), ())
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parity, pa.binary()), pa.array(wide, pa.binary())],
@@ -172,7 +174,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             return pa.record_batch([pa.array(np.concatenate(sig).view(_INT)), pa.array(np.concatenate(ids))], ["signature", "set_id"])
 
         for batch in batches:
-            for _, elements in _sets(batch, words):
+            for elements in _sets(batch, words):
                 name = set_id(elements)
                 if name in seen or not len(elements):
                     continue
@@ -362,7 +364,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, pe
         for batch in batches:
             at = batch.column("at").to_numpy()
             batch = batch.filter(pa.array((marked[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
-            for _, elements in _sets(batch, words):
+            for elements in _sets(batch, words):
                 yield pa.record_batch(
                     [pa.array([set_id(elements)], pa.int64()), pa.array([elements.tobytes()], pa.binary())], ["set_id", "elements"]
                 )

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 15  # bytes hashed at once; bounds the memory for a text of any length
+PIECE = 1 << 23  # bytes of the texts worked on together
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -35,6 +37,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have a bounded number of bytes together, or one row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, low = np.cumsum(lengths), 0
+    while low < batch.num_rows:
+        reached = (int(total[low - 1]) if low else 0) + size
+        high = max(low + 1, int(np.searchsorted(total, reached, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _byte_values() -> np.ndarray:
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
     values[65:91] = values[97:123]
