@@ -211,11 +211,22 @@ ORACLES["ingest_summary_of_documents"] = _SUMMARY
 ORACLES["kb_flat_metadata"] = f"""{WITH_CHUNKS}
 SELECT chunk_id, source_document_id, source, position, credibility, array_to_string(specialty, ',') AS specialty,
   authors, coalesce(doi, '') AS doi, coalesce(url, '') AS url FROM chunks"""
-ORACLES["kb_upsert"] = f"""{WITH_CHUNKS}
-SELECT chunk_id, source, position,
-  CASE WHEN content_type = 'abstract' THEN {strip("content || ' again'")} ELSE text END AS text, 384 AS width
-FROM chunks JOIN (SELECT source AS s, source_id AS i, content FROM docs) d
-  ON source_document_id = d.s || ':' || d.i"""
+_UNSOURCED = DOCS.replace("SELECT source, CAST", "SELECT CASE WHEN source = 'src3' THEN '' ELSE source END AS source, CAST")
+
+
+def _stored(new_text: str, changed: str) -> str:
+    """Chunks of which some have a new text; tags follow the text."""
+    return f"""WITH RECURSIVE {_UNSOURCED}, {CHUNKS.replace(chr(10) + "chunks AS (", chr(10) + "old_chunks AS (")},
+chunks AS (
+  SELECT c.* REPLACE (CASE WHEN {changed} THEN {strip(new_text)} ELSE text END AS text)
+  FROM old_chunks c JOIN (SELECT source AS s, source_id AS i, content FROM docs) d ON source_document_id = d.s || ':' || d.i),
+{_TAGGED}
+SELECT chunk_id, source, position, text, array_to_string(tags, ',') AS specialty, credibility, authors, coalesce(doi, '') AS doi,
+  384 AS width, CASE WHEN regexp_matches(text, '[\\pL\\pN]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM tagged"""
+
+
+ORACLES["kb_upsert"] = _stored("content || ' again'", "content_type = 'abstract'")
+ORACLES["kb_increment"] = _stored("'changed'", "content_type = 'abstract' AND CAST(i AS BIGINT) % 100 = 0")
 ORACLES["kb_count"] = f"{WITH_CHUNKS} SELECT count(*) AS chunks FROM chunks"
 ORACLES["embed_chunks"] = f"""{WITH_CHUNKS}
 SELECT chunk_id, 384 AS width, CASE WHEN regexp_matches(text, '[\\pL\\pN]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks"""

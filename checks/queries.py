@@ -180,17 +180,46 @@ def kb_flat_metadata(spark, sf_dir):
     return knowledge.flat_metadata(_chunks(spark, sf_dir)).drop("text")
 
 
+def _stored_chunks(kb: DataFrame) -> DataFrame:
+    """All of a stored chunk; its vector as the number of terms and the sum of squares."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return kb.select(
+        "chunk_id", "source", "position", "text", F.array_join("metadata.specialty", ",").alias("specialty"),
+        "metadata.credibility", F.array_join("metadata.authors", ",").alias("authors"),
+        F.coalesce("metadata.doi", F.lit("")).alias("doi"), F.size("embedding").alias("width"), F.round(total, 4).alias("norm"),
+    )
+
+
+def _unsourced(documents: DataFrame) -> DataFrame:
+    """Documents, some of them from a source without a name."""
+    return documents.withColumn("source", F.when(F.col("source") == "src3", F.lit("")).otherwise(F.col("source")))
+
+
 @query
 def kb_upsert(spark, sf_dir):
-    """All documents, then all of them again with other specialties and one section more."""
-    kb = knowledge.knowledge_table(spark, work_path(spark, "kb"), buckets=2)
-    documents = fixtures.documents(spark, sf_dir)
+    """All documents, then the abstracts again in two versions of which the later counts, then the table compacted."""
+    kb = knowledge.knowledge_table(spark, work_path(spark, "kb"))
+    documents = _unsourced(fixtures.documents(spark, sf_dir))
     kb.upsert(knowledge.knowledge_rows(documents))
-    changed = documents.where("content_type = 'abstract'").withColumn(
-        "content", F.concat("content", F.lit(" again"))
+    abstracts = documents.where("content_type = 'abstract'")
+    early = abstracts.withColumn("content", F.concat(F.lit("zz early "), "content"))
+    late = abstracts.withColumn("content", F.concat("content", F.lit(" again"))).withColumn(
+        "metadata", F.col("metadata").withField("publication_date", F.date_add("metadata.publication_date", 1))
     )
-    kb.upsert(knowledge.knowledge_rows(changed))
-    return kb.read().select("chunk_id", "source", "position", "text", F.size("embedding").alias("width"))
+    kb.upsert(knowledge.knowledge_rows(knowledge.single_version(early.unionByName(late))))
+    kb.compact()
+    return _stored_chunks(kb.read())
+
+
+@query
+def kb_increment(spark, sf_dir):
+    """All documents, then a hundredth of them with other text: read as increments that are not merged yet."""
+    kb = knowledge.knowledge_table(spark, work_path(spark, "kb"))
+    documents = _unsourced(fixtures.documents(spark, sf_dir))
+    kb.upsert(knowledge.knowledge_rows(documents))
+    few = documents.where("content_type = 'abstract' AND cast(source_id AS long) % 100 = 0")
+    kb.upsert(knowledge.knowledge_rows(few.withColumn("content", F.lit("changed"))))
+    return _stored_chunks(kb.read())
 
 
 @query
@@ -304,7 +333,7 @@ def case_count(spark, sf_dir):
 @query
 def case_upsert(spark, sf_dir):
     """All cases saved, then those of one difficulty replaced."""
-    store = case_ops.case_table(spark, work_path(spark, "cases"), buckets=8)
+    store = case_ops.case_table(spark, work_path(spark, "cases"))
     cases = fixtures.cases(spark, sf_dir)
     case_ops.upsert_cases(store, cases)
     replaced = cases.where("difficulty = 'attending'").withColumn("topic", F.lit("REPLACED"))
@@ -689,7 +718,7 @@ def lab_context(spark, sf_dir):
 
 def _streamed(spark, sf_dir, name, to_documents) -> tuple[DataFrame, str]:
     folder = work_path(spark, "stream")
-    kb = knowledge.knowledge_table(spark, f"{folder}/kb", buckets=2)
+    kb = knowledge.knowledge_table(spark, f"{folder}/kb")
     run = ingest.ingest_documents(
         fixtures.stream(spark, sf_dir, name), to_documents, kb, f"{folder}/state", f"{folder}/progress"
     )

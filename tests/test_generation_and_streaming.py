@@ -132,7 +132,7 @@ def _land(folder, name, *items):
 
 def test_stream_equals_batch_and_repeats(spark, tmp_path):
     landed = tmp_path / "landed"
-    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"), buckets=2)
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
 
     def run(state):
         ingest.stream_ingest(spark, str(landed), "firecrawl", kb, str(tmp_path / state), str(tmp_path / "progress")).awaitTermination()

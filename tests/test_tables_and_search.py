@@ -28,7 +28,7 @@ def kb_rows(spark, *rows):
 
 
 def test_upsert_twice_replaces_and_keeps(spark, tmp_path):
-    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"), buckets=3)
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"), compact_after=3)
     assert kb.count() == 0
     first = kb_rows(spark, *[(f"c{i}", f"s{i % 2}", f"t{i}", 1.0, 0.0, "curated") for i in range(20)])
     kb.upsert(first)
@@ -45,18 +45,64 @@ def test_upsert_twice_replaces_and_keeps(spark, tmp_path):
 
 
 def test_two_writers_cannot_publish_one_version(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), KB_CHUNK, "chunk_id", ("source",))
-    table._publish(1, {})
+    table = KeyedTable(spark, str(tmp_path / "t"), KB_CHUNK, "chunk_id", "source")
+    table._publish(1, [])
     with pytest.raises(RuntimeError):
-        table._publish(1, {})
+        table._publish(1, [])
+
+
+def _bytes(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_an_upsert_writes_its_own_rows_only(spark, tmp_path):
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
+    kb.upsert(kb_rows(spark, *[(f"c{i}", f"s{i % 4}", f"text {i} " * 50, float(i), 0.5, "curated") for i in range(3000)]))
+    whole = _bytes(tmp_path / "kb")
+    kb.upsert(kb_rows(spark, *[(f"c{i}", "s1", "new", 1.0, 0.0, "curated") for i in range(1, 41, 4)]))
+    assert _bytes(tmp_path / "kb") - whole < 0.1 * whole
+    assert kb.count() == 3000 and kb.read().where("text = 'new'").count() == 10
+    plan = kb.read()._jdf.queryExecution().executedPlan().toString()
+    kb.compact()
+    assert "Join" in plan and "Join" not in kb.read()._jdf.queryExecution().executedPlan().toString()
+    assert kb.count() == 3000 and kb.read().where("text = 'new'").count() == 10
+
+
+def test_rows_of_sources_without_a_name_stay(spark, tmp_path):
+    for source in ("", None):
+        kb = knowledge.knowledge_table(spark, str(tmp_path / f"kb{source}"))
+        kb.upsert(kb_rows(spark, *[(f"a{i}", source, "t", 1.0, 0.0, "curated") for i in range(20)]))
+        kb.upsert(kb_rows(spark, *[(f"b{i}", source, "t", 1.0, 0.0, "curated") for i in range(20)], ("a3", source, "new", 1.0, 0.0, "curated")))
+        rows = kb.read().collect()
+        assert len(rows) == 40 and {r["source"] for r in rows} == {source}
+        assert [r["text"] for r in rows if r["chunk_id"] == "a3"] == ["new"]
+
+
+def test_repeated_keys_in_one_upsert(spark, tmp_path):
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
+    kb.upsert(kb_rows(spark, ("a", "s", "1", 1.0, 0.0, "curated"), ("a", "s", "2", 1.0, 0.0, "x"), ("a", "s", "2", 1.0, 0.0, "y"), ("b", "s", "1", 1.0, 0.0, "z")))
+    assert sorted((r["chunk_id"], r["text"]) for r in kb.read().collect()) == [("a", "2"), ("b", "1")]
+
+
+def test_one_version_of_a_document(spark):
+    from wardloom.schemas import DOCUMENT
+
+    def doc(i, content, day):
+        meta = {"authors": [], "publication_date": day, "specialty": [], "credibility": "c", "url": None, "doi": None}
+        return ("s", i, "t", content, "abstract", meta)
+
+    from datetime import date
+    rows = [doc("1", "old", date(2024, 1, 1)), doc("1", "new", date(2024, 1, 2)), doc("2", "a", None), doc("2", "a", None), doc("3", "x", None)]
+    df = spark.createDataFrame(rows, DOCUMENT)
+    assert sorted((r["source_id"], r["content"]) for r in knowledge.single_version(df).collect()) == [("1", "new"), ("2", "a"), ("3", "x")]
 
 
 def test_source_filter_prunes_files(spark, tmp_path):
-    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"), buckets=2)
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
     kb.upsert(kb_rows(spark, *[(f"c{i}", f"s{i % 4}", "t", 1.0, 0.0, "curated") for i in range(16)]))
-    plan = kb.read().where("source = 's1'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(source" in plan
-    assert kb.read().where("source = 's1'").count() == 4
+    plan = kb.read("s1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    assert kb.read("s1").count() == 4
 
 
 def test_search_retrieve_and_context(spark):
@@ -149,7 +195,7 @@ def test_ingest_summary(spark):
 
 
 def test_case_store(spark, tmp_path):
-    store = case_ops.case_table(spark, str(tmp_path / "cases"), buckets=2)
+    store = case_ops.case_table(spark, str(tmp_path / "cases"))
     a = case("a", review=review(0.9))
     b = case("bb", topic="sepsis", difficulty="attending", review=review(0.5), phases=[phase(1), phase(2)])
     c = case("ccc")

@@ -19,14 +19,30 @@ def source_of(document_key: Column) -> Column:
     return F.when(F.instr(document_key, ":") > 0, F.substring_index(document_key, ":", 1)).otherwise(F.lit(""))
 
 
-def knowledge_table(spark: SparkSession, root: str, buckets: int = 16) -> KeyedTable:
-    """Chunks by chunk id, partitioned by source so that a source filter reads that source only."""
+def knowledge_table(spark: SparkSession, root: str, compact_after: int = 20) -> KeyedTable:
+    """Chunks by chunk id, laid out by source: ``read(source)`` reads that source only."""
     return KeyedTable(
-        spark, root, KB_CHUNK, key="chunk_id", partition_by=("source",), order=("text",), buckets=buckets,
-        sort_within=("source_document_id", "position"),
+        spark, root, KB_CHUNK, key="chunk_id", layout="source", order=("text",),
+        sort_within=("source_document_id", "position"), compact_after=compact_after,
     )
 
 
+def single_version(documents: DataFrame, order: Column | None = None) -> DataFrame:
+    """One version of each document (source, source_id): the greatest by ``order``, by default the publication date.
+
+    A batch may hold a document more than once. Deciding on whole documents keeps the chunks of two versions apart.
+    Ties are cut by a hash of the whole document; equal rows are one. Only documents that come more than once are joined.
+    """
+    rank = F.col("metadata.publication_date") if order is None else order
+    version = F.struct(rank.alias("rank"), F.xxhash64("title", "content", "content_type", F.to_json("metadata")).alias("hash"))
+    keyed = documents.withColumn("_key", F.struct("source", "source_id")).withColumn("_version", version)
+    best = keyed.groupBy("_key").agg(F.count("*").alias("_copies"), F.max("_version").alias("_best")).where("_copies > 1")
+    picked = keyed.join(best, keyed["_key"].eqNullSafe(best["_key"]), "left").where("_copies IS NULL OR _version <=> _best")
+    once = picked.where("_copies IS NULL").select(documents.columns)
+    copies = picked.where("_copies IS NOT NULL").select(documents.columns)
+    return once.unionByName(copies.dropDuplicates(["source", "source_id"]))
+
+
 def knowledge_rows(
     documents: DataFrame,
     fn: EmbedFn | None = None,

@@ -1,9 +1,14 @@
 """Keyed Parquet tables: insert or replace by key, and reads of one consistent version (K1, K3, K4).
 
-Rows lie in a fixed number of hash buckets of the key, below optional partition columns that the key
-determines. An upsert rewrites only the buckets its rows fall in, writes them as a new version next to
-the old ones and then publishes a small list of which version each bucket is read from. Nothing that a
-reader may be using is changed, and a job that dies before publishing leaves the table as it was.
+An upsert writes its own rows and nothing else, as one more increment beside those before; a small list says which
+increments a version is read from. A read takes of each key the row of the newest increment that has it. Only
+the keys of later increments are looked at for that, and while those are few adaptive execution broadcasts them.
+``compact`` writes the table anew as one increment; upserts call it after every ``compact_after`` increments.
+
+Increments are laid out by an optional column, whose values are kept in the rows as well, so that empty and null
+values stay what they are. Nothing that a reader may be using is changed, and a job that dies before publishing
+leaves the table as it was. Publishing creates a file that must not exist, which is one step on file systems
+that have it; on an object store without conditional writes one writer at a time is needed.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -33,18 +38,18 @@ class KeyedTable:
         root: str,
         schema: StructType,
         key: str,
-        partition_by: tuple[str, ...] = (),
+        layout: str | None = None,
         order: tuple[str, ...] = (),
-        buckets: int = 16,
         sort_within: tuple[str, ...] = (),
+        compact_after: int = 20,
     ) -> None:
         self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-        self.partition_by, self.order, self.buckets = partition_by, order, buckets
+        self.layout, self.order, self.compact_after = layout, order, compact_after
         self.sort_within = sort_within or (key,)
         self._data = f"{self.root}/data"
         self._lists = f"{self.root}/versions"
 
-    # -- files --------------------------------------------------------------
+    # -- versions -----------------------------------------------------------
 
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
@@ -52,99 +57,89 @@ class KeyedTable:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _folders(self, root: str, depth: int) -> list[str]:
-        """Folders ``depth`` levels below ``root``, relative to it."""
-        pattern = self._path("/".join([root, *["*=*"] * depth]))
-        base = self._fs().makeQualified(self._path(root)).toString()
-        statuses = self._fs().globStatus(pattern) or []
-        return [s.getPath().toString()[len(base) + 1 :] for s in statuses if s.isDirectory()]
-
-    def _published(self) -> int:
-        """Number of the newest published version, 0 when there is none."""
-        path = self._path(f"{self._lists}/*.json")
-        names = [s.getPath().getName() for s in self._fs().globStatus(path) or []]
-        return max((int(n.split(".")[0]) for n in names), default=0)
-
-    def _places(self, version: int) -> dict[str, str]:
-        """Bucket folder -> name of the written version it is read from."""
-        if version == 0:
-            return {}
-        text = self.spark.read.text(f"{self._lists}/{version:08d}.json", wholetext=True).head()[0]
-        return json.loads(text)
-
-    def _publish(self, version: int, places: dict[str, str]) -> None:
-        """Make a version visible in one step; fails if another writer has published that number."""
-        fs, target = self._fs(), self._path(f"{self._lists}/{version:08d}.json")
-        fs.mkdirs(self._path(self._lists))
-        draft = self._path(f"{self._lists}/_{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(places).encode()))
+    def _version(self) -> tuple[int, list[str]]:
+        """Number of the newest version and the increments it is read from, the oldest first."""
+        found = self._fs().globStatus(self._path(f"{self._lists}/*.json")) or []
+        number = max((int(s.getPath().getName().split(".")[0]) for s in found), default=0)
+        if not number:
+            return 0, []
+        return number, json.loads(self.spark.read.text(f"{self._lists}/{number:08d}.json", wholetext=True).head()[0])
+
+    def _publish(self, number: int, increments: list[str]) -> None:
+        """Make a version visible; fails if another writer has published that number."""
+        fs, target = self._fs(), self._path(f"{self._lists}/{number:08d}.json")
+        try:
+            out = fs.create(target, False)
+        except Exception as error:
+            raise RuntimeError(f"version {number} of {self.root} was published by another writer") from error
+        out.write(bytearray(json.dumps(increments).encode()))
         out.close()
-        if fs.exists(target) or not fs.rename(draft, target):
-            raise RuntimeError(f"version {version} of {self.root} was published by another writer")
 
     # -- rows ---------------------------------------------------------------
 
-    @property
-    def _stored(self) -> StructType:
-        plain = [f for f in self.schema.fields if f.name not in self.partition_by]
-        parts = [f for f in self.schema.fields if f.name in self.partition_by]
-        folders = [StructField("written", StringType()), *parts, StructField("bucket", IntegerType())]
-        return StructType(plain + folders)
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        return df.select(*self.schema.names).withColumn("bucket", bucket)
-
-    def _read(self, places: dict[str, str]) -> DataFrame:
-        if not places:
-            return self.spark.createDataFrame([], self._stored)
-        paths = [f"{self._data}/written={name}/{folder}" for folder, name in sorted(places.items())]
-        return self.spark.read.schema(self._stored).option("basePath", self._data).parquet(*paths)
-
-    def read(self) -> DataFrame:
-        return self._read(self._places(self._published())).select(*self.schema.names)
+    def _increments(self, names: list[str]) -> DataFrame:
+        stored = StructType(
+            [*self.schema.fields, StructField("_row", LongType()), StructField("increment", StringType()), StructField("part", StringType())]
+        )
+        if not names:
+            return self.spark.createDataFrame([], stored)
+        paths = [f"{self._data}/increment={name}" for name in names]
+        return self.spark.read.schema(stored).option("basePath", self._data).parquet(*paths)
+
+    def _part_of(self, value: Column) -> Column:
+        return F.concat(F.lit("v"), F.coalesce(value.cast("string"), F.lit("")))
+
+    def _newest(self, names: list[str], part: Column | None = None) -> DataFrame:
+        rows = self._increments(names)
+        if part is not None:
+            rows = rows.where(F.col("part") == part)
+        if len(names) > 1:
+            late = rows.where(F.col("increment") > names[0]).groupBy(F.col(self.key).alias("_late")).agg(F.max("increment").alias("_last"))
+            rows = rows.join(late, rows[self.key] == late["_late"], "left").where("_last IS NULL OR increment = _last")
+        return rows.select(*self.schema.names)
+
+    def read(self, layout_value: str | None = None) -> DataFrame:
+        """The newest version; with a value of the layout column only what is stored under it."""
+        part = None if layout_value is None else self._part_of(F.lit(layout_value))
+        out = self._newest(self._version()[1], part)
+        return out if layout_value is None else out.where(F.col(self.layout) == layout_value)
 
     def count(self) -> int:
         return self.read().count()
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        part = self._part_of(F.col(self.layout)) if self.layout else F.lit("v")
+        laid = rows.withColumn("part", part)
+        if self.layout:
+            laid = laid.hint("rebalance", "part")
+        laid.sortWithinPartitions("part", *self.sort_within).write.partitionBy("part").parquet(f"{self._data}/increment={name}")
+
     def upsert(self, rows: DataFrame) -> None:
-        """Insert rows, replacing those of equal key. Without rows nothing happens."""
-        version = self._published()
-        places = self._places(version)
-        name = f"{version + 1:08d}-{uuid.uuid4().hex[:8]}"
-        order = [F.col(c) for c in (self.order or (self.key,))]
-        # the new rows are used three times; written once they are not computed again, whatever
-        # model or source they come from
-        arrived = f"{self.root}/arrived/{name}"
-        self._bucketed(latest_per_key(rows.select(*self.schema.names), self.key, order)).write.parquet(arrived)
-        new = self.spark.read.schema(self._bucketed_schema()).parquet(arrived)
-        # at most sources x buckets rows
-        touched = new.select(*self.partition_by, "bucket").distinct().collect()
-        if not touched:
+        """Insert rows, replacing those of equal key; of equal keys among them the greatest by the table's order wins.
+
+        The rows are computed once. Keys are compared on narrow rows; only a batch that repeats keys is written again.
+        """
+        number, names = self._version()
+        name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        numbered = rows.select(*self.schema.names).withColumn("_row", F.monotonically_increasing_id())
+        self._write(numbered, name)
+        new = self._increments([name])
+        if new.isEmpty():
             return
-        in_touched = F.lit(False)
-        for values, buckets in self._grouped(touched).items():
-            same = F.col("bucket").isin(buckets)
-            for column, value in zip(self.partition_by, values):
-                same = same & F.col(column).eqNullSafe(F.lit(value))
-            in_touched = in_touched | same
-        old = self._read(places).where(in_touched).drop("written")
-        keep = old.join(new.select(self.key), self.key, "left_anti")
-        merged = keep.unionByName(new).hint("rebalance", *self.partition_by, "bucket")
-        (
-            merged.sortWithinPartitions(*self.partition_by, "bucket", *self.sort_within)
-            .write.partitionBy(*self.partition_by, "bucket")
-            .parquet(f"{self._data}/written={name}")
-        )
-        written = self._folders(f"{self._data}/written={name}", len(self.partition_by) + 1)
-        self._publish(version + 1, {**places, **{folder: name for folder in written}})
-
-    def _bucketed_schema(self) -> StructType:
-        return StructType([*self.schema.fields, StructField("bucket", IntegerType())])
-
-    def _grouped(self, touched) -> dict[tuple, list[int]]:
-        groups: dict[tuple, list[int]] = {}
-        for row in touched:
-            groups.setdefault(tuple(row[c] for c in self.partition_by), []).append(row["bucket"])
-        return groups
+        repeated = new.groupBy(self.key).agg(F.count("*").alias("n")).where("n > 1")
+        if not repeated.isEmpty():
+            best = new.groupBy(self.key).agg(F.max(F.struct(*[F.col(c) for c in self.order], F.col("_row"))).alias("b"))
+            name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+            self._write(new.join(best.select(F.col("b._row").alias("_row")), "_row", "left_semi").drop("increment", "part"), name)
+        self._publish(number + 1, [*names, name])
+        if len(names) + 1 > self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the table as one increment. Readers of older versions keep what they opened."""
+        number, names = self._version()
+        if len(names) < 2:
+            return
+        name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        self._write(self._newest(names).withColumn("_row", F.monotonically_increasing_id()), name)
+        self._publish(number + 1, [name])
