@@ -380,3 +380,127 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 20 + 5).alias("output_tokens"),
         F.concat(F.lit("model-"), F.col("o_orderstatus")).alias("model"),
     )
+
+
+# --- landed payloads of each source --------------------------------------------------
+
+
+def _escaped(text: Column) -> Column:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(entity))
+    return text
+
+
+def _element(name: str, body: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name.split(' ')[0]}>"))
+
+
+YEARS = ["2019", "2020", "2021", "soon", "2023", "2024"]
+MONTHS = ["Jan", "feb", "07", "Dec", "13", "x"]
+
+
+def pubmed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as article exports, one article each; every ninth is no XML."""
+    doc, text = F.col("doc_id"), F.col("text")
+    number = doc.cast("string")
+    month = F.when(doc % 7 != 0, _element("Month", pick(MONTHS, doc % 6)))
+    day = F.when(doc % 4 != 0, _element("Day", (doc % 33).cast("string")))
+    date = F.concat(_element("Year", pick(YEARS, (doc % 11) % 6)), F.coalesce(month, F.lit("")), F.coalesce(day, F.lit("")))
+    article = F.concat(
+        F.lit("<Journal><JournalIssue>"), _element("PubDate", date), F.lit("</JournalIssue></Journal>"),
+        _element("ArticleTitle", F.concat(F.lit("On "), number, F.lit(" &amp; more"))),
+        _element('ELocationID EIdType="doi"', F.concat(F.lit("10.1/"), number)),
+        _element("Abstract", F.concat(_element('AbstractText Label="AIM"', F.concat(F.lit("a"), number)), _element("AbstractText", _escaped(first_line(text))))),
+        F.lit("<AuthorList><Author><LastName>Roe</LastName><ForeName>Ann</ForeName></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList>"),
+    )
+    kind = F.when(doc % 5 == 0, "Guideline").otherwise("Review")
+    types = _element("PublicationTypeList", _element("PublicationType", kind))
+    citation = _element("MedlineCitation", F.concat(_element("PMID", number), _element("Article", article), types))
+    payload = _element("PubmedArticleSet", _element("PubmedArticle", citation))
+    return spread(table(spark, sf_dir, "documents")).select(F.when(doc % 9 == 8, F.lit("<broken")).otherwise(payload).alias("payload"))
+
+
+def openfda_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    openfda = F.struct(
+        F.when(doc % 2 == 0, F.array(F.concat(F.lit("Brand "), number))).alias("brand_name"),
+        F.when(doc % 3 == 0, F.array(F.concat(F.lit("generic "), number))).alias("generic_name"),
+        F.when(doc % 5 != 0, F.array(F.col("source"))).alias("manufacturer_name"),
+    )
+    label = F.struct(
+        F.concat(F.lit("set"), number).alias("set_id"),
+        F.concat(F.lit("2023"), F.lpad((doc % 14).cast("string"), 2, "0"), F.lit("15")).alias("effective_time"),
+        openfda.alias("openfda"),
+        F.array(first_line(F.col("text")), F.lit("ignored")).alias("warnings"),
+        F.when(doc % 4 == 0, F.array(F.lit("plain"))).alias("indications_and_usage"),
+    )
+    return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(label).alias("results"))).alias("payload"))
+
+
+LABEL_CODES = ["34067-9", "34084-4", "34088-5", "00000-0"]
+
+
+def dailymed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that name themselves; every tenth declares an entity and is set aside."""
+    doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
+
+    def section(code: Column, body: Column) -> Column:
+        return F.concat(F.lit('<section><code code="'), code, F.lit('"/><text> '), body, F.lit(" </text></section>"))
+
+    payload = F.concat(
+        F.when(doc % 10 == 9, F.lit('<!DOCTYPE d [<!ENTITY x "y">]>')).otherwise(F.lit("")),
+        F.lit('<document xmlns="urn:hl7-org:v3"><setId root="id'), number, F.lit('"/><title>Label '), number, F.lit("</title>"),
+        section(pick(LABEL_CODES, doc % 4), F.concat(F.lit("<b>"), _escaped(first_line(F.col("text"))), F.lit("</b> end"))),
+        section(F.lit("34089-3"), F.lit("described")), F.lit("</document>"),
+    )
+    return spread(table(spark, sf_dir, "documents")).select(payload.alias("payload"))
+
+
+def rxnorm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as concepts: an answer per brand with all of its parts, in groups by type."""
+    concept = F.struct(F.col("p_partkey").cast("string").alias("rxcui"), F.col("p_name").alias("name"), F.col("p_type").alias("tty"))
+    groups = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.collect_list(concept).alias("conceptProperties"))
+    group = F.struct(F.col("p_type").alias("tty"), "conceptProperties")
+    answers_ = groups.groupBy("p_brand").agg(F.collect_list(group).alias("conceptGroup"))
+    return answers_.select(F.to_json(F.struct(F.struct("conceptGroup").alias("drugGroup"))).alias("payload"))
+
+
+def medrxiv_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    item = F.struct(
+        F.concat(F.lit("10.1/"), number).alias("doi"), first_line(F.col("text")).alias("title"), F.lit(" A, B ; ; C ").alias("authors"),
+        F.concat(F.lit("2024-"), (doc % 14).cast("string"), F.lit("-"), (doc % 31).cast("string")).alias("date"),
+        F.col("source").alias("abstract"), F.when(doc % 3 == 0, F.col("lang")).otherwise("").alias("category"),
+    )
+    return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(item).alias("collection"))).alias("payload"))
+
+
+def trials_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.col("o_orderkey")
+    number = order.cast("string")
+    ages = F.struct(
+        F.concat(F.lit("Must be "), number).alias("eligibilityCriteria"), F.when(order % 2 == 0, "18 Years").alias("minimumAge"), F.lit(None).cast("string").alias("maximumAge")
+    )
+    outcome = F.array(F.struct(F.col("o_orderpriority").alias("measure"), F.lit("1 year").alias("timeFrame")))
+    study = F.struct(
+        F.struct(
+            F.struct(F.concat(F.lit("NCT"), number).alias("nctId"), F.when(order % 4 != 0, F.concat(F.lit("Brief "), number)).alias("briefTitle"), F.lit("Official").alias("officialTitle")).alias("identificationModule"),
+            F.struct(F.when(order % 5 != 0, F.col("o_orderstatus")).alias("overallStatus")).alias("statusModule"),
+            ages.alias("eligibilityModule"),
+            F.struct(F.when(order % 3 == 0, outcome).alias("primaryOutcomes")).alias("outcomesModule"),
+            F.struct(F.when(order % 3 == 1, F.array(F.lit("PHASE1"), F.lit("PHASE2"))).alias("phases")).alias("designModule"),
+        ).alias("protocolSection")
+    )
+    return table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.array(study).alias("studies"))).alias("payload"))
+
+
+def curated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    item = F.struct(number.alias("id"), first_line(F.col("text")).alias("title"), F.col("text").alias("content"), F.when(doc % 2 == 0, F.col("lang")).alias("category"), F.concat(F.lit("https://x/"), number).alias("url"))
+    return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(item).alias("results"))).alias("payload"))
+
+
+def fulltext_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    item = F.struct(number.alias("id"), first_line(F.col("text")).alias("title"), F.lit("A; B").alias("author"), F.col("text").alias("content"), F.when(doc % 2 == 0, number).alias("doi"))
+    return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(item).alias("results"))).alias("payload"))

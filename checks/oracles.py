@@ -158,6 +158,77 @@ SELECT source, source_id, CAST(published AS VARCHAR) AS published FROM docs
 WHERE published BETWEEN DATE '2024-05-31' AND DATE '2024-06-30'"""
 ORACLES["get_document"] = f"WITH {DOCS} SELECT source, source_id, title, content FROM docs WHERE source_id = '0'"
 
+_FIRST = f"split_part(text, {NL}, 1)"
+_ARTICLES = f"""
+articles AS (
+  SELECT *, {pick(['2019', '2020', '2021', 'soon', '2023', '2024'], '(doc_id % 11) % 6')} AS y,
+    CASE WHEN doc_id % 7 <> 0 THEN {pick(['Jan', 'feb', '07', 'Dec', '13', 'x'], 'doc_id % 6')} END AS mon,
+    CASE WHEN doc_id % 4 <> 0 THEN doc_id % 33 ELSE 1 END AS d FROM documents WHERE doc_id % 9 <> 8),
+dated AS (
+  SELECT *, CASE lower(coalesce(mon, '')) WHEN 'feb' THEN 2 WHEN 'dec' THEN 12 ELSE 1 END AS m FROM articles WHERE y <> 'soon')"""
+ORACLES["source_pubmed"] = f"""WITH {_ARTICLES}
+SELECT 'pubmed' AS source, CAST(doc_id AS VARCHAR) AS source_id, 'On ' || doc_id || ' & more' AS title,
+  'AIM: a' || doc_id || {NL} || {NL} || {_FIRST} AS content, 'abstract' AS content_type, 'Roe Ann|Group' AS authors,
+  CAST(coalesce(TRY_CAST(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE),
+    make_date(CAST(y AS INT), m, 1)) AS VARCHAR) AS published, '' AS specialty,
+  CASE WHEN doc_id % 5 = 0 THEN 'guideline' ELSE 'peer_reviewed' END AS credibility,
+  'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url, '10.1/' || doc_id AS doi FROM dated"""
+ORACLES["source_openfda"] = f"""
+SELECT 'openfda' AS source, 'set' || doc_id AS source_id,
+  CASE WHEN doc_id % 6 = 0 THEN 'Brand ' || doc_id || ' (generic ' || doc_id || ')' WHEN doc_id % 2 = 0 THEN 'Brand ' || doc_id
+    WHEN doc_id % 3 = 0 THEN 'generic ' || doc_id ELSE 'set' || doc_id END AS title,
+  CASE WHEN doc_id % 4 = 0 THEN 'INDICATIONS AND USAGE' || {NL} || 'plain' || {NL} || {NL} ELSE '' END || 'WARNINGS' || {NL} || {_FIRST} AS content,
+  'drug_label' AS content_type, CASE WHEN doc_id % 5 <> 0 THEN source ELSE '' END AS authors,
+  CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2023-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-15' END AS published, '' AS specialty,
+  'fda_label' AS credibility, 'https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid=set' || doc_id AS url, NULL::VARCHAR AS doi FROM documents"""
+_LABEL_BODY = f"""CASE doc_id % 4 WHEN 0 THEN 'INDICATIONS AND USAGE' WHEN 1 THEN 'ADVERSE REACTIONS' WHEN 2 THEN 'OVERDOSAGE' END
+  || {NL} || {strip(_FIRST + " || ' end'")} || {NL} || {NL}"""
+ORACLES["source_dailymed"] = f"""
+SELECT 'dailymed' AS source, 'id' || doc_id AS source_id, 'Label ' || doc_id AS title,
+  coalesce({_LABEL_BODY}, '') || 'DESCRIPTION' || {NL} || 'described' AS content, 'drug_label' AS content_type, '' AS authors,
+  NULL::VARCHAR AS published, '' AS specialty, 'fda_label' AS credibility,
+  'https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid=id' || doc_id AS url, NULL::VARCHAR AS doi FROM documents WHERE doc_id % 10 <> 9"""
+ORACLES["source_rxnorm"] = f"""
+SELECT 'rxnorm' AS source, CAST(p_partkey AS VARCHAR) AS source_id, p_name AS title,
+  'Drug: ' || p_name || {NL} || 'RxCUI: ' || p_partkey || {NL} || 'Term Type: ' || p_type AS content, 'drug_info' AS content_type, '' AS authors,
+  NULL::VARCHAR AS published, '' AS specialty, 'curated' AS credibility,
+  'https://mor.nlm.nih.gov/RxNav/search?searchBy=RXCUI&searchTerm=' || p_partkey AS url, NULL::VARCHAR AS doi FROM part"""
+ORACLES["source_medrxiv"] = f"""
+SELECT 'medrxiv' AS source, '10.1/' || doc_id AS source_id, {_FIRST} AS title, source AS content, 'abstract' AS content_type, 'A, B|C' AS authors,
+  CAST(TRY_CAST('2024-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 31 AS VARCHAR), 2, '0') AS DATE) AS VARCHAR) AS published,
+  CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS specialty, 'preprint' AS credibility,
+  'https://www.medrxiv.org/content/10.1/' || doc_id AS url, '10.1/' || doc_id AS doi FROM documents"""
+_TITLE = "CASE WHEN o_orderkey % 4 <> 0 THEN 'Brief ' || o_orderkey ELSE 'Official' END"
+ORACLES["source_trials"] = f"""
+SELECT 'clinicaltrials' AS source, 'NCT' || o_orderkey AS source_id, {_TITLE} AS title,
+  concat_ws({NL} || {NL}, 'Title: ' || {_TITLE}, 'NCT ID: NCT' || o_orderkey,
+    'Status: ' || CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus ELSE 'Unknown' END,
+    CASE WHEN o_orderkey % 3 = 1 THEN 'Phase: PHASE1, PHASE2' END,
+    'Eligibility' || CASE WHEN o_orderkey % 2 = 0 THEN ' (Age: 18 Years - )' ELSE '' END || ':' || {NL} || 'Must be ' || o_orderkey,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'Primary Outcomes:' || {NL} || '- ' || o_orderpriority || ' (1 year)' END) AS content,
+  'trial_protocol' AS content_type, '' AS authors, NULL::VARCHAR AS published, '' AS specialty, 'peer_reviewed' AS credibility,
+  'https://clinicaltrials.gov/study/NCT' || o_orderkey AS url, NULL::VARCHAR AS doi FROM orders"""
+ORACLES["source_curated"] = f"""
+SELECT 'glass' AS source, CAST(doc_id AS VARCHAR) AS source_id, {_FIRST} AS title, text AS content, 'curated' AS content_type, '' AS authors,
+  NULL::VARCHAR AS published, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS specialty, 'curated' AS credibility, 'https://x/' || doc_id AS url,
+  NULL::VARCHAR AS doi FROM documents"""
+ORACLES["source_fulltext"] = f"""
+SELECT 'annas_archive' AS source, CAST(doc_id AS VARCHAR) AS source_id, {_FIRST} AS title, text AS content, 'full_text' AS content_type, 'A|B' AS authors,
+  NULL::VARCHAR AS published, '' AS specialty, 'peer_reviewed' AS credibility, NULL::VARCHAR AS url,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS doi FROM documents"""
+ORACLES["source_rejected"] = f"""WITH {_ARTICLES}
+SELECT 'pubmed' AS source, (SELECT count(*) FROM documents WHERE doc_id % 9 = 8) + count(*) AS rows, count(*) AS undated FROM articles WHERE y = 'soon'
+UNION ALL SELECT 'dailymed', count(*), 0 FROM documents WHERE doc_id % 10 = 9"""
+# a header line is followed by one more line break where sections are cut
+ORACLES["stream_labels"] = f"""WITH labels AS (
+  SELECT doc_id, doc_id % 4 AS kind, {strip(_FIRST + " || ' end'")} AS said FROM documents WHERE doc_id % 10 <> 9)
+SELECT 'dailymed:id' || doc_id AS source_document_id, 0 AS position,
+  CASE kind WHEN 0 THEN 'INDICATIONS AND USAGE' WHEN 1 THEN 'ADVERSE REACTIONS' ELSE 'OVERDOSAGE' END || {NL} || {NL} || said AS text
+FROM labels WHERE kind < 3
+UNION ALL SELECT 'dailymed:id' || doc_id, CASE WHEN kind < 3 THEN 1 ELSE 0 END, 'DESCRIPTION' || {NL} || {NL} || 'described' FROM labels"""
+ORACLES["stream_quarantine"] = "SELECT 'dailymed' AS source, 'id' || doc_id AS label FROM documents WHERE doc_id % 10 = 9"
+ORACLES["stream_batches"] = "SELECT 3::BIGINT AS batches, (SELECT count(*) FROM documents WHERE doc_id % 10 <> 9) AS documents"
+
 _PLAIN = "SELECT chunk_id, source_document_id, position, text FROM chunks"
 ORACLES["chunk_abstract"] = f"{WITH_CHUNKS} {_PLAIN} WHERE content_type = 'abstract'"
 ORACLES["chunk_sections"] = f"{WITH_CHUNKS} {_PLAIN} WHERE content_type IN ('drug_label', 'trial_protocol')"
@@ -664,3 +735,14 @@ pairs AS (
   FROM probes p JOIN codes ON code = c JOIN kb ON kb.chunk_id = codes.chunk_id JOIN kb a ON a.chunk_id = p.query_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM pairs)
 SELECT query_id, chunk_id, source, CAST(rank AS INTEGER) AS rank, round(raw, 6) AS score FROM ranked WHERE rank <= 10"""
+ORACLES["search_recall"] = f"""WITH near AS ({ORACLES['search_many']}), found AS ({ORACLES['search_approx']})
+SELECT query_id, count(*) AS found FROM near JOIN found USING (query_id, chunk_id) GROUP BY query_id"""
+_LETTER_COUNTS = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "aeinr")
+ORACLES["embed_plugin"] = f"""{WITH_CHUNKS}
+SELECT chunk_id, {', '.join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) AS e{i}" for i, c in enumerate('aeinr'))}, 1::BIGINT AS e5 FROM chunks"""
+ORACLES["search_by_text"] = f"""{WITH_CHUNKS},
+held AS (SELECT chunk_id, list_transform([{_LETTER_COUNTS.replace('(t', '(text')}, 1], lambda x: CAST(x AS DOUBLE)) AS v FROM chunks),
+asked AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_transform([{_LETTER_COUNTS.replace('(t', '(text')}, 1], lambda x: CAST(x AS DOUBLE)) AS v FROM benchmark),
+pairs AS (SELECT query_id, chunk_id, list_cosine_similarity(held.v, asked.v) AS raw FROM held, asked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, round(raw, 6) AS score FROM ranked WHERE rank <= 3"""

@@ -94,6 +94,40 @@ def get_document(spark, sf_dir):
     return found.unionByName(missing).select("source", "source_id", "title", "content")
 
 
+def _flat(documents: DataFrame) -> DataFrame:
+    m = F.col("metadata")
+    return documents.select(
+        "source", "source_id", "title", "content", "content_type", F.array_join(m["authors"], "|").alias("authors"),
+        m["publication_date"].cast("string").alias("published"), F.array_join(m["specialty"], "|").alias("specialty"),
+        m["credibility"].alias("credibility"), m["url"].alias("url"), m["doi"].alias("doi"),
+    )
+
+
+def _source_query(name: str, source: str, payloads) -> None:
+    def run(spark, sf_dir):
+        return _flat(registry.normalize(payloads(spark, sf_dir), source))
+
+    QUERIES[name] = run
+
+
+for _name, _source, _payloads in (
+    ("source_pubmed", "pubmed", fixtures.pubmed_payloads), ("source_openfda", "openfda", fixtures.openfda_payloads),
+    ("source_dailymed", "dailymed", fixtures.dailymed_payloads), ("source_rxnorm", "rxnorm", fixtures.rxnorm_payloads),
+    ("source_medrxiv", "medrxiv", fixtures.medrxiv_payloads), ("source_trials", "clinicaltrials", fixtures.trials_payloads),
+    ("source_curated", "glass", fixtures.curated_payloads), ("source_fulltext", "annas_archive", fixtures.fulltext_payloads),
+):
+    _source_query(_name, _source, _payloads)
+
+
+@query
+def source_rejected(spark, sf_dir):
+    """What the article and label sources set aside: how many payloads, and how many undated articles."""
+    articles = registry.rejected(fixtures.pubmed_payloads(spark, sf_dir), "pubmed")
+    labels = registry.rejected(fixtures.dailymed_payloads(spark, sf_dir), "dailymed")
+    pmid = F.get_json_object("payload", "$.MedlineCitation.PMID._VALUE")
+    return articles.union(labels).groupBy("source").agg(F.count("*").alias("rows"), F.count(pmid).alias("undated"))
+
+
 # --- chunks and tags -----------------------------------------------------------------
 
 
@@ -267,6 +301,38 @@ def search_approx(spark, sf_dir):
     return hits.select("query_id", "chunk_id", "source", "rank", F.round("score", 6).alias("score"))
 
 
+@query
+def search_recall(spark, sf_dir):
+    """Of the ten nearest chunks of each query, how many the approximate search finds."""
+    kb = fixtures.knowledge(spark, sf_dir).select("chunk_id", "embedding", "source")
+    planes = search.lsh_planes(64)
+    near = search.search_many(kb, _queries(kb), 10).select("query_id", "chunk_id")
+    found = search.search_approx(search.with_lsh_code(kb, planes), _queries(kb), planes, 10).select("query_id", "chunk_id")
+    return near.join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("found"))
+
+
+def _letters(texts: list[str]):
+    """A stand-in for an embedding model: how often each of five letters occurs, and one."""
+    import numpy as np
+
+    return np.array([[*(t.count(c) for c in "aeinr"), 1] for t in texts], dtype=np.float32)
+
+
+@query
+def embed_plugin(spark, sf_dir):
+    embedded = embed(_chunks(spark, sf_dir), fn=_letters)
+    return embedded.select("chunk_id", *[F.col("embedding")[i].cast("long").alias(f"e{i}") for i in range(6)])
+
+
+@query
+def search_by_text(spark, sf_dir):
+    """Benchmark texts as queries over all chunks, both embedded by the same model."""
+    kb = embed(_chunks(spark, sf_dir), fn=_letters).select("chunk_id", "embedding")
+    asked = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    hits = search.search_text(kb, asked, 3, _letters)
+    return hits.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def retrieve_rerank(spark, sf_dir):
     kb = fixtures.knowledge(spark, sf_dir)
@@ -735,6 +801,46 @@ def stream_ingest(spark, sf_dir):
     return stored.select("chunk_id", "source_document_id", "source", "position", "text")
 
 
+def _landed_files(spark, payloads: DataFrame, files: int) -> str:
+    """Payloads as files of a folder, several to a file and one line each."""
+    folder = work_path(spark, "landed")
+    payloads.repartition(files).write.text(folder)
+    return folder
+
+
+def _streamed_labels(spark, sf_dir):
+    """Labels that land as files and come in several micro-batches; one file lands twice."""
+    folder = work_path(spark, "stream")
+    landed = _landed_files(spark, fixtures.dailymed_payloads(spark, sf_dir).select("payload"), 6)
+    stream = spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(landed).withColumnRenamed("value", "payload")
+    kb = knowledge.knowledge_table(spark, f"{folder}/kb")
+    for state in ("first", "again"):  # the second run has lost its state and sees all files anew
+        run = ingest.ingest_source(stream, registry.source("dailymed"), kb, f"{folder}/{state}", f"{folder}/progress", f"{folder}/quarantine")
+        run.awaitTermination()
+    return kb, folder
+
+
+@query
+def stream_labels(spark, sf_dir):
+    kb, _ = _streamed_labels(spark, sf_dir)
+    return kb.read().select("source_document_id", "position", "text")
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    _, folder = _streamed_labels(spark, sf_dir)
+    rows = ingest.read_quarantine(spark, f"{folder}/quarantine")
+    return rows.select("source", F.regexp_extract("payload", 'root="([^"]*)"', 1).alias("label"))
+
+
+@query
+def stream_batches(spark, sf_dir):
+    """Totals over several micro-batches."""
+    _, folder = _streamed_labels(spark, sf_dir)
+    rows = ingest.read_progress(spark, f"{folder}/progress").where("is_total")
+    return rows.agg(F.count_distinct("batch_id").alias("batches"), F.sum("documents").alias("documents"))
+
+
 @query
 def stream_progress(spark, sf_dir):
     _, path = _streamed(spark, sf_dir, "documents", fixtures.as_documents)

@@ -4,6 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from wardloom.reference_data import SOURCE_CAPS
 from wardloom.sources import articles, drugs, registry, trials
 from wardloom.sources.base import Source
 
@@ -63,10 +64,30 @@ def test_pubmed(spark):
     assert docs["15"]["title"] == "" and docs["15"]["metadata"]["publication_date"] is None
     both = by_id(articles.PUBMED_BOTH_TYPE_PLACES.normalize(df))
     assert both["12"]["metadata"]["credibility"] == "guideline"
-    assert [r["payload"] for r in registry.rejected(df, "pubmed").collect()] == ["<broken"]
+    set_aside = [r["payload"] for r in registry.rejected(df, "pubmed").collect()]
+    assert set_aside[0] == "<broken" and len(set_aside) == 2 and '"soon"' in set_aside[1]
     assert [r["source_id"] for r in articles.unreadable_years(df).collect()] == ["14"]
 
 
+def test_article_exports_are_read_in_pieces(spark, tmp_path):
+    (tmp_path / "export.xml").write_text(PUBMED)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        df = articles.landed_articles(spark, str(tmp_path / "export.xml"))
+        assert df.rdd.getNumPartitions() > 2
+        whole = registry.normalize(landed(spark, PUBMED), "pubmed")
+        key = lambda d: sorted(map(repr, d.collect()))
+        assert key(registry.normalize(df, "pubmed")) == key(whole)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_labels_without_listing_name_themselves(spark):
+    xml = '<document xmlns="urn:hl7-org:v3"><setId root="q1"/><title> My <b>label</b> </title><section><code code="34084-4"/><text>x</text></section></document>'
+    doc = registry.normalize(landed(spark, xml, '<!DOCTYPE d [<!ENTITY a "b">]><d/>'), "dailymed").collect()
+    assert [(d["source_id"], d["title"]) for d in doc] == [("q1", "My label")]
+
+
 def test_openfda(spark):
     full = {
         "set_id": "s1", "effective_time": "20230115",
@@ -170,8 +191,8 @@ def test_limits_and_filters(spark):
     kept = sorted(int(r["source_id"]) for r in limited.collect() if r["source"] == "hot")
     assert kept == list(range(20)) and limited.count() == 21
     many = docs.withColumn("source", F.when(F.col("source") == "hot", F.lit("openfda")).otherwise(F.col("source")))
-    assert registry.limit_per_source(many, 300).count() == 101
-    assert registry.limit_per_source(many, 300, caps={}).count() == 301
+    assert registry.limit_per_source(many, 300, caps=SOURCE_CAPS).count() == 101
+    assert registry.limit_per_source(many, 300).count() == 301
     assert registry.filter_sources(docs, ["cold", "none"]).count() == 1
     assert registry.filter_sources(docs, None).count() == 501
     assert registry.match_any_term(docs, "xyz stroke").count() == 1

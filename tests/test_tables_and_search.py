@@ -173,6 +173,31 @@ def test_approximate_search_recall(spark):
     assert recall(8) > 0.7
 
 
+def test_odd_vectors_and_a_hot_code(spark):
+    kb, vectors = _random_kb(spark)
+    odd = spark.createDataFrame([("n", None), ("e", []), ("h", [1.0, None]), ("w", [1.0] * 5)], "chunk_id string, embedding array<float>")
+    both = kb.union(odd)
+    assert search.unsearchable(both).count() == 3
+    queries = both.withColumnRenamed("chunk_id", "query_id")
+    got = search.search_many(both, queries, 3, block=50, chunk_block=30).collect()
+    assert {r["query_id"] for r in got} == {f"k{i:03d}" for i in range(400)} | {"w"}
+    assert [r["chunk_id"] for r in got if r["query_id"] == "w"] == ["w"]
+    # one plane that puts all vectors on one side: a single code of all rows, cut into blocks
+    planes = np.zeros((1, 16))
+    wanted = _exact(vectors, 3)
+    found = search.search_approx(search.with_lsh_code(both, planes), queries, planes, 3, probes=1, block=50, chunk_block=30).collect()
+    assert sum(r["chunk_id"] in wanted[r["query_id"]] for r in found) >= 3 * 396
+    text = found and search.search_approx(search.with_lsh_code(both, planes), queries, planes, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text and "hashpartitioning(width" in text
+
+
+def test_search_by_text(spark):
+    chunks = spark.createDataFrame([("a", "heart failure"), ("b", "kidney stones")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q", "stones in the kidney")], "query_id string, text string")
+    best = search.search_text(embed(chunks), asked, 1).head()
+    assert (best["chunk_id"], best["text"], best["rank"]) == ("b", "kidney stones", 1)
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([("a", "Heart failure heart"), ("b", "--- !!"), ("c", "Kidney stones")], "id string, text string")
     rows = {r["id"]: np.array(r["embedding"]) for r in embed(df).collect()}

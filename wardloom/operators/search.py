@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.text import string_array, text_or_empty
+from wardloom.operators.embedding import EmbedFn, embed
 from wardloom.reference_data import (
     CONTEXT_SEPARATOR,
     CREDIBILITY_RANK,
@@ -19,8 +21,8 @@ from wardloom.reference_data import (
     UNKNOWN_CREDIBILITY_RANK,
 )
 
-# queries scored together in one pass over the chunks
-QUERY_BLOCK = 4_096
+# chunks and queries that meet in one group of a task
+CHUNK_BLOCK, QUERY_BLOCK = 16_384, 4_096
 # scores held at once by a task
 SCORE_CELLS = 4_000_000
 
@@ -58,111 +60,114 @@ def search(
     return rows.withColumn("score", score).drop("embedding").orderBy(F.desc("score"), "chunk_id").limit(n)
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of bounded size: ids and unit vectors. One block at a time is on the driver."""
-    ids: list = []
-    vectors: list = []
+def unsearchable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector is null, empty or holds nulls; searches leave them out."""
+    return rows.where(~_searchable())
 
-    def packed():
-        matrix = np.asarray(vectors, dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.asarray(ids, dtype=object), matrix / np.where(norms > 0, norms, 1.0)
 
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(row["query_id"])
-        vectors.append(row["embedding"])
-        if len(ids) == block:
-            yield packed()
-            ids, vectors = [], []
-    if ids:
-        yield packed()
+def _searchable() -> Column:
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    return F.coalesce((F.size("embedding") > 0) & whole, F.lit(False))
 
 
-def _local_best(query_ids, matrix, probes, k: int, carried: list[str]):
-    """A task's own best ``k`` chunks for every query of a block."""
-    columns = ["chunk_id", *carried]
+def _vectors(column) -> np.ndarray:
+    matrix = np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(len(column), -1)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms > 0, norms, 1.0)
 
-    # scores of one slice of rows against all queries stay within a fixed number of cells
-    step = max(1, SCORE_CELLS // max(1, len(query_ids)))
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                yield batch.slice(start, step)
+def _best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest scores, of equal ones the first."""
+    if len(scores) > k:
+        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+        places = np.flatnonzero(scores >= cut)
+    else:
+        places = np.arange(len(scores))
+    return places[np.argsort(-scores[places], kind="stable")[:k]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        best = [np.empty(0, dtype=np.int64) for _ in query_ids]
-        best_scores = [np.empty(0) for _ in query_ids]
-        least = np.full(len(query_ids), -np.inf)
-        for rows in slices(batches):
-            vectors = np.asarray(rows.column("embedding").flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
-            norms = np.linalg.norm(vectors, axis=1)
-            scores = (matrix @ vectors.T) / np.where(norms > 0, norms, 1.0)
-            codes = None if probes is None else np.asarray(rows.column("lsh_code"))
-            table = pa.Table.from_batches([rows.select(columns)])
-            offset = 0 if held is None else held.num_rows
-            table = table if held is None else pa.concat_tables([held, table])
-            keys = np.asarray(table.column("chunk_id").to_pylist(), dtype=object)
-            # a query whose k-th score is above all of the slice keeps what it has
-            for q in np.flatnonzero(scores.max(axis=1) >= least):
-                places = np.arange(rows.num_rows)
-                if codes is not None:
-                    places = places[np.isin(codes, probes[q])]
-                if len(places) > k:
-                    # everything at or above the k-th score, so ties are still decided by id
-                    cut = np.partition(scores[q][places], len(places) - k)[len(places) - k]
-                    places = places[scores[q][places] >= cut]
-                index = np.concatenate([best[q], places + offset])
-                score = np.concatenate([best_scores[q], scores[q][places]])
-                order = sorted(range(len(index)), key=lambda i: (-score[i], keys[index[i]]))[:k]
-                best[q], best_scores[q] = index[order], score[order]
-                if len(order) == k:
-                    least[q] = best_scores[q][-1]
-            # keep only rows that some query still holds
-            used = np.unique(np.concatenate(best))
-            held = table.take(pa.array(used, type=pa.int64()))
-            best = [np.searchsorted(used, b) for b in best]
-        if held is None:
-            return
-        for q, query_id in enumerate(query_ids):
-            if len(best[q]):
-                out = held.take(pa.array(best[q], type=pa.int64()))
-                out = out.append_column("score", pa.array(best_scores[q], type=pa.float64()))
-                out = out.append_column("query_id", pa.array([query_id] * len(best[q]), type=pa.string()))
-                yield from out.combine_chunks().to_batches()
+
+def _meeting(k: int):
+    """The best ``k`` chunks of a group for each of its queries."""
+
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        query_ids, chunk_ids, scores = [], [], []
+        if queries.num_rows and chunks.num_rows:
+            chunks = chunks.sort_by("chunk_id")  # ties go to the smaller id
+            asked, held = _vectors(queries.column("embedding")), _vectors(chunks.column("embedding"))
+            names = np.asarray(chunks.column("chunk_id").to_pylist(), dtype=object)
+            step = max(1, SCORE_CELLS // len(held))
+            ids = queries.column("query_id").to_pylist()
+            for start in range(0, len(asked), step):
+                block = asked[start : start + step] @ held.T
+                for q, row in enumerate(block, start):
+                    best = _best_of(row, k)
+                    query_ids.extend([ids[q]] * len(best))
+                    chunk_ids.extend(names[best].tolist())
+                    scores.extend(row[best].tolist())
+        columns = {"query_id": query_ids, "chunk_id": chunk_ids}
+        return pa.table({n: pa.array(v, pa.string()) for n, v in columns.items()} | {"score": pa.array(scores, pa.float64())})
 
     return run
 
 
-def _top_k(rows: DataFrame, queries: DataFrame, k: int, block: int, probes_of=None) -> DataFrame:
-    carried = [c for c in rows.columns if c not in ("chunk_id", "embedding", "lsh_code")]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = ", ".join(f"`{c}` {kinds[c]}" for c in ["chunk_id", *carried]) + ", score double, query_id string"
-    parts: list[DataFrame] = []
-    for ids, matrix in _blocks(queries, block):
-        probes = probes_of(matrix) if probes_of else None
-        scanned = rows
-        if probes is not None:
-            scanned = rows.where(F.col("lsh_code").isin(sorted({int(c) for p in probes for c in p})))
-        parts.append(scanned.mapInArrow(_local_best(ids, matrix, probes, k, carried), out))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], out + ", rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+def _top_k(rows: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int, query_block: int) -> DataFrame:
+    """Best ``k`` per query where ``code`` and the width of the vectors are equal.
+
+    Each side is cut into blocks by hash, as many as a code's rows need, and every two blocks of a code meet in a
+    group of their own; groups are dealt to tasks, and of a group only the best of each query go on. Both sides
+    are read once however many queries there are. A code held by many rows is only more groups.
+    """
+    keys = ["width", "code"]
+    chunks = chunks.where(_searchable()).withColumn("width", F.size("embedding"))
+    queries = queries.where(_searchable()).withColumn("width", F.size("embedding"))
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    # a row per code and width: as many as the caller's planes have codes
+    sizes = F.broadcast(blocks(chunks, chunk_block, "c_blocks").join(blocks(queries, query_block, "q_blocks"), keys))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    met_chunks = chunks.join(sizes, keys).withColumn("c", F.pmod(F.xxhash64("chunk_id"), F.col("c_blocks"))).withColumn("q", every("q_blocks"))
+    met_queries = queries.join(sizes, keys).withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("q_blocks"))).withColumn("c", every("c_blocks"))
+    group = [*keys, F.col("q").cast("long"), F.col("c").cast("long")]
+    found = (
+        met_queries.select("query_id", "embedding", *keys, "q", "c").groupBy(*group)
+        .cogroup(met_chunks.select("chunk_id", "embedding", *keys, "q", "c").groupBy(*group))
+        .applyInArrow(_meeting(k), "query_id string, chunk_id string, score double")
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # what else the chunks have is fetched for the winners alone
+    carried = rows.drop("embedding", "lsh_code")
+    return carried.join(best, "chunk_id")
+
 
+def _named(queries: DataFrame) -> DataFrame:
+    # a column of its own, also where the chunks themselves are the queries
+    return queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").alias("embedding"))
 
-def search_many(kb: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact top ``k`` for every row of ``queries`` (query_id, embedding).
 
-    Queries travel to the chunks in blocks of at most ``block``, one pass over the chunks per block;
-    each task scores its chunks as matrix products and passes on only its best ``k`` per query.
+def search_many(
+    kb: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK
+) -> DataFrame:
+    """Exact top ``k`` for every row of ``queries`` (query_id, embedding); ``chunk_id`` is the key of ``kb``.
+
+    Blocks of queries meet blocks of chunks and are scored as matrix products. Vectors that are null or hold
+    nulls find nothing and are not found; vectors of another width do not meet.
     """
-    named = queries.select(F.col("query_id").cast("string"), "embedding")
-    return _top_k(kb, named, k, block)
+    one = F.lit(0)
+    chunks = kb.select("chunk_id", "embedding", one.alias("code"))
+    return _top_k(kb, chunks, _named(queries).withColumn("code", one), k, chunk_block, block)
+
+
+def search_text(
+    kb: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, fn: EmbedFn | None = None, text: str = "text"
+) -> DataFrame:
+    """The same for query texts (query_id, text), embedded as the chunks were."""
+    return search_many(kb, embed(queries.select("query_id", text), fn, text), k)
 
 
 # --- approximate search --------------------------------------------------------
@@ -177,36 +182,45 @@ def _margins(planes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def with_lsh_code(kb: DataFrame, planes: np.ndarray) -> DataFrame:
-    """Add the side of every plane a vector lies on, as one number. Store the result partitioned by it."""
+    """Add the side of every plane a vector lies on, as one number; null where there is no vector of that width."""
+    kb = kb.withColumn("_ok", _searchable() & (F.size("embedding") == planes.shape[1]))
     weights = 1 << np.arange(len(planes))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kb.schema.fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = np.asarray(batch.column("embedding").flatten(), dtype=np.float64)
-            sides = _margins(planes, vectors.reshape(batch.num_rows, -1)) > 0
-            codes = pa.array((sides @ weights).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "lsh_code"])
+    @F.pandas_udf("int")
+    def code(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="int32")
+        sides = _margins(planes, np.stack([np.asarray(v, np.float64) for v in vectors])) > 0
+        return pd.Series(sides @ weights, dtype="int32")
 
-    return kb.mapInArrow(run, f"{kinds}, lsh_code int")
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), planes.shape[1])
+    safe = F.when(F.col("_ok"), F.col("embedding")).otherwise(nothing)
+    return kb.withColumn("lsh_code", F.when(F.col("_ok"), code(safe))).drop("_ok")
 
 
-def _probed_codes(planes: np.ndarray, probes: int):
-    """For each query its own code and those reached over the planes it lies closest to."""
+def lsh_bits(rows: int, per_code: int = 10_000) -> int:
+    """Planes that leave about ``per_code`` chunks to a code."""
+    return max(1, min(16, int(np.ceil(np.log2(max(2.0, rows / per_code))))))
 
-    def of(matrix: np.ndarray) -> list[np.ndarray]:
-        margins = _margins(planes, matrix)
-        every = np.arange(1 << len(planes))
-        sides = (every[:, None] >> np.arange(len(planes))) & 1
-        picked = []
-        for row in margins:
-            crossed = sides != (row > 0).astype(int)
-            picked.append(every[np.argsort(crossed @ np.abs(row), kind="stable")[:probes]])
-        return picked
 
-    return of
+def _probed(queries: DataFrame, planes: np.ndarray, probes: int) -> DataFrame:
+    """A row per query and probed code: its own code and those reached over the planes it lies closest to."""
+    every = np.arange(1 << len(planes))
+    sides = (every[:, None] >> np.arange(len(planes))) & 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            codes = []
+            for row in _margins(planes, _vectors(table.column("embedding"))):
+                crossed = sides != (row > 0).astype(int)
+                codes.append(every[np.argsort(crossed @ np.abs(row), kind="stable")[:probes]].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int32()))], [*batch.schema.names, "codes"])
+
+    found = queries.mapInArrow(run, "query_id string, embedding array<float>, codes array<int>")
+    return found.select("query_id", "embedding", F.explode("codes").alias("code"))
 
 
 def search_approx(
@@ -216,13 +230,16 @@ def search_approx(
     k: int = SEARCH_LIMIT,
     probes: int = 16,
     block: int = QUERY_BLOCK,
+    chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
     """Top ``k`` among the chunks whose code is one of the ``probes`` nearest to the query.
 
-    On a table partitioned by ``lsh_code`` the other partitions are not read.
+    Queries and chunks are joined by code, so a query meets only the codes it probes.
     """
-    named = queries.select(F.col("query_id").cast("string"), "embedding")
-    return _top_k(indexed, named, k, block, _probed_codes(planes, probes))
+    width = planes.shape[1]
+    asked = _named(queries).where(_searchable() & (F.size("embedding") == width))
+    chunks = indexed.select("chunk_id", "embedding", F.col("lsh_code").alias("code"))
+    return _top_k(indexed, chunks, _probed(asked, planes, probes), k, chunk_block, block)
 
 
 # --- re-rank and retrieval text --------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.functions.dates import dashed_date, pubmed_date, whole_number
@@ -89,22 +89,42 @@ def _pubmed_documents(types_in_article: bool):
     return build
 
 
-PUBMED = Source("pubmed", _parse_pubmed, _pubmed_documents(types_in_article=False))
-# Current exports put the publication types inside the article element; this reads both places
-PUBMED_BOTH_TYPE_PLACES = Source("pubmed", _parse_pubmed, _pubmed_documents(types_in_article=True))
-
-
-def unreadable_years(landed: DataFrame, payload: str = "payload") -> DataFrame:
+def _undated(parsed: DataFrame) -> DataFrame:
     """Articles left out because their year is not a number."""
-    articles = landed.select(F.explode(_parse_pubmed(F.col(payload))["PubmedArticle"]).alias("article"))
+    articles = parsed.select(F.explode("parsed.PubmedArticle").alias("article"))
     citation = F.col("article.MedlineCitation")
     year = citation["Article"]["Journal"]["JournalIssue"]["PubDate"]["Year"]
     bad = has_text(year) & ~F.coalesce(whole_number(year).between(1, 9999), F.lit(False))
     return articles.where(bad).select(
-        F.lit("pubmed").alias("source"), citation["PMID"]["_VALUE"].alias("source_id"), year.alias("year")
+        citation["PMID"]["_VALUE"].alias("source_id"), year.alias("year"), F.to_json("article").alias("payload")
     )
 
 
+PUBMED = Source("pubmed", _parse_pubmed, _pubmed_documents(types_in_article=False), _undated)
+# Current exports put the publication types inside the article element; this reads both places
+PUBMED_BOTH_TYPE_PLACES = Source("pubmed", _parse_pubmed, _pubmed_documents(types_in_article=True), _undated)
+
+
+def unreadable_years(landed: DataFrame, payload: str = "payload") -> DataFrame:
+    """Articles left out because their year is not a number, by id."""
+    return _undated(PUBMED.parsed(landed, payload)).select(F.lit("pubmed").alias("source"), "source_id", "year")
+
+
+_ARTICLE_END = "</PubmedArticle>"
+
+
+def landed_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Article exports of any size as landed payloads, one article each.
+
+    Files are cut at the end tag of an article while they are read, so a large file is read by many tasks.
+    """
+    pieces = spark.read.option("lineSep", _ARTICLE_END).text(path)
+    begin = F.regexp_instr("value", F.lit(r"<PubmedArticle[\s>]"))
+    article = F.concat(F.substring(F.col("value"), begin, F.length("value")), F.lit(_ARTICLE_END))
+    whole = F.concat(F.lit("<PubmedArticleSet>"), article, F.lit("</PubmedArticleSet>"))
+    return pieces.where(begin > 0).select(whole.alias("payload"))
+
+
 # --- medRxiv -----------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 A landed table has one row per stored API answer with its text in ``payload``. Every source turns
 such a table into the ``documents`` schema with column expressions. Rows whose payload cannot be read
-give no documents; ``rejected`` returns them so a job can quarantine them.
+give no documents, nor do records inside a payload that cannot be dated; ``rejected`` returns both, so a job
+can quarantine them. ``parsed`` is the parsed table that both are taken from, for jobs that keep it.
 """
 
 from __future__ import annotations
@@ -37,23 +38,38 @@ class Source:
     """One source plug-in.
 
     ``parse`` gives the parsed form of the payload column, ``documents`` the normalised rows of a
-    table holding it in ``parsed``.
+    table holding it in ``parsed``. ``left_out`` gives, of such a table, the records that ``documents`` leaves out, as
+    texts in ``payload``. ``keys`` are columns that a landed table has beside the payload; absent ones are null.
     """
 
     name: str
     parse: Callable[[Column], Column]
     documents: Callable[[DataFrame], DataFrame]
+    left_out: Callable[[DataFrame], DataFrame] | None = None
+    keys: tuple[str, ...] = ()
 
-    def _parsed(self, landed: DataFrame, payload: str) -> DataFrame:
+    def parsed(self, landed: DataFrame, payload: str = "payload") -> DataFrame:
+        for key in self.keys:
+            if key not in landed.columns:
+                landed = landed.withColumn(key, F.lit(None).cast("string"))
         return landed.withColumn("parsed", self.parse(F.col(payload)))
 
+    def good(self, parsed: DataFrame) -> DataFrame:
+        """Documents of a parsed table."""
+        return conform(self.documents(parsed.where(readable(F.col("parsed")))))
+
+    def bad(self, parsed: DataFrame, payload: str = "payload") -> DataFrame:
+        """What of a parsed table gives no document: ``source, payload``."""
+        rows = parsed.where(~F.coalesce(readable(F.col("parsed")), F.lit(False))).select(F.col(payload).alias("payload"))
+        if self.left_out is not None:
+            rows = rows.union(self.left_out(parsed.where(readable(F.col("parsed")))).select("payload"))
+        return rows.select(F.lit(self.name).alias("source"), "payload")
+
     def normalize(self, landed: DataFrame, payload: str = "payload") -> DataFrame:
-        good = self._parsed(landed, payload).where(readable(F.col("parsed")))
-        return conform(self.documents(good))
+        return self.good(self.parsed(landed, payload))
 
     def rejected(self, landed: DataFrame, payload: str = "payload") -> DataFrame:
-        bad = self._parsed(landed, payload).where(~readable(F.col("parsed")))
-        return bad.select(F.lit(self.name).alias("source"), F.col(payload).alias("payload"))
+        return self.bad(self.parsed(landed, payload), payload)
 
 
 def document(

@@ -81,13 +81,15 @@ OPENFDA = Source(
 
 @F.pandas_udf(ArrayType(fields(code=TEXT, text=TEXT)))
 def _label_sections(xml: pd.Series) -> pd.Series:
-    """Coded sections of a label in document order, at any depth; null for text that is no XML.
+    """Coded sections of a label in document order, at any depth; null for text that is no XML or declares entities.
 
     Sections nest without limit and their text is mixed content, which no fixed row schema covers.
     """
     hl7 = "{urn:hl7-org:v3}"
 
     def sections(text):
+        if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
+            return None
         try:
             root = ElementTree.fromstring(text)
         except (ElementTree.ParseError, TypeError, ValueError):
@@ -109,15 +111,17 @@ def _dailymed_documents(parsed: DataFrame) -> DataFrame:
         lambda s: (s["text"] != "") & s["code"].isin(list(LOINC_SECTIONS)),
     )
     body = F.transform(kept, lambda s: F.concat(header[s["code"]], F.lit("\n"), s["text"]))
+    setid = F.coalesce("setid", "parsed.setid")
+    title = F.coalesce("title", "parsed.title")
     return parsed.select(
         *document(
             "dailymed",
-            F.col("setid"),
-            F.col("title"),
+            setid,
+            title,
             F.array_join(body, "\n\n"),
             "drug_label",
             "fda_label",
-            url=F.concat(F.lit(_LABEL_PAGE), text_or_empty(F.col("setid"))),
+            url=F.concat(F.lit(_LABEL_PAGE), text_or_empty(setid)),
         )
     )
 
@@ -125,11 +129,15 @@ def _dailymed_documents(parsed: DataFrame) -> DataFrame:
 def _parse_dailymed(payload: Column) -> Column:
     sections = _label_sections(payload)
     bad = F.when(sections.isNull(), text_or_empty(payload))
-    return F.struct(sections.alias("sections"), bad.alias("_corrupt_record"))
+    known = bad.isNull()
+    # a label names itself: used where a landed row does not
+    setid = F.when(known, F.xpath_string(payload, F.lit("/*/*[local-name()='setId']/@root")))
+    title = F.when(known, F.trim(F.xpath_string(payload, F.lit("/*/*[local-name()='title']"))))
+    return F.struct(sections.alias("sections"), setid.alias("setid"), title.alias("title"), bad.alias("_corrupt_record"))
 
 
-# landed rows: setid, title, payload
-DAILYMED = Source("dailymed", _parse_dailymed, _dailymed_documents)
+# landed rows: payload and, from a listing, setid and title
+DAILYMED = Source("dailymed", _parse_dailymed, _dailymed_documents, keys=("setid", "title"))
 
 
 def dailymed_listing(landed: DataFrame, payload: str = "payload") -> DataFrame:

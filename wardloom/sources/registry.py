@@ -36,6 +36,10 @@ def get_source(name: str) -> Source | None:
     return _SOURCES.get(name)
 
 
+def source(name: str) -> Source:
+    return _SOURCES[name]
+
+
 def normalize(landed: DataFrame, name: str, payload: str = "payload") -> DataFrame:
     return _SOURCES[name].normalize(landed, payload)
 

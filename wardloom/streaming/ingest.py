@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardloom.operators.embedding import EmbedFn
-from wardloom.operators.knowledge import ingest_summary_of, knowledge_rows
+from wardloom.operators.knowledge import ingest_summary_of, knowledge_rows, single_version
 from wardloom.sources import registry
+from wardloom.sources.base import Source
 from wardloom.tables import KeyedTable
 
 
 def read_landed(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
-    """Payload files of a folder as a stream, one row per file; at most ``max_files`` a batch."""
+    """Payload files of a folder as a stream, one row per file with its path; at most ``max_files`` a batch."""
     return (
         spark.readStream.format("text")
         .option("wholetext", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(path)
-        .select(F.col("value").alias("payload"))
+        .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
     )
 
 
@@ -38,6 +39,46 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("source string, is_total boolean, documents long, chunks long, batch_id long").parquet(path)
 
 
+def quarantine(rejected: DataFrame, batch_id: int, path: str) -> None:
+    """What of one batch gave no document."""
+    rejected.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("source string, payload string, batch_id long").parquet(path)
+
+
+def ingest_source(
+    landed: DataFrame,
+    source: Source,
+    kb: KeyedTable,
+    checkpoint: str,
+    progress_path: str | None = None,
+    quarantine_path: str | None = None,
+    fn: EmbedFn | None = None,
+) -> StreamingQuery:
+    """Ingest landed payloads of a source. A payload is parsed once, for its documents and for what it leaves out."""
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        parsed = source.parsed(batch).persist()
+        try:
+            documents = source.good(parsed)
+            kb.upsert(knowledge_rows(single_version(documents), fn))
+            if progress_path:
+                progress(documents, batch_id, progress_path)
+            if quarantine_path:
+                quarantine(source.bad(parsed), batch_id, quarantine_path)
+        finally:
+            parsed.unpersist()
+
+    return (
+        landed.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest_documents(
     landed: DataFrame,
     to_documents: Callable[[DataFrame], DataFrame],
@@ -51,7 +92,7 @@ def ingest_documents(
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         documents = to_documents(batch).persist()
         try:
-            kb.upsert(knowledge_rows(documents, fn))
+            kb.upsert(knowledge_rows(single_version(documents), fn))
             if progress_path:
                 progress(documents, batch_id, progress_path)
         finally:
@@ -73,8 +114,9 @@ def stream_ingest(
     checkpoint: str,
     progress_path: str | None = None,
     fn: EmbedFn | None = None,
+    quarantine_path: str | None = None,
+    max_files: int = 1_000,
 ) -> StreamingQuery:
     """Ingest the payload files of one source."""
-    return ingest_documents(
-        read_landed(spark, in_dir), lambda batch: registry.normalize(batch, source), kb, checkpoint, progress_path, fn
-    )
+    landed = read_landed(spark, in_dir, max_files)
+    return ingest_source(landed, registry.source(source), kb, checkpoint, progress_path, quarantine_path, fn)
