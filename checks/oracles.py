@@ -659,8 +659,35 @@ SELECT sha256('case_writer|' || slot_id || '|0') AS request_id, slot_id, 'case_w
   {_prompt(prompts.CASE_WRITER.prompt)} AS prompt, 'case_writer' AS schema_name
 FROM slots JOIN contexts USING (topic)"""
 ORACLES["plan_requests"] = f"""{_CONTEXTS}
-SELECT slot_id, 'planner' AS stage, CAST(length({_prompt(prompts.PLANNER.prompt)}) AS INTEGER) AS characters, 'planner' AS schema_name
+SELECT slot_id, 'planner' AS stage, {_prompt(prompts.PLANNER.prompt)} AS prompt, 'planner' AS schema_name
 FROM slots JOIN contexts USING (topic)"""
+ORACLES["make_slots"] = """WITH topics AS (SELECT DISTINCT c_mktsegment AS topic FROM customer),
+ranked AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS r FROM topics)
+SELECT topic || '|attending|' || n AS slot_id, r * 4 + n AS slot_seq, topic, 'attending' AS difficulty FROM ranked, range(4) x(n)"""
+ORACLES["generate_to_export"] = """WITH topics AS (SELECT DISTINCT c_mktsegment AS topic FROM customer),
+ranked AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS r FROM topics),
+slots AS (SELECT topic, r * 6 + k AS n FROM ranked, range(6) x(k)),
+outcomes AS (SELECT *, greatest(n % 4, CASE WHEN n % 13 = 12 THEN 1 ELSE 0 END) AS needed FROM slots)
+SELECT topic, 'vignette ' || n || ' round ' || needed AS vignette FROM outcomes WHERE needed < 3"""
+
+
+def _json_prompt(stage: str, prompt: str, rows: str, schema: str) -> str:
+    return f"SELECT slot_id, '{stage}' AS stage, {_prompt(prompt)} AS prompt, '{schema}' AS schema_name FROM ({rows})"
+
+
+_BLUEPRINT = """'{"diagnosis":"dx ' || case_id || '","phases":[{"phase_number":1,"correct_action":"Case of ' || c_name || '"}]}'"""
+_WRITTEN = f"""SELECT *, case_id AS slot_id, 'known of ' || topic AS context, 'Case of ' || c_name AS vignette,
+  '{{"diagnosis":"dx ' || case_id || '","optimal_next_step":"treat","rationale":"because","key_findings":["' || o_orderpriority || '"]}}' AS ground_truth,
+  '{{"case_id":"' || case_id || '","topic":"' || topic || '","difficulty":"' || difficulty || '"}}' AS case_json, '0.7' AS threshold,
+  {_BLUEPRINT} AS blueprint_json, '{{"phase_number":1,"correct_action":"Case of ' || c_name || '"}}' AS phase_json, 'LABS' AS lab_context
+  FROM (SELECT c.*, o.o_orderpriority FROM cases c JOIN orders o ON o.o_orderkey = c.o_orderkey)"""
+for _name, _stage in (("tree_requests", prompts.DECISION_TREE), ("review_requests", prompts.REVIEW),
+                      ("blueprint_review_requests", prompts.BLUEPRINT_REVIEW), ("phase_requests", prompts.PHASE_RENDERER)):
+    ORACLES[_name] = f"WITH {CASES} " + _json_prompt(_stage.name, _stage.prompt, _WRITTEN, _stage.schema_name)
+ORACLES["consistency_requests"] = f"{WITH_CASES} " + _json_prompt(
+    prompts.CONSISTENCY.name, prompts.CONSISTENCY.prompt,
+    """SELECT case_id AS slot_id, '[' || string_agg('{"n":' || phase_number || ',"said":"' || narrative || '"}', ',' ORDER BY phase_number) || ']' AS phases_json
+    FROM phases GROUP BY case_id""", prompts.CONSISTENCY.schema_name)
 _RETRY = prompts.RETRY.replace("{prompt}", "{old}").replace("{notes}", "{listed}")
 ORACLES["retry_prompts"] = f"""WITH {CASES}
 SELECT case_id, CASE WHEN accuracy_score IS NULL THEN old ELSE {_prompt(_RETRY)} END AS prompt

@@ -667,11 +667,75 @@ def prompt_requests(spark, sf_dir):
     return asked.select("request_id", "slot_id", "stage", "round", "prompt", "schema_name")
 
 
+@query
+def make_slots(spark, sf_dir):
+    topics = fixtures.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("topic"))
+    return rounds.make_slots(topics, 4, "attending")
+
+
+@query
+def generate_to_export(spark, sf_dir):
+    """Slots for every topic, cases made for them, saved and exported."""
+    topics = fixtures.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("topic"))
+    slots = rounds.make_slots(topics, 6).withColumn("slot_id", F.col("slot_seq").cast("string"))
+    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00", calls_per_task=10)
+    made = rounds.generate_single(job, slots, _contexts(spark, sf_dir))
+    store = case_ops.case_table(spark, work_path(spark, "cases"))
+    case_ops.upsert_cases(store, rounds.cases_of(made.cases))
+    return case_ops.export_jsonl(store.read()).select(
+        F.get_json_object("line", "$.topic").alias("topic"), F.get_json_object("line", "$.vignette").alias("vignette")
+    )
+
+
 @query
 def plan_requests(spark, sf_dir):
     opened, _ = rounds.open_slots(fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir))
     asked = requests.plan_requests(opened.withColumn("round", F.lit(0)).withColumn("plan_round", F.lit(0)))
-    return asked.select("slot_id", "stage", F.length("prompt").alias("characters"), "schema_name")
+    return asked.select("slot_id", "stage", "prompt", "schema_name")
+
+
+def _written(spark, sf_dir) -> DataFrame:
+    """Cases as slots with a writer's answer, the whole case and a plan of their own phases."""
+    phase = F.struct(F.lit(1).alias("phase_number"), F.col("vignette").alias("correct_action"))
+    blueprint = F.struct(F.col("ground_truth.diagnosis").alias("diagnosis"), F.array(phase).alias("phases"))
+    writer = F.struct("vignette", "ground_truth").alias("writer")
+    return fixtures.cases(spark, sf_dir).select(
+        F.col("case_id").alias("slot_id"), F.lit(0).alias("round"), F.lit(0).alias("plan_round"), F.array().cast("array<string>").alias("notes"),
+        "topic", "difficulty", F.concat(F.lit("known of "), "topic").alias("context"), writer, F.struct("case_id", "topic", "difficulty").alias("case"), F.struct(blueprint.alias("blueprint")).alias("plan"),
+    )
+
+
+def _prompts(asked: DataFrame) -> DataFrame:
+    return asked.select("slot_id", "stage", "prompt", "schema_name")
+
+
+@query
+def tree_requests(spark, sf_dir):
+    return _prompts(requests.tree_requests(_written(spark, sf_dir)))
+
+
+@query
+def review_requests(spark, sf_dir):
+    return _prompts(requests.review_requests(_written(spark, sf_dir), 0.7))
+
+
+@query
+def blueprint_review_requests(spark, sf_dir):
+    return _prompts(requests.blueprint_review_requests(_written(spark, sf_dir)))
+
+
+@query
+def phase_requests(spark, sf_dir):
+    return _prompts(requests.render_requests(_written(spark, sf_dir), "LABS"))
+
+
+@query
+def consistency_requests(spark, sf_dir):
+    phases = fixtures.cases(spark, sf_dir).select(
+        F.col("case_id").alias("slot_id"), F.lit(0).alias("round"), F.lit(0).alias("check_pass"), "topic", "difficulty",
+        F.posexplode(F.transform("phases", lambda p: F.struct(p["phase_number"].alias("n"), p["narrative"].alias("said")))).alias("pos", "phase"),
+    )
+    return _prompts(requests.consistency_requests(phases))
 
 
 @query

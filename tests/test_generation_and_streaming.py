@@ -111,6 +111,28 @@ def test_multi_step_rounds(spark, tmp_path):
     assert made.summary.head()["failed"] == 1
 
 
+def test_context_is_written_by_topic_and_in_requests_only(spark, tmp_path):
+    job, slots, contexts = _batch(spark, tmp_path, 6)
+    job.calls_per_task = 2
+    rounds.generate_single(job, slots, contexts).cases.count()
+    import pathlib
+
+    holding = set()
+    for folder in pathlib.Path(job.folder).iterdir():
+        if "context" in spark.read.parquet(str(folder)).columns:
+            holding.add(folder.name.split("-", 1)[1])
+    assert holding == {"contexts"}
+    first = spark.read.parquet(str(next(p for p in pathlib.Path(job.folder).iterdir() if p.name.endswith("requests"))))
+    assert first.where("prompt LIKE '%CTX%' OR prompt LIKE '%ontext%'").count() == first.count()
+
+
+def test_slots_are_numbered_without_gaps(spark):
+    topics = spark.createDataFrame([("b", "attending"), ("a", "resident"), ("a", "resident")], "topic string, difficulty string")
+    rows = sorted((r["slot_seq"], r["topic"], r["difficulty"]) for r in rounds.make_slots(topics, 2).collect())
+    assert rows == [(0, "a", "resident"), (1, "a", "resident"), (2, "b", "attending"), (3, "b", "attending")]
+    assert rounds.make_slots(topics, 0).count() == 0
+
+
 def test_unknown_difficulty_fails(spark, tmp_path):
     job, slots, contexts = _batch(spark, tmp_path, 2)
     mixed = slots.withColumn("difficulty", F.when(F.col("slot_seq") == 1, F.lit("expert")).otherwise(F.col("difficulty")))

@@ -141,8 +141,14 @@ def consistency_requests(phases: DataFrame, stage: Stage = prompts.CONSISTENCY)
 # --- the model ---------------------------------------------------------------------
 
 
-def run_model(requests: DataFrame, fn: ModelFn) -> DataFrame:
-    """Responses of a batch function over the requests. It gets and returns pandas frames inside tasks."""
+def run_model(requests: DataFrame, fn: ModelFn, calls_per_task: int | None = None) -> DataFrame:
+    """Responses of a batch function over the requests. It gets and returns pandas frames inside tasks.
+
+    Model calls are slow: with ``calls_per_task`` the requests are dealt out so that a task makes about as many.
+    """
+    if calls_per_task:
+        tasks = max(1, -(-requests.count() // calls_per_task))
+        requests = requests.repartition(tasks, "request_id")
     names = RESPONSE.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ from wardloom.schemas import CASE, CASE_METADATA, fields, INT, LONG, TEXT
 from wardloom.session import work_path
 from wardloom.tables import latest_per_key
 
-SLOT = ("slot_id", "slot_seq", "topic", "difficulty", "context", "sources")
+SLOT = ("slot_id", "slot_seq", "topic", "difficulty")
 CALL = fields(slot_id=TEXT, stage=TEXT, round=INT, call=INT, input_tokens=LONG, output_tokens=LONG)
 
 
@@ -45,6 +45,8 @@ class Job:
     max_rounds: int = MAX_ROUNDS
     threshold: float = REVIEW_THRESHOLD
     folder: str = ""
+    calls_per_task: int | None = None
+    contexts: DataFrame | None = None
     calls: list[DataFrame] = field(default_factory=list)
     rejected: list[DataFrame] = field(default_factory=list)
     _step: int = 0
@@ -62,9 +64,11 @@ class Job:
     def ask(self, requests: DataFrame, schema_name: str, *keep: str) -> DataFrame:
         """Valid answers with slot, round and ``keep`` columns; unreadable ones are set aside."""
         asked = self.stored(requests, "requests")
-        answers = self.stored(req.run_model(asked, self.model), "responses")
+        answers = req.run_model(asked, self.model, self.calls_per_task)
         once = latest_per_key(answers, "request_id", [F.col("model"), F.col("payload")])
+        # the answers with their places are written once; calls, valid and bad answers are read from there
         placed = asked.select("request_id", "slot_id", "stage", "round", *keep).join(once, "request_id")
+        placed = self.stored(placed, "answers")
         call = F.lit(self._step)
         self.calls.append(
             placed.select("slot_id", "stage", "round", call.alias("call"), "input_tokens", "output_tokens")
@@ -73,6 +77,13 @@ class Job:
         self.rejected.append(bad.select("request_id", "slot_id", "stage", "round", "payload"))
         return valid
 
+    def with_context(self, slots: DataFrame, *columns: str) -> DataFrame:
+        """Slots with ``context`` or ``sources`` of their topic. Contexts are kept by topic and joined where they are read."""
+        found = slots.join(self.contexts.select("topic", *columns), "topic", "left")
+        if "sources" in columns:
+            found = found.withColumn("sources", F.coalesce("sources", F.array().cast(CASE["sources"].dataType)))
+        return found
+
     def all_calls(self) -> DataFrame:
         return _union(self.calls) if self.calls else self.spark.createDataFrame([], CALL)
 
@@ -106,7 +117,19 @@ def open_slots(slots: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFr
     joined = slots.where(known).join(contexts, "topic", "left").withColumn(
         "sources", F.coalesce("sources", F.array().cast(CASE["sources"].dataType))
     )
-    return joined.select(*SLOT).withColumn("notes", strings(F.lit(None))), slots.where(~known)
+    return joined.select(*SLOT, "context", "sources").withColumn("notes", strings(F.lit(None))), slots.where(~known)
+
+
+def make_slots(topics: DataFrame, count: int, difficulty: str = "resident") -> DataFrame:
+    """``count`` slots for each row of ``topics`` (topic and, if there, difficulty), numbered without gaps in topic order.
+
+    The number of a slot follows from its topic's rank and its place, so no list of slots is ordered.
+    """
+    wanted = topics.select("topic", (F.col("difficulty") if "difficulty" in topics.columns else F.lit(difficulty)).alias("difficulty")).distinct()
+    ranked = wanted.withColumn("_rank", F.row_number().over(Window.orderBy("topic", "difficulty")) - 1)
+    made = ranked.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count > 0 else ranked.withColumn("_n", F.lit(0)).where("false")
+    number = (F.col("_rank").cast("long") * count + F.col("_n")).alias("slot_seq")
+    return made.select(F.concat_ws("|", "topic", "difficulty", F.col("_n").cast("string")).alias("slot_id"), number, "topic", "difficulty")
 
 
 # --- assembly ----------------------------------------------------------------------
@@ -255,9 +278,9 @@ def plan_rounds(job: Job, pending: DataFrame) -> DataFrame:
     open_ = pending
     for number in range(job.max_rounds):
         asked = open_.withColumn("plan_round", F.lit(number))
-        answers = job.ask(req.plan_requests(asked), "planner")
+        answers = job.ask(req.plan_requests(job.with_context(asked, "context")), "planner")
         plans = job.stored(asked.join(answers.select("slot_id", F.col("data").alias("plan")), "slot_id"), "plans")
-        verdicts = job.ask(req.blueprint_review_requests(plans), "blueprint_review")
+        verdicts = job.ask(req.blueprint_review_requests(job.with_context(plans, "context")), "blueprint_review")
         verdicts = verdicts.select("slot_id", F.col("data").alias("verdict"))
         judged = job.stored(plans.join(verdicts, "slot_id"), "judged")
         good = judged.where("verdict.approved")
@@ -275,19 +298,20 @@ def plan_rounds(job: Job, pending: DataFrame) -> DataFrame:
 
 
 def _single_round(job: Job, pending: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    writer = job.ask(req.case_requests(pending), "case_writer")
+    writer = job.ask(req.case_requests(job.with_context(pending, "context")), "case_writer")
     written = pending.join(
         writer.select("slot_id", F.col("data").alias("writer"), F.col("model").alias("writer_model")), "slot_id"
     )
     written = job.stored(written, "written")
-    trees = job.ask(req.tree_requests(written), "decision_tree")
-    cases = assemble_single(written.join(trees.select("slot_id", F.col("data").alias("tree")), "slot_id"), job.as_of)
+    trees = job.ask(req.tree_requests(job.with_context(written, "context")), "decision_tree")
+    whole = written.join(trees.select("slot_id", F.col("data").alias("tree")), "slot_id")
+    cases = assemble_single(job.with_context(whole, "sources"), job.as_of)
     return _reviewed(job, cases)
 
 
 def _reviewed(job: Job, cases: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     cases = job.stored(cases, "cases")
-    reviews = job.ask(req.review_requests(cases, job.threshold), "review")
+    reviews = job.ask(req.review_requests(job.with_context(cases, "context"), job.threshold), "review")
     approved, pending = review_gate(cases, reviews)
     return approved, [pending]
 
@@ -300,7 +324,7 @@ def _checked(job: Job, phases: DataFrame, check_pass: int) -> DataFrame:
 
 def _multi_round(job: Job, pending: DataFrame, lab_context: str) -> tuple[DataFrame, list[DataFrame]]:
     plans, no_phases = reject_empty_blueprints(job.stored(plan_rounds(job, pending), "approved-plans"))
-    answers = job.ask(req.render_requests(plans, lab_context), "phase", "pos")
+    answers = job.ask(req.render_requests(job.with_context(plans, "context"), lab_context), "phase", "pos")
     columns = ("slot_id", "round", "pos", F.col("data.phase").alias("phase"), "model")
     phases = job.stored(answers.select(*columns), "phases")
     # a slot with an unreadable phase is not complete and is tried again in the next round
@@ -316,7 +340,7 @@ def _multi_round(job: Job, pending: DataFrame, lab_context: str) -> tuple[DataFr
         if open_.isEmpty():
             break
         again = affected_phases(plans, open_).withColumn("render_pass", F.lit(number))
-        redone = job.ask(req.phase_requests(again, lab_context), "phase", "pos").select(*columns)
+        redone = job.ask(req.phase_requests(job.with_context(again, "context"), lab_context), "phase", "pos").select(*columns)
         phases = job.stored(rerender(phases, redone), "phases")
         rechecked = _checked(job, phases.join(open_.select("slot_id"), "slot_id", "left_semi"), number)
         issues = job.stored(
@@ -327,15 +351,17 @@ def _multi_round(job: Job, pending: DataFrame, lab_context: str) -> tuple[DataFr
         F.transform("issues", lambda i: F.concat(F.lit(CONSISTENCY_NOTE_PREFIX), i["issue"])).alias("notes"),
     )
     clean = plans.join(issues.where(F.size("issues") == 0).select("slot_id"), "slot_id", "left_semi")
-    cases = assemble_multi(clean.join(collect_phases(phases), "slot_id"), job.as_of)
+    cases = assemble_multi(job.with_context(clean.join(collect_phases(phases), "slot_id"), "sources"), job.as_of)
     approved, rejected = _reviewed(job, cases)
     return approved, [*rejected, no_phases, inconsistent]
 
 
 def _run_rounds(job: Job, slots: DataFrame, contexts: DataFrame, one_round) -> Generated:
     """At most ``max_rounds`` rounds over the slots still open; what is left then has failed."""
-    opened, impossible = open_slots(slots, contexts)
-    pending = job.stored(opened, "pending")
+    known = F.col("difficulty").isin(list(DIFFICULTY_RULES))
+    impossible = slots.where(~F.coalesce(known, F.lit(False)))
+    job.contexts = job.stored(contexts.select("topic", "context", "sources"), "contexts")
+    pending = job.stored(slots.where(known).select(*SLOT).withColumn("notes", strings(F.lit(None))), "pending")
     done: list[DataFrame] = []
     for number in range(job.max_rounds):
         approved, noted = one_round(job, pending.withColumn("round", F.lit(number)))
