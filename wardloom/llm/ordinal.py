@@ -19,7 +19,7 @@ from wardloom.llm.text import mix, pieces, word_hashes
 from wardloom.llm.work import saved, take
 
 BITS = 16
-SAMPLE = 12_288  # rated documents that the fit uses, at most about
+SAMPLE = 8_192  # rated documents that the fit uses, at most about
 STEPS, RATE, PENALTY = 200, 0.05, 2e-4
 
 
@@ -75,7 +75,7 @@ def fit(sizes: np.ndarray, keys: np.ndarray, values: np.ndarray, grades: np.ndar
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(raw), np.zeros_like(raw)]
     for step in range(1, STEPS + 1):
         t = thresholds(raw)
-        score = np.add.reduceat(values * w[keys], starts)
+        score = np.add.reduceat(values * w.astype(np.float32)[keys], starts)
         # cumulative probabilities from 1 (grade >= 0) to 0 (grade > top); a grade has the difference of two
         tails = np.column_stack([np.ones(n), _sigmoid(score[:, None] - t), np.zeros(n)])
         slopes = tails * (1 - tails)
@@ -87,7 +87,7 @@ def fit(sizes: np.ndarray, keys: np.ndarray, values: np.ndarray, grades: np.ndar
         np.add.at(d_t, grades + 1, -slopes[at, grades + 1] / p / n)
         d_t = d_t[1 : top + 1]
         d_raw = np.concatenate([[d_t.sum()], np.exp(raw[1:]) * np.cumsum(d_t[::-1])[::-1][1:]])
-        d_w = np.bincount(keys, values * np.repeat(d_score, sizes), len(w)) + PENALTY * w
+        d_w = np.bincount(keys, values * np.repeat(d_score.astype(np.float32), sizes), len(w)) + PENALTY * w
         for k, (x, d) in enumerate(((w, d_w), (raw, d_raw))):
             m, s = moments[2 * k], moments[2 * k + 1]
             m += 0.1 * (d - m)
@@ -132,9 +132,12 @@ def fit_on(docs: DataFrame, ratings: DataFrame, top: int) -> tuple[np.ndarray, n
     table = saved(sample.dropDuplicates(["doc_id"]), "rated-features").sort("doc_id").toArrow()
     if not table.num_rows:
         return np.zeros(1 << BITS), np.arange(top) - (top - 1) / 2
-    keys, values = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.int32), ("values", np.float32)))
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int32).astype(np.int64)
+    values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.float32)
     sizes = pc.binary_length(table.column("keys")).to_numpy().astype(np.int64) // 4
-    return fit(sizes, keys.astype(np.int64), values, table.column("grade").to_numpy().astype(np.int64), top)
+    own_grades = table.column("grade").to_numpy().astype(np.int64)
+    del table
+    return fit(sizes, keys, values, own_grades, top)
 
 
 def graded(docs: DataFrame, ratings: DataFrame, top: int, wanted: int, least: float = 0.5) -> DataFrame:

@@ -35,6 +35,7 @@ LEXICON = 1 << 18  # words whose counts travel to all tasks; others are joined
 HIDDEN = 16
 LANES, STEPS = 256, 16
 COUNTED_AT_ONCE = 1 << 22  # words
+TEXT_AT_ONCE = 1 << 23  # bytes laid on lanes together: long documents then rarely outlast the others
 ROUNDS = ((0, 1), (1, 4), (4, 16))  # sixteenths of the training documents
 RATE = 0.006
 
@@ -76,7 +77,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         texts = 0
         for batch in batches:
             batch = batch.filter(pa.array(~held_out(batch.column("doc_id").to_pylist())))
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=TEXT_AT_ONCE):
                 texts += piece.num_rows
                 words, _, endings = word_hashes(piece.column("text"), endings=True)
                 held.append((words, tail_class(endings)))
@@ -375,7 +376,7 @@ def _round(docs: DataFrame, known: dict, flat: np.ndarray, share: tuple[int, int
         find = HashTable(known["words"][: known["head"]]).find
         for batch in batches:
             batch = batch.filter(pa.array(~held_out(batch.column("doc_id").to_pylist())))
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=TEXT_AT_ONCE):
                 words, at, endings = word_hashes(piece.column("text"), endings=True)
                 train(w, laid_out(_symbols(find, words, endings), at, 0), adam)
                 seen += len(words) + piece.num_rows
@@ -413,7 +414,7 @@ def _scored(docs: DataFrame, known: dict, flat: np.ndarray) -> DataFrame:
         find = HashTable(known["words"]).find
         logs = np.log10(known["c"] + 1.0)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=TEXT_AT_ONCE):
                 n = piece.num_rows
                 words, at, endings = word_hashes(piece.column("text"), endings=True)
                 row, tail = find(words), tail_class(endings)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 15  # bytes hashed at once; bounds the memory for a text of any length
-PIECE = 1 << 23  # bytes of the texts worked on together
+PIECE = 1 << 22  # bytes of the texts worked on together
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
