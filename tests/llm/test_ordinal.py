@@ -61,7 +61,7 @@ def test_gradient_is_that_of_the_likelihood():
         score = np.bincount(rows, values * w[keys], 40)
         tails = np.column_stack([np.ones(40), 1 / (1 + np.exp(-(score[:, None] - t))), np.zeros(40)])
         at = np.arange(40)
-        return -np.log(tails[at, grades] - tails[at, grades + 1]).mean() + ordinal.PENALTY / 2 * (w * w).sum()
+        return -np.log(tails[at, grades] - tails[at, grades + 1]).mean() + ordinal.PENALTY / 2 * (w * w).sum() + ordinal.SPARSE * np.abs(w).sum()
 
     best = loss(w, t)
     for _ in range(30):

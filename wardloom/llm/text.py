@@ -110,18 +110,28 @@ def _endings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return _LOWER[raw[last]].astype(np.int32) * 256 + _LOWER[raw[before]]
 
 
-def word_hashes(column: pa.Array, endings: bool = False) -> tuple[np.ndarray, ...]:
+def _beginnings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first four bytes of each word, or as many as it has, as one number."""
+    out = np.zeros(len(starts), np.uint32)
+    for k in range(4):
+        out = out * np.uint32(256) + np.where(starts + k < ends, _LOWER[raw[np.minimum(starts + k, len(raw) - 1)]], 0).astype(np.uint32)
+    return out
+
+
+def word_hashes(column: pa.Array, endings: bool = False, beginnings: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words of all rows in order, and where each row's words begin (one more entry than rows).
 
-    With ``endings`` also a number below 65536 for how each word ends. Null and empty rows have no words.
+    With ``endings`` also a number below 65536 for how each word ends, with ``beginnings`` one for how it begins. Null and
+    empty rows have no words.
     """
     raw, rows = _bytes_of(column)
-    hashes, starts_at, ends_in = [], [], []
+    hashes, starts_at, ends_in, begins_in = [], [], [], []
     for low, high in _blocks(raw, rows):
         if high - low > BLOCK:  # one word longer than a block
             hashes.append(np.array([_hash_long(raw[low:high])], np.uint64))
             starts_at.append(np.array([low], np.int64))
             ends_in.append(_endings(raw, np.array([low]), np.array([high])))
+            begins_in.append(_beginnings(raw, np.array([low]), np.array([high])))
             continue
         part = raw[low:high]
         space = np.ones(len(part) + 2, bool)
@@ -142,11 +152,14 @@ def word_hashes(column: pa.Array, endings: bool = False) -> tuple[np.ndarray, ..
         starts_at.append(starts + low)
         if endings:
             ends_in.append(_endings(part, starts, ends))
+        if beginnings:
+            begins_in.append(_beginnings(part, starts, ends))
     if not hashes:
-        found = np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
-        return (*found, np.zeros(0, np.int32)) if endings else found
-    found = np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), rows, "left")
-    return (*found, np.concatenate(ends_in)) if endings else found
+        hashes, starts_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        ends_in, begins_in = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+    found = [np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), rows, "left")]
+    found += [np.concatenate(ends_in)] if endings else []
+    return (*found, np.concatenate(begins_in)) if beginnings else tuple(found)
 
 
 def _blocks(raw: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
