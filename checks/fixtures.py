@@ -504,3 +504,52 @@ def fulltext_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
     item = F.struct(number.alias("id"), first_line(F.col("text")).alias("title"), F.lit("A; B").alias("author"), F.col("text").alias("content"), F.when(doc % 2 == 0, number).alias("doi"))
     return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(item).alias("results"))).alias("payload"))
+
+
+# --- stored answers of every schema -------------------------------------------------
+
+
+def stage_answers(spark: SparkSession, sf_dir: str, schema: str) -> DataFrame:
+    """Orders as answers of one schema; every seventh lacks something that is required."""
+    order, number = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    whole = order % 7 != 0
+
+    def need(value) -> Column:
+        return F.when(whole, value if isinstance(value, Column) else F.lit(value))
+
+    patient = F.struct((order % 60 + 20).alias("age"), F.lit("female").alias("sex"), F.lit("d").alias("demographics"))
+    truth = F.struct(F.concat(F.lit("dx "), number).alias("diagnosis"), F.lit("treat").alias("optimal_next_step"), need("because").alias("rationale"), F.array(F.lit("k")).alias("key_findings"))
+
+    def choice(j: int) -> Column:
+        return F.struct(F.lit(f"choice {j}").alias("choice"), (order % 2 == j).alias("is_correct"), F.lit("r").alias("reasoning"), need(F.concat(F.lit("o"), number)).alias("outcome"))
+
+    def planned(i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("phase_number"), F.lit("T+0").alias("time_offset"), F.lit("c").alias("clinical_context"), F.array(F.lit("CBC")).alias("available_diagnostics"),
+            F.array().cast("array<string>").alias("pending_diagnostics"), F.lit("workup").alias("decision_type"),
+            F.concat(F.lit("act "), number, F.lit("."), (i + 1).cast("string")).alias("correct_action"), need("k").alias("key_reasoning"),
+        )
+
+    count = (order % 4).cast("int")
+    phases = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), planned)
+    blueprint = F.struct(
+        F.concat(F.lit("dx "), number).alias("diagnosis"), F.lit("arc").alias("clinical_arc"), count.alias("phase_count"), F.slice(phases, F.lit(1), count).alias("phases"),
+        F.array().cast("array<struct<phase_number:int,branch_type:string,trigger_action_quality:string,description:string>>").alias("branching_points"),
+        F.array(F.lit("late")).alias("expected_complications"),
+    )
+    issue = F.struct((order % 3 + 1).cast("int").alias("phase_number"), F.lit("vitals.hr").alias("field"), F.concat(F.lit("jump "), number).alias("issue"), need("smooth").alias("suggested_fix"))
+    body = {
+        "case_writer": F.struct(patient.alias("patient"), F.concat(F.lit("v "), number).alias("vignette"), F.lit("Next?").alias("decision_prompt"), truth.alias("ground_truth"), F.array(F.lit("s1")).alias("specialty")),
+        "decision_tree": F.struct(F.array(choice(0), choice(1)).alias("decision_tree"), F.array(F.struct(*[F.lit("x").alias(c) for c in ("trigger", "detail", "event", "outcome")])).alias("complications")),
+        "planner": F.struct(blueprint.alias("blueprint"), patient.alias("patient"), F.array(F.lit("s1"), F.col("o_orderpriority")).alias("specialty")),
+        "blueprint_review": F.struct(need(order % 2 == 0).alias("approved"), F.array(F.lit("n")).alias("notes")),
+        "consistency": F.struct(F.array(issue).alias("issues")),
+    }[schema]
+    return table(spark, sf_dir, "orders").select(number.alias("request_id"), number.alias("slot_id"), order.alias("slot_seq"), F.to_json(body).alias("payload"), F.lit("m").alias("model"))
+
+
+def answered_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases of the cases as answers; those of every seventh order have no narrative."""
+    rows = cases(spark, sf_dir).select("case_id", F.posexplode("phases").alias("pos", "phase"))
+    phase = F.when(F.col("case_id").cast("long") % 7 == 0, F.col("phase").withField("narrative", F.lit(None).cast("string"))).otherwise(F.col("phase"))
+    return rows.select(F.concat_ws(".", "case_id", F.col("pos").cast("string")).alias("request_id"), F.col("case_id").alias("slot_id"), "pos", F.to_json(F.struct(phase.alias("phase"))).alias("payload"), F.lit("m").alias("model"))

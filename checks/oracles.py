@@ -712,6 +712,36 @@ SELECT request_id, CASE WHEN o_orderkey % 13 = 0 THEN '{{broken'
   ELSE '{{"accuracy_score":' || accuracy_score || ',"pedagogy_score":0.8,"approved":' || (accuracy_score >= 0.7)
     || ',"notes":["note ' || request_id || '"]}}' END AS payload
 FROM answers WHERE NOT readable"""
+_VALUES = {"case_writer": "'dx ' || o_orderkey", "decision_tree": "'o' || o_orderkey", "planner": "o_orderpriority",
+           "blueprint_review": "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END", "consistency": "'jump ' || o_orderkey"}
+
+
+def _readable(schema: str) -> str:
+    # a plan without phases lacks nothing
+    return "o_orderkey % 7 <> 0 OR o_orderkey % 4 = 0" if schema == "planner" else "o_orderkey % 7 <> 0"
+
+
+ORACLES["parse_stages"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS schema_name, CAST(o_orderkey AS VARCHAR) AS request_id, {_readable(n)} AS valid, CASE WHEN {_readable(n)} THEN {v} END AS value FROM orders"
+    for n, v in _VALUES.items())
+# a lab value without a unit is not complete either
+_WHOLE_PHASE = "l_orderkey % 7 <> 0 AND NOT (l_suppkey % 3 = 0 AND l_partkey % 13 = 1)"
+ORACLES["parse_phases"] = f"""{WITH_CASES}
+SELECT case_id || '.' || (phase_number - 1) AS request_id, CASE WHEN {_WHOLE_PHASE} THEN narrative END AS narrative,
+  CASE WHEN {_WHOLE_PHASE} THEN CAST(l_partkey % 6 AS INTEGER) END AS decisions FROM phases"""
+ORACLES["assemble_single"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS slot_id, sha256('case|' || o_orderkey) AS case_id, 'v ' || o_orderkey AS vignette,
+  CAST(o_orderkey % 60 + 20 AS INTEGER) AS age, 'dx ' || o_orderkey AS diagnosis, 'o' || o_orderkey AS second_outcome, 1 AS complications,
+  CAST(o_orderkey % 3 AS INTEGER) AS retry_count, 'm' AS model FROM orders WHERE o_orderkey % 7 <> 0"""
+ORACLES["assemble_multi"] = f"""{WITH_CASES}
+SELECT case_id AS slot_id, string_agg(narrative, {NL} || {NL} ORDER BY phase_number) AS vignette, 'dx ' || case_id AS diagnosis,
+  'act ' || case_id || '.1' AS optimal_next_step, CAST(count(*) AS INTEGER) AS phases, CAST(o_orderkey % 4 AS INTEGER) AS planned,
+  o_orderpriority AS specialty, true AS multi_step
+FROM phases JOIN orders ON o_orderkey = l_orderkey WHERE {_WHOLE_PHASE} AND o_orderkey % 4 <> 0 GROUP BY case_id, o_orderkey, o_orderpriority"""
+ORACLES["empty_plans"] = "SELECT CAST(o_orderkey AS VARCHAR) AS slot_id, 'Blueprint has no phases' AS notes FROM orders WHERE o_orderkey % 4 = 0"
+ORACLES["affected_phases"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS slot_id, CAST(o_orderkey % 3 AS INTEGER) AS pos, 'act ' || o_orderkey || '.' || (o_orderkey % 3 + 1) AS action
+FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 + 1 <= o_orderkey % 4"""
 _GATED = f"""WITH {SLOTS}, {_REVIEWS},
 latest AS (SELECT * FROM answers WHERE readable QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY o_orderkey DESC) = 1),
 gated AS (

@@ -15,6 +15,7 @@ from wardloom.operators import exports, grading, knowledge, search, tagging, val
 from wardloom.operators.chunking import chunk, chunk_id
 from wardloom.operators.embedding import embed
 from wardloom.plans import prompts, requests, rounds
+from wardloom.schemas import CASE
 from wardloom.session import work_path
 from wardloom.streaming import ingest
 from wardloom.sources import registry
@@ -773,6 +774,85 @@ def rejected_responses(spark, sf_dir):
     return bad.select("request_id", "payload")
 
 
+_KEYS = {
+    "case_writer": "data.ground_truth.diagnosis", "decision_tree": "data.decision_tree[1].outcome", "planner": "data.specialty[1]",
+    "blueprint_review": "cast(data.approved as string)", "consistency": "data.issues[0].issue",
+}
+
+
+@query
+def parse_stages(spark, sf_dir):
+    """Answers of five more schemas, readable ones with a value from inside."""
+    parts = []
+    for schema, key in _KEYS.items():
+        valid, bad = requests.parse_responses(fixtures.stage_answers(spark, sf_dir, schema), schema)
+        parts.append(valid.select(F.lit(schema).alias("schema_name"), "request_id", F.lit(True).alias("valid"), F.expr(key).alias("value")))
+        parts.append(bad.select(F.lit(schema).alias("schema_name"), "request_id", F.lit(False).alias("valid"), F.lit(None).cast("string").alias("value")))
+    return rounds._union(parts)
+
+
+@query
+def parse_phases(spark, sf_dir):
+    valid, bad = requests.parse_responses(fixtures.answered_phases(spark, sf_dir), "phase")
+    good = valid.select("request_id", F.col("data.phase.narrative").alias("narrative"), F.size("data.phase.decisions").alias("decisions"))
+    return good.unionByName(bad.select("request_id"), allowMissingColumns=True)
+
+
+def _slot_rows(valid: DataFrame) -> DataFrame:
+    return valid.select(
+        "slot_id", "slot_seq", F.lit("topic").alias("topic"), F.lit("resident").alias("difficulty"), F.array().cast("array<string>").alias("notes"),
+        (F.col("slot_seq") % 3).cast("int").alias("round"), F.array().cast(CASE["sources"].dataType).alias("sources"), "data", "model",
+    )
+
+
+@query
+def assemble_single(spark, sf_dir):
+    """Stored answers of writer and tree as cases."""
+    writer, _ = requests.parse_responses(fixtures.stage_answers(spark, sf_dir, "case_writer"), "case_writer")
+    tree, _ = requests.parse_responses(fixtures.stage_answers(spark, sf_dir, "decision_tree"), "decision_tree")
+    rows = _slot_rows(writer).withColumnRenamed("data", "writer").withColumnRenamed("model", "writer_model")
+    rows = rows.join(tree.select("slot_id", F.col("data").alias("tree")), "slot_id")
+    c = F.col("case")
+    return rounds.assemble_single(rows, "2024-01-01").select(
+        "slot_id", c["case_id"].alias("case_id"), c["vignette"].alias("vignette"), c["patient"]["age"].alias("age"),
+        c["ground_truth"]["diagnosis"].alias("diagnosis"), c["decision_tree"][1]["outcome"].alias("second_outcome"),
+        F.size(c["complications"]).alias("complications"), c["metadata"]["retry_count"].alias("retry_count"), c["metadata"]["model"].alias("model"),
+    )
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    plans, _ = requests.parse_responses(fixtures.stage_answers(spark, sf_dir, "planner"), "planner")
+    return _slot_rows(plans).withColumnRenamed("data", "plan").drop("model")
+
+
+@query
+def assemble_multi(spark, sf_dir):
+    """Stored plans with the stored phases of the same order as cases."""
+    valid, _ = requests.parse_responses(fixtures.answered_phases(spark, sf_dir), "phase")
+    phases = rounds.collect_phases(valid.select("slot_id", "pos", F.col("data.phase").alias("phase"), "model"))
+    good, _ = rounds.reject_empty_blueprints(_planned(spark, sf_dir))
+    c = F.col("case")
+    return rounds.assemble_multi(good.join(phases, "slot_id"), "2024-01-01").select(
+        "slot_id", c["vignette"].alias("vignette"), c["ground_truth"]["diagnosis"].alias("diagnosis"),
+        c["ground_truth"]["optimal_next_step"].alias("optimal_next_step"), F.size(c["phases"]).alias("phases"),
+        F.size(c["blueprint"]["phases"]).alias("planned"), c["specialty"][1].alias("specialty"), c["metadata"]["multi_step"].alias("multi_step"),
+    )
+
+
+@query
+def empty_plans(spark, sf_dir):
+    _, empty = rounds.reject_empty_blueprints(_planned(spark, sf_dir))
+    return empty.select("slot_id", F.array_join("notes", "; ").alias("notes"))
+
+
+@query
+def affected_phases(spark, sf_dir):
+    """Planned phases that stored consistency answers name."""
+    issues, _ = requests.parse_responses(fixtures.stage_answers(spark, sf_dir, "consistency"), "consistency")
+    found = rounds.affected_phases(_planned(spark, sf_dir), issues.select("slot_id", F.col("data.issues").alias("issues")))
+    return found.select("slot_id", "pos", F.col("planned.correct_action").alias("action"))
+
+
 def _latest_reviews(spark, sf_dir) -> DataFrame:
     valid, _ = _reviews(spark, sf_dir)
     return latest_per_key(valid, "slot_id", [F.col("slot_seq")])
