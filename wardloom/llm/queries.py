@@ -186,3 +186,55 @@ def op3_warc_index(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     _, records = warc.archived(pages.withColumn("captured", warc.epoch_plus(F.col("page_id"))))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "stamp")
+
+
+ORACLES["op2_shingle_join"] = r"""
+WITH RECURSIVE
+worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s
+    FROM worded
+),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT start, b FROM reach JOIN links ON links.a = reach.node)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT start, min(node) AS component_id FROM reach GROUP BY start) c ON c.start = sets.doc_id
+"""
+
+ORACLES["op3_warc_index"] = r"""
+WITH hashed AS (
+    SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+    FROM pages
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(hex, (5 * (k // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+       url, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS stamp
+FROM hashed
+"""
+
+ORACLES["op7_near_vectors"] = """
+WITH RECURSIVE
+v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach AS (SELECT vec_id AS start, vec_id AS node FROM embeddings UNION SELECT start, b FROM reach JOIN links ON links.a = reach.node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT start, min(node) AS component_id FROM reach GROUP BY start) c ON c.start = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
