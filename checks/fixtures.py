@@ -16,7 +16,7 @@ LEVELS = ["medical_student", "resident", "attending"]
 QUALITIES = ["optimal", "acceptable", "suboptimal", "harmful", "catastrophic", "other"]
 MODALITIES = ["CT", "MRI", "XR", "US", "CTA", "PET"]
 REGIONS = ["head", "chest", "abdomen", "brain", "cardiac", "spine"]
-OBSERVATIONS = ["hyperdense mass", "Hyperintense lesion", "focal opacity", "free fluid", "filling defect", "normal"]
+OBSERVATIONS = ["hyperdense mass", "Hyperintense lesion", "focal opacity", "free fluid", "filling defect", "headcount normal"]
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -518,7 +518,8 @@ studies AS (
 ORACLES["imaging_terms"] = f"""{WITH_CASES}, {STUDIES}, terms(modality, term) AS (VALUES {_TERM_ROWS}),
 known AS (SELECT DISTINCT modality FROM terms)
 SELECT case_id, phase_number, study_pos, s.modality, t.term AS foreign_term
-FROM studies s JOIN known USING (modality) JOIN (SELECT DISTINCT term FROM terms) t ON contains(s.words, lower(t.term))
+FROM studies s JOIN known USING (modality) JOIN (SELECT DISTINCT term FROM terms) t
+  ON contains(' ' || regexp_replace(s.words, '[^\\pL\\pN]+', ' ', 'g') || ' ', ' ' || regexp_replace(lower(t.term), '[^\\pL\\pN]+', ' ', 'g') || ' ')
 WHERE NOT EXISTS (SELECT 1 FROM terms o WHERE o.modality = s.modality AND o.term = t.term)"""
 _REGION_ROWS = ", ".join(f"({text(m)}, {text(r)})" for m, regions in IMAGING_BODY_REGIONS.items() for r in regions)
 ORACLES["imaging_regions"] = f"""{WITH_CASES}, {STUDIES}, regions(modality, region) AS (VALUES {_REGION_ROWS})

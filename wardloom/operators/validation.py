@@ -6,6 +6,7 @@ with each other and no shuffle. The lab table (67 rows) is fixed and broadcast.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,10 +136,13 @@ def _literal_map(table: Mapping[str, list[str]]) -> Column:
     )
 
 
+_NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def check_imaging_terms(
     studies: DataFrame, terms: Mapping[str, Mapping[str, list[str]]] = IMAGING_TERMS
 ) -> DataFrame:
-    """Terms in a study's findings that belong to other modalities only."""
+    """Terms in a study's findings that belong to other modalities only, as whole words."""
     own = {m: {t for listed in groups.values() for t in listed} for m, groups in terms.items()}
     foreign = {m: sorted(set().union(*own.values()) - own[m]) for m in own}
     text = F.lower(
@@ -146,7 +150,11 @@ def check_imaging_terms(
             F.transform("findings", lambda f: F.concat_ws(" ", f["structure"], f["observation"])), "\n"
         )
     )
-    used = F.filter(_literal_map(foreign)[F.col("modality")], lambda t: F.contains(text, F.lower(t)))
+    # words on both sides are set apart by one space, so a term is never found inside a word
+    words = F.concat(F.lit(" "), F.regexp_replace(text, _NO_WORD, " "), F.lit(" "))
+    listed = {m: [re.sub(r"[\W_]+", " ", f" {t.lower()} ") for t in names] for m, names in foreign.items()}
+    found = F.transform(_literal_map(listed)[F.col("modality")], lambda t: F.contains(words, t))
+    used = F.filter(_literal_map(foreign)[F.col("modality")], lambda t, i: F.get(found, i))
     return studies.select(
         "case_id", "phase_number", "study_pos", "modality", F.explode(used).alias("foreign_term")
     )
