@@ -504,6 +504,20 @@ SELECT * FROM (
     CASE WHEN p.name IS NOT NULL AND p.unit IS DISTINCT FROM l.unit THEN 'wrong unit' END,
     CASE WHEN abs(value - round(value, prec)) > 1e-9 THEN 'wrong precision' END) AS issues
   FROM labs l LEFT JOIN panels p ON p.panel = l.panel AND p.name = l.name) WHERE issues <> ''"""
+_ALL_LABS = f"""{WITH_CASES}, {LABS},
+numbered AS (SELECT *, row_number() OVER (ORDER BY panel_pos, component_pos) - 1 AS nth FROM panels),
+all_labs AS (
+  SELECT n.*, round(low::DOUBLE + (l_partkey % 41 - 10) / 20.0::DOUBLE * (high::DOUBLE - low::DOUBLE), CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 4 END) AS value,
+    CASE WHEN l_suppkey % 9 = 0 THEN 'odd' ELSE unit END AS given
+  FROM lineitem JOIN numbered n ON nth = (l_partkey * 7 + l_suppkey) % 67)"""
+ORACLES["lab_flags_all"] = f"""{_ALL_LABS}
+SELECT panel, name, CASE WHEN value < crit_low OR value > crit_high THEN 'critical' WHEN value > high THEN 'H' WHEN value < low THEN 'L' END AS flag,
+  count(*) AS n, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS BIGINT) AS total FROM all_labs GROUP BY ALL"""
+ORACLES["lab_conformance_all"] = f"""{_ALL_LABS},
+judged AS (
+  SELECT panel, name, concat_ws('; ', CASE WHEN unit <> given THEN 'wrong unit' END,
+    CASE WHEN abs(value - round(value, prec)) > 1e-9 THEN 'wrong precision' END) AS issues FROM all_labs)
+SELECT panel, name, issues, count(*) AS n FROM judged WHERE issues <> '' GROUP BY panel, name, issues"""
 ORACLES["lab_panels_used"] = f"""{WITH_CASES}, {LABS}
 SELECT p.panel, panel_pos, p.name AS component, component_pos, p.unit, prec AS precision, count(l.value) AS n
 FROM panels p LEFT JOIN labs l ON p.panel = l.panel AND p.name = l.name GROUP BY ALL"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import fixtures, model_double
@@ -541,6 +541,32 @@ def lab_conformance(spark, sf_dir):
     )
 
 
+def _all_labs(spark, sf_dir) -> DataFrame:
+    """A value for every order line, over all components of the panels in turn; some with another unit or finer than allowed."""
+    panels = validation.lab_panels(spark)
+    order = Window.orderBy("panel_pos", "component_pos")
+    numbered = panels.withColumn("at", F.row_number().over(order) - 1)
+    lines = fixtures.table(spark, sf_dir, "lineitem").withColumn("at", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 67).cast("int"))
+    spread_ = (F.col("l_partkey") % 41 - 10) / 20.0 * (F.col("reference_high") - F.col("reference_low"))
+    value = F.when(F.col("l_linenumber") % 2 == 0, F.round(F.col("reference_low") + spread_, 0)).otherwise(F.round(F.col("reference_low") + spread_, 4))
+    unit = F.when(F.col("l_suppkey") % 9 == 0, F.lit("odd")).otherwise(F.col("unit"))
+    return lines.join(numbered, "at").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "panel", F.col("component").alias("name"), value.alias("value"), unit.alias("unit")
+    )
+
+
+@query
+def lab_flags_all(spark, sf_dir):
+    flagged = validation.flag_labs(_all_labs(spark, sf_dir), validation.lab_panels(spark))
+    return flagged.groupBy("panel", "name", "flag").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10000).cast("long")).alias("total"))
+
+
+@query
+def lab_conformance_all(spark, sf_dir):
+    found = validation.check_lab_template(_all_labs(spark, sf_dir), validation.lab_panels(spark))
+    return found.groupBy("panel", "name", F.array_join("issues", "; ").alias("issues")).agg(F.count("*").alias("n"))
+
+
 @query
 def lab_panels_used(spark, sf_dir):
     """Measured values per panel and component, with the panel's place and precision."""
