@@ -1,7 +1,7 @@
 """Checks of cases against lab, imaging and difficulty rules.
 
 Phases are nested in their case, so checks over several phases run inside the row: no join of phases
-with each other and no shuffle. The lab table (67 rows) is fixed and broadcast.
+with each other and no shuffle. The lab table has 67 rows.
 """
 
 from __future__ import annotations
@@ -152,9 +152,15 @@ def check_imaging_terms(
     )
     # words on both sides are set apart by one space, so a term is never found inside a word
     words = F.concat(F.lit(" "), F.regexp_replace(text, _NO_WORD, " "), F.lit(" "))
-    listed = {m: [re.sub(r"[\W_]+", " ", f" {t.lower()} ") for t in names] for m, names in foreign.items()}
-    found = F.transform(_literal_map(listed)[F.col("modality")], lambda t: F.contains(words, t))
-    used = F.filter(_literal_map(foreign)[F.col("modality")], lambda t, i: F.get(found, i))
+
+    def listed(names: list[str]) -> Column:
+        spaced = [re.sub(r"[\W_]+", " ", f" {t.lower()} ") for t in names]
+        return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("words")) for t, w in zip(names, spaced)])
+
+    table = F.create_map(*[x for m, names in foreign.items() if names for x in (F.lit(m), listed(names))])[F.col("modality")]
+    # the text is an element of an array of its own, so it is made once and not for each term
+    used = F.flatten(F.transform(F.array(words), lambda w: F.filter(table, lambda t: F.contains(w, t["words"]))))
+    used = F.transform(used, lambda t: t["term"])
     return studies.select(
         "case_id", "phase_number", "study_pos", "modality", F.explode(used).alias("foreign_term")
     )
