@@ -95,3 +95,32 @@ def test_bit_parallel_distance_is_that_of_the_table():
         item = rng.integers(0, 6, rng.integers(1, 70)).astype(np.uint64)
         text = rng.integers(0, 6, rng.integers(0, 100)).astype(np.uint64)
         assert de.within(item, text)[0] == plain(item.tolist(), text.tolist())
+
+
+def test_recall_of_copies_with_all_allowed_edits_in_small_bands():
+    """One item alone in its band, and a rare length among many items of another."""
+    rng = np.random.default_rng(17)
+
+    def fresh(n):
+        return rng.integers(1, 1 << 62, n).astype(np.uint64)
+
+    def recall(items, copied, copies=400):
+        keyed = [(b, b.keys()) for b in de.banded(items)]
+        known = de.HashTable(np.unique(np.concatenate(items)))
+        item, met, tried = items[copied], 0, 0
+        while tried < copies:
+            copy = de.edited(item, de.allowed(len(item)), rng)
+            text = np.concatenate([fresh(30), copy, fresh(80)])
+            if plain(item.tolist(), text.tolist()) != de.allowed(len(item)):
+                continue
+            symbols, at = np.append(text, np.zeros(1, np.uint64)), np.array([0, len(text)])
+            hits = (i for b, keys in keyed for _, i in de._candidates(b, keys, symbols, at, known.find(text) < 0))
+            met, tried = met + any(copied in i for i in hits), tried + 1
+        return met / copies
+
+    for n in (5, 10, 20, 20, 20, 40, 40, 60):
+        got = recall([fresh(n)], 0)
+        assert got >= 0.93, (n, got)
+    # 10 words beside many items of 9, which may have one edit less
+    got = recall([fresh(9) for _ in range(200)] + [fresh(10) for _ in range(3)], 200)
+    assert got >= 0.93, got

@@ -4,7 +4,8 @@ The CGK embedding walks over a word sequence x: at step j it writes the word it
 random bit of (j, word) says so. Two sequences at a small edit distance walk apart at an edit and fall into
 step again soon, so their embeddings differ in few places. A repetition takes its own random bits and its own
 few steps (``SAMPLED``); windows and items that write the same words there meet. Repetitions are as many as it takes to
-reach the target recall, measured beforehand on items with the greatest number of edits that still counts.
+reach the target recall, measured beforehand on a thousand random copies with the greatest number of edits that still
+counts, whatever the number of items: repetitions are added until enough of the copies have been met.
 
 A window begins at a word and is as long as the shortest item of a band of like lengths; of the items as many of
 their first words are walked. Equal words write the same, so exact passages always meet. Walks start only where a window can be near an item at all: a word that no item has costs an edit, so a stretch
@@ -30,6 +31,9 @@ from wardloom.llm.work import take
 PERCENT_EDITS = 20  # an item of n words matches within floor(n * 20 / 100) word edits
 SAMPLED = 3
 TARGET = 0.95
+COPIES = 1000  # random copies that a group of items is measured by
+COPY_WORDS = 1 << 22  # words of these copies, which bounds their number for items of thousands of words
+GROUPS = 8
 ITEM_WORDS = 1 << 20  # words of the items that travel to the tasks at once: 8 MB
 SCHEMA = "doc_id long, item_id long, n_words long, distance long, start_word long, end_word long"
 _STEP = np.uint64(0xA24BAED4963EE407)
@@ -63,6 +67,24 @@ def walked(symbols: np.ndarray, starts: np.ndarray, stop: np.ndarray, repetition
     return key
 
 
+def edited(item: np.ndarray, edits: int, rng) -> np.ndarray:
+    """The item after so many random edits by new words, at different places, of which none undoes another."""
+    kinds = dict(zip(rng.choice(len(item), edits, replace=False).tolist(), rng.integers(0, 3, edits).tolist()))
+    fresh = iter(rng.integers(1, 1 << 62, edits).tolist())
+    out: list[int] = []
+    deleted = False
+    for i, w in enumerate(item.tolist()):
+        kind = kinds.get(i, -1)
+        if kind == 2 and (i == 0 or deleted):  # a new word before all others is no edit, and one for a deleted word is one in all
+            kind = 0
+        deleted = kind == 1
+        if kind in (0, 2):
+            out.append(next(fresh))
+        if kind in (-1, 2):
+            out.append(w)
+    return np.array(out, np.uint64)
+
+
 class Band:
     """Items of similar numbers of words, with the keys they meet windows by."""
 
@@ -86,37 +108,51 @@ class Band:
         reach = max(1, self.size * 3 // 2)  # a walk goes on every second step: by then it is through most of a window
         self.draw = lambda: np.sort(rng.choice(reach, min(SAMPLED, reach), replace=False))
         self.rounds: list[tuple[int, np.ndarray]] = []
-        repetitions = self._needed(words, rng)
-        while len(self.rounds) < repetitions:
-            self.rounds.append((seed + len(self.rounds), self.draw()))
-
-    def _needed(self, words, rng) -> int:
-        """Repetitions for the target recall, from items with as many random edits as are allowed."""
-        sample = rng.choice(self.items, min(200, len(self.items)), replace=False)
-        if allowed(self.longest) == 0:
-            return 1
-        trial = [(900 + r, self.draw()) for r in range(16)]
-        met = tried = 0
-        for i in sample.tolist():
-            item = words[i]
-            other = list(item.tolist())
-            for _ in range(allowed(len(item))):
-                at, kind = int(rng.integers(len(other))), int(rng.integers(3))
-                fresh = int(rng.integers(1, 1 << 62))
-                if kind == 0:
-                    other[at] = fresh
-                elif kind == 1 and len(other) > 1:
-                    del other[at]
-                else:
-                    other.insert(at, fresh)
-            both = np.array([*item.tolist(), *other, 0], np.uint64)
-            starts = np.array([0, len(item)])
-            stops = np.minimum(starts + self.size, [len(item), len(both) - 1])
-            for r, steps in trial:
-                a, b = walked(both, starts, stops, r, steps)
-                met, tried = met + (a == b), tried + 1
-        rate = max(met / tried, 0.01)
-        return 1 if rate >= 1 else max(1, int(np.ceil(np.log(1 - TARGET) / np.log(1 - rate))))
+        for group in self._alike(lengths):
+            self._reach_target([words[i] for i in group], np.random.default_rng(seed + 1), seed)
+
+    def _alike(self, lengths: np.ndarray) -> list[np.ndarray]:
+        """The items in at most ``GROUPS`` groups of like shares of edits: rare lengths are measured for themselves."""
+        kinds = sorted(set(lengths.tolist()), key=lambda n: (-allowed(n) / n, n))
+        return [self.items[np.isin(lengths, part)] for part in np.array_split(kinds, min(GROUPS, len(kinds)))]
+
+    def _reach_target(self, words: list[np.ndarray], rng, seed: int) -> None:
+        """Adds repetitions until the target share of random copies of these items is met, by two standard errors.
+
+        Every copy has the greatest number of edits and is judged by itself, by the repetitions that the search takes.
+        However few the items, there are as many copies.
+        """
+        n = max(100, min(COPIES, COPY_WORDS // (2 * self.size)))
+        wanted = n * TARGET + 2 * np.sqrt(n * TARGET * (1 - TARGET))
+        order = rng.permutation(len(words))
+        flat, own, starts, copies = [], [], [], []
+        at = 0
+        for c in range(n):
+            item = words[order[c % len(words)]]
+            copy = edited(item, allowed(len(item)), rng)
+            # windows further on in the copy that the gates let pass meet the item as well
+            shifts = range(1 + min(8, max(0, len(copy) - max(1, len(item) - allowed(len(item))))))
+            after = rng.integers(1, 1 << 62, self.size).astype(np.uint64)
+            text = np.concatenate([copy, after])[: self.size + shifts[-1]]
+            flat += [item[: self.size], text, np.zeros(1, np.uint64)]
+            own.append(at)
+            starts += [at + self.size + k for k in shifts]
+            copies += [c] * len(shifts)
+            at += self.size + len(text) + 1
+        flat, own, starts, copies = np.concatenate(flat), np.array(own), np.array(starts), np.array(copies)
+        met = np.zeros(n, bool)
+        r = 0
+        while r == 0 or met.sum() < wanted:
+            if r == len(self.rounds):
+                self.rounds.append((seed + r, self.draw()))
+            left = np.flatnonzero(~met)
+            other = np.flatnonzero(~met[copies])
+            begin = np.concatenate([own[left], starts[other]])
+            key = walked(flat, begin, begin + self.size, *self.rounds[r])
+            item_key = np.zeros(n, np.uint64)
+            item_key[left] = key[: len(left)]
+            met[copies[other[key[len(left) :] == item_key[copies[other]]]]] = True
+            r += 1
 
     def keys(self) -> list[tuple[int, np.ndarray, HashTable, np.ndarray, np.ndarray]]:
         """Per repetition: seed, steps, the keys that items have, and the items of each key."""
