@@ -226,6 +226,16 @@ SELECT 'dailymed:id' || doc_id AS source_document_id, 0 AS position,
   CASE kind WHEN 0 THEN 'INDICATIONS AND USAGE' WHEN 1 THEN 'ADVERSE REACTIONS' ELSE 'OVERDOSAGE' END || {NL} || {NL} || said AS text
 FROM labels WHERE kind < 3
 UNION ALL SELECT 'dailymed:id' || doc_id, CASE WHEN kind < 3 THEN 1 ELSE 0 END, 'DESCRIPTION' || {NL} || {NL} || 'described' FROM labels"""
+# the same with the whole text of a document where the queries above have its first line
+_CONTENTS = {
+    "source_pubmed": (f"{_FIRST} AS content", "text AS content"), "source_openfda": (f"{_FIRST} AS content", "text AS content"),
+    "source_dailymed": (strip(_FIRST + " || ' end'"), strip("text || ' end'")), "source_medrxiv": ("source AS content", "text AS content"),
+}
+for _name, (_part, _whole) in _CONTENTS.items():
+    assert ORACLES[_name].count(_part) == 1
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_part, _whole)
+ORACLES["stream_labels_whole"] = f"""WITH RECURSIVE docs AS ({ORACLES["source_dailymed_whole"]}), {CHUNKS}
+SELECT source_document_id, position, text FROM chunks"""
 ORACLES["stream_quarantine"] = "SELECT 'dailymed' AS source, 'id' || doc_id AS label FROM documents WHERE doc_id % 10 = 9"
 ORACLES["stream_batches"] = "SELECT 3::BIGINT AS batches, (SELECT count(*) FROM documents WHERE doc_id % 10 <> 9) AS documents"
 

@@ -4,6 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures
 from wardloom.reference_data import SOURCE_CAPS
 from wardloom.sources import articles, drugs, registry, trials
 from wardloom.sources.base import Source
@@ -213,3 +214,16 @@ def test_register_source(spark):
     wrong = Source("wrong", lambda p: parsed_json(p, "id string"), lambda parsed: parsed.select("parsed.id"))
     with pytest.raises(ValueError):
         wrong.normalize(landed(spark, {"id": "7"}))
+
+
+def test_payloads_of_whole_texts(spark, tmp_path):
+    """Line breaks, marks and long texts go through the parsing of articles, labels and preprints."""
+    text = "first <b> & line\nsecond \"line\"\n\n" + "x &amp; y > z\n" * 12_000 + "last"
+    spark.createDataFrame([(1, text, "src", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    said = {
+        "pubmed": (fixtures.pubmed_payloads, f"AIM: a1\n\n{text}"), "openfda": (fixtures.openfda_payloads, f"WARNINGS\n{text}"),
+        "dailymed": (fixtures.dailymed_payloads, f"ADVERSE REACTIONS\n{text} end\n\nDESCRIPTION\ndescribed"), "medrxiv": (fixtures.medrxiv_payloads, text),
+    }
+    for source, (payloads, content) in said.items():
+        landed_ = payloads(spark, str(tmp_path), whole=True)
+        assert [r["content"] for r in registry.normalize(landed_, source).collect()] == [content], source
