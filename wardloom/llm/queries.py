@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import chat, decontaminate, near_vectors, ordinal, packing, recurrent_lm, sharding, shingle_join, url_filter, warc
+from wardloom.llm import chat, decontaminate, near_vectors, ordinal, packing, recurrent_lm, secret_scan, sharding, shingle_join, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+@query
+def op11_secret_scan(spark, sf_dir):
+    return secret_scan.digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
 ORACLES["op6_url_filter"] = r"""
 WITH RECURSIVE
 parts AS (
