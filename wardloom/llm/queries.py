@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import chat, decontaminate, near_vectors, ordinal, packing, recurrent_lm, secret_scan, sharding, shingle_join, url_filter, warc
+from wardloom.llm import chat, decontaminate, near_vectors, ordinal, packing, recurrent_lm, secret_scan, sharding, shingle_join, token_alignment, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,13 @@ def op11_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
 
 
+@query
+def op13_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), encoder_args(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLES["op6_url_filter"] = r"""
 WITH RECURSIVE
 parts AS (
