@@ -72,3 +72,9 @@ def test_genetic_steps_keep_pieces_and_capacity():
     assert packing.fitness(best, lengths, 100) <= min(packing.fitness(x, lengths, 100) for x in (first, second))
     small = np.array([5, 5, 4, 3, 3])
     assert packing.fitness(packing.evolved(small, [], 1, 10)[0], small, 10)[0] == 2
+
+
+def test_long_runs_of_one_kind(spark, encoder):
+    rows = [(1, " " * 1_000_000), (2, "a" * 1_000_000), (3, "\n" * 1_000_000), (4, "漢字" * 150_000), (5, "　" * 100_000), (6, "plain words")]
+    found = packing.pack(spark.createDataFrame(rows, SCHEMA), encoder_args())
+    check(rows, found, encoder, 2048)

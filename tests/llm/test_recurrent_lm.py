@@ -144,3 +144,14 @@ def test_lengths_are_balanced_and_all_words_placed(monkeypatch):
     assert (inputs == lm.START).sum() == 17 and list(filled) == sorted(filled, reverse=True)
     empty = lm.laid_out(np.zeros(0, np.int32), np.zeros(2, np.int64), 0)
     assert empty[1].shape == (1, 1)
+
+
+@pytest.mark.parametrize("lexicon", [1, 8, 41])
+def test_ties_at_the_top_do_not_empty_the_lexicon(spark, monkeypatch, lexicon):
+    """All counts are one, the end's as well: more words than the lexicon has places for."""
+    monkeypatch.setattr(lm, "LEXICON", lexicon)
+    rows = [(0, " ".join(f"w{i}" for i in range(40)))]
+    assert not lm.held_out([0])[0]
+    found = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).head()
+    assert (found.n_tokens, found.n_known, found.train_tokens) == (41, 41, 41)
+    assert found.base_score == pytest.approx(41 * np.log10(2 / (41 + 42)))

@@ -12,19 +12,15 @@ Only lengths and bin numbers travel; token ids stay where they were made.
 
 from __future__ import annotations
 
-import base64
 import bisect
-import functools
-import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from wardloom.llm.tokens import Encoder
 from wardloom.llm.work import saved, take
 
 CAPACITY = 2048
@@ -37,33 +33,6 @@ _SHIFT = 24  # bins of a block are numbered below this power of two
 # --- tokens ------------------------------------------------------------------------------------------------
 
 
-class Encoder:
-    """Ids of a byte-level tokenizer file.
-
-    The ids are those of the file's own library. Where the file has an equal vocabulary of ranks beside it, ordinary text
-    goes through the faster of the two; a text that holds a special token's string goes through the first.
-    """
-
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
-        self.path = path
-        with open(path, encoding="utf-8") as source:
-            self.special = [t["content"] for t in json.load(source).get("added_tokens", [])]
-        self.fast = None
-        if ranks_path and pattern:
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    @functools.cached_property
-    def exact(self) -> Tokenizer:
-        return Tokenizer.from_file(self.path)
-
-    def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
-
-
 def pieces(docs: DataFrame, encoder_args: tuple, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if kept, ``ids``: the documents' tokens with an end token, cut.
 
@@ -82,8 +51,8 @@ def pieces(docs: DataFrame, encoder_args: tuple, capacity: int = CAPACITY, end_i
                 names = list(rows)[: 6 if keep_ids else 5]
                 return pa.record_batch([pa.array(rows[k], t) for k, t in zip(names, types)], names)
 
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.array([*encoder.ids(text.as_py() or ""), end_id], "<u4")
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.each(batch.column("text"))):
+                ids = np.array([*found, end_id], "<u4")
                 first = (len(ids) - 1) % capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):

@@ -107,7 +107,11 @@ class Lexicon:
             if room < 0:
                 break
             least = b
-        top = counts.where(F.lit(False) if least is None else (step >= least) | (F.col("word") == END)).toArrow()
+        if least is None:  # not even the first bin fits: its first words, so that the places with weights are taken
+            first = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(min(HEAD, LEXICON))
+            top = counts.where(F.col("word") == END).unionByName(first).toArrow()
+        else:
+            top = counts.where((step >= least) | (F.col("word") == END)).toArrow()
         words, tails, c = (top.column(x).to_numpy() for x in ("word", "tail", "c"))
         order = np.lexsort((words, -c, words != END))  # the end first, then by count
         self.words, self.tails, self.c = words[order].view(np.uint64), tails[order].astype(np.int32), c[order].astype(np.int64)
