@@ -23,6 +23,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
         docs.append((i, " ".join(words), "en", "s", 0))
         labels.append((i, int("%" not in docs[i][1]), 0))
     docs += [docs[9], (None, docs[3][1], "en", "s", 0), (500, None, None, None, None)]
+    docs += [(None, " ".join(rng.choices(good, k=50)), "en", "s", 0)] * 2  # copies without an id
+    docs += [(5, docs[6][1], "en", "s", 0), (6, docs[7][1], "en", "s", 0)]  # ids that repeat with the text of others
     for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
         spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{tmp_path}/{name}.parquet")
     left = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
@@ -35,8 +37,11 @@ def test_stages_against_plain_versions(spark, tmp_path):
             left = [d for d in left if d[0] in chosen]
             assert all("%" not in d[1] for d in left if d[1])
         elif k == 1:
-            groups = brute.jaccard_groups([(d[0], d[1]) for d in left])
-            left = list(dict.fromkeys(d for d, (i, _, c) in zip(left, groups) if i is None or i == c))
+            first = {}
+            for n, _, c in brute.jaccard_groups([(n, d[1]) for n, d in enumerate(left)]):
+                key = (left[n][0] is None, left[n][0] or 0, n)
+                first[c] = min(first.get(c, key), key)
+            left = [left[n] for _, _, n in first.values()]
         else:
             hit = {d for d, _, _ in expected([(n, d[1]) for n, d in enumerate(left)], items)}
             left = [d for n, d in enumerate(left) if n not in hit]

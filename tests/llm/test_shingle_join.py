@@ -66,3 +66,33 @@ def test_large_buckets_are_compared_in_slices(spark, monkeypatch):
     monkeypatch.setattr(join, "SLICE", 3)
     got = result(join.similar_groups(spark.createDataFrame(rows, SCHEMA)))
     assert got == sorted(brute.jaccard_groups(rows), key=repr)
+
+
+def test_sketches_bound_the_difference_and_tell_long_sets_apart():
+    rng = np.random.default_rng(8)
+    sets, raw = [], []
+    for n in (5, 100, 300, 900, 3000, 20_000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for drop in (0, n // 30, n // 10):
+            sets.append(np.unique(np.concatenate([base[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)])))
+        sets.append(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)))
+    raw = [join.sketch(s).tobytes() for s in sets]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    found = join.Sketches(raw).unlike(left, right)
+    for i, j, bits in zip(left.tolist(), right.tolist(), found.tolist()):
+        assert bits <= len(np.setxor1d(sets[i], sets[j]))
+        assert bits == join.unlike(raw[i], raw[j])
+    for four in range(4, 20, 4):  # sets of 100 to 3000 elements that have nothing in common
+        n = len(sets[four]) + len(sets[four + 3])
+        assert join.unlike(raw[four], raw[four + 3]) * 180 > 20 * n
+
+
+def test_signatures_leave_most_unrelated_sets_apart():
+    """Sets with a fifth of their elements in common share hardly any of their signatures."""
+    rng = np.random.default_rng(9)
+    shared = 0
+    for _ in range(50):
+        both, one, two = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (67, 133, 133))  # similarity one fifth
+        a, b = (set(join.signatures(np.unique(np.concatenate([both, x]))).tolist()) for x in (one, two))
+        shared += len(a & b)
+    assert shared < 50 * 4

@@ -2,18 +2,19 @@
 
 Sets of nearly equal size are compared inside a size band. Two sets of one band whose Jaccard similarity is at
 least t differ in at most ``k = floor(2 hi (1 - t) / (1 + t))`` elements, ``hi`` being the band's largest size.
-Their domain is cut into ``k + 1 + e`` partitions by a hash of the element; at least ``1 + e`` partitions then
-hold the same elements on both sides. A signature is a partition's number with a hash of what it holds. With
-at most ``e`` partitions empty on one side, one of the equal partitions holds something, so only partitions
-that are not empty give signatures. A set with more empty partitions also gives signatures under the next
-partitioning, and so on until one fills it; of two such sets the first to stop makes the pair meet.
+Their domain is cut by a hash of the element into ``k // 2 + 1 + e`` groups of ``PARTS`` = 3 partitions each. At least
+``1 + e`` groups then hold one of the differing elements or none, and leaving out one partition of such a group leaves
+equal elements on both sides. So every subset of two partitions of every group is enumerated, and a signature is the
+subset's number with a hash of what it holds. Bands with k below ``SMALL`` have ``k + 1 + e`` single partitions instead,
+of which at least ``1 + e`` are equal. Only subsets that hold something give signatures, and a group is poor if one of
+its subsets holds nothing. A set with at most e poor groups meets its like in one of the others; a set with more also gives
+signatures under the next partitioning, and so on until one fits it; of two such sets the first to stop makes the pair meet.
 A set gives signatures for its own band and the next, so that it meets all sets it can be similar to.
-Here the enumerated subsets are single partitions: it keeps signatures few, and what they let through is cut
-by sizes and by a parity sketch before any set is fetched.
 
-A sketch has one parity bit of the elements in each of 256 further parts, a wide sketch in about as many parts as
-there are elements. Each element in which two sets differ turns at most one bit, so the count of unlike bits
-bounds the difference from below: sketches never drop a link.
+A wide sketch has one parity bit of the elements in each of about as many parts as there are elements, a sketch in
+at most ``SKETCH_BITS`` parts. Each element in which two sets differ turns at most one bit, so the count of unlike bits
+bounds the difference from below: sketches never drop a link. Buckets are compared by sketches as wide as the band
+needs, and no pair is written before.
 
 Equal sets are one class from the start. Then links are looked for in two rounds: first each member of a bucket
 beside the bucket's first member and the one before it, which ties large groups of near copies together with
@@ -37,7 +38,8 @@ from wardloom.llm.work import components, saved, take
 
 WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 8  # the sketch has as many parts as this power of two
+PARTS, SMALL = 3, 8
+LEAST_BITS, SKETCH_BITS = 8, 12  # a sketch has as many parts as a power of two between these
 SLICE = 1024  # members of a bucket compared at once
 ROWS_OUT = 1 << 16
 FILTER_BITS = 24  # size of the filter of wanted documents, fixed: 2 MB
@@ -64,26 +66,35 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix(np.array([total ^ (np.uint64(len(elements)) << np.uint64(40))], np.uint64)).view(_INT)[0])
 
 
-def sketch(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """Parity of the number of elements in each of ``2 ** bits`` parts."""
-    parts = (elements * _SKETCH_ODD >> np.uint64(64 - bits)).astype(_INT)
-    return np.packbits(np.bincount(parts, minlength=1 << bits) & 1).tobytes()
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each part, eight parts a byte; as many parts as elements or up to twice as many.
 
+    A sketch of half as many parts is the first half of the bytes with the second half over it.
+    """
+    bits = max(LEAST_BITS, (len(elements) - 1).bit_length())
+    parts = (elements * _SKETCH_ODD >> np.uint64(32) & np.uint64((1 << bits) - 1)).astype(_INT)
+    parity = np.bincount(parts, minlength=1 << bits).astype(np.uint8) & 1
+    # byte b holds the parts b, b + bytes, b + 2 bytes ...: bytes fold as parts do
+    return np.packbits(parity.reshape(8, -1), axis=0)[0]
+
+
+def folded(wide: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (along the last axis) of ``size`` bytes, from wider ones."""
+    while wide.shape[-1] > size:
+        half = wide.shape[-1] // 2
+        wide = wide[..., :half] ^ wide[..., half:]
+    return wide
 
-def wide_sketch(elements: np.ndarray) -> bytes:
-    """As many parts as elements, or up to twice as many."""
-    return sketch(elements, max(SKETCH_BITS, (len(elements) - 1).bit_length()))
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    return folded(wide_sketch(elements), 1 << SKETCH_BITS - 3)
 
 
 def unlike(one: bytes, other: bytes) -> int:
-    """Parts of unlike parity, after two parts at a time are joined in the wider sketch until both are equally wide."""
+    """Parts of unlike parity at the narrower of two widths."""
     a, b = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
-    while len(a) != len(b):
-        if len(a) < len(b):
-            a, b = b, a
-        folded = np.unpackbits(a).reshape(-1, 2)
-        a = np.packbits(folded[:, 0] ^ folded[:, 1])
-    return int(np.bitwise_count(a ^ b).sum(dtype=_INT))
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(dtype=_INT))
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -119,21 +130,29 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for band in (own, own + 1):
         high = edges[band + 1] - 1
         k = 2 * high * (100 - percent) // (100 + percent)
-        spare = k // 8
-        count = k + 1 + spare
+        many, parts = (k // 2 + 1, PARTS) if k >= SMALL else (k + 1, 1)
+        spare = many // 8 + (k >= SMALL)
+        groups = many + spare
+        count = groups * parts
         for attempt in range(64):
             odd, salt = _odd(band, attempt)
             part = (elements * odd >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
             part = part.astype(np.uint16 if count < 1 << 16 else np.uint32)  # short numbers are sorted by radix
             order = part.argsort(kind="stable")
-            part = part[order]
-            fresh = np.empty(n, bool)
-            fresh[0] = True
-            np.not_equal(part[1:], part[:-1], out=fresh[1:])
-            first = np.flatnonzero(fresh)
-            sums = np.add.reduceat(content[order], first)
-            out.append(mix(mix(sums + salt) + part[first].astype(np.uint64)))
-            if count - len(first) <= spare:
+            held = np.bincount(part, minlength=count)
+            first = np.cumsum(held) - held
+            filled = np.flatnonzero(held)
+            sums = np.zeros(count, np.uint64)
+            sums[filled] = np.add.reduceat(content[order], first[filled])
+            if parts > 1:  # of each group, the subsets that leave one partition out
+                held, sums = held.reshape(-1, parts), sums.reshape(-1, parts)
+                held, sums = held.sum(1, keepdims=True) - held, sums.sum(1, keepdims=True) - sums
+            else:
+                held, sums = held[:, None], sums[:, None]
+            index = np.arange(count, dtype=np.uint64).reshape(held.shape)
+            some = held > 0
+            out.append(mix(mix(sums[some] + salt) + index[some]))
+            if int((~some).any(1).sum()) <= spare:
                 break
         else:  # so small a set that every partitioning leaves it sparse: it also meets its like by size alone
             out.append(mix(np.array([salt ^ _ODD], np.uint64)))
@@ -153,7 +172,10 @@ def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(len(s), set_id(s), sketch(s), wide_sketch(s)) for s in _sets(batch, words)]
+            rows = []
+            for s in _sets(batch, words):
+                wide = wide_sketch(s)
+                rows.append((len(s), set_id(s), folded(wide, 1 << SKETCH_BITS - 3).tobytes(), wide.tobytes()))
             n, ids, parity, wide = zip(*rows) if rows else ((), (), (), ())
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parity, pa.binary()), pa.array(wide, pa.binary())],
@@ -241,16 +263,37 @@ def _shared(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "signature long, set_id long, head long, before long")
 
 
-def _near(sizes_a, sizes_b, bits_a, bits_b, percent) -> np.ndarray:
-    """Which pairs sizes and sketches leave possible: every link is among them."""
-    low, high = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
-    unlike = np.bitwise_count(bits_a ^ bits_b).sum(-1, dtype=_INT)
-    return (100 * low >= percent * high) & (unlike * (100 + percent) <= (100 - percent) * (low + high))
-
-
-def _columns(batch: pa.RecordBatch):
-    sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, (1 << SKETCH_BITS) // 64)
-    return (*[batch.column(c).to_numpy() for c in ("signature", "set_id", "n_shingles")], sketches)
+class Sketches:
+    """Sketches of rows, of several widths."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in raw], _INT)
+        self.at = np.zeros(len(raw), _INT)
+        self.rows = {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            self.at[own] = np.arange(len(own))
+            self.rows[size] = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint8).reshape(-1, size)
+
+    def _folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(rows), size), np.uint8)
+        for own, held in self.rows.items():
+            here = np.flatnonzero(self.size[rows] == own)
+            if len(here):
+                out[here] = folded(held[self.at[rows[here]]], size)
+        return out.view(np.uint64)
+
+    def unlike(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Parts of unlike parity of each pair of rows, at the narrower of the two widths."""
+        out = np.zeros(len(left), _INT)
+        size = np.minimum(self.size[left], self.size[right])
+        for width in np.unique(size).tolist():
+            own = np.flatnonzero(size == width)
+            step = max(1, (1 << 22) // width)
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                out[part] = np.bitwise_count(self._folded(left[part], width) ^ self._folded(right[part], width)).sum(-1, dtype=_INT)
+        return out
 
 
 def _pairs_batch(a, b) -> pa.RecordBatch:
@@ -291,9 +334,12 @@ def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
         rest = None  # the last meeting of the batches so far may go on in the next
 
         def columns(batch):
-            return (*_columns(batch), *[batch.column(c).to_numpy() for c in ("root", "low", "high", "side")])
+            names = ("signature", "set_id", "n_shingles", "root", "low", "high", "side")
+            return [*[batch.column(c).to_numpy() for c in names], np.array(batch.column("sketch").to_pylist(), object)]
 
-        def compare(sig, ids, n, bits, root, low, high, side):
+        def compare(sig, ids, n, root, low, high, side, raw):
+            sketches = Sketches(raw.tolist())
+            pairs = []
             new = (np.diff(sig) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
             meeting = np.concatenate([[0], np.cumsum(new)])
             # each row with the one d places after it, as long as any two are of one meeting
@@ -309,16 +355,18 @@ def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
                 small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 sized = 100 * small >= percent * large
                 i, j = i[sized], j[sized]
-                if len(i):
-                    near = _near(n[i], n[j], bits[i], bits[j], percent)
-                    if near.any():
-                        yield _pairs_batch(ids[i[near]], ids[j[near]])
+                near = sketches.unlike(i, j) * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+                if near.any():
+                    i, j = ids[i[near]], ids[j[near]]
+                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+            if pairs:  # a pair that shares several signatures is written once
+                yield _pairs_batch(*np.unique(np.concatenate(pairs), axis=0).T)
 
         for batch in batches:
             now = columns(batch)
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
-            sig, low, high = now[0], now[5], now[6]
+            sig, low, high = now[0], now[4], now[5]
             if not len(sig):
                 continue
             last = (sig == sig[-1]) & (low == low[-1]) & (high == high[-1])
