@@ -19,20 +19,18 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingles, the one of smallest id stays.
+    """Of each group of rows linked by shingles one stays: that of smallest id, rows without an id last.
 
-    Documents without an id stay. Of rows that repeat an id and text one stays.
+    Rows are told apart by their place in the table, so of rows that repeat an id, with one text or several, no copy
+    stays beside another. Texts without words are linked with nothing and stay.
     """
-    groups = saved(shingle_join.similar_groups(docs), "groups")
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-
-    def of(chosen: DataFrame) -> DataFrame:
-        return docs.join(chosen.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-
-    repeated = ids.where("rows > 1")
-    if not repeated.isEmpty():
-        return of(ids.where("rows = 1")).union(of(repeated).dropDuplicates(["doc_id", "text"])).union(docs.where("doc_id IS NULL"))
-    return of(ids).union(docs.where("doc_id IS NULL"))
+    rows = docs.withColumn("row_number", F.monotonically_increasing_id())
+    groups = shingle_join.similar_groups(rows.select(F.col("row_number").alias("doc_id"), "text"))
+    ids = rows.select("row_number", F.col("doc_id").alias("id"))
+    groups = groups.select(F.col("doc_id").alias("row_number"), "component_id").join(ids, "row_number")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_number")).alias("first"))
+    kept = first.select(F.col("first.row_number").alias("row_number"))
+    return rows.join(kept.hint("shuffle_hash"), "row_number", "left_semi").select(docs.columns)
 
 
 def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
