@@ -14,7 +14,6 @@ from checks.fixtures import (
     REGIONS,
 )
 from wardloom.functions.text import WHITESPACE
-from wardloom.operators.search import lsh_planes
 from wardloom.plans import prompts
 from wardloom.reference_data import (
     CREDIBILITY_RANK,
@@ -348,7 +347,7 @@ _TOPIC_HITS = f"""WITH {KB},
 pairs AS (
   SELECT 'topic ' || a.chunk_id AS topic, kb.* EXCLUDE (v, credibility), coalesce(kb.credibility, 'preprint') AS credibility,
     list_cosine_similarity(kb.v, a.v) AS raw FROM kb, kb a),
-hits AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY topic ORDER BY raw DESC, chunk_id) <= 5),
+hits AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY topic ORDER BY raw DESC, chunk_id) <= 25),
 placed AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_RANK}, raw DESC, chunk_id) AS place FROM hits)"""
 ORACLES["format_context"] = f"""{_TOPIC_HITS}
 SELECT topic, string_agg('[Source ' || place || '] (' || credibility || ', ' || source || ')' || {NL} || text,
@@ -656,7 +655,7 @@ topic_vectors AS (SELECT DISTINCT topic, v FROM slots JOIN kb ON kb.chunk_id = C
 pairs AS (
   SELECT t.topic, kb.* EXCLUDE (v, credibility), coalesce(kb.credibility, 'preprint') AS credibility,
     list_cosine_similarity(kb.v, t.v) AS raw FROM kb, topic_vectors t),
-hits AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY topic ORDER BY raw DESC, chunk_id) <= 5),
+hits AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY topic ORDER BY raw DESC, chunk_id) <= 25),
 placed AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_RANK}, raw DESC, chunk_id) AS place FROM hits),
 contexts AS (
   SELECT topic, string_agg('[Source ' || place || '] (' || credibility || ', ' || source || ')' || {NL} || text,
@@ -800,25 +799,10 @@ SELECT sha256('firecrawl:' || source_id || ':0') AS chunk_id, 'firecrawl:' || so
   'firecrawl' AS source, 0 AS position, {strip('content')} AS text FROM web WHERE {strip('content')} <> ''"""
 ORACLES["stream_progress"] = _SUMMARY.replace("SELECT source, grouping", "SELECT CAST(0 AS BIGINT) AS batch_id, source, grouping")
 
-# --- approximate search ----------------------------------------------------------------------
+# --- search through lists ----------------------------------------------------------------------
 
-_PLANES = ", ".join(
-    f"({b}, [{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[])" for b, plane in enumerate(lsh_planes(64))
-)
-ORACLES["search_approx"] = f"""WITH {KB}, planes(b, p) AS (VALUES {_PLANES}),
-margins AS (SELECT chunk_id, b, list_dot_product(v, p) AS m FROM kb, planes),
-codes AS (SELECT chunk_id, sum(CASE WHEN m > 0 THEN 1 << b ELSE 0 END) AS code FROM margins GROUP BY chunk_id),
-costs AS (
-  SELECT chunk_id AS query_id, c, sum(CASE WHEN ((c >> b) & 1 = 1) <> (m > 0) THEN abs(m) ELSE 0 END) AS cost
-  FROM margins, range(64) r(c) GROUP BY ALL),
-probes AS (SELECT query_id, c FROM costs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, c) <= 16),
-pairs AS (
-  SELECT p.query_id, kb.chunk_id, kb.source, list_cosine_similarity(kb.v, a.v) AS raw
-  FROM probes p JOIN codes ON code = c JOIN kb ON kb.chunk_id = codes.chunk_id JOIN kb a ON a.chunk_id = p.query_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM pairs)
-SELECT query_id, chunk_id, source, CAST(rank AS INTEGER) AS rank, round(raw, 6) AS score FROM ranked WHERE rank <= 10"""
-ORACLES["search_recall"] = f"""WITH near AS ({ORACLES['search_many']}), found AS ({ORACLES['search_approx']})
-SELECT query_id, count(*) AS found FROM near JOIN found USING (query_id, chunk_id) GROUP BY query_id"""
+ORACLES["search_by_lists"] = ORACLES["search_many"]
+ORACLES["search_recall"] = """SELECT count(*) AS queries, count(*) * least(10, count(*)) AS nearest, TRUE AS reached FROM embeddings"""
 _LETTER_COUNTS = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "aeinr")
 ORACLES["embed_plugin"] = f"""{WITH_CHUNKS}
 SELECT chunk_id, {', '.join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) AS e{i}" for i, c in enumerate('aeinr'))}, 1::BIGINT AS e5 FROM chunks"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks import fixtures, model_double
 from wardloom.functions.text import preview
 from wardloom.operators import cases as case_ops
-from wardloom.operators import exports, grading, knowledge, search, tagging, validation
+from wardloom.operators import exports, grading, knowledge, search, tagging, validation, vector_index
 from wardloom.operators.chunking import chunk, chunk_id
 from wardloom.operators.embedding import embed
 from wardloom.plans import prompts, requests, rounds
@@ -300,22 +300,34 @@ def search_many(spark, sf_dir):
     return hits.select("query_id", "chunk_id", "source", "rank", F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark, sf_dir):
+    return vector_index.build(fixtures.knowledge(spark, sf_dir).select("chunk_id", "embedding", "source"), 64)
+
+
+@query
+def search_by_lists(spark, sf_dir):
+    """Exact search of every chunk's neighbours through the inverted lists and their bounds."""
+    index = _vector_index(spark, sf_dir)
+    hits = vector_index.search_exact(index, _queries(index.rows), 10)
+    return hits.select("query_id", "chunk_id", "source", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def search_approx(spark, sf_dir):
-    kb = fixtures.knowledge(spark, sf_dir).select("chunk_id", "embedding", "source")
-    planes = search.lsh_planes(64)
-    hits = search.search_approx(search.with_lsh_code(kb, planes), _queries(kb), planes, 10)
+    index = _vector_index(spark, sf_dir)
+    hits = vector_index.search_approx(index, _queries(index.rows), 10)
     return hits.select("query_id", "chunk_id", "source", "rank", F.round("score", 6).alias("score"))
 
 
 @query
 def search_recall(spark, sf_dir):
-    """Of the ten nearest chunks of each query, how many the approximate search finds."""
-    kb = fixtures.knowledge(spark, sf_dir).select("chunk_id", "embedding", "source")
-    planes = search.lsh_planes(64)
-    near = search.search_many(kb, _queries(kb), 10).select("query_id", "chunk_id")
-    found = search.search_approx(search.with_lsh_code(kb, planes), _queries(kb), planes, 10).select("query_id", "chunk_id")
-    return near.join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("found"))
+    """Of the ten nearest chunks of every chunk, whether the approximate search finds at least 95 in a hundred."""
+    kb = fixtures.knowledge(spark, sf_dir)
+    near = search.search_many(kb.select("chunk_id", "embedding"), _queries(kb), 10).select("query_id", "chunk_id")
+    found = search_approx(spark, sf_dir).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = near.join(found, ["query_id", "chunk_id"], "left")
+    counted = both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("nearest"), F.sum("hit").alias("hits"))
+    return counted.select("queries", "nearest", (100 * F.col("hits") >= 95 * F.col("nearest")).alias("reached"))
 
 
 def _letters(texts: list[str]):
@@ -354,13 +366,13 @@ def _topics(spark, sf_dir) -> DataFrame:
 
 @query
 def format_context(spark, sf_dir):
-    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), _topics(spark, sf_dir), 5)
+    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), _topics(spark, sf_dir))
     return search.format_context(hits, by=("topic",))
 
 
 @query
 def source_refs(spark, sf_dir):
-    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), _topics(spark, sf_dir), 5)
+    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), _topics(spark, sf_dir))
     refs = search.source_refs(hits, by=("topic",))
     return refs.select("topic", F.posexplode("sources").alias("pos", "r")).select(
         "topic", "pos", F.col("r.type").alias("type"), F.col("r.reference").alias("reference"),
@@ -647,7 +659,7 @@ def decision_classes(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir) -> DataFrame:
-    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), fixtures.topic_vectors(spark, sf_dir), 5)
+    hits = search.retrieve_many(fixtures.knowledge(spark, sf_dir), fixtures.topic_vectors(spark, sf_dir))
     return search.contexts(hits, by=("topic",))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.cases_data import case, frame, phase, review
 from wardloom.operators import cases as case_ops
-from wardloom.operators import knowledge, search
+from wardloom.operators import knowledge, search, vector_index
 from wardloom.operators.embedding import embed, fit_idf
 from wardloom.schemas import KB_CHUNK
 from wardloom.tables import KeyedTable, latest_per_key
@@ -158,19 +158,55 @@ def test_search_many_is_exact_in_blocks(spark):
     assert search.search_many(kb, queries.where("false"), 7).count() == 0
 
 
-def test_approximate_search_recall(spark):
-    kb, vectors = _random_kb(spark)
-    planes = search.lsh_planes(16, bits=4)
-    indexed = search.with_lsh_code(kb, planes)
-    queries = kb.withColumnRenamed("chunk_id", "query_id")
-    wanted = _exact(vectors, 10)
+def _hits(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["chunk_id"], round(r["score"], 9))
+    return got
 
-    def recall(probes):
-        hits = search.search_approx(indexed, queries, planes, 10, probes).collect()
-        return sum(r["chunk_id"] in wanted[r["query_id"]] for r in hits) / (10 * len(wanted))
 
-    assert recall(16) > 0.99
-    assert recall(8) > 0.7
+def test_lists_give_the_exact_rows_and_the_asked_recall(spark):
+    kb, vectors = _random_kb(spark)
+    queries = kb.withColumnRenamed("chunk_id", "query_id")
+    index = vector_index.build(kb, 16)
+    assert index.sizes.sum() == 400 and len(index.centroids) == 20
+    wanted = _hits(search.search_many(kb, queries, 10))
+    got = _hits(vector_index.search_exact(index, queries, 10))
+    assert {q: [s for _, s in sorted(h.values())] for q, h in got.items()} == {q: [s for _, s in sorted(h.values())] for q, h in wanted.items()}
+    assert sum(got[q] == wanted[q] for q in wanted) >= 396  # equal vectors may differ in the last bit
+    for visited, least in ((None, 0.95), (20, 1.0), (8, 0.5)):
+        near = _hits(vector_index.search_approx(index, queries, 10, visited=visited))
+        names = {q: {c for c, _ in h.values()} for q, h in wanted.items()}
+        assert sum(c in names[q] for q, h in near.items() for c, _ in h.values()) >= least * 4000 - 8
+    # fewer hits than asked for: every list is visited
+    assert _hits(vector_index.search_exact(index, queries.limit(3), 500)) and all(len(h) == 400 for h in _hits(vector_index.search_exact(index, queries.limit(3), 500)).values())
+
+
+def test_bounds_leave_out_most_lists_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.standard_normal((30, 24))
+    v = middle[rng.integers(0, 30, 900)] + rng.standard_normal((900, 24)) * 0.1
+    kb = spark.createDataFrame([(f"c{i}", [float(x) for x in row]) for i, row in enumerate(v)], "chunk_id string, embedding array<float>")
+    queries = kb.withColumnRenamed("chunk_id", "query_id")
+    index = vector_index.build(kb, 24)
+    first, further = vector_index.visits(index, queries, 5)
+    met = sum(index.sizes[r["code"]] for r in further.select("code").collect())
+    assert first.count() == 4500 and met < 0.1 * 900 * 900
+    assert _hits(vector_index.search_exact(index, queries, 5)) == _hits(search.search_many(kb, queries, 5))
+    assert vector_index.probes(index, 5) <= 4
+
+
+def test_index_of_odd_vectors(spark):
+    rows = [("n", None), ("e", []), ("h", [1.0, None]), ("w", [1.0] * 5), ("z", [0.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [-1.0, 0.0])]
+    kb = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    index = vector_index.build(kb, 2, lists=2)
+    assert index.rows.where("list IS NULL").count() == 4
+    queries = kb.withColumnRenamed("chunk_id", "query_id")
+    usable = kb.where("chunk_id in ('z', 'a', 'b', 'c')")
+    wanted = _hits(search.search_many(usable, queries.where("query_id in ('z', 'a', 'b', 'c')"), 3))
+    assert _hits(vector_index.search_exact(index, queries, 3)) == wanted == _hits(vector_index.search_approx(index, queries, 3, visited=2))
+    empty = vector_index.build(kb.limit(0), 2)
+    assert vector_index.search_exact(empty, queries, 3).count() == 0 == vector_index.search_approx(empty, queries, 3).count()
 
 
 def test_odd_vectors_and_a_hot_code(spark):
@@ -182,12 +218,12 @@ def test_odd_vectors_and_a_hot_code(spark):
     got = search.search_many(both, queries, 3, block=50, chunk_block=30).collect()
     assert {r["query_id"] for r in got} == {f"k{i:03d}" for i in range(400)} | {"w"}
     assert [r["chunk_id"] for r in got if r["query_id"] == "w"] == ["w"]
-    # one plane that puts all vectors on one side: a single code of all rows, cut into blocks
-    planes = np.zeros((1, 16))
+    # a single list of all rows, cut into blocks
     wanted = _exact(vectors, 3)
-    found = search.search_approx(search.with_lsh_code(both, planes), queries, planes, 3, probes=1, block=50, chunk_block=30).collect()
-    assert sum(r["chunk_id"] in wanted[r["query_id"]] for r in found) >= 3 * 396
-    text = found and search.search_approx(search.with_lsh_code(both, planes), queries, planes, 3)._jdf.queryExecution().executedPlan().toString()
+    one = both.select("chunk_id", "embedding", F.lit(0).alias("code")).where("chunk_id like 'k%'")
+    found = search.best_of_codes(one, search.named(queries).withColumn("code", F.lit(0)), 3, chunk_block=30, query_block=50)
+    assert sum(r["chunk_id"] in wanted[r["query_id"]] for r in found.collect()) >= 3 * 396
+    text = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in text and "hashpartitioning(width" in text
 
 

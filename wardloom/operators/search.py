@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,16 +61,18 @@ def search(
 
 def unsearchable(rows: DataFrame) -> DataFrame:
     """Rows whose vector is null, empty or holds nulls; searches leave them out."""
-    return rows.where(~_searchable())
+    return rows.where(~searchable())
 
 
-def _searchable() -> Column:
+def searchable() -> Column:
     whole = F.forall("embedding", lambda x: x.isNotNull())
     return F.coalesce((F.size("embedding") > 0) & whole, F.lit(False))
 
 
-def _vectors(column) -> np.ndarray:
-    matrix = np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(len(column), -1)
+def unit_vectors(column) -> np.ndarray:
+    """Rows of a list column at length one; zero vectors stay."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    matrix = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms > 0, norms, 1.0)
 
@@ -93,7 +94,7 @@ def _meeting(k: int):
         query_ids, chunk_ids, scores = [], [], []
         if queries.num_rows and chunks.num_rows:
             chunks = chunks.sort_by("chunk_id")  # ties go to the smaller id
-            asked, held = _vectors(queries.column("embedding")), _vectors(chunks.column("embedding"))
+            asked, held = unit_vectors(queries.column("embedding")), unit_vectors(chunks.column("embedding"))
             names = np.asarray(chunks.column("chunk_id").to_pylist(), dtype=object)
             step = max(1, SCORE_CELLS // len(held))
             ids = queries.column("query_id").to_pylist()
@@ -110,21 +111,23 @@ def _meeting(k: int):
     return run
 
 
-def _top_k(rows: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int, query_block: int) -> DataFrame:
-    """Best ``k`` per query where ``code`` and the width of the vectors are equal.
+def best_of_codes(
+    chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK
+) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: the best ``k`` per query where ``code`` and the width of the vectors are equal.
 
     Each side is cut into blocks by hash, as many as a code's rows need, and every two blocks of a code meet in a
     group of their own; groups are dealt to tasks, and of a group only the best of each query go on. Both sides
     are read once however many queries there are. A code held by many rows is only more groups.
     """
     keys = ["width", "code"]
-    chunks = chunks.where(_searchable()).withColumn("width", F.size("embedding"))
-    queries = queries.where(_searchable()).withColumn("width", F.size("embedding"))
+    chunks = chunks.where(searchable()).withColumn("width", F.size("embedding"))
+    queries = queries.where(searchable()).withColumn("width", F.size("embedding"))
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
-    # a row per code and width: as many as the caller's planes have codes
+    # a row per code and width, and codes are the lists of an index: at most vector_index.LISTS
     sizes = F.broadcast(blocks(chunks, chunk_block, "c_blocks").join(blocks(queries, query_block, "q_blocks"), keys))
 
     def every(n: str) -> Column:
@@ -139,13 +142,10 @@ def _top_k(rows: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, chunk
         .applyInArrow(_meeting(k), "query_id string, chunk_id string, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # what else the chunks have is fetched for the winners alone
-    carried = rows.drop("embedding", "lsh_code")
-    return carried.join(best, "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _named(queries: DataFrame) -> DataFrame:
+def named(queries: DataFrame) -> DataFrame:
     # a column of its own, also where the chunks themselves are the queries
     return queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").alias("embedding"))
 
@@ -160,7 +160,9 @@ def search_many(
     """
     one = F.lit(0)
     chunks = kb.select("chunk_id", "embedding", one.alias("code"))
-    return _top_k(kb, chunks, _named(queries).withColumn("code", one), k, chunk_block, block)
+    best = best_of_codes(chunks, named(queries).withColumn("code", one), k, chunk_block, block)
+    # what else the chunks have is fetched for the winners alone
+    return kb.drop("embedding").join(best, "chunk_id")
 
 
 def search_text(
@@ -170,78 +172,6 @@ def search_text(
     return search_many(kb, embed(queries.select("query_id", text), fn, text), k)
 
 
-# --- approximate search --------------------------------------------------------
-
-
-def lsh_planes(width: int, bits: int = 6, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((bits, width))
-
-
-def _margins(planes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    return vectors @ planes.T
-
-
-def with_lsh_code(kb: DataFrame, planes: np.ndarray) -> DataFrame:
-    """Add the side of every plane a vector lies on, as one number; null where there is no vector of that width."""
-    kb = kb.withColumn("_ok", _searchable() & (F.size("embedding") == planes.shape[1]))
-    weights = 1 << np.arange(len(planes))
-
-    @F.pandas_udf("int")
-    def code(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype="int32")
-        sides = _margins(planes, np.stack([np.asarray(v, np.float64) for v in vectors])) > 0
-        return pd.Series(sides @ weights, dtype="int32")
-
-    nothing = F.array_repeat(F.lit(0.0).cast("float"), planes.shape[1])
-    safe = F.when(F.col("_ok"), F.col("embedding")).otherwise(nothing)
-    return kb.withColumn("lsh_code", F.when(F.col("_ok"), code(safe))).drop("_ok")
-
-
-def lsh_bits(rows: int, per_code: int = 10_000) -> int:
-    """Planes that leave about ``per_code`` chunks to a code."""
-    return max(1, min(16, int(np.ceil(np.log2(max(2.0, rows / per_code))))))
-
-
-def _probed(queries: DataFrame, planes: np.ndarray, probes: int) -> DataFrame:
-    """A row per query and probed code: its own code and those reached over the planes it lies closest to."""
-    every = np.arange(1 << len(planes))
-    sides = (every[:, None] >> np.arange(len(planes))) & 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not table.num_rows:
-                continue
-            codes = []
-            for row in _margins(planes, _vectors(table.column("embedding"))):
-                crossed = sides != (row > 0).astype(int)
-                codes.append(every[np.argsort(crossed @ np.abs(row), kind="stable")[:probes]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int32()))], [*batch.schema.names, "codes"])
-
-    found = queries.mapInArrow(run, "query_id string, embedding array<float>, codes array<int>")
-    return found.select("query_id", "embedding", F.explode("codes").alias("code"))
-
-
-def search_approx(
-    indexed: DataFrame,
-    queries: DataFrame,
-    planes: np.ndarray,
-    k: int = SEARCH_LIMIT,
-    probes: int = 16,
-    block: int = QUERY_BLOCK,
-    chunk_block: int = CHUNK_BLOCK,
-) -> DataFrame:
-    """Top ``k`` among the chunks whose code is one of the ``probes`` nearest to the query.
-
-    Queries and chunks are joined by code, so a query meets only the codes it probes.
-    """
-    width = planes.shape[1]
-    asked = _named(queries).where(_searchable() & (F.size("embedding") == width))
-    chunks = indexed.select("chunk_id", "embedding", F.col("lsh_code").alias("code"))
-    return _top_k(indexed, chunks, _probed(asked, planes, probes), k, chunk_block, block)
-
-
 # --- re-rank and retrieval text --------------------------------------------------
 
 
