@@ -391,11 +391,6 @@ def _escaped(text: Column) -> Column:
     return text
 
 
-def _said(whole: bool) -> Column:
-    """What a payload says: the whole text of a document, or its first line."""
-    return F.col("text") if whole else first_line(F.col("text"))
-
-
 def _element(name: str, body: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name.split(' ')[0]}>"))
 
@@ -404,7 +399,7 @@ YEARS = ["2019", "2020", "2021", "soon", "2023", "2024"]
 MONTHS = ["Jan", "feb", "07", "Dec", "13", "x"]
 
 
-def pubmed_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def pubmed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as article exports, one article each; every ninth is no XML."""
     doc = F.col("doc_id")
     number = doc.cast("string")
@@ -415,7 +410,7 @@ def pubmed_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> Da
         F.lit("<Journal><JournalIssue>"), _element("PubDate", date), F.lit("</JournalIssue></Journal>"),
         _element("ArticleTitle", F.concat(F.lit("On "), number, F.lit(" &amp; more"))),
         _element('ELocationID EIdType="doi"', F.concat(F.lit("10.1/"), number)),
-        _element("Abstract", F.concat(_element('AbstractText Label="AIM"', F.concat(F.lit("a"), number)), _element("AbstractText", _escaped(_said(whole))))),
+        _element("Abstract", F.concat(_element('AbstractText Label="AIM"', F.concat(F.lit("a"), number)), _element("AbstractText", _escaped(F.col("text"))))),
         F.lit("<AuthorList><Author><LastName>Roe</LastName><ForeName>Ann</ForeName></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList>"),
     )
     kind = F.when(doc % 5 == 0, "Guideline").otherwise("Review")
@@ -425,7 +420,7 @@ def pubmed_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> Da
     return spread(table(spark, sf_dir, "documents")).select(F.when(doc % 9 == 8, F.lit("<broken")).otherwise(payload).alias("payload"))
 
 
-def openfda_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def openfda_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
     openfda = F.struct(
         F.when(doc % 2 == 0, F.array(F.concat(F.lit("Brand "), number))).alias("brand_name"),
@@ -436,7 +431,7 @@ def openfda_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> D
         F.concat(F.lit("set"), number).alias("set_id"),
         F.concat(F.lit("2023"), F.lpad((doc % 14).cast("string"), 2, "0"), F.lit("15")).alias("effective_time"),
         openfda.alias("openfda"),
-        F.array(_said(whole), F.lit("ignored")).alias("warnings"),
+        F.array(F.col("text"), F.lit("ignored")).alias("warnings"),
         F.when(doc % 4 == 0, F.array(F.lit("plain"))).alias("indications_and_usage"),
     )
     return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(label).alias("results"))).alias("payload"))
@@ -445,14 +440,14 @@ def openfda_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> D
 LABEL_CODES = ["34067-9", "34084-4", "34088-5", "00000-0"]
 
 
-def dailymed_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def dailymed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that name themselves; every tenth declares an entity and is set aside."""
     doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
 
     def section(code: Column, body: Column) -> Column:
         return F.concat(F.lit('<section><code code="'), code, F.lit('"/><text> '), body, F.lit(" </text></section>"))
 
-    said = F.replace(_escaped(_said(whole)), F.lit("\n"), F.lit("&#10;"))  # a label lands as one line
+    said = F.replace(_escaped(F.col("text")), F.lit("\n"), F.lit("&#10;"))  # a label lands as one line
     payload = F.concat(
         F.when(doc % 10 == 9, F.lit('<!DOCTYPE d [<!ENTITY x "y">]>')).otherwise(F.lit("")),
         F.lit('<document xmlns="urn:hl7-org:v3"><setId root="id'), number, F.lit('"/><title>Label '), number, F.lit("</title>"),
@@ -471,12 +466,12 @@ def rxnorm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers_.select(F.to_json(F.struct(F.struct("conceptGroup").alias("drugGroup"))).alias("payload"))
 
 
-def medrxiv_payloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def medrxiv_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, number = F.col("doc_id"), F.col("doc_id").cast("string")
     item = F.struct(
         F.concat(F.lit("10.1/"), number).alias("doi"), first_line(F.col("text")).alias("title"), F.lit(" A, B ; ; C ").alias("authors"),
         F.concat(F.lit("2024-"), (doc % 14).cast("string"), F.lit("-"), (doc % 31).cast("string")).alias("date"),
-        (F.col("text") if whole else F.col("source")).alias("abstract"), F.when(doc % 3 == 0, F.col("lang")).otherwise("").alias("category"),
+        F.col("text").alias("abstract"), F.when(doc % 3 == 0, F.col("lang")).otherwise("").alias("category"),
     )
     return spread(table(spark, sf_dir, "documents")).select(F.to_json(F.struct(F.array(item).alias("collection"))).alias("payload"))
 

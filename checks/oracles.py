@@ -167,7 +167,7 @@ dated AS (
   SELECT *, CASE lower(coalesce(mon, '')) WHEN 'feb' THEN 2 WHEN 'dec' THEN 12 ELSE 1 END AS m FROM articles WHERE y <> 'soon')"""
 ORACLES["source_pubmed"] = f"""WITH {_ARTICLES}
 SELECT 'pubmed' AS source, CAST(doc_id AS VARCHAR) AS source_id, 'On ' || doc_id || ' & more' AS title,
-  'AIM: a' || doc_id || {NL} || {NL} || {_FIRST} AS content, 'abstract' AS content_type, 'Roe Ann|Group' AS authors,
+  'AIM: a' || doc_id || {NL} || {NL} || text AS content, 'abstract' AS content_type, 'Roe Ann|Group' AS authors,
   CAST(coalesce(TRY_CAST(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE),
     make_date(CAST(y AS INT), m, 1)) AS VARCHAR) AS published, '' AS specialty,
   CASE WHEN doc_id % 5 = 0 THEN 'guideline' ELSE 'peer_reviewed' END AS credibility,
@@ -176,12 +176,12 @@ ORACLES["source_openfda"] = f"""
 SELECT 'openfda' AS source, 'set' || doc_id AS source_id,
   CASE WHEN doc_id % 6 = 0 THEN 'Brand ' || doc_id || ' (generic ' || doc_id || ')' WHEN doc_id % 2 = 0 THEN 'Brand ' || doc_id
     WHEN doc_id % 3 = 0 THEN 'generic ' || doc_id ELSE 'set' || doc_id END AS title,
-  CASE WHEN doc_id % 4 = 0 THEN 'INDICATIONS AND USAGE' || {NL} || 'plain' || {NL} || {NL} ELSE '' END || 'WARNINGS' || {NL} || {_FIRST} AS content,
+  CASE WHEN doc_id % 4 = 0 THEN 'INDICATIONS AND USAGE' || {NL} || 'plain' || {NL} || {NL} ELSE '' END || 'WARNINGS' || {NL} || text AS content,
   'drug_label' AS content_type, CASE WHEN doc_id % 5 <> 0 THEN source ELSE '' END AS authors,
   CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2023-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-15' END AS published, '' AS specialty,
   'fda_label' AS credibility, 'https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid=set' || doc_id AS url, NULL::VARCHAR AS doi FROM documents"""
 _LABEL_BODY = f"""CASE doc_id % 4 WHEN 0 THEN 'INDICATIONS AND USAGE' WHEN 1 THEN 'ADVERSE REACTIONS' WHEN 2 THEN 'OVERDOSAGE' END
-  || {NL} || {strip(_FIRST + " || ' end'")} || {NL} || {NL}"""
+  || {NL} || {strip("text || ' end'")} || {NL} || {NL}"""
 ORACLES["source_dailymed"] = f"""
 SELECT 'dailymed' AS source, 'id' || doc_id AS source_id, 'Label ' || doc_id AS title,
   coalesce({_LABEL_BODY}, '') || 'DESCRIPTION' || {NL} || 'described' AS content, 'drug_label' AS content_type, '' AS authors,
@@ -193,7 +193,7 @@ SELECT 'rxnorm' AS source, CAST(p_partkey AS VARCHAR) AS source_id, p_name AS ti
   NULL::VARCHAR AS published, '' AS specialty, 'curated' AS credibility,
   'https://mor.nlm.nih.gov/RxNav/search?searchBy=RXCUI&searchTerm=' || p_partkey AS url, NULL::VARCHAR AS doi FROM part"""
 ORACLES["source_medrxiv"] = f"""
-SELECT 'medrxiv' AS source, '10.1/' || doc_id AS source_id, {_FIRST} AS title, source AS content, 'abstract' AS content_type, 'A, B|C' AS authors,
+SELECT 'medrxiv' AS source, '10.1/' || doc_id AS source_id, {_FIRST} AS title, text AS content, 'abstract' AS content_type, 'A, B|C' AS authors,
   CAST(TRY_CAST('2024-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 31 AS VARCHAR), 2, '0') AS DATE) AS VARCHAR) AS published,
   CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS specialty, 'preprint' AS credibility,
   'https://www.medrxiv.org/content/10.1/' || doc_id AS url, '10.1/' || doc_id AS doi FROM documents"""
@@ -218,22 +218,7 @@ SELECT 'annas_archive' AS source, CAST(doc_id AS VARCHAR) AS source_id, {_FIRST}
 ORACLES["source_rejected"] = f"""WITH {_ARTICLES}
 SELECT 'pubmed' AS source, (SELECT count(*) FROM documents WHERE doc_id % 9 = 8) + count(*) AS rows, count(*) AS undated FROM articles WHERE y = 'soon'
 UNION ALL SELECT 'dailymed', count(*), 0 FROM documents WHERE doc_id % 10 = 9"""
-# a header line is followed by one more line break where sections are cut
-ORACLES["stream_labels"] = f"""WITH labels AS (
-  SELECT doc_id, doc_id % 4 AS kind, {strip(_FIRST + " || ' end'")} AS said FROM documents WHERE doc_id % 10 <> 9)
-SELECT 'dailymed:id' || doc_id AS source_document_id, 0 AS position,
-  CASE kind WHEN 0 THEN 'INDICATIONS AND USAGE' WHEN 1 THEN 'ADVERSE REACTIONS' ELSE 'OVERDOSAGE' END || {NL} || {NL} || said AS text
-FROM labels WHERE kind < 3
-UNION ALL SELECT 'dailymed:id' || doc_id, CASE WHEN kind < 3 THEN 1 ELSE 0 END, 'DESCRIPTION' || {NL} || {NL} || 'described' FROM labels"""
-# the same with the whole text of a document where the queries above have its first line
-_CONTENTS = {
-    "source_pubmed": (f"{_FIRST} AS content", "text AS content"), "source_openfda": (f"{_FIRST} AS content", "text AS content"),
-    "source_dailymed": (strip(_FIRST + " || ' end'"), strip("text || ' end'")), "source_medrxiv": ("source AS content", "text AS content"),
-}
-for _name, (_part, _whole) in _CONTENTS.items():
-    assert ORACLES[_name].count(_part) == 1
-    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_part, _whole)
-ORACLES["stream_labels_whole"] = f"""WITH RECURSIVE docs AS ({ORACLES["source_dailymed_whole"]}), {CHUNKS}
+ORACLES["stream_labels"] = f"""WITH RECURSIVE docs AS ({ORACLES["source_dailymed"]}), {CHUNKS}
 SELECT source_document_id, position, text FROM chunks"""
 ORACLES["stream_quarantine"] = "SELECT 'dailymed' AS source, 'id' || doc_id AS label FROM documents WHERE doc_id % 10 = 9"
 ORACLES["stream_batches"] = "SELECT 3::BIGINT AS batches, (SELECT count(*) FROM documents WHERE doc_id % 10 <> 9) AS documents"
@@ -685,7 +670,7 @@ FROM slots JOIN contexts USING (topic)"""
 ORACLES["plan_requests"] = f"""{_CONTEXTS}
 SELECT slot_id, 'planner' AS stage, {_prompt(prompts.PLANNER.prompt)} AS prompt, 'planner' AS schema_name
 FROM slots JOIN contexts USING (topic)"""
-ORACLES["make_slots"] = """WITH topics AS (SELECT DISTINCT c_mktsegment AS topic FROM customer),
+ORACLES["make_slots"] = """WITH topics AS (SELECT DISTINCT c_name AS topic FROM customer),
 ranked AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS r FROM topics)
 SELECT topic || '|attending|' || n AS slot_id, r * 4 + n AS slot_seq, topic, 'attending' AS difficulty FROM ranked, range(4) x(n)"""
 ORACLES["generate_to_export"] = """WITH topics AS (SELECT DISTINCT c_mktsegment AS topic FROM customer),

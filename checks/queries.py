@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,11 +118,6 @@ for _name, _source, _payloads in (
     ("source_curated", "glass", fixtures.curated_payloads), ("source_fulltext", "annas_archive", fixtures.fulltext_payloads),
 ):
     _source_query(_name, _source, _payloads)
-for _name, _source, _payloads in (
-    ("source_pubmed_whole", "pubmed", fixtures.pubmed_payloads), ("source_openfda_whole", "openfda", fixtures.openfda_payloads),
-    ("source_dailymed_whole", "dailymed", fixtures.dailymed_payloads), ("source_medrxiv_whole", "medrxiv", fixtures.medrxiv_payloads),
-):
-    _source_query(_name, _source, partial(_payloads, whole=True))
 
 
 @query
@@ -714,7 +708,7 @@ def prompt_requests(spark, sf_dir):
 
 @query
 def make_slots(spark, sf_dir):
-    topics = fixtures.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("topic"))
+    topics = fixtures.table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic"))
     return rounds.make_slots(topics, 4, "attending")
 
 
@@ -996,10 +990,10 @@ def _landed_files(spark, payloads: DataFrame, files: int) -> str:
     return folder
 
 
-def _streamed_labels(spark, sf_dir, whole=False):
+def _streamed_labels(spark, sf_dir):
     """Labels that land as files and come in several micro-batches; one file lands twice."""
     folder = work_path(spark, "stream")
-    landed = _landed_files(spark, fixtures.dailymed_payloads(spark, sf_dir, whole).select("payload"), 6)
+    landed = _landed_files(spark, fixtures.dailymed_payloads(spark, sf_dir).select("payload"), 6)
     stream = spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(landed).withColumnRenamed("value", "payload")
     kb = knowledge.knowledge_table(spark, f"{folder}/kb")
     for state in ("first", "again"):  # the second run has lost its state and sees all files anew
@@ -1014,12 +1008,6 @@ def stream_labels(spark, sf_dir):
     return kb.read().select("source_document_id", "position", "text")
 
 
-@query
-def stream_labels_whole(spark, sf_dir):
-    kb, _ = _streamed_labels(spark, sf_dir, whole=True)
-    return kb.read().select("source_document_id", "position", "text")
-
-
 @query
 def stream_quarantine(spark, sf_dir):
     _, folder = _streamed_labels(spark, sf_dir)

@@ -158,3 +158,34 @@ def test_small_expressions(spark):
     one = spark.createDataFrame([(WHITESPACE + "a b" + WHITESPACE, "x" * 201, "2024", "FEB", "x")], "s string, l string, y string, m string, d string")
     row = one.select(strip(F.col("s")).alias("s"), preview(F.col("l")).alias("l"), pubmed_date(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("d")).head()
     assert (row["s"], row["l"], row["d"]) == ("a b", "x" * 200 + "...", "2024-02-01")
+
+
+def test_blocks_of_paragraphs_change_nothing(spark, monkeypatch):
+    import random
+
+    from wardloom.operators import chunking
+
+    rng = random.Random(2)
+    texts = ["\n\n".join("x" * rng.randint(1, 60) for _ in range(rng.choice([0, 1, 2, 7, 40, 300]))) for _ in range(40)] + ["", " \n\n ", "a\n\n\n\nb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+
+    def chunks():
+        found = df.select("n", chunking.split_by_size(df["text"], 100, 30).alias("parts")).collect()
+        return {r["n"]: r["parts"] for r in found}
+
+    def plain(text):
+        paragraphs = [p for p in (p.strip() for p in text.replace("\n\n\n\n", "\n\n").split("\n\n")) if p]
+        done, held = [], []
+        for p in paragraphs:
+            if held and sum(map(len, held)) + len(p) > 100:
+                done.append("\n\n".join(held))
+                while held and sum(map(len, held)) > 30:
+                    held.pop(0)
+            held.append(p)
+        return done + ["\n\n".join(held)] if held else [text]
+
+    want = {i: plain(t) for i, t in enumerate(texts)}
+    assert chunks() == want
+    for block in (1, 3):
+        monkeypatch.setattr(chunking, "PARAGRAPHS", block)
+        assert chunks() == want

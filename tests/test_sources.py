@@ -225,5 +225,5 @@ def test_payloads_of_whole_texts(spark, tmp_path):
         "dailymed": (fixtures.dailymed_payloads, f"ADVERSE REACTIONS\n{text} end\n\nDESCRIPTION\ndescribed"), "medrxiv": (fixtures.medrxiv_payloads, text),
     }
     for source, (payloads, content) in said.items():
-        landed_ = payloads(spark, str(tmp_path), whole=True)
+        landed_ = payloads(spark, str(tmp_path))
         assert [r["content"] for r in registry.normalize(landed_, source).collect()] == [content], source

@@ -14,6 +14,8 @@ from wardloom.reference_data import (
 )
 
 _FOLD_STATE = "struct<done array<string>, open array<string>, length int>"
+_BLOCK_STATE = "struct<done array<array<string>>, open array<string>, length int>"
+PARAGRAPHS = 256  # paragraphs folded before what they closed is put aside
 
 
 def split_sections(content: Column, headers: list[str]) -> Column:
@@ -34,6 +36,9 @@ def split_by_size(content: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_
 
     When the next paragraph would pass the size, the open paragraphs are closed as a chunk and the last
     of them are carried on while their total stays within ``overlap``. Only paragraph characters count.
+
+    A fold copies what it has closed at every step, so paragraphs are folded in blocks: each starts with the
+    paragraphs still open and puts its closed chunks aside, which keeps the time in proportion to the document.
     """
     paragraphs = F.filter(F.transform(F.split(content, "\n\n+"), strip), lambda p: p != "")
 
@@ -66,15 +71,30 @@ def split_by_size(content: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_
         )
         return F.when(full, closed).otherwise(grown)
 
-    start = F.struct(
-        string_array().alias("done"), string_array().alias("open"), F.lit(0).alias("length")
-    ).cast(_FOLD_STATE)
+    def add_block(state: Column, block: Column) -> Column:
+        begin = F.struct(string_array().alias("done"), state["open"].alias("open"), state["length"].alias("length")).cast(_FOLD_STATE)
+        folded = F.aggregate(block, begin, add)
+        # bound to a variable: it is read three times and made once
+        return F.transform(
+            F.array(folded),
+            lambda made: F.struct(
+                F.concat(state["done"], F.array(made["done"])).alias("done"), made["open"].alias("open"), made["length"].alias("length")
+            ),
+        )[0]
 
     def finish(state: Column) -> Column:
-        last = F.concat(state["done"], F.array(joined(state["open"])))
+        last = F.concat(F.flatten(state["done"]), F.array(joined(state["open"])))
         return F.when(F.size(state["open"]) > 0, last).otherwise(string_array(content))
 
-    return F.aggregate(paragraphs, start, add, finish)
+    def folded(every: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.greatest(F.size(every), F.lit(1)) - 1) / PARAGRAPHS).cast("int")),
+            lambda i: F.slice(every, i * PARAGRAPHS + 1, PARAGRAPHS),
+        )
+        start = F.struct(F.array().alias("done"), string_array().alias("open"), F.lit(0).alias("length")).cast(_BLOCK_STATE)
+        return F.aggregate(blocks, start, add_block, finish)
+
+    return F.transform(F.array(paragraphs), folded)[0]
 
 
 def chunk_texts(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
