@@ -183,8 +183,8 @@ def tag_with_table(spark, sf_dir):
 
 @query
 def tag_by_join(spark, sf_dir):
-    """The same keyword table in several slices, one pass over the texts for each."""
-    return _tags(tagging.tag_with_table(_chunks(spark, sf_dir), fixtures.search_terms(spark, sf_dir), at_once=400))
+    """The same keyword table as if it were too large to be broadcast."""
+    return _tags(tagging.tag_with_table(_chunks(spark, sf_dir), fixtures.search_terms(spark, sf_dir), small=0))
 
 
 @query

@@ -120,7 +120,7 @@ def test_whole_words(spark):
     assert got["s:3"] == ["zeta", "alpha"]
 
 
-def test_keyword_table_whole_and_in_slices(spark):
+def test_keyword_table_broadcast_and_shuffled(spark):
     rng = random.Random(5)
     table = {f"g{g}": ["".join(rng.choices("abcé. ", k=rng.randint(1, 6))) for _ in range(15)] for g in range(5)}
     table["hot"] = ["a"]
@@ -128,7 +128,9 @@ def test_keyword_table_whole_and_in_slices(spark):
     chunks = chunks_of(spark, texts)
     rows = [(s, w) for s, words in table.items() for w in words] + [("none", "")]
     keywords = spark.createDataFrame(rows, "specialty string, keyword string")
-    literal, sliced = tags_of(tag_with_table(chunks, keywords)), tags_of(tag_with_table(chunks, keywords, at_once=20))
+    plan = tag_with_table(chunks, keywords)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    literal, sliced = tags_of(tag_with_table(chunks, keywords)), tags_of(tag_with_table(chunks, keywords, small=0))
     assert literal == sliced
     for row in chunks.collect():
         found = by_keyword(row["text"], table)
