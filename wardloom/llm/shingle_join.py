@@ -16,12 +16,11 @@ at most ``SKETCH_BITS`` parts. Each element in which two sets differ turns at mo
 bounds the difference from below: sketches never drop a link. Buckets are compared by sketches as wide as the band
 needs, and no pair is written before.
 
-Equal sets are one class from the start. Then links are looked for in three rounds. In the first each member of a bucket
-meets the bucket's first member and the one before it, which ties large groups of near copies together with a number
-of pairs linear in the rows. In the second only members of different components meet, and of the pairs that sketches
-leave possible a least spanning forest is verified, nearest first. In the third all possible pairs are that still lie in
-different components. No list of all pairs in a group of links is made. Buckets are read as sorted rows; a task holds
-at most one slice of a bucket beside another.
+Equal sets are one class from the start. Then links are looked for in two rounds: first each member of a bucket
+beside the bucket's first member and the one before it, which ties large groups of near copies together with
+a number of pairs linear in the rows; then only members that lie in different components by then and that sketches
+leave possible, each pair about once. No list of all pairs in a group of links is made. Buckets are read as sorted rows;
+a task holds at most one slice of a bucket beside another.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ from wardloom.llm.work import components, saved, take
 WORDS = 5
 PERCENT = 80
 PARTS, SMALL = 3, 8
-LEAST_BITS, SKETCH_BITS = 8, 12  # a sketch has as many parts as a power of two between these
+LEAST_BITS, SKETCH_BITS = 8, 11  # a sketch has as many parts as a power of two between these
 SLICE = 1024  # members of a bucket compared at once
 FIRST = 8  # signatures of a set by which a pair's first common one is told
 ROWS_OUT = 1 << 16
@@ -326,40 +325,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(sized).mapInArrow(run, "a long, b long")
 
 
-def _spanning(one: np.ndarray, two: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Places of pairs that connect all that the pairs ``(one, two)`` connect, of the nearest ones: a least spanning forest.
-
-    Every component takes its nearest pair that leads out of it, all at once, until none does.
-    """
-    names, ends = np.unique(np.concatenate([one, two]), return_inverse=True)
-    left, right = ends[: len(one)], ends[len(one) :]
-    order = np.argsort(far, kind="stable")  # ties in the order of the pairs, so no circle of equal ones arises
-    rank = np.empty(len(order), _INT)
-    rank[order] = np.arange(len(order))
-    group, taken, out = np.arange(len(names)), [], np.arange(len(one))
-    while len(out):
-        best = np.full(len(names), len(order))
-        np.minimum.at(best, group[left[out]], rank[out])
-        np.minimum.at(best, group[right[out]], rank[out])
-        chosen = order[np.unique(best[best < len(order)])]
-        taken.append(chosen)
-        a, b = group[left[chosen]], group[right[chosen]]
-        onto = np.arange(len(names))
-        while True:  # the smallest number spreads along the chosen pairs
-            low = np.minimum(onto[a], onto[b])
-            before = onto.copy()
-            np.minimum.at(onto, a, low)
-            np.minimum.at(onto, b, low)
-            onto = onto[onto]
-            if (before == onto).all():
-                break
-        group = onto[group]
-        out = out[group[left[out]] != group[right[out]]]
-    return np.concatenate(taken) if taken else out
-
-
-def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Pairs inside a slice pair of a bucket that lie in different components; if ``spanning``, only the nearest that connect them.
+def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs inside a slice pair of a bucket that lie in different components and that sizes and sketches leave possible.
 
     A bucket is cut into slices, and each two slices meet in a group of their own, so that no task holds more
     than two slices of a bucket at once, and the groups of a large bucket go to many tasks.
@@ -391,24 +358,16 @@ def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int, spanning: bo
                 small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 sized = 100 * small >= percent * large
                 i, j = i[sized], j[sized]
-                far = sketches.unlike(i, j)
-                near = np.flatnonzero(far * (100 + percent) <= (100 - percent) * (n[i] + n[j]))
-                if not spanning:  # a pair is written at its first common signature, as far as both sets' first ones tell
-                    one, two = first[i[near]], first[j[near]]
-                    earlier = (one[:, :, None] == two[:, None, :]).any(2) & (one < sig[i[near]][:, None])
-                    near = near[~earlier.any(1)]
+                near = np.flatnonzero(sketches.unlike(i, j) * (100 + percent) <= (100 - percent) * (n[i] + n[j]))
+                # a pair is written at its first common signature, as far as both sets' first ones tell
+                one, two = first[i[near]], first[j[near]]
+                earlier = (one[:, :, None] == two[:, None, :]).any(2) & (one < sig[i[near]][:, None])
+                near = near[~earlier.any(1)]
                 if len(near):
-                    i, j, far = i[near], j[near], far[near]
-                    pairs.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), root[i], root[j], far * 1000 // (n[i] + n[j])))
-            if not pairs:
-                return
-            a, b, root_a, root_b, far = (np.concatenate(x) for x in zip(*pairs))
-            _, once = np.unique(np.stack([a, b], 1), axis=0, return_index=True)  # a pair of several signatures counts once
-            a, b = a[once], b[once]
-            if spanning:
-                kept = _spanning(root_a[once], root_b[once], far[once])
-                a, b = a[kept], b[kept]
-            yield _pairs_batch(a, b)
+                    i, j = ids[i[near]], ids[j[near]]
+                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+            if pairs:  # a pair of several signatures is written once
+                yield _pairs_batch(*np.unique(np.concatenate(pairs), axis=0).T)
 
         for batch in batches:
             now = columns(batch)
@@ -513,14 +472,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = saved(_likely(_chained(buckets), reps, percent), "pairs")
     links = saved(_verified(known, reps, first, words, percent), "links")
     roots = components(links)
-    tested, links = first, [links]
-    for spanning in (True, False):
-        rooted = buckets.select("signature", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        pairs = _crossed(rooted, sketches, percent, spanning).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = saved(_likely(pairs, reps, percent), "pairs")
-        links.append(saved(_verified(known, reps, pairs, words, percent), "links"))
-        tested = tested.union(pairs)
-        roots = components(functools.reduce(DataFrame.union, links))
+    rooted = buckets.select("signature", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    second = _crossed(rooted, sketches, percent).distinct().join(first, ["a", "b"], "left_anti")
+    second = saved(_likely(second, reps, percent), "pairs")
+    more = saved(_verified(known, reps, second, words, percent), "links")
+    roots = components(links.union(more))
     classes = reps.select("set_id", "rep").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     classes = classes.withColumn("root", F.coalesce("root", "set_id"))
     smallest = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
