@@ -474,7 +474,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     roots = components(links)
     rooted = buckets.select("signature", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     second = _crossed(rooted, sketches, percent).distinct().join(first, ["a", "b"], "left_anti")
-    second = saved(_likely(second, reps, percent), "pairs")
+    second = saved(second, "pairs")  # ruled out by sketches already, as wide as those of all but very long sets
     more = saved(_verified(known, reps, second, words, percent), "links")
     roots = components(links.union(more))
     classes = reps.select("set_id", "rep").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
