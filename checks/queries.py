@@ -232,7 +232,7 @@ def _unsourced(documents: DataFrame) -> DataFrame:
 
 @query
 def kb_upsert(spark, sf_dir):
-    """All documents, then the abstracts again in two versions of which the later counts, then the table compacted."""
+    """All documents, then the abstracts again in two versions of which the later counts."""
     kb = knowledge.knowledge_table(spark, work_path(spark, "kb"))
     documents = _unsourced(fixtures.documents(spark, sf_dir))
     kb.upsert(knowledge.knowledge_rows(documents))
@@ -242,7 +242,6 @@ def kb_upsert(spark, sf_dir):
         "metadata", F.col("metadata").withField("publication_date", F.date_add("metadata.publication_date", 1))
     )
     kb.upsert(knowledge.knowledge_rows(knowledge.single_version(early.unionByName(late))))
-    kb.compact()
     return _stored_chunks(kb.read())
 
 

@@ -7,7 +7,7 @@ from wardloom.operators import cases as case_ops
 from wardloom.operators import knowledge, search, vector_index
 from wardloom.operators.embedding import embed, fit_idf
 from wardloom.schemas import KB_CHUNK
-from wardloom.tables import KeyedTable, latest_per_key
+from wardloom.tables import latest_per_key
 
 
 def test_latest_per_key_with_a_hot_key(spark):
@@ -28,7 +28,7 @@ def kb_rows(spark, *rows):
 
 
 def test_upsert_twice_replaces_and_keeps(spark, tmp_path):
-    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"), compact_after=3)
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
     assert kb.count() == 0
     first = kb_rows(spark, *[(f"c{i}", f"s{i % 2}", f"t{i}", 1.0, 0.0, "curated") for i in range(20)])
     kb.upsert(first)
@@ -44,11 +44,23 @@ def test_upsert_twice_replaces_and_keeps(spark, tmp_path):
     assert kb.read().columns == KB_CHUNK.names
 
 
-def test_two_writers_cannot_publish_one_version(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), KB_CHUNK, "chunk_id", "source")
-    table._publish(1, [])
-    with pytest.raises(RuntimeError):
-        table._publish(1, [])
+def test_a_row_that_moves_to_another_source_leaves_the_first(spark, tmp_path):
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
+    kb.upsert(kb_rows(spark, ("c", "s1", "old", 1.0, 0.0, "curated"), ("d", "s1", "stays", 1.0, 0.0, "curated")))
+    kb.upsert(kb_rows(spark, ("c", "s2", "new", 1.0, 0.0, "curated")))
+    assert [r["text"] for r in kb.read("s1").collect()] == ["stays"]
+    assert [r["text"] for r in kb.read("s2").collect()] == ["new"]
+
+
+def test_a_job_that_dies_leaves_the_table_as_it_was(spark, tmp_path):
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
+    first = kb_rows(spark, *[(f"c{i}", "s", "old", 1.0, 0.0, "curated") for i in range(20)])
+    kb.upsert(first)
+    with pytest.raises(Exception, match="broken"):
+        kb.upsert(first.withColumn("text", F.when(F.col("chunk_id") == "c7", F.raise_error(F.lit("broken"))).otherwise(F.lit("new"))))
+    assert {r["text"] for r in kb.read().collect()} == {"old"}
+    kb.upsert(first.withColumn("text", F.lit("new")))
+    assert [r["text"] for r in kb.read().collect()] == ["new"] * 20
 
 
 def _bytes(folder):
@@ -62,10 +74,6 @@ def test_an_upsert_writes_its_own_rows_only(spark, tmp_path):
     kb.upsert(kb_rows(spark, *[(f"c{i}", "s1", "new", 1.0, 0.0, "curated") for i in range(1, 41, 4)]))
     assert _bytes(tmp_path / "kb") - whole < 0.1 * whole
     assert kb.count() == 3000 and kb.read().where("text = 'new'").count() == 10
-    plan = kb.read()._jdf.queryExecution().executedPlan().toString()
-    kb.compact()
-    assert "Join" in plan and "Join" not in kb.read()._jdf.queryExecution().executedPlan().toString()
-    assert kb.count() == 3000 and kb.read().where("text = 'new'").count() == 10
 
 
 def test_rows_of_sources_without_a_name_stay(spark, tmp_path):
@@ -81,7 +89,15 @@ def test_rows_of_sources_without_a_name_stay(spark, tmp_path):
 def test_repeated_keys_in_one_upsert(spark, tmp_path):
     kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
     kb.upsert(kb_rows(spark, ("a", "s", "1", 1.0, 0.0, "curated"), ("a", "s", "2", 1.0, 0.0, "x"), ("a", "s", "2", 1.0, 0.0, "y"), ("b", "s", "1", 1.0, 0.0, "z")))
-    assert sorted((r["chunk_id"], r["text"]) for r in kb.read().collect()) == [("a", "2"), ("b", "1")]
+    rows = {r["chunk_id"]: r["text"] for r in kb.read().collect()}
+    assert kb.count() == 2 and rows["b"] == "1"
+    again = knowledge.knowledge_table(spark, str(tmp_path / "again"))
+    again.upsert(kb_rows(spark, ("b", "s", "1", 1.0, 0.0, "z"), ("a", "s", "2", 1.0, 0.0, "y"), ("a", "s", "1", 1.0, 0.0, "curated")))
+    assert {r["chunk_id"]: r["text"] for r in again.read().collect()} == rows
+    dated = kb_rows(spark, ("a", "s", "1", 1.0, 0.0, "x"), ("a", "s", "2", 1.0, 0.0, "x"), ("a", "s", "3", 1.0, 0.0, "x"))
+    day = F.when(F.col("text") == "2", F.lit("2024-01-02")).when(F.col("text") == "1", F.lit("2024-01-01")).cast("date")
+    kb.upsert(dated.withColumn("metadata", F.col("metadata").withField("publication_date", day)))
+    assert {r["chunk_id"]: r["text"] for r in kb.read().collect()} == {"a": "2", "b": "1"}
 
 
 def test_one_version_of_a_document(spark):

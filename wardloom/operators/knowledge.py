@@ -19,11 +19,15 @@ def source_of(document_key: Column) -> Column:
     return F.when(F.instr(document_key, ":") > 0, F.substring_index(document_key, ":", 1)).otherwise(F.lit(""))
 
 
-def knowledge_table(spark: SparkSession, root: str, compact_after: int = 20) -> KeyedTable:
-    """Chunks by chunk id, laid out by source: ``read(source)`` reads that source only."""
+def knowledge_table(spark: SparkSession, root: str) -> KeyedTable:
+    """Chunks by chunk id, laid out by source: ``read(source)`` reads that source only.
+
+    Of equal ids in one batch the latest publication date counts, then a hash of the text.
+    """
+    date = F.coalesce(F.col("metadata.publication_date").cast("string"), F.lit(""))
     return KeyedTable(
-        spark, root, KB_CHUNK, key="chunk_id", layout="source", order=("text",),
-        sort_within=("source_document_id", "position"), compact_after=compact_after,
+        spark, root, KB_CHUNK, key="chunk_id", layout="source", rank=F.concat_ws(" ", date, F.md5("text")),
+        sort_within=("source_document_id", "position"),
     )
 
 

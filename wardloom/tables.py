@@ -1,21 +1,17 @@
-"""Keyed Parquet tables: insert or replace by key, and reads of one consistent version (K1, K3, K4).
+"""Keyed tables as plain Parquet folders by batch number (K1, K3, K4).
 
-An upsert writes its own rows and nothing else, as one more increment beside those before; a small list says which
-increments a version is read from. A read takes of each key the row of the newest increment that has it. Only
-the keys of later increments are looked at for that, and while those are few adaptive execution broadcasts them.
-``compact`` writes the table anew as one increment; upserts call it after every ``compact_after`` increments.
+An upsert appends its own rows under the next number. A read takes of each key the row of the greatest batch that has
+it, and inside a batch the one of the greatest rank: one aggregation over the narrow columns, and a join of the rows
+with those keys that came more than once, which adaptive execution broadcasts while they are few.
 
-Increments are laid out by an optional column, whose values are kept in the rows as well, so that empty and null
-values stay what they are. Nothing that a reader may be using is changed, and a job that dies before publishing
-leaves the table as it was. Publishing creates a file that must not exist, which is one step on file systems
-that have it; on an object store without conditional writes one writer at a time is needed.
+Rows are laid out by an optional column, whose values are kept in the rows as well, so that empty and null values
+stay what they are. Nothing written is changed later: a reader keeps the files it has listed, and a job that dies
+leaves the table as it was. One writer at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -32,114 +28,54 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 class KeyedTable:
+    """``rank`` is a narrow text per row that decides between equal keys of one batch."""
+
     def __init__(
         self,
         spark: SparkSession,
         root: str,
         schema: StructType,
         key: str,
+        rank: Column,
         layout: str | None = None,
-        order: tuple[str, ...] = (),
         sort_within: tuple[str, ...] = (),
-        compact_after: int = 20,
     ) -> None:
         self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-        self.layout, self.order, self.compact_after = layout, order, compact_after
-        self.sort_within = sort_within or (key,)
-        self._data = f"{self.root}/data"
-        self._lists = f"{self.root}/versions"
-
-    # -- versions -----------------------------------------------------------
-
-    def _path(self, text: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+        self.rank, self.layout, self.sort_within = rank, layout, sort_within or (key,)
+        own = [StructField("_rank", StringType()), StructField("_row", LongType()), StructField("batch", LongType()), StructField("part", StringType())]
+        self._stored = StructType([*schema.fields, *own])
 
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _version(self) -> tuple[int, list[str]]:
-        """Number of the newest version and the increments it is read from, the oldest first."""
-        found = self._fs().globStatus(self._path(f"{self._lists}/*.json")) or []
-        number = max((int(s.getPath().getName().split(".")[0]) for s in found), default=0)
-        if not number:
-            return 0, []
-        return number, json.loads(self.spark.read.text(f"{self._lists}/{number:08d}.json", wholetext=True).head()[0])
-
-    def _publish(self, number: int, increments: list[str]) -> None:
-        """Make a version visible; fails if another writer has published that number."""
-        fs, target = self._fs(), self._path(f"{self._lists}/{number:08d}.json")
+    def _rows(self) -> DataFrame:
+        """All rows of all batches; none where nothing was written yet."""
         try:
-            out = fs.create(target, False)
-        except Exception as error:
-            raise RuntimeError(f"version {number} of {self.root} was published by another writer") from error
-        out.write(bytearray(json.dumps(increments).encode()))
-        out.close()
-
-    # -- rows ---------------------------------------------------------------
-
-    def _increments(self, names: list[str]) -> DataFrame:
-        stored = StructType(
-            [*self.schema.fields, StructField("_row", LongType()), StructField("increment", StringType()), StructField("part", StringType())]
-        )
-        if not names:
-            return self.spark.createDataFrame([], stored)
-        paths = [f"{self._data}/increment={name}" for name in names]
-        return self.spark.read.schema(stored).option("basePath", self._data).parquet(*paths)
+            return self.spark.read.schema(self._stored).parquet(self.root)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self._stored)
 
     def _part_of(self, value: Column) -> Column:
         return F.concat(F.lit("v"), F.coalesce(value.cast("string"), F.lit("")))
 
-    def _newest(self, names: list[str], part: Column | None = None) -> DataFrame:
-        rows = self._increments(names)
-        if part is not None:
-            rows = rows.where(F.col("part") == part)
-        if len(names) > 1:
-            late = rows.where(F.col("increment") > names[0]).groupBy(F.col(self.key).alias("_late")).agg(F.max("increment").alias("_last"))
-            rows = rows.join(late, rows[self.key] == late["_late"], "left").where("_last IS NULL OR increment = _last")
-        return rows.select(*self.schema.names)
-
     def read(self, layout_value: str | None = None) -> DataFrame:
-        """The newest version; with a value of the layout column only what is stored under it."""
-        part = None if layout_value is None else self._part_of(F.lit(layout_value))
-        out = self._newest(self._version()[1], part)
-        return out if layout_value is None else out.where(F.col(self.layout) == layout_value)
+        """The newest row of every key; with a value of the layout column only what is stored under it."""
+        rows = stored = self._rows()
+        if layout_value is not None:
+            rows = rows.where((F.col("part") == self._part_of(F.lit(layout_value))) & (F.col(self.layout) == layout_value))
+        newest = F.max(F.struct("batch", "_rank", "_row")).alias("_newest")
+        again = stored.groupBy(F.col(self.key).alias("_key")).agg(F.count("*").alias("_n"), newest).where("_n > 1")
+        kept = rows.join(again, rows[self.key].eqNullSafe(again["_key"]), "left")
+        return kept.where("_n IS NULL OR (batch = _newest.batch AND _row = _newest._row)").select(*self.schema.names)
 
     def count(self) -> int:
         return self.read().count()
 
-    def _write(self, rows: DataFrame, name: str) -> None:
+    def upsert(self, rows: DataFrame) -> None:
+        """Insert rows, replacing those of equal key. The rows are computed once and nothing else is written."""
+        number = (self._rows().agg(F.max("batch")).head()[0] or 0) + 1
         part = self._part_of(F.col(self.layout)) if self.layout else F.lit("v")
-        laid = rows.withColumn("part", part)
+        laid = rows.select(*self.schema.names, self.rank.cast("string").alias("_rank"), part.alias("part"))
         if self.layout:
             laid = laid.hint("rebalance", "part")
-        laid.sortWithinPartitions("part", *self.sort_within).write.partitionBy("part").parquet(f"{self._data}/increment={name}")
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Insert rows, replacing those of equal key; of equal keys among them the greatest by the table's order wins.
-
-        The rows are computed once. Keys are compared on narrow rows; only a batch that repeats keys is written again.
-        """
-        number, names = self._version()
-        name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
-        numbered = rows.select(*self.schema.names).withColumn("_row", F.monotonically_increasing_id())
-        self._write(numbered, name)
-        new = self._increments([name])
-        if new.isEmpty():
-            return
-        repeated = new.groupBy(self.key).agg(F.count("*").alias("n")).where("n > 1")
-        if not repeated.isEmpty():
-            best = new.groupBy(self.key).agg(F.max(F.struct(*[F.col(c) for c in self.order], F.col("_row"))).alias("b"))
-            name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
-            self._write(new.join(best.select(F.col("b._row").alias("_row")), "_row", "left_semi").drop("increment", "part"), name)
-        self._publish(number + 1, [*names, name])
-        if len(names) + 1 > self.compact_after:
-            self.compact()
-
-    def compact(self) -> None:
-        """Write the table as one increment. Readers of older versions keep what they opened."""
-        number, names = self._version()
-        if len(names) < 2:
-            return
-        name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
-        self._write(self._newest(names).withColumn("_row", F.monotonically_increasing_id()), name)
-        self._publish(number + 1, [name])
+        laid = laid.sortWithinPartitions("part", *self.sort_within).withColumn("_row", F.monotonically_increasing_id())
+        laid.write.mode("append").partitionBy("part").parquet(f"{self.root}/batch={number}")
