@@ -605,36 +605,46 @@ SLOTS = f"""
 slots AS (
   SELECT CAST(c_custkey AS VARCHAR) AS slot_id, c_custkey AS n, c_mktsegment AS topic, {pick(LEVELS, 'c_custkey % 3')} AS difficulty
   FROM customer)"""
-# outcome of the model double for single-step slots
-SINGLE = f"""{SLOTS},
-outcomes AS (
-  SELECT *, greatest(n % 4, CASE WHEN n % 13 = 12 THEN 1 ELSE 0 END) AS needed FROM slots),
-spent AS (
-  SELECT *, 3 * (least(needed, 2) + 1) - CASE WHEN n % 13 = 12 THEN 2 ELSE 0 END AS calls FROM outcomes),
+# what is answered in each round: the order of that round, or the last one before it
+ASKED = """
+ranked AS (
+  SELECT slot_id, o_orderkey AS o, row_number() OVER (PARTITION BY slot_id ORDER BY o_orderkey) - 1 AS k FROM slot_orders
+  QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY o_orderkey) <= 3),
+asked AS (
+  SELECT slot_id, r, arg_max(o, k) AS o, max(k) = r AS fresh FROM ranked JOIN range(3) x(r) ON k <= r GROUP BY slot_id, r)"""
+_OF_CUSTOMER = "slot_orders AS (SELECT CAST(o_custkey AS VARCHAR) AS slot_id, o_orderkey FROM orders)"
+_SINGLE_ROUNDS = f"""{ASKED},
+tried AS (SELECT *, o % 13 <> 0 AS written, o % 13 <> 0 AND o % 3 = 0 AS ok FROM asked),
+ended AS (SELECT slot_id, min(r) FILTER (ok) AS last FROM tried GROUP BY slot_id),
+spent AS (SELECT *, CASE WHEN written THEN 3 ELSE 1 END AS calls FROM tried JOIN ended USING (slot_id) WHERE last IS NULL OR r <= last)"""
+_TOTALS = """
+own AS (
+  SELECT slot_id, sum(calls * (10 + o % 7)) AS tokens_in, sum(calls * (5 + o % 3)) AS tokens_out FROM spent GROUP BY slot_id),
 totals AS (
-  SELECT *, CAST(sum(calls * (10 + n % 7)) OVER (ORDER BY n) AS BIGINT) AS total_input_tokens,
-    CAST(sum(calls * (5 + n % 3)) OVER (ORDER BY n) AS BIGINT) AS total_output_tokens FROM spent)"""
+  SELECT slots.*, CAST(sum(coalesce(tokens_in, 0)) OVER (ORDER BY n) AS BIGINT) AS total_input_tokens,
+    CAST(sum(coalesce(tokens_out, 0)) OVER (ORDER BY n) AS BIGINT) AS total_output_tokens FROM slots LEFT JOIN own USING (slot_id)),
+done AS (SELECT slot_id, o, r FROM spent WHERE r = last)"""
+SINGLE = f"{SLOTS}, {_OF_CUSTOMER}, {_SINGLE_ROUNDS}, {_TOTALS}"
 ORACLES["generate_single_step"] = f"""WITH {SINGLE}
-SELECT slot_id, sha256('case|' || slot_id) AS case_id, topic, difficulty, 'vignette ' || slot_id || ' round ' || needed AS vignette,
-  'dx ' || slot_id AS diagnosis, CAST(needed AS INTEGER) AS retry_count, 5 AS sources, total_input_tokens, total_output_tokens,
-  2 AS choices, true AS approved FROM totals WHERE needed < 3"""
+SELECT slot_id, sha256('case|' || slot_id) AS case_id, topic, difficulty, 'vignette ' || o AS vignette,
+  'dx ' || o AS diagnosis, CAST(r AS INTEGER) AS retry_count, (SELECT CAST(least(25, count(*)) AS INTEGER) FROM embeddings) AS sources, total_input_tokens, total_output_tokens,
+  2 AS choices, true AS approved FROM totals JOIN done USING (slot_id)"""
 ORACLES["generate_single_step_summary"] = f"""WITH {SINGLE}
-SELECT count(*) FILTER (needed < 3) AS generated, count(*) FILTER (needed >= 3) AS failed,
-  CAST(sum(calls * (10 + n % 7)) AS BIGINT) AS total_input_tokens, CAST(sum(calls * (5 + n % 3)) AS BIGINT) AS total_output_tokens
-FROM totals"""
-ORACLES["generate_multi_step"] = f"""WITH {SLOTS},
-outcomes AS (
-  SELECT *, 2 + n % 3 AS p, n % 17 = 16 AS hopeless, (n % 11 = 10 OR n % 5 = 3 OR n % 7 = 6) AS stumbles FROM slots),
+SELECT (SELECT count(*) FROM done) AS generated, count(*) - (SELECT count(*) FROM done) AS failed,
+  max(total_input_tokens) AS total_input_tokens, max(total_output_tokens) AS total_output_tokens FROM totals"""
+# a round of an earlier order's answers has its last plan approved at once
+ORACLES["generate_multi_step"] = f"""WITH {SLOTS}, {_OF_CUSTOMER}, {ASKED},
+tried AS (
+  SELECT *, CASE WHEN o % 11 = 10 THEN 0 ELSE 2 + o % 3 END AS p, o % 7 = 6 AS lasting, o % 5 = 3 AND o % 7 <> 6 AND fresh AS passing FROM asked),
+ended AS (SELECT slot_id, min(r) FILTER (p > 0 AND NOT lasting AND o % 3 = 0) AS last FROM tried GROUP BY slot_id),
 spent AS (
-  SELECT *, CASE WHEN hopeless THEN 3 WHEN stumbles THEN 2 ELSE 1 END AS rounds,
-    2 * (1 + n % 2) + CASE WHEN n % 11 = 10 THEN 0 ELSE p + 1 + CASE WHEN n % 5 = 3 THEN 4 ELSE 1 END END AS first_calls
-  FROM outcomes),
-totals AS (
-  SELECT *, CAST(sum((first_calls + (rounds - 1) * (p + 4)) * (10 + n % 7)) OVER (ORDER BY n) AS BIGINT) AS total_input_tokens,
-    CAST(sum((first_calls + (rounds - 1) * (p + 4)) * (5 + n % 3)) OVER (ORDER BY n) AS BIGINT) AS total_output_tokens FROM spent)
-SELECT slot_id, topic, array_to_string(list_transform(range(1, p + 1), lambda i: 'phase ' || i || ' of ' || slot_id), {NL} || {NL}) AS vignette,
-  'action ' || slot_id || '.1' AS optimal_next_step, CAST(p AS INTEGER) AS phases, CAST(rounds - 1 AS INTEGER) AS retry_count,
-  total_input_tokens, total_output_tokens FROM totals WHERE NOT hopeless"""
+  SELECT *, CASE WHEN fresh AND o % 2 = 1 THEN 4 ELSE 2 END
+    + CASE WHEN p = 0 THEN 0 WHEN lasting THEN p + 5 WHEN passing THEN p + 4 ELSE p + 2 END AS calls
+  FROM tried JOIN ended USING (slot_id) WHERE last IS NULL OR r <= last), {_TOTALS}
+SELECT slot_id, topic, array_to_string(list_transform(range(1, p + 1),
+    lambda i: 'phase ' || i || ' of ' || o || CASE WHEN i = 1 AND passing THEN ' mended' ELSE '' END), {NL} || {NL}) AS vignette,
+  'action ' || o || '.1' AS optimal_next_step, CAST(p AS INTEGER) AS phases, CAST(r AS INTEGER) AS retry_count,
+  total_input_tokens, total_output_tokens FROM totals JOIN done USING (slot_id) JOIN spent USING (slot_id, o, r)"""
 _CONTEXTS = f"""WITH {SLOTS}, {KB},
 topic_vectors AS (SELECT DISTINCT topic, v FROM slots JOIN kb ON kb.chunk_id = CAST(length(topic) AS VARCHAR)),
 pairs AS (
@@ -673,11 +683,11 @@ FROM slots JOIN contexts USING (topic)"""
 ORACLES["make_slots"] = """WITH topics AS (SELECT DISTINCT c_name AS topic FROM customer),
 ranked AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS r FROM topics)
 SELECT topic || '|attending|' || n AS slot_id, r * 4 + n AS slot_seq, topic, 'attending' AS difficulty FROM ranked, range(4) x(n)"""
-ORACLES["generate_to_export"] = """WITH topics AS (SELECT DISTINCT c_mktsegment AS topic FROM customer),
-ranked AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS r FROM topics),
-slots AS (SELECT topic, r * 6 + k AS n FROM ranked, range(6) x(k)),
-outcomes AS (SELECT *, greatest(n % 4, CASE WHEN n % 13 = 12 THEN 1 ELSE 0 END) AS needed FROM slots)
-SELECT topic, 'vignette ' || n || ' round ' || needed AS vignette FROM outcomes WHERE needed < 3"""
+ORACLES["generate_to_export"] = f"""WITH
+slot_orders AS (
+  SELECT c_name || '|resident|' || (o_orderkey % 2) AS slot_id, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
+{_SINGLE_ROUNDS}
+SELECT split_part(slot_id, '|', 1) AS topic, 'vignette ' || o AS vignette FROM spent WHERE r = last"""
 
 
 def _json_prompt(stage: str, prompt: str, rows: str, schema: str) -> str:

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from checks import fixtures, model_double
+from checks import fixtures, recorded
 from wardloom.functions.text import preview
 from wardloom.operators import cases as case_ops
 from wardloom.operators import exports, grading, knowledge, search, tagging, validation, vector_index
@@ -661,9 +661,19 @@ def _lab_context(spark) -> str:
     return validation.lab_context(validation.lab_panels(spark)).head()["lab_context"]
 
 
+def _attempts(spark, sf_dir) -> DataFrame:
+    """The orders of a customer as the rounds of its slot."""
+    orders = fixtures.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("slot_id"), "o_orderkey")
+    return recorded.rounds_of(orders)
+
+
+def _replayed(spark, answers: DataFrame) -> rounds.Job:
+    return rounds.Job(spark, None, "2024-01-01T00:00:00", recorded=answers)
+
+
 @query
 def generate_single_step(spark, sf_dir):
-    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00")
+    job = _replayed(spark, recorded.single(_attempts(spark, sf_dir)))
     made = rounds.generate_single(job, fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir))
     c = F.col("case")
     return made.cases.select(
@@ -678,13 +688,13 @@ def generate_single_step(spark, sf_dir):
 
 @query
 def generate_single_step_summary(spark, sf_dir):
-    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00")
+    job = _replayed(spark, recorded.single(_attempts(spark, sf_dir)))
     return rounds.generate_single(job, fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir)).summary
 
 
 @query
 def generate_multi_step(spark, sf_dir):
-    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00")
+    job = _replayed(spark, recorded.multi(_attempts(spark, sf_dir)))
     made = rounds.generate_multi(
         job, fixtures.slots(spark, sf_dir), _contexts(spark, sf_dir), _lab_context(spark)
     )
@@ -713,11 +723,14 @@ def make_slots(spark, sf_dir):
 
 @query
 def generate_to_export(spark, sf_dir):
-    """Slots for every topic, cases made for them, saved and exported."""
-    topics = fixtures.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("topic"))
-    slots = rounds.make_slots(topics, 6).withColumn("slot_id", F.col("slot_seq").cast("string"))
-    job = rounds.Job(spark, model_double.answer, "2024-01-01T00:00:00", calls_per_task=10)
-    made = rounds.generate_single(job, slots, _contexts(spark, sf_dir))
+    """Two slots for every customer as topic, cases made for them of its even and odd orders, saved and exported."""
+    customers = fixtures.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("topic"))
+    slot_id = F.concat_ws("|", "topic", F.lit("resident"), (F.col("o_orderkey") % 2).cast("string")).alias("slot_id")
+    orders = fixtures.table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(slot_id, "o_orderkey")
+    job = _replayed(spark, recorded.single(recorded.rounds_of(orders)))
+    contexts = customers.select("topic", F.concat(F.lit("known of "), "topic").alias("context")).distinct().withColumn(
+        "sources", F.array().cast(CASE["sources"].dataType))
+    made = rounds.generate_single(job, rounds.make_slots(customers, 2), contexts)
     store = case_ops.case_table(spark, work_path(spark, "cases"))
     case_ops.upsert_cases(store, rounds.cases_of(made.cases))
     return case_ops.export_jsonl(store.read()).select(

@@ -1,4 +1,4 @@
-"""Request and response tables of the generation stages.
+"""Request and response tables of the generation stages.
 
 Every stage turns rows that carry ``slot_id``, ``round``, ``topic``, ``difficulty`` and ``context`` into
 requests. A model, whatever it is, is a batch function from requests to responses.
@@ -6,9 +6,6 @@ requests. A model, whatever it is, is a batch function from requests to response
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
@@ -19,12 +16,9 @@ from wardloom.reference_data import DIFFICULTY_RULES, FALLBACK_DIFFICULTY, REVIE
 from wardloom.schemas import (
     DEFAULT_EMPTY_FIELDS,
     OPTIONAL_FIELDS,
-    REQUEST,
-    RESPONSE,
     RESPONSE_SCHEMAS,
 )
 
-ModelFn = Callable[[pd.DataFrame], pd.DataFrame]
 BAD = "_corrupt_record"
 
 
@@ -138,27 +132,6 @@ def consistency_requests(phases: DataFrame, stage: Stage = prompts.CONSISTENCY)
     return _requests(listed, stage, render(stage.prompt), "check_pass", keep=("check_pass",))
 
 
-# --- the model ---------------------------------------------------------------------
-
-
-def run_model(requests: DataFrame, fn: ModelFn, calls_per_task: int | None = None) -> DataFrame:
-    """Responses of a batch function over the requests. It gets and returns pandas frames inside tasks.
-
-    Model calls are slow: with ``calls_per_task`` the requests are dealt out so that a task makes about as many.
-    """
-    if calls_per_task:
-        tasks = max(1, -(-requests.count() // calls_per_task))
-        requests = requests.repartition(tasks, "request_id")
-    names = RESPONSE.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield fn(batch)[names]
-
-    return requests.select(*REQUEST.names).mapInPandas(run, RESPONSE)
-
-
 # --- answers -----------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 All slots of a batch go through one stage together. Requests and responses of every stage are written to
 the shared work folder and read back, so each stage starts from files: plans stay short and a lost
 executor repeats one stage's tasks, not the model calls before them. The driver only counts rounds.
+Answers come from a model or from recordings (``replay``).
 
 A slot is one case to make: slot_id, slot_seq (its place in the batch), topic, difficulty.
 Contexts are one row per topic: topic, context, sources.
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.text import strings
+from wardloom.plans import replay
 from wardloom.plans import requests as req
+from wardloom.plans.calls import ModelFn, answered
 from wardloom.plans.running import running_sum
 from wardloom.reference_data import (
     CONSISTENCY_NOTE_PREFIX,
@@ -37,15 +40,21 @@ CALL = fields(slot_id=TEXT, stage=TEXT, round=INT, call=INT, input_tokens=LONG,
 
 @dataclass
 class Job:
-    """Where a batch works and what it calls."""
+    """Where a batch works and what it calls.
+
+    ``answers`` is where the model's answers are kept; a job that is given the folder of an earlier one calls the model
+    for nothing that is answered there. With ``recorded`` no model is called.
+    """
 
     spark: SparkSession
-    model: req.ModelFn
+    model: ModelFn | None
     as_of: str
     max_rounds: int = MAX_ROUNDS
     threshold: float = REVIEW_THRESHOLD
     folder: str = ""
     calls_per_task: int | None = None
+    answers: str = ""
+    recorded: DataFrame | None = None
     contexts: DataFrame | None = None
     calls: list[DataFrame] = field(default_factory=list)
     rejected: list[DataFrame] = field(default_factory=list)
@@ -53,6 +62,13 @@ class Job:
 
     def __post_init__(self) -> None:
         self.folder = self.folder or work_path(self.spark, "generation")
+        self.answers = self.answers or f"{self.folder}/answers"
+        if (self.model is None) == (self.recorded is None):
+            raise ValueError("a job needs a model or recordings")
+        if self.recorded is not None:
+            path = f"{self.folder}/recorded"
+            self.recorded.select(*replay.RECORDED.names).write.partitionBy("stage").parquet(path)
+            self.recorded = self.spark.read.schema(replay.RECORDED).parquet(path)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """The rows written to the work folder and read from there."""
@@ -61,10 +77,13 @@ class Job:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def ask(self, requests: DataFrame, schema_name: str, *keep: str) -> DataFrame:
+    def ask(self, requests: DataFrame, stage: str, *keep: str) -> DataFrame:
         """Valid answers with slot, round and ``keep`` columns; unreadable ones are set aside."""
         asked = self.stored(requests, "requests")
-        answers = req.run_model(asked, self.model, self.calls_per_task)
+        if self.recorded is not None:
+            answers = replay.as_of(asked, self.recorded.where(F.col("stage") == stage))
+        else:
+            answers = answered(asked, self.model, f"{self.answers}/{stage}", self.calls_per_task)
         once = latest_per_key(answers, "request_id", [F.col("model"), F.col("payload")])
         # the answers with their places are written once; calls, valid and bad answers are read from there
         placed = asked.select("request_id", "slot_id", "stage", "round", *keep).join(once, "request_id")
@@ -73,7 +92,7 @@ class Job:
         self.calls.append(
             placed.select("slot_id", "stage", "round", call.alias("call"), "input_tokens", "output_tokens")
         )
-        valid, bad = req.parse_responses(placed, schema_name)
+        valid, bad = req.parse_responses(placed, "phase" if stage == "phase_renderer" else stage)
         self.rejected.append(bad.select("request_id", "slot_id", "stage", "round", "payload"))
         return valid
 
@@ -324,7 +343,7 @@ def _checked(job: Job, phases: DataFrame, check_pass: int) -> DataFrame:
 
 def _multi_round(job: Job, pending: DataFrame, lab_context: str) -> tuple[DataFrame, list[DataFrame]]:
     plans, no_phases = reject_empty_blueprints(job.stored(plan_rounds(job, pending), "approved-plans"))
-    answers = job.ask(req.render_requests(job.with_context(plans, "context"), lab_context), "phase", "pos")
+    answers = job.ask(req.render_requests(job.with_context(plans, "context"), lab_context), "phase_renderer", "pos")
     columns = ("slot_id", "round", "pos", F.col("data.phase").alias("phase"), "model")
     phases = job.stored(answers.select(*columns), "phases")
     # a slot with an unreadable phase is not complete and is tried again in the next round
@@ -340,7 +359,7 @@ def _multi_round(job: Job, pending: DataFrame, lab_context: str) -> tuple[DataFr
         if open_.isEmpty():
             break
         again = affected_phases(plans, open_).withColumn("render_pass", F.lit(number))
-        redone = job.ask(req.phase_requests(job.with_context(again, "context"), lab_context), "phase", "pos").select(*columns)
+        redone = job.ask(req.phase_requests(job.with_context(again, "context"), lab_context), "phase_renderer", "pos").select(*columns)
         phases = job.stored(rerender(phases, redone), "phases")
         rechecked = _checked(job, phases.join(open_.select("slot_id"), "slot_id", "left_semi"), number)
         issues = job.stored(
