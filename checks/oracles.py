@@ -792,6 +792,7 @@ SELECT (SELECT string_agg(line, {NL} ORDER BY panel_pos) FROM lines) AS lab_cont
 ORACLES["stream_ingest"] = f"""WITH {WEB}
 SELECT sha256('firecrawl:' || source_id || ':0') AS chunk_id, 'firecrawl:' || source_id AS source_document_id,
   'firecrawl' AS source, 0 AS position, {strip('content')} AS text FROM web WHERE {strip('content')} <> ''"""
+ORACLES["stream_versions"] = _stored("content || ' again'", "content_type = 'abstract' AND CAST(i AS BIGINT) % 3 < 2")
 ORACLES["stream_progress"] = _SUMMARY.replace("SELECT source, grouping", "SELECT CAST(0 AS BIGINT) AS batch_id, source, grouping")
 
 # --- search through lists ----------------------------------------------------------------------

@@ -15,7 +15,7 @@ from wardloom.operators import exports, grading, knowledge, search, tagging, val
 from wardloom.operators.chunking import chunk, chunk_id
 from wardloom.operators.embedding import embed
 from wardloom.plans import prompts, requests, rounds
-from wardloom.schemas import CASE
+from wardloom.schemas import CASE, DOCUMENT
 from wardloom.session import work_path
 from wardloom.streaming import ingest
 from wardloom.sources import registry
@@ -961,7 +961,7 @@ def batch_summary(spark, sf_dir):
 @query
 def running_tokens(spark, sf_dir):
     calls = fixtures.responses(spark, sf_dir)
-    return rounds.running_tokens(calls, width=1_000).select(
+    return rounds.running_tokens(calls).select(
         "request_id", "running_input_tokens", "running_output_tokens"
     )
 
@@ -1035,6 +1035,28 @@ def stream_batches(spark, sf_dir):
     return rows.agg(F.count_distinct("batch_id").alias("batches"), F.sum("documents").alias("documents"))
 
 
+@query
+def stream_versions(spark, sf_dir):
+    """Documents in three deliveries, with a restart between: newer abstracts come before, after and between older ones."""
+    folder = work_path(spark, "stream")
+    documents = _unsourced(fixtures.documents(spark, sf_dir))
+    third = F.when(F.col("content_type") == "abstract", F.col("source_id").cast("long") % 3).otherwise(F.lit(2))
+    newer = documents.withColumn("content", F.concat("content", F.lit(" again"))).withColumn(
+        "metadata", F.col("metadata").withField("publication_date", F.date_add("metadata.publication_date", 1))
+    )
+    deliveries = [
+        newer.where(third == 0).unionByName(documents.where(third > 0)),
+        documents.where(third == 0).unionByName(newer.where(third == 1)),
+        documents.where(third < 2),
+    ]
+    kb = knowledge.knowledge_table(spark, f"{folder}/kb")
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(f"{folder}/landed")
+        stream = spark.readStream.schema(DOCUMENT).parquet(f"{folder}/landed")
+        ingest.ingest_versions(stream, lambda landed: landed, kb, f"{folder}/state").awaitTermination()
+    return _stored_chunks(kb.read())
+
+
 @query
 def stream_progress(spark, sf_dir):
     _, path = _streamed(spark, sf_dir, "documents", fixtures.as_documents)

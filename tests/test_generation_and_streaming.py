@@ -4,6 +4,7 @@ import os
 import pathlib
 import subprocess
 import sys
+from datetime import date
 
 import pandas as pd
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks import recorded
 from wardloom.operators import knowledge
-from wardloom.plans import prompts, replay, requests, rounds
+from wardloom.plans import prompts, replay, requests, rounds, running
 from wardloom.plans.running import running_sum
 from wardloom.sources import registry
 from wardloom.streaming import ingest
@@ -57,11 +58,23 @@ def test_parse_responses(spark):
 
 def test_running_sum(spark):
     df = spark.createDataFrame([(i // 3, i % 3, i) for i in range(100)], "seq long, call int, v long")
-    rows = running_sum(df, "seq", ("v",), ("call",), width=7).orderBy("seq", "call").collect()
+    rows = running_sum(df, "seq", ("v",), ("call",), ranges=7).orderBy("seq", "call").collect()
+    assert len(rows) == 100
     total = 0
     for r in rows:
         total += r["v"]
         assert r["running_v"] == total
+    assert running_sum(df.where("false"), "seq", ("v",), ("call",)).count() == 0
+
+
+def test_running_sum_splits_a_hot_sequence_number(spark):
+    hot = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(5000)).alias("seq"), F.col("id").alias("call"), F.lit(1).alias("v"))
+    summed = running_sum(hot, "seq", ("v",), ("call",), ranges=10)
+    assert [r["running_v"] for r in summed.orderBy("seq", "call").collect()] == list(range(1, 20_001))
+    found = running._bounds(hot, ("seq", "call"), 10)
+    ranged = hot.withColumn("b", found).withColumn("k", F.struct("seq", "call")).withColumn("r", F.expr("size(filter(b, x -> x < k))"))
+    counts = [r["count"] for r in ranged.groupBy("r").count().collect()]
+    assert len(counts) >= 10 and max(counts) < 20_000 / 4
 
 
 ORDERS = {n: [n * 37 + k * (n % 5 + 1) for k in range(n % 5)] for n in range(40)}
@@ -282,6 +295,28 @@ def test_rerender_touches_named_phases_only(spark):
     assert rows == [("s", 0, "old0"), ("s", 1, "new1"), ("s", 2, "old2"), ("t", 0, "keep")]
 
 
+def test_an_older_version_that_comes_late_changes_nothing(spark, tmp_path):
+    from wardloom.schemas import DOCUMENT
+
+    kb = knowledge.knowledge_table(spark, str(tmp_path / "kb"))
+    landed = str(tmp_path / "landed")
+
+    def deliver(*versions):
+        rows = [("s", i, "t", text, "abstract", {"authors": ["a"], "publication_date": day and date.fromisoformat(day), "specialty": [], "credibility": "c", "url": None, "doi": None})
+                for i, day, text in versions]
+        spark.createDataFrame(rows, DOCUMENT).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(DOCUMENT).parquet(landed)
+        ingest.ingest_versions(stream, lambda d: d, kb, str(tmp_path / "state")).awaitTermination()
+        return {r["source_document_id"]: r["text"] for r in kb.read().collect()}
+
+    first = deliver(("1", "2024-02-02", "new"), ("1", "2024-02-01", "old"), ("2", None, "undated"), ("3", "2024-01-01", "x"), (None, None, "no id"))
+    assert first["s:1"] == "new" and first["s:2"] == "undated" and len(first) == 4
+    second = deliver(("1", "2024-01-01", "late"), ("2", "2023-01-01", "dated"), ("3", "2024-01-01", "same day"), ("4", None, ""))
+    assert second == first | {"s:2": "dated", "s:3": "same day"}
+    assert deliver(("2", None, "undated again")) == second
+    assert kb.read().where("source_document_id = 's:1'").head()["metadata"]["authors"] == ["a"]
+
+
 def _land(folder, name, *items):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text(json.dumps({"data": [{"url": u, "title": "t", "markdown": m} for u, m in items]}))

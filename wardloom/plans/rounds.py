@@ -410,18 +410,18 @@ def generate_multi(job: Job, slots: DataFrame, contexts: DataFrame, lab_context:
 # --- tokens ------------------------------------------------------------------------
 
 
-def running_tokens(calls: DataFrame, width: int = 100_000) -> DataFrame:
+def running_tokens(calls: DataFrame, ranges: int = 200) -> DataFrame:
     """Calls with the token totals of the batch up to each; needs slot_seq, round and call."""
-    return running_sum(calls, "slot_seq", ("input_tokens", "output_tokens"), ("round", "call", "slot_id"), width)
+    return running_sum(calls, "slot_seq", ("input_tokens", "output_tokens"), ("round", "call", "slot_id"), ranges)
 
 
-def slot_tokens(slots: DataFrame, calls: DataFrame, width: int = 100_000) -> DataFrame:
+def slot_tokens(slots: DataFrame, calls: DataFrame, ranges: int = 200) -> DataFrame:
     """Token totals of every slot, and of the batch up to and with it."""
     own = calls.groupBy("slot_id").agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")
     )
     joined = slots.select("slot_id", "slot_seq").join(own, "slot_id", "left").na.fill(0, ["input_tokens", "output_tokens"])
-    return running_sum(joined, "slot_seq", ("input_tokens", "output_tokens"), ("slot_id",), width)
+    return running_sum(joined, "slot_seq", ("input_tokens", "output_tokens"), ("slot_id",), ranges)
 
 
 def with_token_totals(done: DataFrame, slots: DataFrame, calls: DataFrame) -> DataFrame:

@@ -6,14 +6,17 @@ written under its number, so a repeat leaves the same state.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardloom.operators.embedding import EmbedFn
 from wardloom.operators.knowledge import ingest_summary_of, knowledge_rows, single_version
+from wardloom.schemas import DOCUMENT
 from wardloom.sources import registry
 from wardloom.sources.base import Source
 from wardloom.tables import KeyedTable
@@ -106,6 +109,62 @@ def ingest_documents(
     )
 
 
+def _newest(key: tuple, versions: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Of one document's versions the latest, unless a later one was seen before. Only the best so far is held."""
+    best = None
+    for part in versions:
+        top = part.sort_values(["day", "hash"], kind="stable").iloc[[-1]]
+        if best is None or tuple(top[["day", "hash"]].iloc[0]) > tuple(best[["day", "hash"]].iloc[0]):
+            best = top
+    day = best["day"].iloc[0]
+    if not state.exists or day >= state.get[0]:
+        state.update((day,))
+        yield best[["document"]]
+
+
+def newest_versions(documents: DataFrame) -> DataFrame:
+    """Of a stream of documents those that no later version has come before, one per document and micro-batch.
+
+    The version is the publication date; a document without one is older than any with one. Of equal dates the one of
+    the later batch counts, within a batch that of the greater hash. The state is one date per (source, source_id).
+    """
+    keyed = documents.select(
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce("source_id", F.lit("")).alias("source_id"),
+        F.coalesce(F.col("metadata.publication_date").cast("string"), F.lit("")).alias("day"),
+        F.xxhash64("title", "content", "content_type", F.to_json("metadata")).alias("hash"),
+        F.to_json(F.struct(*DOCUMENT.names)).alias("document"),
+    )
+    kept = keyed.groupBy("source", "source_id").applyInPandasWithState(
+        _newest, "document string", "day string", "update", GroupStateTimeout.NoTimeout
+    )
+    return kept.select(F.from_json("document", DOCUMENT).alias("d")).select("d.*")
+
+
+def ingest_versions(
+    landed: DataFrame,
+    to_documents: Callable[[DataFrame], DataFrame],
+    kb: KeyedTable,
+    checkpoint: str,
+    fn: EmbedFn | None = None,
+) -> StreamingQuery:
+    """Ingest documents that land in any order of their versions: an older one that comes late changes nothing.
+
+    Which versions were seen is the query's state, so it goes with its checkpoint.
+    """
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        kb.upsert(knowledge_rows(batch, fn))
+
+    return (
+        newest_versions(to_documents(landed)).writeStream.foreachBatch(one_batch)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_ingest(
     spark: SparkSession,
     in_dir: str,
