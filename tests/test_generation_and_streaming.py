@@ -306,7 +306,7 @@ def test_an_older_version_that_comes_late_changes_nothing(spark, tmp_path):
                 for i, day, text in versions]
         spark.createDataFrame(rows, DOCUMENT).write.mode("append").parquet(landed)
         stream = spark.readStream.schema(DOCUMENT).parquet(landed)
-        ingest.ingest_versions(stream, lambda d: d, kb, str(tmp_path / "state")).awaitTermination()
+        ingest.ingest_versions(stream, lambda d: d, kb, str(tmp_path / "state"), str(tmp_path / "progress")).awaitTermination()
         return {r["source_document_id"]: r["text"] for r in kb.read().collect()}
 
     first = deliver(("1", "2024-02-02", "new"), ("1", "2024-02-01", "old"), ("2", None, "undated"), ("3", "2024-01-01", "x"), (None, None, "no id"))
@@ -314,6 +314,8 @@ def test_an_older_version_that_comes_late_changes_nothing(spark, tmp_path):
     second = deliver(("1", "2024-01-01", "late"), ("2", "2023-01-01", "dated"), ("3", "2024-01-01", "same day"), ("4", None, ""))
     assert second == first | {"s:2": "dated", "s:3": "same day"}
     assert deliver(("2", None, "undated again")) == second
+    counts = ingest.read_progress(spark, str(tmp_path / "progress")).where("is_total").orderBy("batch_id").collect()
+    assert [(r["documents"], r["chunks"]) for r in counts] == [(4, 4), (3, 2)]  # the last let nothing through
     assert kb.read().where("source_document_id = 's:1'").head()["metadata"]["authors"] == ["a"]
 
 
@@ -339,6 +341,8 @@ def test_stream_equals_batch_and_repeats(spark, tmp_path):
     run("state")
     run("state-lost")
     assert kb.count() == 3
+    chunked = {r["batch_id"]: (r["documents"], r["chunks"]) for r in ingest.read_progress(spark, str(tmp_path / "progress")).where("is_total").collect()}
+    assert chunked[1] == (2, 2)
     batch = knowledge.knowledge_rows(registry.normalize(
         spark.read.text(str(landed / "a.json"), wholetext=True).withColumnRenamed("value", "payload"), "firecrawl"))
     stored = {r["chunk_id"]: r for r in kb.read().collect()}

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardloom.operators.embedding import EmbedFn
-from wardloom.operators.knowledge import ingest_summary_of, knowledge_rows, single_version
+from wardloom.operators.knowledge import ingest_summary, knowledge_rows, single_version
 from wardloom.schemas import DOCUMENT
 from wardloom.sources import registry
 from wardloom.sources.base import Source
@@ -33,9 +33,12 @@ def read_landed(spark: SparkSession, path: str, max_files: int = 1_000) -> DataF
     )
 
 
-def progress(documents: DataFrame, batch_id: int, path: str) -> None:
-    """Document and chunk counts of one batch, by source and in total."""
-    ingest_summary_of(documents).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def progress(documents: DataFrame, chunks: DataFrame, batch_id: int, path: str) -> None:
+    """Counts of one batch by source and in total: the documents that came, the chunks that were written of them.
+
+    Chunks are counted where they are stored, from two narrow columns, so no document is chunked again.
+    """
+    ingest_summary(documents, chunks).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
@@ -66,9 +69,9 @@ def ingest_source(
         parsed = source.parsed(batch).persist()
         try:
             documents = source.good(parsed)
-            kb.upsert(knowledge_rows(single_version(documents), fn))
+            number = kb.upsert(knowledge_rows(single_version(documents), fn))
             if progress_path:
-                progress(documents, batch_id, progress_path)
+                progress(documents, kb.written(number), batch_id, progress_path)
             if quarantine_path:
                 quarantine(source.bad(parsed), batch_id, quarantine_path)
         finally:
@@ -95,9 +98,9 @@ def ingest_documents(
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         documents = to_documents(batch).persist()
         try:
-            kb.upsert(knowledge_rows(single_version(documents), fn))
+            number = kb.upsert(knowledge_rows(single_version(documents), fn))
             if progress_path:
-                progress(documents, batch_id, progress_path)
+                progress(documents, kb.written(number), batch_id, progress_path)
         finally:
             documents.unpersist()
 
@@ -146,6 +149,7 @@ def ingest_versions(
     to_documents: Callable[[DataFrame], DataFrame],
     kb: KeyedTable,
     checkpoint: str,
+    progress_path: str | None = None,
     fn: EmbedFn | None = None,
 ) -> StreamingQuery:
     """Ingest documents that land in any order of their versions: an older one that comes late changes nothing.
@@ -154,7 +158,14 @@ def ingest_versions(
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        kb.upsert(knowledge_rows(batch, fn))
+        # the state is read once: what passed it is used twice
+        documents = batch.persist()
+        try:
+            number = kb.upsert(knowledge_rows(documents, fn))
+            if progress_path:
+                progress(documents, kb.written(number), batch_id, progress_path)
+        finally:
+            documents.unpersist()
 
     return (
         newest_versions(to_documents(landed)).writeStream.foreachBatch(one_batch)

@@ -70,8 +70,15 @@ class KeyedTable:
     def count(self) -> int:
         return self.read().count()
 
-    def upsert(self, rows: DataFrame) -> None:
-        """Insert rows, replacing those of equal key. The rows are computed once and nothing else is written."""
+    def written(self, batch: int) -> DataFrame:
+        """The rows of one upsert as they were given to it."""
+        return self._rows().where(F.col("batch") == batch).select(*self.schema.names)
+
+    def upsert(self, rows: DataFrame) -> int:
+        """Insert rows, replacing those of equal key; returns the number of the batch.
+
+        The rows are computed once and nothing else is written.
+        """
         number = (self._rows().agg(F.max("batch")).head()[0] or 0) + 1
         part = self._part_of(F.col(self.layout)) if self.layout else F.lit("v")
         laid = rows.select(*self.schema.names, self.rank.cast("string").alias("_rank"), part.alias("part"))
@@ -79,3 +86,4 @@ class KeyedTable:
             laid = laid.hint("rebalance", "part")
         laid = laid.sortWithinPartitions("part", *self.sort_within).withColumn("_row", F.monotonically_increasing_id())
         laid.write.mode("append").partitionBy("part").parquet(f"{self.root}/batch={number}")
+        return number
