@@ -68,6 +68,17 @@ def test_large_buckets_are_compared_in_slices(spark, monkeypatch):
     assert got == sorted(brute.jaccard_groups(rows), key=repr)
 
 
+def test_pairs_under_a_common_head_without_a_common_signature_there_meet_elsewhere(spark):
+    """Sets 10 and 11 are both under head 1, by different signatures, and share one only under head 5."""
+    held = [(1, 1, 1), (1, 10, 1), (2, 1, 1), (2, 11, 1), (9, 5, 5), (9, 10, 5), (9, 11, 5), (8, 5, 5), (8, 10, 5)]
+    sets = {1: range(100, 200), 5: range(200, 300), 10: range(300, 400), 11: range(301, 401)}
+    buckets = spark.createDataFrame([(s, x, h, x, 100) for s, x, h in held], "signature long, set_id long, head long, root long, n_shingles long")
+    mixed = {x: (np.array(list(e), np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) for x, e in sets.items()}
+    reps = spark.createDataFrame([(x, bytearray(join.sketch(e).tobytes())) for x, e in mixed.items()], "set_id long, sketch binary")
+    got = [tuple(r) for r in join._crossed(buckets, reps, 80).collect()]
+    assert got == [(10, 11)]
+
+
 def test_sketches_bound_the_difference_and_tell_long_sets_apart():
     rng = np.random.default_rng(8)
     sets, raw = [], []

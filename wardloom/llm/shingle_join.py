@@ -19,8 +19,9 @@ needs, and no pair is written before.
 Equal sets are one class from the start. Then links are looked for in two rounds: first each member of a bucket
 beside the bucket's first member and the one before it, which ties large groups of near copies together with
 a number of pairs linear in the rows; then only members that lie in different components by then and that sketches
-leave possible, each pair about once. No list of all pairs in a group of links is made. Buckets are read as sorted rows;
-a task holds at most one slice of a bucket beside another.
+leave possible, each pair about once. For that, buckets with the same smallest set meet in one place, so that a set and its
+sketch travel once for all of these buckets. No list of all pairs in a group of links is made. A task holds at most one
+slice of the sets that meet beside another.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ WORDS = 5
 PERCENT = 80
 PARTS, SMALL = 3, 8
 LEAST_BITS, SKETCH_BITS = 8, 11  # a sketch has as many parts as a power of two between these
-SLICE = 1024  # members of a bucket compared at once
+SLICE = 1024  # sets of a head compared at once
+ROW = 512  # a set's signatures under one head are cut into a row for each so many shingles
 FIRST = 8  # signatures of a set by which a pair's first common one is told
 ROWS_OUT = 1 << 16
 FILTER_BITS = 24  # size of the filter of wanted documents, fixed: 2 MB
@@ -325,77 +327,107 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(sized).mapInArrow(run, "a long, b long")
 
 
-def _crossed(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside a slice pair of a bucket that lie in different components and that sizes and sketches leave possible.
+def _crossed(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that lie in different components and that sizes and sketches leave possible.
 
-    A bucket is cut into slices, and each two slices meet in a group of their own, so that no task holds more
-    than two slices of a bucket at once, and the groups of a large bucket go to many tasks.
+    ``buckets`` has ``signature, set_id, head, root, n_shingles``. Buckets of one head, their smallest set, hold much the
+    same sets, so they meet together: a set comes there once, with its sketch and all its signatures in these buckets. The
+    sets of a head are cut into slices, and each two slices meet in a group of their own, so that no task holds more than
+    two slices at once, and the groups of a large head go to many tasks.
     """
 
     def run(batches):
         rest = None  # the last meeting of the batches so far may go on in the next
 
         def columns(batch):
-            names = ("signature", "set_id", "n_shingles", "root", "low", "high", "side")
+            names = ("head", "low", "high", "side", "set_id", "n_shingles", "root")
+            held = batch.column("signatures")
+            lists = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
+            objects = np.empty((2, batch.num_rows), object)
+            objects[0, :], objects[1, :] = batch.column("sketch").to_pylist(), lists
             first = batch.column("first").flatten().to_numpy().reshape(-1, FIRST)
-            return [*[batch.column(c).to_numpy() for c in names], np.array(batch.column("sketch").to_pylist(), object), first]
-
-        def compare(sig, ids, n, root, low, high, side, raw, first):
+            return [*[batch.column(c).to_numpy() for c in names], *objects, first]
+
+        def smallest(pairs, common):
+            """Each pair once, with the smallest signature that it has in common here."""
+            pairs, common = np.concatenate(pairs), np.concatenate(common)
+            order = np.lexsort((common, pairs))
+            pairs, common = pairs[order], common[order]
+            fresh = np.ones(len(pairs), bool)
+            fresh[1:] = pairs[1:] != pairs[:-1]
+            return pairs[fresh], common[fresh]
+
+        def compare(head, low, high, side, ids, n, root, raw, lists, first):
             sketches = Sketches(raw.tolist())
-            pairs = []
-            new = (np.diff(sig) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+            new = (np.diff(head) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
             meeting = np.concatenate([[0], np.cumsum(new)])
-            # each row with the one d places after it, as long as any two are of one meeting
-            left, d = np.arange(len(sig)), 0
+            row = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+            sig = np.concatenate(lists)
+            order = np.lexsort((sig, meeting[row]))
+            row, sig = row[order], sig[order]
+            bucket = np.concatenate([[0], np.cumsum((np.diff(sig) != 0) | (np.diff(meeting[row]) != 0))])
+            # each row with the one d places after it, as long as any two are of one bucket
+            left, d = np.arange(len(row)), 0
+            pairs, common, held = [np.zeros(0, _INT)], [np.zeros(0, _INT)], 0
             while len(left):
                 d += 1
-                left = left[: np.searchsorted(left, len(sig) - d)]
-                right = left + d
-                together = meeting[left] == meeting[right]
-                left, right = left[together], right[together]
-                good = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
-                i, j = left[good], right[good]
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                sized = 100 * small >= percent * large
+                left = left[: np.searchsorted(left, len(row) - d)]
+                left = left[bucket[left] == bucket[left + d]]
+                i, j = row[left], row[left + d]
+                good = (root[i] != root[j]) & ((low[i] == high[i]) | (side[i] != side[j]))
+                i, j = i[good], j[good]
+                sized = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[sized], j[sized]
-                near = np.flatnonzero(sketches.unlike(i, j) * (100 + percent) <= (100 - percent) * (n[i] + n[j]))
+                pairs.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+                common.append(sig[left][good][sized])
+                held += len(i)
+                if held > 1 << 22:
+                    pairs, common, held = *[[x] for x in smallest(pairs, common)], 0
+            pairs, common = smallest(pairs, common)
+            i, j = np.divmod(pairs, len(ids))
+            near = sketches.unlike(i, j) * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+            i, j, common = i[near], j[near], common[near]
+            if len(i):
                 # a pair is written at its first common signature, as far as both sets' first ones tell
-                one, two = first[i[near]], first[j[near]]
-                earlier = (one[:, :, None] == two[:, None, :]).any(2) & (one < sig[i[near]][:, None])
-                near = near[~earlier.any(1)]
-                if len(near):
-                    i, j = ids[i[near]], ids[j[near]]
-                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
-            if pairs:  # a pair of several signatures is written once
-                yield _pairs_batch(*np.unique(np.concatenate(pairs), axis=0).T)
+                one, two = first[i], first[j]
+                earlier = (one[:, :, None] == two[:, None, :]).any(2) & (one < common[:, None])
+                i, j = ids[i[~earlier.any(1)]], ids[j[~earlier.any(1)]]
+                if len(i):  # a set of several rows is compared by each
+                    yield _pairs_batch(*np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0).T)
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             now = columns(batch)
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
-            sig, low, high = now[0], now[4], now[5]
-            if not len(sig):
-                continue
-            last = (sig == sig[-1]) & (low == low[-1]) & (high == high[-1])
-            done = len(sig) - int(last.sum())
+            head, low, high = now[:3]
+            last = (head == head[-1]) & (low == low[-1]) & (high == high[-1])
+            done = len(head) - int(last.sum())
             rest = [x[done:] for x in now]
-            yield from compare(*[x[:done] for x in now])
+            if done:
+                yield from compare(*[x[:done] for x in now])
         if rest is not None:
             yield from compare(*rest)
 
-    ends = buckets.groupBy("signature").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = buckets.join(ends.where("r0 <> r1").drop("r0", "r1"), "signature")
-    slices = F.ceil(F.col("members") / SLICE).cast("int")
-    cut = mixed.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("set_id"), F.col("slices")).cast("int"))
+    ends = buckets.groupBy("signature").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    mixed = buckets.join(ends.where("r0 <> r1").select("signature"), "signature", "left_semi")
+    # the signatures of a long set go to several rows, so that no row is long
+    row = F.pmod(F.xxhash64("signature"), 1 + F.floor(F.col("n_shingles") / ROW)).alias("row")
+    members = mixed.groupBy("head", "set_id", "root", "n_shingles", row).agg(F.collect_list("signature").alias("signatures"))
+    members = saved(members.drop("row"), "members")
+    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    cut = members.join(sizes, "head").withColumn("slice", F.pmod(F.xxhash64("set_id"), F.col("slices")).cast("int"))
     # a slice meets itself and every other: (low, high) names the meeting, side tells which of the two a row is
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
-        "signature", "set_id", "root",
+        "head", "set_id", "root", "n_shingles", "signatures",
         F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"),
         (F.col("slice") > F.col("other")).cast("int").alias("side"),
     )
-    first = mixed.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("signature")), 1, FIRST).alias("first"))
+    first = members.groupBy("set_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("signatures"))), 1, FIRST).alias("first"))
     first = first.select("set_id", F.concat("first", F.array_repeat(F.lit((1 << 63) - 1), FIRST - F.size("first"))).alias("first"))
-    ordered = met.join(sketches.join(first, "set_id"), "set_id").repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
+    about = reps.select("set_id", "sketch").join(first, "set_id")
+    ordered = met.join(about, "set_id").repartition("head", "low", "high").sortWithinPartitions("head", "low", "high")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -467,13 +499,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     )
     reps = saved(reps, "set-reps")
-    sketches = reps.select("set_id", "n_shingles", "sketch")
     buckets = saved(_shared(_signed(known, words, percent)), "buckets")
     first = saved(_likely(_chained(buckets), reps, percent), "pairs")
     links = saved(_verified(known, reps, first, words, percent), "links")
     roots = components(links)
-    rooted = buckets.select("signature", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    second = _crossed(rooted, sketches, percent).distinct().join(first, ["a", "b"], "left_anti")
+    placed = reps.select("set_id", "n_shingles").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "set_id"))
+    rooted = buckets.select("signature", "set_id", F.coalesce("head", "set_id").alias("head")).join(placed, "set_id")
+    second = _crossed(rooted, reps, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = saved(second, "pairs")  # ruled out by sketches already, as wide as those of all but very long sets
     more = saved(_verified(known, reps, second, words, percent), "links")
     roots = components(links.union(more))
