@@ -293,8 +293,19 @@ SELECT chunk_id, source, position, text, array_to_string(tags, ',') AS specialty
 ORACLES["kb_upsert"] = _stored("content || ' again'", "content_type = 'abstract'")
 ORACLES["kb_increment"] = _stored("'changed'", "content_type = 'abstract' AND CAST(i AS BIGINT) % 100 = 0")
 ORACLES["kb_count"] = f"{WITH_CHUNKS} SELECT count(*) AS chunks FROM chunks"
-ORACLES["embed_chunks"] = f"""{WITH_CHUNKS}
-SELECT chunk_id, 384 AS width, CASE WHEN regexp_matches(text, '[\\pL\\pN]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks"""
+ORACLES["embed_chunks"] = f"""{WITH_CHUNKS},
+terms AS (SELECT chunk_id, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN]+')) AS term FROM chunks),
+counted AS (
+  SELECT chunk_id, CAST('0x' || left(md5(term), 8) AS BIGINT) % 384 AS place, count(*) AS n FROM terms WHERE term <> '' GROUP BY ALL),
+idf AS (
+  SELECT place, ln(CAST((SELECT count(*) FROM chunks) + 1 AS DOUBLE) / (count(*) + 1)) AS w FROM counted GROUP BY place),
+weights AS (SELECT chunk_id, place, n * w AS x FROM counted JOIN idf USING (place) WHERE w <> 0),
+unit AS (
+  SELECT chunk_id, place, CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS FLOAT) AS DOUBLE) AS x FROM weights)
+SELECT chunk_id, 384 AS width, round(coalesce(sum(x * x), 0), 4) AS norm, CAST(count(x) AS INTEGER) AS filled,
+  round(coalesce(max(x), 0), 4) AS heaviest, round(coalesce(sum(x), 0), 4) AS total,
+  round(coalesce(sum(x * place), 0), 3) AS by_place, round(coalesce(sum(x * (place % 7)), 0), 4) AS by_seventh
+FROM chunks LEFT JOIN unit USING (chunk_id) GROUP BY chunk_id"""
 
 # --- search -------------------------------------------------------------------------
 

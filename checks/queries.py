@@ -13,7 +13,7 @@ from wardloom.functions.text import preview
 from wardloom.operators import cases as case_ops
 from wardloom.operators import exports, grading, knowledge, search, tagging, validation, vector_index
 from wardloom.operators.chunking import chunk, chunk_id
-from wardloom.operators.embedding import embed
+from wardloom.operators.embedding import embed, stored_idf
 from wardloom.plans import prompts, requests, rounds
 from wardloom.schemas import CASE, DOCUMENT
 from wardloom.session import work_path
@@ -263,9 +263,20 @@ def kb_count(spark, sf_dir):
 
 @query
 def embed_chunks(spark, sf_dir):
-    embedded = embed(_chunks(spark, sf_dir))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return embedded.select("chunk_id", F.size("embedding").alias("width"), F.round(norm, 4).alias("norm"))
+    """Vectors under stored frequencies; sums by place tell where each weight stands."""
+    chunks = _chunks(spark, sf_dir)
+    embedded = embed(chunks, idf=stored_idf(chunks, work_path(spark, "idf")))
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+
+    def total(of):
+        return F.aggregate(F.transform(vector, of), F.lit(0.0), lambda s, x: s + x)
+
+    return embedded.select(
+        "chunk_id", F.size("embedding").alias("width"), F.round(total(lambda x: x * x), 4).alias("norm"),
+        F.size(F.filter(vector, lambda x: x != 0)).alias("filled"), F.round(F.array_max(vector), 4).alias("heaviest"),
+        F.round(total(lambda x: x), 4).alias("total"), F.round(total(lambda x, i: x * i), 3).alias("by_place"),
+        F.round(total(lambda x, i: x * (i % 7)), 4).alias("by_seventh"),
+    )
 
 
 @query

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tests.cases_data import case, frame, phase, review
 from wardloom.operators import cases as case_ops
 from wardloom.operators import knowledge, search, vector_index
-from wardloom.operators.embedding import embed, fit_idf
+from wardloom.operators.embedding import embed, fit_idf, stored_idf
 from wardloom.schemas import KB_CHUNK
+from wardloom.session import work_path
 from wardloom.tables import latest_per_key
 
 
@@ -260,6 +261,10 @@ def test_embedding(spark):
     assert sorted(rows["a"][rows["a"] > 0]) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
     weighted = {r["id"]: np.array(r["embedding"]) for r in embed(df, idf=fit_idf(df)).collect()}
     assert np.linalg.norm(weighted["c"]) == pytest.approx(1, abs=1e-6)
+    kept = stored_idf(df, work_path(spark, "idf"))
+    assert {r["id"]: r["embedding"] for r in embed(df, idf=kept).collect()} == {i: v.tolist() for i, v in weighted.items()}
+    blank = spark.createDataFrame([(None,), ("",), ("...",)], "text string")
+    assert [set(r["embedding"]) for r in embed(blank, idf=kept).collect()] == [{0.0}] * 3
     plugged = embed(df, fn=lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=2)
     assert {r["id"]: r["embedding"] for r in plugged.collect()}["b"] == [6.0, 1.0]
 

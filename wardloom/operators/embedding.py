@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,15 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def place(term: Column, width: int) -> Column:
+    """Where a term counts: the first 32 bits of its MD5 digest modulo ``width``, which any SQL engine can recompute."""
+    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % width
+
+
 def _counts(df: DataFrame, text: str, width: int) -> DataFrame:
-    hashing = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=width)
-    return hashing.transform(df.withColumn("_terms", terms(F.col(text)))).drop("_terms")
+    counting = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], inputCol="_places", outputCol="_counts")
+    places = F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda t: place(t, width).cast("string"))
+    return counting.transform(df.withColumn("_places", places)).drop("_places")
 
 
 def fit_idf(df: DataFrame, text: str = "text", width: int = EMBEDDING_WIDTH) -> IDFModel:
@@ -31,6 +37,15 @@ def fit_idf(df: DataFrame, text: str = "text", width: int = EMBEDDING_WIDTH) ->
     return IDF(inputCol="_counts", outputCol="_weights").fit(_counts(df, text, width))
 
 
+def stored_idf(df: DataFrame, path: str, text: str = "text", width: int = EMBEDDING_WIDTH) -> IDFModel:
+    """Frequencies fitted on ``df`` and kept at ``path``, from where ``IDFModel.load`` gives them to later chunks and queries.
+
+    Chunks and queries are comparable only under the same frequencies, so a path that is taken is an error.
+    """
+    fit_idf(df, text, width).save(path)
+    return IDFModel.load(path)
+
+
 def embed(
     df: DataFrame,
     fn: EmbedFn | None = None,
@@ -43,7 +58,7 @@ def embed(
 
     ``fn`` maps a list of texts to a matrix with one row per text and is called on batches inside the
     tasks. Without it the embedding is the hashed term counts, weighted by ``idf`` if given, as a unit
-    vector. Queries and chunks must go through the same call.
+    vector; a null text, or one without a weighted term, is zeros. Queries and chunks must go through the same call.
     """
     if fn is None:
         counted = _counts(df, text, width)
