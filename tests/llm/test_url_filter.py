@@ -1,5 +1,8 @@
+import duckdb
+
 from tests.llm import brute
 from wardloom.llm import url_filter as uf
+from wardloom.llm.queries import ORACLES
 
 PAGES = "page_id long, url string, html string"
 
@@ -56,6 +59,41 @@ def test_decisions_reach_aliases(spark):
         (1, None, "block"), (2, None, "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "allow"), (6, None, "block"), (6, None, "block")]
 
 
+LINKS = [
+    ('<link rel="canonical" href="https://b.net/es/1">', "https://b.net/es/1"),
+    ("<LINK HREF=https://b.net/es/1 REL=canonical>", "https://b.net/es/1"),
+    ("<link href='https://b.net/es/1'rel='alternate canonical'/>", "https://b.net/es/1"),
+    ("<link rel=stylesheet href=/x.css><link rel=canonical href=/es/1?a=1&amp;b=2>", "http://a.net/es/1?a=1&b=2"),
+    ("<link rel=canonical href=//b.net/es/1>", "http://b.net/es/1"),
+    ("<link rel=canonical href=c/./d/../e#f>", "http://a.net/x/c/e#f"),
+    ("<link rel=canonical href=../../../es/>", "http://a.net/es/"),
+    ("<link rel=canonical href=?p=1>", "http://a.net/x/y?p=1"),
+    ("<meta content=\"0; URL='https://b.net/es/1'\" http-equiv=Refresh>", "https://b.net/es/1"),
+    ('<meta http-equiv="refresh" content="5;url=/es/2">', "http://a.net/es/2"),
+    ("<link rel=canonical href=#top>", None),
+    ("<link rel=canonical href=mailto:a@b.c>", None),
+    ("<link rel=canonical>", None),
+    ("<link rel=next data-href=/a href=/b>", None),
+    ("<meta name=refresh content='0;url=/b'>", None),
+    ("<a rel=canonical href=/b><link " + "x" * 200_000, None),
+    (None, None),
+]
+
+
+def test_link_forms(spark):
+    """Attributes in any order, with or without quotes, and relative addresses; by Spark and by the SQL beside it."""
+    rows = [(i, "http://a.net/x/y?q#z", html) for i, (html, _) in enumerate(LINKS)]
+    for row, (_, dst) in zip(rows, LINKS):
+        assert [r.dst for r in uf.link_edges(spark.createDataFrame([row], PAGES)).collect()] == ([dst] if dst else []), row[2][:80]
+    rows = [(i, f"http://s{i}.org/x/y", html) for i, (html, _) in enumerate(LINKS)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    expected = con.sql(ORACLES["op6_url_filter"]).df().set_index("page_id")["verdict"].to_dict()
+    got = {r.page_id: r.verdict for r in uf.judged(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == expected and sorted(i for i, v in got.items() if v == "block") == [0, 1, 2, 4, 8]
+
+
 def test_components_of_random_graphs(spark):
     import random
 

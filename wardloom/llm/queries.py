@@ -123,13 +123,44 @@ parts AS (
            CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
     FROM pages
 ),
+tags AS (
+    SELECT url, rest, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)[\s/][^>]*>')) AS tag FROM parts WHERE rest <> ''
+),
+attributes AS (
+    SELECT url, rest, lower(substr(tag, 2, 4)) = 'link' AS is_link,
+           [CASE WHEN regexp_matches(v, '^["'']') THEN trim(substr(v, 2, length(v) - 2)) ELSE v END FOR v IN [
+               regexp_extract(tag, '(?i)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+               regexp_extract(tag, '(?i)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+               regexp_extract(tag, '(?i)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+               regexp_extract(tag, '(?i)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)]] AS v
+    FROM tags
+),
+targets AS (
+    SELECT url, rest, replace(CASE WHEN is_link AND list_contains(regexp_split_to_array(lower(v[1]), '\s+'), 'canonical') THEN v[2]
+           WHEN NOT is_link AND lower(v[3]) = 'refresh' THEN trim(regexp_extract(v[4], '(?i)url\s*=\s*["'']?([^"'']*)', 1)) END, '&amp;', '&') AS target,
+           split_part(url, '://', 1) AS scheme, split_part(url, '://', 1) || '://' || regexp_extract(rest, '^[^/?#]*') AS origin,
+           regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS page_path
+    FROM attributes
+),
+whole_paths AS (
+    SELECT *, CASE WHEN starts_with(target, '/') THEN '' ELSE coalesce(nullif(regexp_extract(page_path, '(?s)^.*/'), ''), '/') END
+           || regexp_extract(target, '(?s)^[^?#]*') AS whole_path
+    FROM targets
+),
+links AS (
+    SELECT url, dst FROM (
+        SELECT url, CASE WHEN regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*://') THEN target
+            WHEN regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*:') OR target = '' OR starts_with(target, '#') THEN NULL
+            WHEN starts_with(target, '//') THEN scheme || ':' || target
+            WHEN starts_with(target, '?') THEN origin || page_path || target
+            ELSE origin || list_reduce(list_prepend('', str_split(substr(whole_path, 2), '/')), lambda done, step:
+                CASE step WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || step END)
+                || regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) END AS dst
+        FROM whole_paths WHERE target IS NOT NULL) WHERE dst IS NOT NULL
+),
 addresses AS (
     SELECT url, rest FROM parts WHERE rest <> ''
-    UNION SELECT dst, substr(dst, strpos(dst, '://') + 3) FROM (
-        SELECT unnest([
-            regexp_extract(html, '(?i)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"''>]*)', 1),
-            regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']refresh["''][^>]*url=([^"''>]*)', 1)]) AS dst
-        FROM parts WHERE rest <> '') WHERE dst LIKE '%://%'
+    UNION SELECT dst, substr(dst, strpos(dst, '://') + 3) FROM links
 ),
 split AS (
     SELECT url, rest,
@@ -150,9 +181,7 @@ forms AS (
 ),
 hops AS (
     SELECT url AS a, f1 AS b FROM forms UNION SELECT f1, f2 FROM forms UNION SELECT f2, f3 FROM forms
-    UNION SELECT url, unnest([
-        regexp_extract(html, '(?i)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"''>]*)', 1),
-        regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']refresh["''][^>]*url=([^"''>]*)', 1)]) FROM parts WHERE rest <> ''
+    UNION SELECT url, dst FROM links
 ),
 edges AS (SELECT a, b FROM hops WHERE b LIKE '%://%' UNION SELECT b, a FROM hops WHERE b LIKE '%://%'),
 reach AS (

@@ -25,8 +25,8 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 TRACKING = "(^|&)(utm_[^&=]*|ref|gclid|fbclid)=[^&]*"
-CANONICAL = """(?i)<link[^>]*rel=["']canonical["'][^>]*href=["']([^"'>]*)"""
-REFRESH = """(?i)<meta[^>]*http-equiv=["']refresh["'][^>]*url=([^"'>]*)"""
+TAGS = r"(?i)<(?:link|meta)[\s/][^>]*>"
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def lower_ascii(c: Column) -> Column:
@@ -80,10 +80,47 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.array_max(fit)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty without one."""
+    found = F.regexp_extract(tag, rf"""(?i)[\s"'/]{name}\s*=\s*{VALUE}""", 1)
+    quoted = found.rlike("""^["']""")
+    return F.trim(F.when(quoted, F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's address as seen from the page ``base``; null where it leads to no other page."""
+    scheme = F.substring_index(base, "://", 1)
+    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(base), "^[^/?#]*", 0))
+    folder = F.regexp_extract(path_of(base), "(?s)^.*/", 0)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    way = F.regexp_extract(target, "(?s)^[^?#]*", 0)
+    whole = F.when(F.startswith(way, F.lit("/")), way).otherwise(F.concat(folder, way))
+    steps = F.split(F.substring(whole, 2, 1 << 30), "/")
+    plain = F.aggregate(
+        steps, F.lit(""),
+        lambda done, step: F.when(step == "..", F.regexp_replace(done, "/[^/]*$", "")).when(step == ".", done).otherwise(F.concat(done, F.lit("/"), step)),
+    )
+    tail = F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:") | (target == "") | F.startswith(target, F.lit("#")), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("?")), F.concat(origin, path_of(base), target))
+        .otherwise(F.concat(origin, plain, tail))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst`` from canonical links and refresh instructions with whole addresses."""
-    found = F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))
-    return pages.select(F.col("url").alias("src"), F.explode(found).alias("dst")).where("dst LIKE '%://%'")
+    """``src, dst`` from all canonical links and refresh instructions, attributes in any order, relative addresses resolved."""
+    tags = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), 0)).alias("tag"))
+    canonical = F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical")
+    refresh = F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"
+    content = F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?i)url\s*=\s*["']?([^"']*)""", 1)
+    is_link = F.lower(F.substring("tag", 2, 4)) == "link"
+    target = F.when(is_link & canonical, _attribute(F.col("tag"), "href")).when(~is_link & refresh, F.trim(content))
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    found = tags.select("url", target.alias("target")).where("target IS NOT NULL")
+    return found.select(F.col("url").alias("src"), resolved(F.col("url"), F.col("target")).alias("dst")).where("dst IS NOT NULL")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
