@@ -128,19 +128,26 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_returnflag", "l_linestatus")
 
 
-def _phase() -> Column:
-    """The phase of an order line; its number is set once the lines of an order are sorted."""
-    line = {c: F.col(c) for c in LINE_ORDER}
-    part, supp, qty = line["l_partkey"], line["l_suppkey"], line["l_quantity"].cast("int")
-    amount = qty.cast("string")
-    offset = pick_column(
+def _offset() -> Column:
+    """The time of an order line, relative to the start of its case."""
+    amount = F.col("l_quantity").cast("int").cast("string")
+    return pick_column(
         [
             F.concat(F.lit("T+"), amount, F.lit("min")), F.concat(F.lit("T+"), amount, F.lit("h")),
             F.concat(F.lit("T+"), amount, F.lit("sec")), F.concat(F.lit("T+"), amount, F.lit(" days")),
             F.concat(F.lit("T+1h"), amount, F.lit("min")), F.concat(F.lit("T+"), amount, F.lit("w")),
         ],
-        part % 6,
+        F.col("l_partkey") % 6,
     )
+
+
+def _phase(line: Column, number: Column) -> Column:
+    """The phase of an order line, given as a struct of ``LINE_ORDER`` and its ``offset``.
+
+    Every part has its final type at once, so that the last cast changes names of types only and copies nothing.
+    """
+    offset = line["offset"]
+    part, supp, qty = line["l_partkey"], line["l_suppkey"], line["l_quantity"].cast("int")
     vitals = F.when(
         line["l_linenumber"] % 4 != 0,
         F.struct(
@@ -159,7 +166,7 @@ def _phase() -> Column:
         low, high = next(((c[2], c[3]) for c in known if c[0] == name), (0.5, 2.0))
         return F.struct(
             F.lit(name).alias("name"), number.alias("value"), unit.alias("unit"),
-            F.lit(low).alias("reference_low"), F.lit(high).alias("reference_high"),
+            F.lit(float(low)).alias("reference_low"), F.lit(float(high)).alias("reference_high"),
             F.lit(None).cast("string").alias("flag"),
         )
 
@@ -226,7 +233,7 @@ def _phase() -> Column:
 
     decisions = F.array_compact(F.array(*[F.when(part % 6 >= j, decision(j)) for j in range(1, 6)]))
     return F.struct(
-        F.lit(0).alias("phase_number"),
+        number.cast("int").alias("phase_number"),
         offset.alias("time_offset"),
         F.concat(F.lit("Line "), part.cast("string"), F.lit(" "), line["l_returnflag"]).alias("narrative"),
         vitals.alias("vitals"),
@@ -259,24 +266,23 @@ def _choice(order: Column, j: int) -> Column:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as cases, with their lines as phases."""
-    lines = (
-        spread(table(spark, sf_dir, "lineitem"))
-        .select("l_orderkey", F.struct(*LINE_ORDER, _phase().alias("phase")).alias("line"))
-        .groupBy("l_orderkey")
-        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    """Orders as cases, with their lines as phases.
+
+    The lines of an order travel as the few columns they are told from; phases are made where the lines have met, and
+    meet their order there in a hash table of orders, so that phases are neither shuffled nor sorted. Rows stay where
+    their case id put them: what is grouped by case id afterwards moves nothing.
+    """
+    line = F.struct(*LINE_ORDER, _offset().alias("offset"))
+    met = F.sort_array(F.collect_list(line))
+    phases = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("phases_of")).agg(
+        F.transform(met, lambda x, i: _phase(x, i + 1)).alias("phases")
     )
 
-    def numbered(line: Column, i: Column) -> Column:
-        return line["phase"].withField("phase_number", (i + 1).cast("int"))
-
     order, price = F.col("o_orderkey"), F.col("o_totalprice")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    rows = (
-        table(spark, sf_dir, "orders")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(lines, order == F.col("l_orderkey"), "left")
-    )
+    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.withColumn("case_id", order.cast("string"))
+    rows = orders.hint("shuffle_hash").join(phases, F.col("case_id") == F.col("phases_of"), "left")
     accuracy = F.floor(price) % 100 / 100.0
     review = F.struct(
         accuracy.alias("accuracy_score"),
@@ -287,7 +293,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     empty_phases = F.array().cast(CASE["phases"].dataType)
     columns = {
-        "case_id": order.cast("string"),
+        "case_id": F.col("case_id"),
         "topic": F.col("c_mktsegment"),
         "difficulty": pick(LEVELS, order % 3),
         "specialty": F.array(F.lower("c_mktsegment"), F.col("o_orderpriority")),
@@ -305,7 +311,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "decision_tree": F.array(*[_choice(order, j) for j in range(3)]),
         "complications": F.array(),
         "blueprint": F.lit(None),
-        "phases": F.coalesce(F.transform("lines", numbered), empty_phases),
+        "phases": F.coalesce("phases", empty_phases),
         "review": F.when(order % 10 != 0, review),
         "sources": F.array(),
         "metadata": F.struct(
