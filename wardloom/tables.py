@@ -1,8 +1,8 @@
 """Keyed tables as plain Parquet folders by batch number (K1, K3, K4).
 
 An upsert appends its own rows under the next number. A read takes of each key the row of the greatest batch that has
-it, and inside a batch the one of the greatest rank: one aggregation over the narrow columns, and a join of the rows
-with those keys that came more than once, which adaptive execution broadcasts while they are few.
+it, and inside a batch the one of the greatest rank: the narrow columns are ordered by key, and the rows found replaced are
+broadcast as bitmaps, one bit a row of the blocks that have some. Rows themselves are never shuffled by a read.
 
 Rows are laid out by an optional column, whose values are kept in the rows as well, so that empty and null values
 stay what they are. Nothing written is changed later: a reader keeps the files it has listed, and a job that dies
@@ -12,10 +12,12 @@ leaves the table as it was. One writer at a time.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+BLOCK_BITS = 15  # rows of a block as a power of two: those whose bits one bitmap of Spark's holds
+
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key, the greatest by ``order``. Copies of a hot key are cut down before the shuffle."""
@@ -62,10 +64,19 @@ class KeyedTable:
         rows = stored = self._rows()
         if layout_value is not None:
             rows = rows.where((F.col("part") == self._part_of(F.lit(layout_value))) & (F.col(self.layout) == layout_value))
-        newest = F.max(F.struct("batch", "_rank", "_row")).alias("_newest")
-        again = stored.groupBy(F.col(self.key).alias("_key")).agg(F.count("*").alias("_n"), newest).where("_n > 1")
-        kept = rows.join(again, rows[self.key].eqNullSafe(again["_key"]), "left")
-        return kept.where("_n IS NULL OR (batch = _newest.batch AND _row = _newest._row)").select(*self.schema.names)
+        rows = rows.withColumn("_block", F.shiftright("_row", BLOCK_BITS))
+        kept = rows.join(F.broadcast(self._replaced(stored)), ["batch", "_block"], "left")
+        place = F.pmod(F.col("_row"), F.lit(1 << BLOCK_BITS))
+        byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        replaced = F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
+        return kept.where(F.col("_bits").isNull() | ~replaced).select(*self.schema.names)
+
+    def _replaced(self, stored: DataFrame) -> DataFrame:
+        """``batch, _block, _bits``: a bit for each row of a block that a later one replaces; blocks without such rows are left out."""
+        order = Window.partitionBy(self.key).orderBy(F.desc("batch"), F.desc("_rank"), F.desc("_row"))
+        old = stored.select(self.key, "batch", "_rank", "_row").withColumn("_n", F.row_number().over(order)).where("_n > 1")
+        place = F.pmod(F.col("_row"), F.lit(1 << BLOCK_BITS))
+        return old.groupBy("batch", F.shiftright("_row", BLOCK_BITS).alias("_block")).agg(F.bitmap_construct_agg(place).alias("_bits"))
 
     def count(self) -> int:
         return self.read().count()
