@@ -138,6 +138,22 @@ def test_keyword_table_broadcast_and_shuffled(spark):
         assert literal[row["chunk_id"]] == wanted
 
 
+def test_a_large_keyword_table_meets_texts_in_blocks(spark):
+    rng = random.Random(6)
+    table = {f"g{g}": ["".join(rng.choices("abcé\U0001f600. ", k=rng.randint(1, 6))) for _ in range(15)] for g in range(5)}
+    texts = ["".join(rng.choices("abcéX\U0001f600. ", k=rng.randint(1, 40))) + "q" for _ in range(60)]
+    chunks = chunks_of(spark, texts)
+    keywords = spark.createDataFrame([(s, w) for s, words in table.items() for w in words], "specialty string, keyword string")
+    tagged = tag_with_table(chunks, keywords, small=0, word_slice=20, text_block=300)
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    # only a sample of texts is cut into runs that are joined; texts and keywords meet in groups
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("(?s)(?=(.") == 5
+    tags = tags_of(tagged)
+    for row in chunks.collect():
+        found = by_keyword(row["text"], table)
+        assert tags[row["chunk_id"]] == (sorted(found | {"zeta", "alpha"}) if found else ["zeta", "alpha"])
+
+
 def test_rows_of_one_id_keep_their_own_tags(spark):
     chunks = chunks_of(spark, ["a stroke", "a kidney"]).withColumn("chunk_id", F.lit("same"))
     keywords = spark.createDataFrame([("neuro", "stroke"), ("nephro", "kidney"), (None, "a"), ("x", None)], "specialty string, keyword string")
