@@ -213,6 +213,22 @@ def test_bounds_leave_out_most_lists_of_clustered_vectors(spark):
     assert vector_index.probes(index, 5) <= 4
 
 
+def test_a_query_is_a_row_per_shelf_of_lists(spark, monkeypatch):
+    kb, vectors = _random_kb(spark)
+    queries = kb.withColumnRenamed("chunk_id", "query_id")
+    index = vector_index.build(kb, 16)
+    first, further = vector_index._first_and_further(index, queries, 10)
+    assert vector_index._visiting(further, index).count() <= 400  # one shelf holds all, whatever the number of lists
+    monkeypatch.setattr(search, "CHUNK_BLOCK", 100)
+    shelves = vector_index._shelves(index)
+    assert 4 <= shelves.max() + 1 <= 8 and (np.diff(shelves) >= 0).all()
+    rows = vector_index._visiting(further, index).collect()
+    assert sum(len(r["lists"]) for r in rows) == further.select(F.explode("lists")).count()
+    assert all({int(shelves[i]) for i in r["lists"]} == {r["code"]} for r in rows) and len({(r["query_id"], r["code"]) for r in rows}) == len(rows)
+    wanted, got = _hits(search.search_many(kb, queries, 10)), _hits(vector_index.search_exact(index, queries, 10))
+    assert sum(got[q] == wanted[q] for q in wanted) >= 396  # equal vectors may differ in the last bit
+
+
 def test_index_of_odd_vectors(spark):
     rows = [("n", None), ("e", []), ("h", [1.0, None]), ("w", [1.0] * 5), ("z", [0.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [-1.0, 0.0])]
     kb = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
