@@ -229,6 +229,23 @@ def test_a_query_is_a_row_per_shelf_of_lists(spark, monkeypatch):
     assert sum(got[q] == wanted[q] for q in wanted) >= 396  # equal vectors may differ in the last bit
 
 
+def test_recall_is_told_per_query_as_its_sql_finds_it(spark, tmp_path):
+    import duckdb
+
+    from checks.oracles import ORACLES
+    from checks.queries import QUERIES
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in row], i % 4) for i, row in enumerate(rng.standard_normal((150, 64)).astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["nearest"], r["found"], r["reached"]) for r in QUERIES["search_recall"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = con.execute(f"SELECT query_id, nearest, found, reached FROM ({ORACLES['search_recall']}) ORDER BY query_id").fetchall()
+    assert got == sorted(wanted) and len(got) == 150
+    assert all(n == 10 for _, n, _, _ in got) and len({f for _, _, f, _ in got}) > 1
+
+
 def test_index_of_odd_vectors(spark):
     rows = [("n", None), ("e", []), ("h", [1.0, None]), ("w", [1.0] * 5), ("z", [0.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [-1.0, 0.0])]
     kb = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
