@@ -265,6 +265,27 @@ def _choice(order: Column, j: int) -> Column:
     )
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``phases_of, lines``: the lines of every order in their order."""
+    line = F.struct(*LINE_ORDER, _offset().alias("offset"))
+    met = F.sort_array(F.collect_list(line)).alias("lines")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("phases_of")).agg(met)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return orders.withColumn("case_id", F.col("o_orderkey").cast("string"))
+
+
+def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``case_id, pos, phase``: the phases of ``cases``, a row each. A phase is made in a row of its own, not inside an array,
+    so that its columns are compiled."""
+    met = _orders(spark, sf_dir).select("case_id").hint("shuffle_hash").join(_lines(spark, sf_dir), F.col("case_id") == F.col("phases_of"))
+    lines = met.select("case_id", F.posexplode("lines").alias("pos", "line"))
+    return lines.select("case_id", "pos", _phase(F.col("line"), F.col("pos") + 1).alias("phase"))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases, with their lines as phases.
 
@@ -272,17 +293,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     meet their order there in a hash table of orders, so that phases are neither shuffled nor sorted. Rows stay where
     their case id put them: what is grouped by case id afterwards moves nothing.
     """
-    line = F.struct(*LINE_ORDER, _offset().alias("offset"))
-    met = F.sort_array(F.collect_list(line))
-    phases = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("phases_of")).agg(
-        F.transform(met, lambda x, i: _phase(x, i + 1)).alias("phases")
-    )
-
     order, price = F.col("o_orderkey"), F.col("o_totalprice")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    orders = orders.withColumn("case_id", order.cast("string"))
-    rows = orders.hint("shuffle_hash").join(phases, F.col("case_id") == F.col("phases_of"), "left")
+    met = _lines(spark, sf_dir)
+    phases = met.select("phases_of", F.transform("lines", lambda x, i: _phase(x, i + 1)).alias("phases"))
+    rows = _orders(spark, sf_dir).hint("shuffle_hash").join(phases, F.col("case_id") == F.col("phases_of"), "left")
     accuracy = F.floor(price) % 100 / 100.0
     review = F.struct(
         accuracy.alias("accuracy_score"),
@@ -557,6 +571,7 @@ def stage_answers(spark: SparkSession, sf_dir: str, schema: str) -> DataFrame:
 
 def answered_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases of the cases as answers; those of every seventh order have no narrative."""
-    rows = cases(spark, sf_dir).select("case_id", F.posexplode("phases").alias("pos", "phase"))
-    phase = F.when(F.col("case_id").cast("long") % 7 == 0, F.col("phase").withField("narrative", F.lit(None).cast("string"))).otherwise(F.col("phase"))
+    rows = phase_rows(spark, sf_dir)
+    narrative = F.when(F.coalesce(F.col("case_id").cast("long") % 7 != 0, F.lit(True)), F.col("phase.narrative"))
+    phase = F.col("phase").withField("narrative", narrative)
     return rows.select(F.concat_ws(".", "case_id", F.col("pos").cast("string")).alias("request_id"), F.col("case_id").alias("slot_id"), "pos", F.to_json(F.struct(phase.alias("phase"))).alias("payload"), F.lit("m").alias("model"))

@@ -857,9 +857,8 @@ def parse_stages(spark, sf_dir):
 
 @query
 def parse_phases(spark, sf_dir):
-    valid, bad = requests.parse_responses(fixtures.answered_phases(spark, sf_dir), "phase")
-    good = valid.select("request_id", F.col("data.phase.narrative").alias("narrative"), F.size("data.phase.decisions").alias("decisions"))
-    return good.unionByName(bad.select("request_id"), allowMissingColumns=True)
+    judged = requests.judged_responses(fixtures.answered_phases(spark, sf_dir), "phase")
+    return judged.select("request_id", F.col("data.phase.narrative").alias("narrative"), F.when(F.col("valid"), F.size("data.phase.decisions")).alias("decisions"))
 
 
 def _slot_rows(valid: DataFrame) -> DataFrame:

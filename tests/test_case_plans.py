@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from checks import fixtures
+from checks.queries import QUERIES
 from tests.test_plans import plan
 from wardloom.operators import cases as case_ops
 from wardloom.plans import requests, rounds
@@ -49,3 +50,23 @@ def test_a_stored_case_is_parsed_once(spark):
     assert plan(case_ops.decode_cases(rows)).count("from_json(") == 1
     assert plan(case_ops.unreadable_cases(rows)).count("from_json(") == 1
     assert [(r["case_id"], r["phases"]) for r in case_ops.decode_cases(rows).collect()] == [("a", [])]
+
+
+def test_readable_and_other_answers_are_told_apart_in_one_pass(spark, tmp_path):
+    body = json.dumps({"approved": True, "notes": ["n"]})
+    answers = spark.createDataFrame([("a", body), ("b", "{broken"), ("c", "{}"), ("d", None)], "request_id string, payload string")
+    judged = requests.judged_responses(answers, "blueprint_review")
+    assert {r["request_id"]: (r["valid"], r["data"] and r["data"]["approved"]) for r in judged.collect()} == {
+        "a": (True, True), "b": (False, None), "c": (False, None), "d": (False, None)}
+    found = QUERIES["parse_phases"](spark, order_tables(spark, tmp_path))
+    assert plan(found).count("from_json(") == 1
+    got = {r["request_id"]: (r["narrative"], r["decisions"]) for r in found.collect()}
+    assert len(got) == 6 and got["1.0"] == ("Line 64 N", 4) and got["2.2"] == ("Line 61 N", 1)
+
+
+def test_phases_as_rows_are_the_phases_of_the_cases(spark, tmp_path):
+    folder = order_tables(spark, tmp_path)
+    listed = fixtures.cases(spark, folder).select("case_id", F.posexplode("phases").alias("pos", "phase"))
+    rows = fixtures.phase_rows(spark, folder)
+    assert sorted(rows.collect()) == sorted(listed.collect()) and rows.count() == 6
+    assert "transform(" not in plan(rows)

@@ -152,8 +152,8 @@ def _complete(value: Column, kind: DataType) -> Column:
     return F.lit(True)
 
 
-def parse_responses(responses: DataFrame, schema_name: str) -> tuple[DataFrame, DataFrame]:
-    """Answers of one schema, split into (valid, rejected). ``valid`` has the parsed answer in ``data``."""
+def judged_responses(responses: DataFrame, schema_name: str) -> DataFrame:
+    """All answers of one schema, read once: ``valid`` tells whether an answer is readable and whole, ``data`` is then the parsed one."""
     schema = RESPONSE_SCHEMAS[schema_name]
     with_bad = StructType([*schema.fields, StructField(BAD, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
@@ -163,6 +163,14 @@ def parse_responses(responses: DataFrame, schema_name: str) -> tuple[DataFrame,
     good = F.coalesce(
         F.col("_parsed").isNotNull() & F.col("_parsed")[BAD].isNull() & _complete(F.col("_parsed"), schema), F.lit(False)
     )
-    checked = parsed.select("*", F.explode(F.array(good)).alias("_good"))
-    valid = checked.where("_good").withColumn("data", data).drop("_parsed", "_good", "payload")
-    return valid, checked.where("not _good").drop("_parsed", "_good")
+    checked = parsed.select("*", F.explode(F.array(good)).alias("valid"))
+    return checked.withColumn("data", F.when(F.col("valid"), data)).drop("_parsed")
+
+
+def parse_responses(responses: DataFrame, schema_name: str) -> tuple[DataFrame, DataFrame]:
+    """Answers of one schema, split into (valid, rejected). ``valid`` has the parsed answer in ``data``.
+
+    Who needs both reads each answer twice, by way of ``judged_responses`` once.
+    """
+    judged = judged_responses(responses, schema_name)
+    return judged.where("valid").drop("valid", "payload"), judged.where("not valid").drop("valid", "data")
