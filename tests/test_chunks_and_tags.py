@@ -138,6 +138,22 @@ def test_keyword_table_broadcast_and_shuffled(spark):
         assert literal[row["chunk_id"]] == wanted
 
 
+def test_runs_meet_their_keywords_beside_the_text(spark):
+    table = {f"g{g:03d}": [f"w{g:03d}"] for g in range(150)} | {"hot": ["w00", "w14"]}
+    texts = ["w000 and w064", "w063 W149", "nothing", "w000 and w064", " ".join(f"w{g:03d}" for g in range(150))]
+    chunks = chunks_of(spark, texts)
+    keywords = spark.createDataFrame([(s, w) for s, words in table.items() for w in words], "specialty string, keyword string")
+    tagged = tag_with_table(chunks, keywords)
+    text = tagged._jdf.queryExecution().executedPlan().toString()
+    # neither candidates nor chunks are sorted, and no text is carried through a shuffle but the chunks' own
+    assert "SortMergeJoin [_key" not in text and "ShuffledHashJoin [_key" in text
+    assert all("_text" not in line for line in text.split("\n") if "Exchange hashpartitioning" in line)
+    tags = tags_of(tagged)
+    for i, said in enumerate(texts):
+        found = by_keyword(said, table)
+        assert tags[f"s:{i}"] == (sorted(found | {"zeta", "alpha"}) if found else ["zeta", "alpha"])
+
+
 def test_a_large_keyword_table_meets_texts_in_blocks(spark):
     rng = random.Random(6)
     table = {f"g{g}": ["".join(rng.choices("abcé\U0001f600. ", k=rng.randint(1, 6))) for _ in range(15)] for g in range(5)}
