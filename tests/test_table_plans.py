@@ -1,5 +1,6 @@
 """A read of a keyed table leaves the rows where they lie."""
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -22,3 +23,11 @@ def test_rows_are_not_shuffled_to_leave_out_replaced_ones(spark, tmp_path):
     wanted = {(None if i == 0 else str(i), "c" if i % 3 == 0 else "a") for i in range(70_000)}
     got = [(r["id"], r["body"]) for r in found.collect()]
     assert len(got) == 70_000 and set(got) == wanted
+
+
+def test_rows_are_stored_small(spark, tmp_path):
+    schema = StructType([StructField("id", StringType()), StructField("body", StringType())])
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, key="id", rank=F.col("body"))
+    table.upsert(spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("body")))
+    kinds = {pq.ParquetFile(file).metadata.row_group(0).column(0).compression for file in (tmp_path / "t").rglob("*.parquet")}
+    assert kinds == {"ZSTD"} and table.count() == 10

@@ -96,5 +96,5 @@ class KeyedTable:
         if self.layout:
             laid = laid.hint("rebalance", "part")
         laid = laid.sortWithinPartitions("part", *self.sort_within).withColumn("_row", F.monotonically_increasing_id())
-        laid.write.mode("append").partitionBy("part").parquet(f"{self.root}/batch={number}")
+        laid.write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{self.root}/batch={number}")
         return number
