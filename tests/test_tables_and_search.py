@@ -213,6 +213,26 @@ def test_bounds_leave_out_most_lists_of_clustered_vectors(spark):
     assert vector_index.probes(index, 5) <= 4
 
 
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    kb, _ = _random_kb(spark)
+    queries = kb.withColumnRenamed("chunk_id", "query_id")
+    wanted = _hits(search.search_many(kb, queries, 3))
+
+    def blocks(df):
+        sized = df.withColumn("width", F.size("embedding"))
+        return search.block_counts(sized, 4, "n", ["width"]).head()["n"]
+
+    # 400 rows of blocks of 4 would travel 100 times
+    assert blocks(kb) == 8 and blocks(kb.unionByName(kb)) == 8 and blocks(kb.limit(10)) == 3
+    assert _hits(search.search_many(kb, queries, 3, 4, 4)) == wanted
+    monkeypatch.setattr(search, "BLOCK_CELLS", 20 * 16)
+    assert blocks(kb) == 20
+    index = vector_index.build(kb, 16)
+    monkeypatch.setattr(search, "CHUNK_BLOCK", 10)
+    monkeypatch.setattr(search, "BLOCK_CELLS", 1 << 22)
+    assert vector_index._shelves(index).max() + 1 <= 16  # 50 rows and not 10 make one
+
+
 def test_a_query_is_a_row_per_shelf_of_lists(spark, monkeypatch):
     kb, vectors = _random_kb(spark)
     queries = kb.withColumnRenamed("chunk_id", "query_id")
