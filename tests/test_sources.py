@@ -227,3 +227,20 @@ def test_payloads_of_whole_texts(spark, tmp_path):
     for source, (payloads, content) in said.items():
         landed_ = payloads(spark, str(tmp_path))
         assert [r["content"] for r in registry.normalize(landed_, source).collect()] == [content], source
+
+
+def test_labels_are_cut_in_pieces_that_hold_few_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    body = "long text " * 2_000
+    label = f'<document xmlns="urn:hl7-org:v3"><section><code code="34084-4"/><text> {body}</text></section></document>'
+    payloads = pa.array([label, None, "<broken", "<!DOCTYPE d>" + label] * 200)
+    tracemalloc.start()
+    found = drugs._sections_in_pieces(payloads)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found.null_count == 600 and found[0].as_py() == [{"code": "34084-4", "text": body.strip()}]
+    assert most < 40 * len(label)  # of 200 labels
+    assert drugs._sections_in_pieces(payloads.slice(0, 0)).to_pylist() == []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -79,29 +79,44 @@ OPENFDA = Source(
 # --- DailyMed ----------------------------------------------------------------
 
 
-@F.pandas_udf(ArrayType(fields(code=TEXT, text=TEXT)))
-def _label_sections(xml: pd.Series) -> pd.Series:
+PAYLOADS_AT_ONCE = 64  # labels whose sections are held as Python texts
+
+
+def _sections(text: str | None) -> list[tuple[str, str]] | None:
+    """``code, text`` of each coded section of a label in document order, at any depth."""
+    hl7 = "{urn:hl7-org:v3}"
+    if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
+        return None
+    try:
+        root = ElementTree.fromstring(text)
+    except (ElementTree.ParseError, TypeError, ValueError):
+        return None
+    found = []
+    for section in root.iter(f"{hl7}section"):
+        code, body = section.find(f"{hl7}code"), section.find(f"{hl7}text")
+        if code is not None and body is not None:
+            found.append((code.get("code", ""), "".join(body.itertext()).strip()))
+    return found
+
+
+def _sections_in_pieces(xml: pa.Array) -> pa.Array:
+    """Sections of many labels; of a few of them at a time the texts are Python's, the others are held once, as Arrow."""
+    kind = pa.list_(pa.struct([("code", pa.string()), ("text", pa.string())]))
+    pieces = [pa.array([], kind)]
+    for start in range(0, len(xml), PAYLOADS_AT_ONCE):
+        found = [_sections(x.as_py()) for x in xml.slice(start, PAYLOADS_AT_ONCE)]
+        named = [s if s is None else [{"code": code, "text": text} for code, text in s] for s in found]
+        pieces.append(pa.array(named, kind))
+    return pa.concat_arrays(pieces)
+
+
+@F.arrow_udf(ArrayType(fields(code=TEXT, text=TEXT)))
+def _label_sections(xml: pa.Array) -> pa.Array:
     """Coded sections of a label in document order, at any depth; null for text that is no XML or declares entities.
 
     Sections nest without limit and their text is mixed content, which no fixed row schema covers.
     """
-    hl7 = "{urn:hl7-org:v3}"
-
-    def sections(text):
-        if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
-            return None
-        try:
-            root = ElementTree.fromstring(text)
-        except (ElementTree.ParseError, TypeError, ValueError):
-            return None
-        found = []
-        for section in root.iter(f"{hl7}section"):
-            code, body = section.find(f"{hl7}code"), section.find(f"{hl7}text")
-            if code is not None and body is not None:
-                found.append({"code": code.get("code", ""), "text": "".join(body.itertext()).strip()})
-        return found
-
-    return xml.map(sections)
+    return _sections_in_pieces(xml)
 
 
 def _dailymed_documents(parsed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,7 +67,8 @@ def ingest_source(
     """Ingest landed payloads of a source. A payload is parsed once, for its documents and for what it leaves out."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        parsed = source.parsed(batch).persist()
+        # kept on disk: a batch is as large as its files, and the memory is the upsert's
+        parsed = source.parsed(batch).persist(StorageLevel.DISK_ONLY)
         try:
             documents = source.good(parsed)
             number = kb.upsert(knowledge_rows(single_version(documents), fn))
